@@ -276,7 +276,10 @@ def share_of_total(
         F.sum(measure.cast("decimal(18,2)")).alias("_sum"),
         F.count(F.lit(1)).alias("events"),
     )
-    grand = per_key.agg(F.sum("_sum").cast("double")).scalar()
+    # Both sums are asked for so that the subquery needs the same columns as the
+    # main query, and its shuffle is reused instead of reading the log twice.
+    sums = F.struct(F.sum("_sum").cast("double").alias("total"), F.sum("events"))
+    grand = per_key.agg(sums).scalar().getField("total")
     total = F.col("_sum").cast("double")
     return (
         per_key.orderBy(F.desc("_sum"), key)

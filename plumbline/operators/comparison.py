@@ -101,9 +101,9 @@ def text_version_diff(
         rows = df.filter(F.col(text_col).isNotNull()).select(
             F.col(key),
             line_count(F.col(text_col)).alias("_lines"),
-            F.explode(F.array_prepend(tokens, F.lit(None).cast("string"))).alias(
-                "_token"
-            ),
+            F.explode_outer(
+                F.array_prepend(tokens, F.lit(None).cast("string"))
+            ).alias("_token"),
         )
         lines = F.when(F.col("_token").isNull(), F.col("_lines")).otherwise(0)
         return rows.select(

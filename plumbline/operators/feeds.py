@@ -116,8 +116,9 @@ def feed_health(
     earliest is more than 5 days old. EXCESS: more than 6 snapshots. ``as_of``
     defaults to the latest snapshot of all.
     """
-    feeds = feed_inventory(names, name_col)
+    feeds = _per_feed(names, name_col).filter(F.col("snapshots") > 0)
     if as_of is None:
+        # Over the raw log: one map-only pass, cheaper than grouping it again.
         stamps = names.select(F.col(name_col).alias("name")).filter(
             is_snapshot(F.col("name"))
         )

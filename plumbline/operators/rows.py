@@ -172,9 +172,10 @@ def external_references(
     that contain it literally.
     """
     targets = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(1))
+    # A plain explode would also filter on the array's size, and so extract twice.
     found = df.select(
-        F.col(id_col), F.explode(F.array_distinct(targets)).alias("target")
-    )
+        F.col(id_col), F.explode_outer(F.array_distinct(targets)).alias("target")
+    ).filter(F.col("target").isNotNull())
     if target is not None:
         found = found.filter(F.col("target").contains(target))
     return found.distinct()
@@ -259,8 +260,8 @@ def name_lint(names: DataFrame, name_col: str = "name", columns: bool = False) -
     )
     distinct = names.select(F.col(name_col).alias("name")).distinct()
     return distinct.select(
-        F.explode(F.array_compact(broken)).alias("rule"), "name"
-    )
+        F.explode_outer(F.array_compact(broken)).alias("rule"), "name"
+    ).filter(F.col("rule").isNotNull())
 
 
 def name_lint_counts(

@@ -5,30 +5,63 @@ item, and every run of its characters. Each item therefore gets one such run as
 its key; texts are broken into runs of the same sizes; equal hashes give the
 candidates, and each candidate is checked with an exact ``contains``.
 
-Item sizes are coded in one integer: ``n > 0`` is a run of n words, ``n < 0`` a
-run of -n characters. Only an item's inner words are whole words of the text
-around it (its first and last may be cut), so an item of one or two words is
-keyed by characters.
+Runs have 1, 2, 4 or 8 units, so that a run's hash comes from the hashes of its
+two halves. A size is coded in one integer: ``n > 0`` is a run of n words,
+``n < 0`` a run of -n characters. Only an item's inner words are whole words of
+the text around it (its first and last may be cut), so an item of one or two
+words is keyed by characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-WORD_RUN = 5
-CHAR_RUN = 8
+WORD_SIZES = (1, 2, 4)
+CHAR_SIZES = (-1, -2, -4, -8)
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+def _doubled(runs: Column, n: int) -> Column:
+    """Hashes of all runs of 2n units from the hashes of all runs of n units."""
+    count = F.greatest(F.size(runs) - n, F.lit(0))
+    return F.zip_with(
+        F.slice(runs, 1, count),
+        F.slice(runs, n + 1, count),
+        lambda left, right: F.xxhash64(left, right),
+    )
+
+
+def _with_runs(
+    df: DataFrame, units: Column, sizes: Sequence[int], used: Collection[int]
+) -> DataFrame:
+    """Add a column ``_runs<size>`` for each size up to the largest one in use.
 
-def _word_runs(words: Column, n: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    runs = F.transform(starts, lambda i: F.xxhash64(n, F.slice(words, i, n)))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+    Every step is a column of its own, so Spark computes each array once.
+    """
+    last = max((sizes.index(n) for n in used if n in sizes), default=-1)
+    if last >= 0:
+        df = df.withColumn("_units", units).withColumn(
+            f"_runs{sizes[0]}", F.transform("_units", lambda unit: F.xxhash64(unit))
+        )
+    for half, size in zip(sizes[:last], sizes[1 : last + 1]):
+        df = df.withColumn(
+            f"_runs{size}", _doubled(F.col(f"_runs{half}"), abs(half))
+        )
+    return df
 
 
-def _runs(words: Column, chars: Column, size: Column) -> Column:
-    return F.when(size > 0, _word_runs(words, size)).otherwise(
-        _word_runs(chars, -size).cast("array<bigint>")
+def _explode_runs(
+    df: DataFrame, words: Column, chars: Column, used: Collection[int], runs: Column
+) -> DataFrame:
+    """One row per distinct value of ``runs``, an array built from ``_runs*``."""
+    keep = df.columns
+    df = _with_runs(df, words, WORD_SIZES, used)
+    df = _with_runs(df, chars, CHAR_SIZES, used)
+    # The outer form keeps Spark from deriving a filter on the array's size, which
+    # would be pushed down to where it repeats the whole computation.
+    return df.withColumn("_all", F.array_distinct(runs)).select(
+        *keep, F.explode_outer("_all").alias("run")
     )
 
 
@@ -40,54 +73,52 @@ def _split_chars(text: Column) -> Column:
     return F.split(text, "")
 
 
-def _item_keys(items: DataFrame) -> DataFrame:
-    """(item_id, item_text, size, run): one key per item, the rarest of its runs.
+def _largest(sizes: Sequence[int], available: Column) -> Column:
+    """The largest size for which enough units are available, or null."""
+    fitting = F.lit(None).cast("int")
+    for n in sizes:
+        fitting = F.when(available >= abs(n), n).otherwise(fitting)
+    return fitting
 
-    Choosing the run that fewest items share keeps boilerplate at the start of
-    many items from becoming a hot join key.
-    """
-    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
-    sized = (
-        items.withColumn("words", _split_words(F.col("item_text")))
-        .withColumn("inner", inner)
-        .withColumn(
-            "size",
-            F.when(F.size("inner") > 0, F.least(F.size("inner"), F.lit(WORD_RUN)))
-            .otherwise(-F.least(F.length("item_text"), F.lit(CHAR_RUN))),
-        )
-        .withColumn("chars", _split_chars(F.col("item_text")))
-    )
-    runs = sized.select(
-        "item_id",
-        "size",
-        F.explode(
-            F.array_distinct(_runs(F.col("inner"), F.col("chars"), F.col("size")))
-        ).alias("run"),
+
+def _sized_items(items: DataFrame) -> DataFrame:
+    """Items with their inner words and the size of the runs they are keyed by."""
+    words = _split_words(F.col("item_text"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    size = F.coalesce(
+        _largest(WORD_SIZES, F.size("_inner")),
+        _largest(CHAR_SIZES, F.length("item_text")),
     )
-    frequency = runs.groupBy("size", "run").agg(F.count(F.lit(1)).alias("shared_by"))
+    return items.withColumn("_inner", inner).withColumn("size", size)
+
+
+def _item_keys(sized: DataFrame, used: Collection[int]) -> DataFrame:
+    """(item_id, item_text, run): one key per item, the rarest of its runs.
+
+    Choosing the run that fewest items share keeps boilerplate in many items from
+    becoming a hot join key.
+    """
+    own = F.coalesce(*[F.when(F.col("size") == n, F.col(f"_runs{n}")) for n in used])
+    runs = _explode_runs(
+        sized, F.col("_inner"), _split_chars(F.col("item_text")), used, own
+    ).select("item_id", "run")
+    frequency = runs.groupBy("run").agg(F.count(F.lit(1)).alias("shared_by"))
     chosen = (
-        runs.join(frequency, ["size", "run"])
+        runs.join(frequency, "run")
         .groupBy("item_id")
-        .agg(F.min(F.struct("shared_by", "size", "run")).alias("key"))
-        .select("item_id", "key.size", "key.run")
+        .agg(F.min(F.struct("shared_by", "run")).alias("key"))
+        .select("item_id", "key.run")
     )
-    return chosen.join(items, "item_id")
+    return chosen.join(sized.select("item_id", "item_text"), "item_id")
 
 
-def _text_runs(texts: DataFrame, sizes: Column) -> DataFrame:
-    """Explode each text into its distinct runs, for every item size in use."""
-    broken = texts.withColumn("sizes", sizes).withColumn(
-        "words", _split_words(F.col("text"))
-    ).withColumn(
-        "chars",
-        F.when(F.exists("sizes", lambda n: n < 0), _split_chars(F.col("text")))
-        .otherwise(F.array().cast("array<string>")),
-    )
-    runs = F.flatten(
-        F.transform("sizes", lambda n: _runs(F.col("words"), F.col("chars"), n))
-    )
-    return broken.select(
-        *texts.columns, F.explode(F.array_distinct(runs)).alias("run")
+def _text_runs(texts: DataFrame, used: Collection[int]) -> DataFrame:
+    return _explode_runs(
+        texts,
+        _split_words(F.col("text")),
+        _split_chars(F.col("text")),
+        used,
+        F.concat(*[F.col(f"_runs{n}") for n in used]),
     )
 
 
@@ -99,27 +130,31 @@ def containment_pairs(
     ``texts`` has ``text_id, text``; ``items`` has unique ``item_id`` and
     ``item_text``. Null and empty items are in no text.
 
-    The size of the item table is measured first (one row reaches the driver).
-    Up to ``broadcast_bytes`` the items are broadcast and the texts are read once
-    with no shuffle. Above it only (id, run) pairs are shuffled, and texts are
-    fetched for the candidates alone.
+    The item table is measured first: its size and the few run sizes it needs
+    reach the driver as one row. Up to ``broadcast_bytes`` the items are broadcast
+    and the texts are read once with no shuffle. Above it only (id, run) pairs are
+    shuffled, and texts are fetched for the candidates alone.
     """
     texts = texts.select("text_id", F.lower("text").alias("text"))
-    items = items.select("item_id", F.lower("item_text").alias("item_text")).filter(
-        F.length("item_text") > 0
-    )
-    keys = _item_keys(items)
-    sizes = keys.agg(F.collect_set("size")).scalar()
-    measured = items.agg(
-        F.coalesce(F.sum(F.octet_length("item_text") + 64), F.lit(0)).alias("bytes")
+    items = items.select("item_id", F.lower("item_text").alias("item_text"))
+    sized = _sized_items(items.filter(F.length("item_text") > 0))
+    measured = sized.agg(
+        F.coalesce(F.sum(F.octet_length("item_text") + 64), F.lit(0)).alias("bytes"),
+        F.collect_set("size").alias("sizes"),
     ).first()
+    used = sorted(measured.sizes)
+    if not used:
+        nothing = texts.select("text_id").filter(F.lit(False))
+        item_type = items.schema["item_id"].dataType
+        return nothing.withColumn("item_id", F.lit(None).cast(item_type))
 
+    keys = _item_keys(sized, used)
     if measured.bytes <= broadcast_bytes:
-        found = _text_runs(texts, sizes).join(F.broadcast(keys), "run")
+        found = _text_runs(texts, used).join(F.broadcast(keys), "run")
         found = found.filter(F.col("text").contains(F.col("item_text")))
         return found.select("text_id", "item_id")
 
-    runs = _text_runs(texts, sizes).select("text_id", "run")
+    runs = _text_runs(texts, used).select("text_id", "run")
     candidates = runs.join(keys.select("item_id", "run"), "run").select(
         "text_id", "item_id"
     )

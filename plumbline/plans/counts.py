@@ -1,4 +1,4 @@
-"""Value counts of several columns in one scan and one shuffle.
+"""Value counts of several columns in one scan and one shuffle per value type.
 
 Each row is unpivoted to (column, value) and counted per value, so a value that
 fills a third of the table is combined before the shuffle. Distinct counts, null
@@ -34,31 +34,41 @@ def is_digest(key: Column) -> Column:
     return (F.length(key) > DIGEST_OVER) & key.startswith(_DIGEST_MARK)
 
 
-def _as_key(column: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, T.StringType):
-        return digest_key(column)
+def _as_key(column: Column, data_type: T.DataType) -> tuple[str, Column]:
+    """A column as a grouping key, with the type it is grouped as."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint", column.cast("bigint")
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         # Adding zero makes -0.0 and 0.0 the same value, as in SQL DISTINCT.
-        return (column + F.lit(0.0).cast(data_type)).cast("string")
+        return "double", column.cast("double") + F.lit(0.0)
+    if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
+        return "string", digest_key(column.cast("string"))
     if isinstance(data_type, T.BinaryType):
-        return digest_key(F.hex(column))
+        return "string", digest_key(F.hex(column))
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        return digest_key(column.cast("string"))
-    return column.cast("string")
+        return "string", digest_key(column.cast("string"))
+    return data_type.simpleString(), column
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n): how often each value occurs; nulls are counted too."""
-    keyed = df.select(
-        *[
-            _as_key(named_column(name), df.schema[name].dataType).alias(name)
-            for name in columns
-        ]
-    )
-    long = keyed.unpivot(
-        [], [named_column(name) for name in columns], "column", "value"
-    )
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+    """(column, value, n) frames: how often each value occurs, nulls included.
+
+    There is one frame per value type, so numbers are grouped as numbers.
+    """
+    by_type: dict[str, dict[str, Column]] = {}
+    for name in columns:
+        kind, key = _as_key(named_column(name), df.schema[name].dataType)
+        by_type.setdefault(kind, {})[name] = key
+    frames = []
+    for keys in by_type.values():
+        keyed = df.select(*[key.alias(name) for name, key in keys.items()])
+        long = keyed.unpivot(
+            [], [named_column(name) for name in keys], "column", "value"
+        )
+        frames.append(
+            long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        )
+    return frames
 
 
 def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,16 +78,19 @@ def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     n = F.col("n")
     is_null = F.col("value").isNull()
-    counted = value_counts(df, columns).groupBy("column").agg(
-        F.sum(n).alias("total"),
-        F.sum(F.when(is_null, n).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distinct_count"),
-        F.max(F.when(~is_null, n).otherwise(0)).alias("top_count"),
-    )
-    session = df.sparkSession
-    names = session.createDataFrame([(name,) for name in columns], "column string")
     measures = ("total", "nulls", "distinct_count", "top_count")
-    return names.join(counted, "column", "left").select(
-        "column",
-        *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in measures],
+    # A row of zeros per column keeps columns of an empty table in the result.
+    counted = df.sparkSession.createDataFrame(
+        [(name, 0, 0, 0, 0) for name in columns],
+        "column string, " + ", ".join(f"{m} bigint" for m in measures),
     )
+    for values in value_counts(df, columns):
+        counted = counted.unionByName(
+            values.groupBy("column").agg(
+                F.sum(n).alias("total"),
+                F.sum(F.when(is_null, n).otherwise(0)).alias("nulls"),
+                F.count("value").alias("distinct_count"),
+                F.max(F.when(~is_null, n).otherwise(0)).alias("top_count"),
+            )
+        )
+    return counted.groupBy("column").agg(*[F.sum(m).alias(m) for m in measures])

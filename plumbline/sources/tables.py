@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,17 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 class Dataset:
     """Tables stored as ``<base>/<name>.<format>``; names ignore case.
 
-    Any format the session can read works. A database table can be profiled as
-    well: pass a ``spark.read.format("jdbc")`` frame straight to an operator.
+    ``tables`` names them, or maps each name to its schema. With a schema no file
+    footer is read until a query runs. Any format the session can read works. A
+    database table can be profiled as well: pass a ``spark.read.format("jdbc")``
+    frame straight to an operator.
     """
 
     def __init__(
-        self, spark: SparkSession, base: str, names: Iterable[str], fmt: str = "parquet"
+        self,
+        spark: SparkSession,
+        base: str,
+        tables: Iterable[str] | Mapping[str, str],
+        fmt: str = "parquet",
     ):
         self._spark = spark
         self._base = base.rstrip("/")
         self._fmt = fmt
-        self._names = {name.lower(): name for name in names}
+        self._schemas = dict(tables) if isinstance(tables, Mapping) else {}
+        self._names = {name.lower(): name for name in tables}
 
     @property
     def names(self) -> list[str]:
@@ -32,9 +39,10 @@ class Dataset:
             raise ValueError(
                 f"Unknown table '{name}'. Available: {', '.join(self.names)}"
             )
-        return self._spark.read.format(self._fmt).load(
-            f"{self._base}/{known}.{self._fmt}"
-        )
+        reader = self._spark.read.format(self._fmt)
+        if known in self._schemas:
+            reader = reader.schema(self._schemas[known])
+        return reader.load(f"{self._base}/{known}.{self._fmt}")
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in self.names}
