@@ -112,7 +112,8 @@ def find_references(
     """(item id, corpus id) for every text that contains the item, in any case.
 
     Ids must be unique on both sides. ``same_things=True`` says that items and
-    texts are the same entities; an entity is then not reported in itself.
+    texts are the same entities; an entity is then not reported in itself. If both
+    id columns have one name, the item's is prefixed with ``item_``.
     """
     pairs = containment_pairs(
         corpus.select(
@@ -126,10 +127,15 @@ def find_references(
     if same_things:
         pairs = pairs.filter(F.col("text_id") != F.col("item_id"))
     return pairs.select(
-        F.col("item_id").alias(item_id), F.col("text_id").alias(corpus_id)
+        F.col("item_id").alias(_item_column(corpus_id, item_id)),
+        F.col("text_id").alias(corpus_id),
     )
 
 
+def _item_column(corpus_id: str, item_id: str) -> str:
+    return f"item_{item_id}" if item_id == corpus_id else item_id
+
+
 def mention_report(
     corpus: DataFrame,
     corpus_id: str,
@@ -150,9 +156,10 @@ def mention_report(
     mentions = find_references(
         corpus, corpus_id, corpus_text, items, item_id, item_text, same_things, **options
     )
+    found_item = F.col(_item_column(corpus_id, item_id))
     lists = mentions.groupBy(F.col(corpus_id).alias("_text_id")).agg(
         F.array_join(
-            F.sort_array(F.collect_set(F.col(item_id).cast("string"))), ", "
+            F.sort_array(F.collect_set(found_item.cast("string"))), ", "
         ).alias("items")
     )
     texts = corpus.select(corpus_id, line_count(F.col(corpus_text)).alias("lines"))
