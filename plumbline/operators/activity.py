@@ -231,17 +231,16 @@ def top_by_cost(
         F.col(run_at).alias("_at"),
         clip_text(F.trim(text), 200, 197).alias("_text"),
     )
-    same_run = F.col("_log_key").eqNullSafe(F.col("_key")) & (
-        F.col("_at") == F.col("last_run")
+    # All of the ranking's columns go through the second join, so that its shuffle
+    # is the same as the first one's and is reused.
+    same_run = F.col("_log_key").eqNullSafe(F.col("_key")) & F.col("_at").eqNullSafe(
+        F.col("last_run")
     )
-    previews = (
-        last_texts.join(F.broadcast(worst.select("_key", "last_run")), same_run)
-        .groupBy("_log_key")
+    shown = (
+        last_texts.join(F.broadcast(worst), same_run)
+        .groupBy(*worst.columns)
         .agg(F.max("_text").alias("preview"))
     )
-    shown = worst.join(
-        previews, F.col("_key").eqNullSafe(F.col("_log_key")), "left"
-    )
 
     def average(total: str) -> Column:
         return F.round(F.col(total).cast("double") / F.col("executions"), 4)
@@ -288,7 +287,7 @@ def share_of_total(
             key,
             total.alias("total"),
             "events",
-            F.round(total * 100 / F.nullif(grand, F.lit(0.0)), 2).alias("pct_total"),
+            F.round(F.try_divide(total * 100, grand), 2).alias("pct_total"),
         )
     )
 

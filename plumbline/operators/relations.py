@@ -245,32 +245,25 @@ def prefix_covered_lists(
     keyed = items.withColumns(
         {"_group": F.col(group), "_list": F.col(list_id)}
     )
-    elements = prefix_fingerprints(keyed, ["_group", "_list"], order, content, block)
-    whole = elements.groupBy("_group", "_list").agg(
-        F.count(F.lit(1)).alias("_length"),
-        F.bit_xor("own1").alias("_whole1"),
-        F.bit_xor("own2").alias("_whole2"),
-    ).select(
+    prefixes, wholes = prefix_fingerprints(
+        keyed, ["_group", "_list"], order, content, block
+    )
+    covered = wholes.select(
         F.col("_group").alias("_covered_group"),
         F.col("_list").alias("covered"),
-        "_length",
-        "_whole1",
-        "_whole2",
-    )
-    strict = elements.filter(F.col("pos") > 1).select(
-        "_group",
-        F.col("_list").alias("covering"),
-        (F.col("pos") - 1).alias("_prefix"),
-        F.col("fp1").bitwiseXOR(F.col("own1")).alias("_before1"),
-        F.col("fp2").bitwiseXOR(F.col("own2")).alias("_before2"),
+        F.col("length").alias("_length"),
+        F.col("fp1").alias("_whole1"),
+        F.col("fp2").alias("_whole2"),
     )
-    return strict.join(
-        whole,
+    return prefixes.join(
+        covered,
         F.col("_group").eqNullSafe(F.col("_covered_group"))
-        & (F.col("_prefix") == F.col("_length"))
-        & (F.col("_before1") == F.col("_whole1"))
-        & (F.col("_before2") == F.col("_whole2")),
-    ).select(F.col("_group").alias(group), "covered", "covering")
+        & (F.col("length") == F.col("_length"))
+        & (F.col("fp1") == F.col("_whole1"))
+        & (F.col("fp2") == F.col("_whole2")),
+    ).select(
+        F.col("_group").alias(group), "covered", F.col("_list").alias("covering")
+    )
 
 
 def latest_run(

@@ -10,49 +10,38 @@ block is carried across blocks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_BLOCK = "_block"
 
-
-def _earlier(names: Sequence[str]) -> Window:
-    return (
-        Window.partitionBy(*names)
-        .orderBy(_BLOCK)
+def _before_block(name: str, combine: str) -> Column:
+    """An aggregate of ``name`` over the earlier blocks of the same sequence."""
+    earlier = (
+        Window.partitionBy("_key")
+        .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    carried = F.call_function(combine, F.col(name)).over(earlier)
+    return F.coalesce(carried, F.lit(0))
 
 
-def _with_block_carry(
-    rows: DataFrame, keys: Sequence[str], totals: dict[str, Column], carry: dict[str, str]
-) -> DataFrame:
-    """Add, per row, an aggregate over all earlier blocks of its sequence.
-
-    ``totals`` are per-block aggregates, ``carry`` maps each to the SQL name of
-    the function that combines them.
-    """
-    per_block = rows.groupBy(*keys, _BLOCK).agg(
-        *[total.alias(name) for name, total in totals.items()]
-    )
-    window = _earlier(keys)
-    sequence = [*keys, _BLOCK]
-    carried = per_block.select(
-        *[F.col(name).alias(f"_carry_{name}") for name in sequence],
-        *[
-            F.coalesce(
-                F.call_function(carry[name], F.col(name)).over(window), F.lit(0)
-            ).alias(f"_before_{name}")
-            for name in totals
-        ],
+def _join_blocks(rows: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
+    """Add per-block columns to rows; both stay partitioned by key and block."""
+    side = blocks.select(
+        F.col("_key").alias("_block_key"), F.col("_block").alias("_block_id"), *columns
     )
-    # Null-safe: a null key is a key of its own.
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(name).eqNullSafe(F.col(f"_carry_{name}")) for name in sequence],
+    same = (F.col("_key") == F.col("_block_key")) & (F.col("_block") == F.col("_block_id"))
+    return rows.join(side, same).drop("_block_key", "_block_id")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Two independent hashes of each element's position and value."""
+    return rows.withColumns(
+        {
+            "own1": F.xxhash64(F.lit(1), "pos", "_value"),
+            "own2": F.xxhash64(F.lit(2), "pos", "_value"),
+        }
     )
-    return rows.join(carried, same).drop(*[f"_carry_{name}" for name in sequence])
 
 
 def prefix_fingerprints(
@@ -61,62 +50,78 @@ def prefix_fingerprints(
     order: Sequence[str],
     value: Column,
     block: Column | None = None,
-) -> DataFrame:
-    """One row per element: keys, ``pos``, own hashes and those of its prefix.
-
-    ``own1, own2`` hash (position, value); ``fp1, fp2`` combine them, by XOR,
-    over the elements up to and including this one. Two prefixes of equal length
-    have equal (fp1, fp2) if they hold the same values, and otherwise with
-    probability 2**-128.
+) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all strict prefixes and of all whole sequences.
+
+    The first frame is (keys, length, fp1, fp2), one row per element but the
+    first: the sequence's prefix that ends just before it. The second has the same
+    columns, one row per sequence. Two sequences of one length have the same
+    (fp1, fp2) if they hold the same values, and otherwise with probability
+    2**-128. A block must not be null.
+
+    A fingerprint is the XOR of hashes of (position, value). Keys travel as one
+    struct: equal structs compare null-safely, and windows, aggregates and joins on
+    it share one shuffle.
     """
-    split = block is not None
+    orders = [f"_order{i}" for i in range(len(order))]
     rows = items.select(
-        *keys,
-        *[F.col(name).alias(f"_order{i}") for i, name in enumerate(order)],
+        F.struct(*keys).alias("_key"),
+        (F.lit(0) if block is None else block).alias("_block"),
+        *[F.col(name).alias(alias) for name, alias in zip(order, orders)],
         value.alias("_value"),
-        (block if split else F.lit(0)).alias(_BLOCK),
-    )
-    window = Window.partitionBy(*keys, _BLOCK).orderBy(
-        *[f"_order{i}" for i in range(len(order))]
     )
-    rows = rows.withColumn("pos", F.row_number().over(window).cast("long"))
-    if split:
-        rows = _with_block_carry(
-            rows, keys, {"n": F.count(F.lit(1))}, {"n": "sum"}
-        ).withColumn("pos", F.col("pos") + F.col("_before_n"))
-
-    rows = rows.select(
-        *keys,
-        _BLOCK,
-        "pos",
-        F.xxhash64(F.lit(1), "pos", "_value").alias("own1"),
-        F.xxhash64(F.lit(2), "pos", "_value").alias("own2"),
-    )
-    running = (
-        Window.partitionBy(*keys, _BLOCK)
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    sequence = ["_key"] if block is None else ["_key", "_block"]
+    ordered = Window.partitionBy(*sequence).orderBy(*orders)
+    position = F.row_number().over(ordered).cast("long")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(name: str) -> Column:
+        return F.coalesce(F.bit_xor(name).over(before), F.lit(0))
+
+    totals = (
+        F.count(F.lit(1)).alias("length"),
+        F.bit_xor("own1").alias("fp1"),
+        F.bit_xor("own2").alias("fp2"),
     )
-    rows = rows.select(
-        "*",
-        F.bit_xor("own1").over(running).alias("fp1"),
-        F.bit_xor("own2").over(running).alias("fp2"),
-    )
-    if split:
-        rows = _with_block_carry(
-            rows,
-            keys,
-            {"x1": F.bit_xor("own1"), "x2": F.bit_xor("own2")},
-            {"x1": "bit_xor", "x2": "bit_xor"},
-        ).select(
-            *keys,
+    if block is None:
+        elements = _hashed(rows.withColumn("pos", position))
+        prefixes = elements.select(
+            "_key", "pos", running("own1").alias("fp1"), running("own2").alias("fp2")
+        )
+        wholes = elements.groupBy("_key").agg(*totals)
+    else:
+        counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("_skipped", _before_block("n", "sum"))
+        elements = _hashed(
+            _join_blocks(rows.withColumn("pos", position), counts, "_skipped")
+            .withColumn("pos", F.col("pos") + F.col("_skipped"))
+        )
+        blocks = elements.groupBy("_key", "_block").agg(*totals)
+        carried = blocks.withColumns(
+            {f"_carry{i}": _before_block(f"fp{i}", "bit_xor") for i in (1, 2)}
+        )
+        inside = elements.select(
+            "_key", "_block", "pos",
+            running("own1").alias("_in1"), running("own2").alias("_in2"),
+        )
+        prefixes = _join_blocks(inside, carried, "_carry1", "_carry2").select(
+            "_key",
             "pos",
-            "own1",
-            "own2",
-            F.col("fp1").bitwiseXOR(F.col("_before_x1")).alias("fp1"),
-            F.col("fp2").bitwiseXOR(F.col("_before_x2")).alias("fp2"),
+            F.col("_in1").bitwiseXOR(F.col("_carry1")).alias("fp1"),
+            F.col("_in2").bitwiseXOR(F.col("_carry2")).alias("fp2"),
+        )
+        wholes = blocks.groupBy("_key").agg(
+            F.sum("length").alias("length"),
+            F.bit_xor("fp1").alias("fp1"),
+            F.bit_xor("fp2").alias("fp2"),
         )
-    return rows.select(*keys, "pos", "own1", "own2", "fp1", "fp2")
+
+    def unpacked(df: DataFrame, length: Column) -> DataFrame:
+        names = [F.col(f"_key.{name}").alias(name) for name in keys]
+        return df.select(*names, length.alias("length"), "fp1", "fp2")
+
+    strict = prefixes.filter(F.col("pos") > 1)
+    return unpacked(strict, F.col("pos") - 1), unpacked(wholes, F.col("length"))
 
 
 def out_of_order_counts(
@@ -131,17 +136,17 @@ def out_of_order_counts(
         *keys,
         F.struct(*order).alias("_order"),
         F.col(value).alias("_value"),
-        (block if block is not None else F.lit(0)).alias(_BLOCK),
+        (block if block is not None else F.lit(0)).alias("_block"),
     )
-    within = Window.partitionBy(*keys, _BLOCK).orderBy("_order")
+    within = Window.partitionBy(*keys, "_block").orderBy("_order")
     steps = rows.withColumn("_previous", F.lag("_value").over(within))
-    per_block = steps.groupBy(*keys, _BLOCK).agg(
+    per_block = steps.groupBy(*keys, "_block").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("_value") < F.col("_previous")).alias("inside"),
         F.min_by("_value", "_order").alias("_first"),
         F.max_by("_value", "_order").alias("_last"),
     )
-    across = Window.partitionBy(*keys).orderBy(_BLOCK)
+    across = Window.partitionBy(*keys).orderBy("_block")
     joints = per_block.withColumn("_before", F.lag("_last").over(across))
     return joints.groupBy(*keys).agg(
         F.sum("rows").alias("rows"),
