@@ -98,6 +98,12 @@ def lookup_by_name_and_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.lookup_by_name(part, "p_name", "small ring", "p_type", "ECONOMY")
 
 
+def lookup_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _data(spark, sf_dir).table("pages")
+    url = "https://m.ththth.example.net/en/25#top"
+    return pl.lookup_by_name(pages, "url", url)
+
+
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _data(spark, sf_dir).table("documents")
     return pl.search_text(documents, "text", "LICENSE").select("doc_id", "source")
@@ -138,6 +144,17 @@ def text_complexity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.text_complexity_totals(_complexity(spark, sf_dir))
 
 
+def page_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pl.text_complexity(
+        _data(spark, sf_dir).table("pages"),
+        "html",
+        markers={"script": ["<script"], "table": ["<table", "<td"], "link": ["HREF="]},
+        serious=["table"],
+        max_lines=20,
+    )
+    return pages.select("page_id", "lines", "has_script", "has_table", "has_link", "review")
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     return (
@@ -460,6 +477,11 @@ def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.size_report(documents, "source", "text")
 
 
+def size_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _data(spark, sf_dir).table("documents")
+    return pl.size_report(documents, "lang", "text")
+
+
 def top_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.top_by_cost(
         _data(spark, sf_dir).table("lineitem"),
@@ -471,6 +493,17 @@ def top_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def top_events_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.top_by_cost(
+        _data(spark, sf_dir).table("events"),
+        "event_type",
+        cost=F.col("value"),
+        measure=F.length("props"),
+        run_at="ts",
+        text=F.col("props"),
+    )
+
+
 def top_texts_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return pl.top_by_cost(
@@ -635,8 +668,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         query.__name__: query
         for query in (
             table_inventory, object_listing, sample_rows, sample_texts, lookup_by_name,
-            lookup_by_name_and_kind, search_text, external_references, keyword_guard,
-            text_complexity, text_complexity_totals, name_lint, name_lint_counts,
+            lookup_by_name_and_kind, lookup_page, search_text, external_references, keyword_guard,
+            text_complexity, text_complexity_totals, page_complexity, name_lint, name_lint_counts,
             recent_changes, recent_failures, run_history, missing_references,
             unreferenced_customers, unreferenced_orders, find_references,
             mention_report, grant_listing, annotate_rows, prefix_covered_lists,
@@ -644,7 +677,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             duplicate_line_keys, duplicate_texts, key_capacity, dataset_summary,
             check_rules, layout_candidates, table_schema_profile, role_lists,
             customer_priorities, event_flags, activity_rates, last_access,
-            multi_event_entities, multi_event_groups, size_report, top_by_cost,
+            multi_event_entities, multi_event_groups, size_report, size_by_language, top_by_cost,
+            top_events_by_cost,
             top_texts_by_cost, share_of_total, share_of_suppliers, impact_ranking,
             clustering_fragmentation, set_compare, set_compare_counts, column_diff,
             text_version_diff, feed_inventory, feed_orphans, feed_totals, feed_health,

@@ -294,6 +294,20 @@ def _cost(table: str, key: str, cost: str, measure: str, at: str, text: str) ->
         FROM agg ORDER BY c DESC, k LIMIT 20"""
 
 
+def _sizes(group: str) -> str:
+    return f"""
+        SELECT {group}, rows, bytes, CASE
+            WHEN bytes // 1024 >= 1048576
+                THEN round((bytes // 1024) / 1048576, 1)::DECIMAL(20,1)::VARCHAR || ' GB'
+            WHEN bytes // 1024 >= 1024
+                THEN round((bytes // 1024) / 1024, 1)::DECIMAL(20,1)::VARCHAR || ' MB'
+            ELSE (bytes // 1024)::VARCHAR || ' KB' END AS label, is_total
+        FROM (
+            SELECT {group}, count(*) AS rows, sum(strlen(text))::BIGINT AS bytes,
+                grouping({group}) = 1 AS is_total
+            FROM documents GROUP BY ROLLUP ({group}))"""
+
+
 def _share(table: str, key: str, measure: str, where: str) -> str:
     return f"""
         SELECT {key}, s::DOUBLE AS total, n AS events,
@@ -333,6 +347,8 @@ ORACLE: dict[str, str] = {
     "lookup_by_name": "SELECT doc_id, text FROM documents WHERE doc_id = 42",
     "lookup_by_name_and_kind": """
         SELECT * FROM part WHERE p_name = 'small ring' AND p_type = 'ECONOMY'""",
+    "lookup_page": """
+        SELECT * FROM pages WHERE url = 'https://m.ththth.example.net/en/25#top'""",
     "search_text": """
         SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')""",
     "external_references": """
@@ -347,6 +363,14 @@ ORACLE: dict[str, str] = {
     "text_complexity_totals": f"""
         SELECT count(*) AS total, count(*) FILTER (WHERE lines > 50 OR has_secret) AS flagged
         FROM ({_DOC_FLAGS})""",
+    "page_complexity": """
+        SELECT *, lines > 20 OR has_table AS review FROM (
+            SELECT page_id,
+                (length(html) - length(replace(html, chr(10), '')) + 1)::INTEGER AS lines,
+                contains(lower(html), '<script') AS has_script,
+                contains(lower(html), '<table') OR contains(lower(html), '<td') AS has_table,
+                contains(lower(html), 'href=') AS has_link
+            FROM pages)""",
     "name_lint": _name_flags()
     + _union([f"SELECT '{r}' AS rule, name FROM flags WHERE {r}" for r in _NAME_RULES]),
     "name_lint_counts": _name_flags()
@@ -506,21 +530,15 @@ ORACLE: dict[str, str] = {
             FROM sized WHERE users > 1)
         SELECT day, users, part, string_agg(name, ', ' ORDER BY name) AS names
         FROM placed GROUP BY day, users, part""",
-    "size_report": """
-        SELECT source, rows, bytes, CASE
-            WHEN bytes // 1024 >= 1048576
-                THEN round((bytes // 1024) / 1048576, 1)::DECIMAL(20,1)::VARCHAR || ' GB'
-            WHEN bytes // 1024 >= 1024
-                THEN round((bytes // 1024) / 1024, 1)::DECIMAL(20,1)::VARCHAR || ' MB'
-            ELSE (bytes // 1024)::VARCHAR || ' KB' END AS label, is_total
-        FROM (
-            SELECT source, count(*) AS rows, sum(strlen(text))::BIGINT AS bytes,
-                grouping(source) = 1 AS is_total
-            FROM documents GROUP BY ROLLUP (source))""",
+    "size_report": _sizes("source"),
+    "size_by_language": _sizes("lang"),
     "top_by_cost": _cost(
         "lineitem", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate",
         "l_returnflag || '/' || l_linestatus",
     ),
+    "top_events_by_cost": _cost(
+        "events", "event_type", "value", "length(props)", "ts", "props"
+    ),
     "top_texts_by_cost": _cost(
         "conversations", "role", "length(text)", "strlen(text)", "turn", "text"
     ),

@@ -170,7 +170,9 @@ def multi_event_groups(
     placed = pairs.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).select(
         group, "entities", (number % parts).alias("part"), "_name"
     )
-    return placed.groupBy(group, "entities", "part").agg(
+    # Leaving the join's partitioning lets adaptive execution split a large group.
+    spread = placed.repartition(F.col(group), F.col("part"))
+    return spread.groupBy(group, "entities", "part").agg(
         F.array_join(F.sort_array(F.collect_list("_name")), ", ").alias("names")
     )
 

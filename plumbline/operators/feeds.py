@@ -155,17 +155,19 @@ def snapshot_drift_columns(snapshots: DataFrame, permanent: DataFrame) -> DataFr
     only_permanent (added by it), mismatch or identical; feed, column and type
     match in any case. Feeds on one side only are listed too.
 
-    The newest snapshot is found with an aggregate and both sides meet in another,
-    so a feed that holds most rows is never gathered in one task.
+    Snapshots are first reduced to the last one of each (feed, column, type), which
+    shrinks a feed with many snapshots before any shuffle; a column is in the newest
+    snapshot if its last one is. Both sides then meet in another aggregate.
     """
     feed = F.lower("feed")
-    newest = snapshots.groupBy(feed.alias("_feed")).agg(
-        F.max("snapshot").alias("_newest")
+    per_type = snapshots.groupBy("feed", "column", "type").agg(
+        F.max("snapshot").alias("_last")
     )
-    current = snapshots.join(
+    newest = per_type.groupBy(feed.alias("_feed")).agg(F.max("_last").alias("_newest"))
+    current = per_type.join(
         newest,
         (F.lower("feed") == F.col("_feed"))
-        & F.col("snapshot").eqNullSafe(F.col("_newest")),
+        & F.col("_last").eqNullSafe(F.col("_newest")),
     )
     nothing = F.lit(None).cast("string")
     sides = current.select(

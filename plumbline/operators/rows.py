@@ -332,12 +332,16 @@ def run_history(
 ) -> DataFrame:
     """The last ``last_n`` runs of one named entity, newest first, then by step.
 
-    With ``status``, a column of status codes, ``status_label`` is added.
+    With ``status``, a column of status codes, ``status_label`` is added. The run
+    log is narrowed to the entity's key before the join, so only its runs move.
     """
     entity_key, run_key = on
     chosen = entities.filter(F.col(name_col) == F.lit(name))
+    least = chosen.agg(F.min(entity_key)).scalar()
+    greatest = chosen.agg(F.max(entity_key)).scalar()
+    own_runs = runs.filter(F.col(run_key).between(least, greatest))
     history = (
-        runs.join(chosen, F.col(run_key) == F.col(entity_key))
+        own_runs.join(chosen, F.col(run_key) == F.col(entity_key))
         .orderBy(F.desc(run_at), F.asc(step))
         .limit(last_n)
     )

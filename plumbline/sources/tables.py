@@ -28,6 +28,7 @@ class Dataset:
         self._fmt = fmt
         self._schemas = dict(tables) if isinstance(tables, Mapping) else {}
         self._names = {name.lower(): name for name in tables}
+        self._loaded: dict[str, DataFrame] = {}
 
     @property
     def names(self) -> list[str]:
@@ -39,10 +40,13 @@ class Dataset:
             raise ValueError(
                 f"Unknown table '{name}'. Available: {', '.join(self.names)}"
             )
-        reader = self._spark.read.format(self._fmt)
-        if known in self._schemas:
-            reader = reader.schema(self._schemas[known])
-        return reader.load(f"{self._base}/{known}.{self._fmt}")
+        if known not in self._loaded:
+            reader = self._spark.read.format(self._fmt)
+            if known in self._schemas:
+                reader = reader.schema(self._schemas[known])
+            path = f"{self._base}/{known}.{self._fmt}"
+            self._loaded[known] = reader.load(path)
+        return self._loaded[known]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in self.names}
