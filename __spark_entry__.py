@@ -659,7 +659,7 @@ def snapshot_drift_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship query: duplicated texts at the smallest scale."""
+    """Flagship query: duplicated parts at the smallest scale."""
     return duplicate_groups(spark, "/root/testdata/sf0.001")
 
 

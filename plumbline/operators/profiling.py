@@ -226,7 +226,8 @@ def key_capacity(keys: Sequence[KeyColumn]) -> DataFrame:
 
     ``used_pct`` is (last - seed + 1) * 100 / (cap - seed + 1), rounded half-even
     to one decimal, 0 for an empty column; flagged WARNING from 70 and CRITICAL
-    from 90. Each frame is scanned once for all of its keys.
+    from 90. Each frame is scanned once for all of its keys. An unsigned server type
+    that Spark reads as a wider one needs its own ``cap``, such as 255.
     """
     frames: dict[int, list[KeyColumn]] = {}
     for key in keys:

@@ -57,16 +57,16 @@ def prefix_fingerprints(
     first: the sequence's prefix that ends just before it. The second has the same
     columns, one row per sequence. Two sequences of one length have the same
     (fp1, fp2) if they hold the same values, and otherwise with probability
-    2**-128. A block must not be null.
+    2**-128.
 
-    A fingerprint is the XOR of hashes of (position, value). Keys travel as one
-    struct: equal structs compare null-safely, and windows, aggregates and joins on
-    it share one shuffle.
+    A fingerprint is the XOR of hashes of (position, value). Keys and blocks travel
+    as structs: equal structs compare null-safely, a null block sorts first as a
+    null order does, and windows, aggregates and joins share one shuffle.
     """
     orders = [f"_order{i}" for i in range(len(order))]
     rows = items.select(
         F.struct(*keys).alias("_key"),
-        (F.lit(0) if block is None else block).alias("_block"),
+        (F.lit(0) if block is None else F.struct(block)).alias("_block"),
         *[F.col(name).alias(alias) for name, alias in zip(order, orders)],
         value.alias("_value"),
     )

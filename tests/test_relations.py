@@ -144,6 +144,17 @@ def test_prefix_lists_equal_brute_force(spark, rows, blocked):
     assert rows(found) == _prefix_pairs(lists)
 
 
+@pytest.mark.parametrize("blocked", [False, True])
+def test_prefix_lists_keep_elements_without_an_order(spark, rows, blocked):
+    df = spark.createDataFrame(
+        [("g", 1, None, "a"), ("g", 1, 1, "b"), ("g", 2, None, "a"), ("g", 2, 1, "b"),
+         ("g", 2, 2, "c"), ("g", 3, 1, "b")],
+        "g string, i int, pos int, v string",
+    )
+    block = F.floor(F.col("pos") / 2) if blocked else None
+    assert rows(pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block)) == [("g", 1, 2)]
+
+
 def test_latest_run_keeps_entities_without_runs(spark, rows):
     jobs = spark.createDataFrame([(1,), (2,)], "id int")
     runs = spark.createDataFrame([(1, 5, 1), (1, 5, 2), (1, 4, 9)], "job int, at int, seq int")
