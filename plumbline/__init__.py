@@ -1,8 +1,8 @@
 """Table profiling, comparison and feed health on Spark DataFrames.
 
 Every operator takes DataFrames and plain parameters and returns a DataFrame.
-Nothing is collected on the way, apart from the one-row size check that
-``find_references`` makes on its item table.
+Nothing is collected on the way, apart from the one-row size checks of
+``find_references``, ``mention_report`` and ``prefix_covered_lists``.
 """
 
 from plumbline.operators import *  # noqa: F401,F403

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import contains_ignoring_case, line_count
-from plumbline.plans import containment_pairs, prefix_fingerprints
+from plumbline.plans import SPLIT_OVER, containment_pairs, prefix_fingerprints
 
 
 @dataclass(frozen=True)
@@ -227,6 +227,7 @@ def prefix_covered_lists(
     order: Sequence[str],
     value: str,
     block: Column | None = None,
+    split_over: int = SPLIT_OVER,
 ) -> DataFrame:
     """(group, covered, covering): lists that begin another, longer list.
 
@@ -237,7 +238,8 @@ def prefix_covered_lists(
     Every element carries the fingerprint of the prefix that ends before it, so
     one equi-join on (group, length, fingerprint) gives the result: no list is
     ever gathered into a row and no false pair is emitted. ``block``, an
-    expression that never decreases along the order, splits long lists.
+    expression that never decreases along the order, splits lists of more than
+    ``split_over`` values.
     """
     content = F.col(value)
     if isinstance(items.schema[value].dataType, T.StringType):
@@ -246,7 +248,7 @@ def prefix_covered_lists(
         {"_group": F.col(group), "_list": F.col(list_id)}
     )
     prefixes, wholes = prefix_fingerprints(
-        keyed, ["_group", "_list"], order, content, block
+        keyed, ["_group", "_list"], order, content, block, split_over
     )
     covered = wholes.select(
         F.col("_group").alias("_covered_group"),

@@ -2,9 +2,14 @@
 
 from plumbline.plans.containment import containment_pairs
 from plumbline.plans.counts import column_counts, digest_key, is_digest, value_counts
-from plumbline.plans.sequences import out_of_order_counts, prefix_fingerprints
+from plumbline.plans.sequences import (
+    SPLIT_OVER,
+    out_of_order_counts,
+    prefix_fingerprints,
+)
 
 __all__ = [
+    "SPLIT_OVER",
     "column_counts",
     "containment_pairs",
     "digest_key",

@@ -14,6 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+SPLIT_OVER = 1_000_000
+BROADCAST_KEYS = 10_000
+
+
 def _before_block(name: str, combine: str) -> Column:
     """An aggregate of ``name`` over the earlier blocks of the same sequence."""
     earlier = (
@@ -44,12 +48,79 @@ def _hashed(rows: DataFrame) -> DataFrame:
     )
 
 
+def _ordered(sequence: Sequence[str], rows: DataFrame) -> Window:
+    orders = [name for name in rows.columns if name.startswith("_order")]
+    return Window.partitionBy(*sequence).orderBy(*orders)
+
+
+def _before(name: str, window: Window) -> Column:
+    """XOR of ``name`` over the elements before this one in its window."""
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.bit_xor(name).over(earlier), F.lit(0))
+
+
+def _totals() -> tuple[Column, ...]:
+    return (
+        F.count(F.lit(1)).alias("length"),
+        F.bit_xor("own1").alias("fp1"),
+        F.bit_xor("own2").alias("fp2"),
+    )
+
+
+def _in_one_piece(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prefixes and wholes with one sort per sequence."""
+    window = _ordered(["_key"], rows)
+    elements = _hashed(
+        rows.withColumn("pos", F.row_number().over(window).cast("long"))
+    )
+    prefixes = elements.select(
+        "_key", "pos", *[_before(f"own{i}", window).alias(f"fp{i}") for i in (1, 2)]
+    )
+    return prefixes, elements.groupBy("_key").agg(*_totals())
+
+
+def _in_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same with one sort per block; block totals carry over to later blocks."""
+    window = _ordered(["_key", "_block"], rows)
+    counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("_skipped", _before_block("n", "sum"))
+    local = rows.withColumn("pos", F.row_number().over(window).cast("long"))
+    elements = _hashed(
+        _join_blocks(local, counts, "_skipped").withColumn(
+            "pos", F.col("pos") + F.col("_skipped")
+        )
+    )
+    blocks = elements.groupBy("_key", "_block").agg(*_totals())
+    carried = blocks.withColumns(
+        {f"_carry{i}": _before_block(f"fp{i}", "bit_xor") for i in (1, 2)}
+    )
+    inside = elements.select(
+        "_key", "_block", "pos",
+        *[_before(f"own{i}", window).alias(f"_in{i}") for i in (1, 2)],
+    )
+    prefixes = _join_blocks(inside, carried, "_carry1", "_carry2").select(
+        "_key",
+        "pos",
+        *[
+            F.col(f"_in{i}").bitwiseXOR(F.col(f"_carry{i}")).alias(f"fp{i}")
+            for i in (1, 2)
+        ],
+    )
+    wholes = blocks.groupBy("_key").agg(
+        F.sum("length").alias("length"),
+        F.bit_xor("fp1").alias("fp1"),
+        F.bit_xor("fp2").alias("fp2"),
+    )
+    return prefixes, wholes
+
+
 def prefix_fingerprints(
     items: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     value: Column,
     block: Column | None = None,
+    split_over: int = SPLIT_OVER,
 ) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all strict prefixes and of all whole sequences.
 
@@ -59,62 +130,36 @@ def prefix_fingerprints(
     (fp1, fp2) if they hold the same values, and otherwise with probability
     2**-128.
 
+    With a ``block``, sequences of more than ``split_over`` elements are sorted
+    block by block. How many there are is counted first (one row reaches the
+    driver): with none, the blocked part is left out; with few, their keys are
+    broadcast to tell the two kinds of rows apart.
+
     A fingerprint is the XOR of hashes of (position, value). Keys and blocks travel
     as structs: equal structs compare null-safely, a null block sorts first as a
     null order does, and windows, aggregates and joins share one shuffle.
     """
-    orders = [f"_order{i}" for i in range(len(order))]
     rows = items.select(
         F.struct(*keys).alias("_key"),
-        (F.lit(0) if block is None else F.struct(block)).alias("_block"),
-        *[F.col(name).alias(alias) for name, alias in zip(order, orders)],
+        *[F.col(name).alias(f"_order{i}") for i, name in enumerate(order)],
         value.alias("_value"),
+        *([] if block is None else [F.struct(block.alias("block")).alias("_block")]),
     )
-    sequence = ["_key"] if block is None else ["_key", "_block"]
-    ordered = Window.partitionBy(*sequence).orderBy(*orders)
-    position = F.row_number().over(ordered).cast("long")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-
-    def running(name: str) -> Column:
-        return F.coalesce(F.bit_xor(name).over(before), F.lit(0))
-
-    totals = (
-        F.count(F.lit(1)).alias("length"),
-        F.bit_xor("own1").alias("fp1"),
-        F.bit_xor("own2").alias("fp2"),
-    )
-    if block is None:
-        elements = _hashed(rows.withColumn("pos", position))
-        prefixes = elements.select(
-            "_key", "pos", running("own1").alias("fp1"), running("own2").alias("fp2")
-        )
-        wholes = elements.groupBy("_key").agg(*totals)
+    lengths = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    is_long = F.col("n") > split_over
+    long_ones = 0
+    if block is not None:
+        long_ones = lengths.agg(F.count_if(is_long).alias("n")).first().n
+    if not long_ones:
+        prefixes, wholes = _in_one_piece(rows)
     else:
-        counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("n"))
-        counts = counts.withColumn("_skipped", _before_block("n", "sum"))
-        elements = _hashed(
-            _join_blocks(rows.withColumn("pos", position), counts, "_skipped")
-            .withColumn("pos", F.col("pos") + F.col("_skipped"))
-        )
-        blocks = elements.groupBy("_key", "_block").agg(*totals)
-        carried = blocks.withColumns(
-            {f"_carry{i}": _before_block(f"fp{i}", "bit_xor") for i in (1, 2)}
-        )
-        inside = elements.select(
-            "_key", "_block", "pos",
-            running("own1").alias("_in1"), running("own2").alias("_in2"),
-        )
-        prefixes = _join_blocks(inside, carried, "_carry1", "_carry2").select(
-            "_key",
-            "pos",
-            F.col("_in1").bitwiseXOR(F.col("_carry1")).alias("fp1"),
-            F.col("_in2").bitwiseXOR(F.col("_carry2")).alias("fp2"),
-        )
-        wholes = blocks.groupBy("_key").agg(
-            F.sum("length").alias("length"),
-            F.bit_xor("fp1").alias("fp1"),
-            F.bit_xor("fp2").alias("fp2"),
-        )
+        long = lengths.filter(is_long).select(F.col("_key").alias("_long"))
+        if long_ones <= BROADCAST_KEYS:
+            long = F.broadcast(long)
+        same = F.col("_key") == F.col("_long")
+        pieces = _in_one_piece(rows.join(long, same, "left_anti"))
+        blocked = _in_blocks(rows.join(long, same, "left_semi"))
+        prefixes, wholes = (a.unionByName(b) for a, b in zip(pieces, blocked))
 
     def unpacked(df: DataFrame, length: Column) -> DataFrame:
         names = [F.col(f"_key.{name}").alias(name) for name in keys]

@@ -124,8 +124,8 @@ def _prefix_pairs(lists):
     )
 
 
-@pytest.mark.parametrize("blocked", [False, True])
-def test_prefix_lists_equal_brute_force(spark, rows, blocked):
+@pytest.mark.parametrize("blocked, over", [(False, 0), (True, 0), (True, 4), (True, 99)])
+def test_prefix_lists_equal_brute_force(spark, rows, blocked, over):
     rng = random.Random(5)
     lists = {
         (g, i): [rng.choice("ab") for _ in range(rng.randint(1, 9))]
@@ -140,7 +140,7 @@ def test_prefix_lists_equal_brute_force(spark, rows, blocked):
     rng.shuffle(elements)
     df = spark.createDataFrame(elements, "g string, i int, pos int, v string")
     block = F.floor(F.col("pos") / 2) if blocked else None
-    found = pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block)
+    found = pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block, over)
     assert rows(found) == _prefix_pairs(lists)
 
 
@@ -152,7 +152,8 @@ def test_prefix_lists_keep_elements_without_an_order(spark, rows, blocked):
         "g string, i int, pos int, v string",
     )
     block = F.floor(F.col("pos") / 2) if blocked else None
-    assert rows(pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block)) == [("g", 1, 2)]
+    found = pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block, split_over=0)
+    assert rows(found) == [("g", 1, 2)]
 
 
 def test_latest_run_keeps_entities_without_runs(spark, rows):

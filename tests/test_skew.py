@@ -103,6 +103,7 @@ def test_hot_list_is_matched_in_blocks(spark, hot, rows, shuffled_joins):
     start = whole.filter("o < 12000").withColumn("i", F.lit(2))
     other = start.withColumn("i", F.lit(3)).withColumn("v", F.col("v") + (F.col("o") == 11997).cast("int"))
     found = pl.prefix_covered_lists(
-        whole.union(start).union(other), "g", "i", ["o"], "v", F.floor(F.col("o") / 1000)
+        whole.union(start).union(other), "g", "i", ["o"], "v",
+        block=F.floor(F.col("o") / 1000), split_over=100,
     )
     assert rows(found) == [("g", 2, 1)]
