@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.bpe import bpe_decode, bpe_encode
+from plumbline.llm.secret_scan import count_of, listed, secret_spans
 from plumbline.llm.simhash_dedup import fingerprint_hex, simhash_components
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -31,6 +32,19 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secret_spans(documents(spark, sf_dir)))
+
+
+def span_digests(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir), shingle=4, max_bits=4)
     return found.select(
@@ -42,7 +56,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op5_bpe_round_trip, op10_simhash_near_dedup,
+        op5_bpe_round_trip, op9_secret_scans, op10_simhash_near_dedup,
     )}
 
 
