@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.bpe import bpe_decode, bpe_encode
+from plumbline.llm.mixing import mix_rates, plan_mix
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
 from plumbline.llm.simhash_dedup import fingerprint_hex, simhash_components
 
@@ -32,6 +33,13 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, sized = plan_mix(documents(spark, sf_dir))
+    return mix_rates(sized, plan).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "rate", "copies"
+    )
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secret_spans(documents(spark, sf_dir)))
 
@@ -56,7 +64,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op5_bpe_round_trip, op9_secret_scans, op10_simhash_near_dedup,
+        op5_bpe_round_trip, op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
     )}
 
 
