@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.functions.args import named_column
 
 _OWN_FOLDER: dict[str, str] = {}
+ROWS_PER_FILE = 250_000
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -43,14 +44,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read back.
 
     This cuts the lineage: a lost executor costs no earlier step, and what follows may
-    read the table several times. The job runs when this function is called.
+    read the table several times. The job runs when this function is called. If about so
+    many (small) rows are known to come, they go into no more files than they need.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,7 +95,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     edges = written(edges.distinct(), "edges")
-    before = None
+    before, rows = None, edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
@@ -114,14 +118,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             )
             .distinct()
         )
-        edges = written(small, "edges")
+        edges = written(small, "edges", rows)
         now = edges.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"),
         ).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now["n"]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
