@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.bpe import bpe_decode, bpe_encode
 from plumbline.llm.mixing import mix_rates, plan_mix
+from plumbline.llm.quality import remainder, score_quality, train_quality
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
 from plumbline.llm.simhash_dedup import fingerprint_hex, simhash_components
 
@@ -33,6 +34,23 @@ def bpe_digests(decoded: DataFrame) -> DataFrame:
     )
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Trained on the labelled rows that are not held out."""
+    labels = spark.read.schema("doc_id bigint, quality int").parquet(f"{sf_dir}/labels.parquet")
+    return train_quality(docs, labels.filter(remainder(F.col("doc_id"), 3) != 1))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score_quality(docs, quality_model(spark, docs, sf_dir))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (remainder(F.col("id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, sized = plan_mix(documents(spark, sf_dir))
     return mix_rates(sized, plan).select(
@@ -64,7 +82,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op5_bpe_round_trip, op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
+        op5_bpe_round_trip, op6_quality_classifier, op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
     )}
 
 
