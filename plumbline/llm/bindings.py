@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.bpe import bpe_decode, bpe_encode
+from plumbline.llm.common import scratch_path
 from plumbline.llm.mixing import mix_rates, plan_mix
 from plumbline.llm.quality import remainder, score_quality, train_quality
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
 from plumbline.llm.simhash_dedup import fingerprint_hex, simhash_components
+from plumbline.llm.token_files import read_bundle, write_bundle
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -20,6 +22,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "bundle")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    write_bundle(documents(spark, sf_dir), path, tokenizer)
+    return token_digests(read_bundle(spark, path))
+
+
+def token_digests(read: DataFrame) -> DataFrame:
+    return read.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return bpe_digests(bpe_decode(bpe_encode(documents(spark, sf_dir), tokenizer), tokenizer))
@@ -82,7 +100,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op5_bpe_round_trip, op6_quality_classifier, op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
+        op1_token_files, op5_bpe_round_trip, op6_quality_classifier, op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
     )}
 
 
