@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.bpe import bpe_decode, bpe_encode
 from plumbline.llm.common import scratch_path
+from plumbline.llm.language import identify_language, train_language
 from plumbline.llm.mixing import mix_rates, plan_mix
 from plumbline.llm.quality import remainder, score_quality, train_quality
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
@@ -69,6 +70,18 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    model = train_language(docs.filter(remainder(F.col("doc_id"), 5) != 0), vocabulary)
+    return identify_language(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (remainder(F.col("id"), 5) == 0).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, sized = plan_mix(documents(spark, sf_dir))
     return mix_rates(sized, plan).select(
@@ -100,7 +113,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op1_token_files, op5_bpe_round_trip, op6_quality_classifier, op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
+        op1_token_files, op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
+        op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
     )}
 
 
