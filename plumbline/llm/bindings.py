@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.bpe import bpe_decode, bpe_encode
 from plumbline.llm.common import scratch_path
+from plumbline.llm.fingerprints import edit_likeness
 from plumbline.llm.language import identify_language, train_language
 from plumbline.llm.mixing import mix_rates, plan_mix
 from plumbline.llm.quality import remainder, score_quality, train_quality
@@ -39,6 +40,10 @@ def token_digests(read: DataFrame) -> DataFrame:
     )
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return bpe_digests(bpe_decode(bpe_encode(documents(spark, sf_dir), tokenizer), tokenizer))
@@ -113,7 +118,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op1_token_files, op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
+        op1_token_files, op3_document_fingerprints, op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
         op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
     )}
 
