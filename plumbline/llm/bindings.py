@@ -13,6 +13,7 @@ from plumbline.llm.fingerprints import edit_likeness
 from plumbline.llm.language import identify_language, train_language
 from plumbline.llm.mixing import mix_rates, plan_mix
 from plumbline.llm.quality import remainder, score_quality, train_quality
+from plumbline.llm.scoring import score_texts
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
 from plumbline.llm.simhash_dedup import fingerprint_hex, simhash_components
 from plumbline.llm.token_files import read_bundle, write_bundle
@@ -44,6 +45,11 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(documents(spark, sf_dir), remainder(F.col("doc_id"), 10) == 0)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return bpe_digests(bpe_decode(bpe_encode(documents(spark, sf_dir), tokenizer), tokenizer))
@@ -118,7 +124,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op1_token_files, op3_document_fingerprints, op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
+        op1_token_files, op3_document_fingerprints, op4_lm_scoring,
+        op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
         op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
     )}
 
