@@ -6,8 +6,16 @@ last one to four bytes of the token, and all of it so far. Their log odds are mi
 weights that a gate chooses (how long a context is known, which bit), the weights learn
 online from each prediction's error, and an adaptive table of outcomes refines the mix.
 
-Since contexts end at the token, a token's probability is computed once and serves all
-its occurrences. What grows with the corpus stays distributed:
+Since these contexts end at the token, a token's probability is computed once and serves
+all its occurrences. Kinds of documents differ in their tokens, so the probability is also
+tilted towards each kind, in which a document's most frequent token (often a short word of
+its language) places the training documents; which kind a text is, is left to the mixing.
+A document then adapts it online to what it has said so far: after t
+tokens, n of them this one, the next is it with probability (n + a p) / (t + a). Several
+paces a are mixed, their weights again set by how well each has predicted the document;
+such a product depends on the document's token counts alone.
+
+What grows with the corpus stays distributed:
 
 - texts become rows of many documents at a time: their different tokens, and which
   document has which token how often;
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +54,14 @@ _LANES = 1 << 13
 _BINS = 33
 _BIN_SPAN = 8.0
 _SEGMENTS = 64
-_GATES = (ORDERS + 1) * 8
+_TRUST = 8
+_GATES = (ORDERS + 1) * (_TRUST + 1) * 8
 _CERTAIN = 1e-7
 _PRIOR = 0.4
+#: Paces of adapting to a document: tokens until its own counts weigh as much as the model.
+PACES = (10.0, 100.0, 400.0, 2000.0, 20000.0)
+#: Kinds of documents, by their most frequent token; token frequencies are kept for each.
+KINDS = 8
 # Odd multipliers of published 64-bit mixers (splitmix64).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FIRST = np.concatenate([[0], np.cumsum([1 << n for n in SLOTS])])
@@ -131,10 +145,17 @@ def _stretch(counts: np.ndarray) -> np.ndarray:
     return np.log(counts[..., 1] + _PRIOR) - np.log(counts[..., 0] + _PRIOR)
 
 
-def _gate(counts: np.ndarray, bit: int) -> np.ndarray:
-    known = counts.sum(axis=2) > 0
+def _trust(total: np.ndarray) -> np.ndarray:
+    """Step of a context by how often it was seen: 0 for never, then by powers of two."""
+    return np.minimum(np.frexp(total)[1], _TRUST).astype(np.uint8)
+
+
+def _gate(trust: np.ndarray, bit: int) -> np.ndarray:
+    """Chosen by the longest known context, how well it is known, and the bit."""
+    known = trust > 0
     longest = np.where(known.any(axis=1), ORDERS - np.argmax(known[:, ::-1], axis=1), 0)
-    return longest * 8 + bit
+    seen = trust[np.arange(len(trust)), np.maximum(longest - 1, 0)].astype(np.int64)
+    return (longest * (_TRUST + 1) + seen) * 8 + bit
 
 
 def _mixed(inputs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -153,7 +174,10 @@ class Mixer:
     """Weights per gate and outcome counts per gate and bin."""
 
     def __init__(self):
-        self.weights = np.full((_GATES, ORDERS), 0.3)
+        self.weights = np.full((_GATES, ORDERS), 0.1)
+        longest = np.arange(_GATES) // (8 * (_TRUST + 1))
+        self.weights[np.arange(_GATES)[longest > 0], longest[longest > 0] - 1] = 0.7
+        self.steepness = np.full((_GATES, ORDERS), 1e-4)
         centre = 1 / (1 + np.exp(-np.linspace(-_BIN_SPAN, _BIN_SPAN, _BINS)))
         self.outcomes = np.tile(np.stack([1 - centre, centre], axis=-1) * 8, (_GATES, 1, 1))
 
@@ -163,50 +187,95 @@ class Mixer:
         table = (1 - part) * seen[gate, low] + part * seen[gate, low + 1]
         return np.clip((p + table) / 2, _CERTAIN, 1 - _CERTAIN)
 
-    def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.02):
+    def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.1):
         """One online pass; every use is predicted from the counts of all other uses."""
         known = uses > 0
         tokens = [t for t, k in zip(tokens, known) if k]
-        uses = uses[known].astype(float)
+        uses = uses[known].astype(np.float32)
         spelled, owner, _ = _parts(tokens)
+        flat = self.outcomes.reshape(-1)
         for rows, matrix, lengths in _lanes(spelled):
             weight = uses[owner[rows]]
             for bit, slots, value in _walk(matrix, lengths):
                 live = np.arange(len(value))
-                counts = table[slots].astype(float)
-                own = counts[live, :, value]
-                counts[live, :, value] = np.maximum(own - 1, 0)
-                inputs, gate = _stretch(counts), _gate(counts, bit)
+                counts = table[slots]
+                counts[live, :, value] = np.maximum(counts[live, :, value] - 1, 0)
+                inputs, gate = _stretch(counts), _gate(_trust(counts.sum(axis=2)), bit)
                 p = _mixed(inputs, self.weights[gate])
                 some = weight[: len(value)]
                 slope = inputs * ((value - p) * some)[:, None]
-                mass = np.bincount(gate, some, _GATES)
+                mass = np.maximum(np.bincount(gate, some, _GATES), 1e-9)
                 for order in range(ORDERS):
-                    step = np.bincount(gate, slope[:, order], _GATES)
-                    self.weights[:, order] += rate * step / np.maximum(mass, 1e-9)
+                    step = np.bincount(gate, slope[:, order], _GATES) / mass
+                    self.steepness[:, order] += step * step
+                    self.weights[:, order] += rate * step / np.sqrt(self.steepness[:, order])
                 low, part = _bins(p)
                 at = (gate * _BINS + low) * 2 + value
-                flat = self.outcomes.reshape(-1)
                 flat += np.bincount(at, some * (1 - part), flat.size)
                 flat += np.bincount(at + 2, some * part, flat.size)
 
-    def log10(self, tokens: list[bytes], table: np.ndarray) -> np.ndarray:
-        """log10 of every token's probability."""
+    def log10(self, tokens: list[bytes], odds: np.ndarray, trust: np.ndarray) -> np.ndarray:
+        """log10 of every token's probability, from the slots' log odds and trust."""
         spelled, owner, _ = _parts(tokens)
         per_part = np.zeros(len(spelled))
         for rows, matrix, lengths in _lanes(spelled):
             total = np.zeros(len(rows))
             for bit, slots, value in _walk(matrix, lengths):
-                counts = table[slots]
-                gate = _gate(counts, bit)
-                p = self.refined(_mixed(_stretch(counts), self.weights[gate]), gate)
+                gate = _gate(trust[slots], bit)
+                p = self.refined(_mixed(odds[slots], self.weights[gate]), gate)
                 total[: len(value)] += np.log10(np.where(value == 1, p, 1 - p))
             per_part[rows] = total
         return np.bincount(owner, per_part, len(tokens))
 
 
+def slot_odds(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and trust of every slot."""
+    return _stretch(table), _trust(table.sum(axis=1))
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of values of at least 1: Stirling's series after a shift by eight."""
+    shifted = x + 8
+    product = x.copy()
+    for n in range(1, 8):
+        product *= x + n
+    series = 1 / (12 * shifted) - 1 / (360 * shifted**3) + 1 / (1260 * shifted**5)
+    whole = (shifted - 0.5) * np.log(shifted) - shifted + 0.5 * math.log(2 * math.pi) + series
+    return whole - np.log(product)
+
+
+def adapted(scores: np.ndarray, times: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """log10 of each document's probability, from its tokens' log10 and how often each occurs.
+
+    ``scores`` has a column for each kind of document.
+    """
+    length = np.bincount(owner, times, n)
+    again = np.flatnonzero(times > 1)
+    found = []
+    for kind in range(scores.shape[1]):
+        natural = scores[:, kind] * math.log(10)
+        one = np.bincount(owner, natural, n)
+        tokens = np.bincount(owner, minlength=n)
+        for pace in PACES:
+            # Gamma(n + a p) / Gamma(a p), with Gamma(a p) = Gamma(1 + a p) / (a p).
+            mass = np.exp(np.minimum(natural[again] + math.log(pace), 700))
+            more = _log_gamma(times[again] + mass) - _log_gamma(1 + mass)
+            spent = _log_gamma(1 + length + pace) - np.log(length + pace)
+            begun = _log_gamma(np.array([1 + pace])) - math.log(pace)
+            gained = one + tokens * math.log(pace) + np.bincount(owner[again], more, n)
+            found.append(gained - spent + begun)
+    return (np.logaddexp.reduce(found, axis=0) - math.log(len(found))) / math.log(10)
+
+
+def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
+    """(tokens, KINDS): how much likelier each token is in a kind, before normalizing."""
+    total = by_kind.sum(axis=1, keepdims=True)
+    share = np.maximum(kind_totals, 1) / max(kind_totals.sum(), 1)
+    return (by_kind / share + 1.0) / (total + 1.0)
+
+
 _ROWS = (
-    "batch string, tokens array<binary>, uses array<bigint>, ids array<{id}>, "
+    "batch string, tokens array<binary>, uses array<array<bigint>>, ids array<{id}>, "
     "held_out array<boolean>, n_pairs array<bigint>, token binary, times binary"
 )
 
@@ -242,10 +311,15 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             document, token = np.divmod(pairs, end + 1)
             held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             learned = ~held[document]
-            uses = np.bincount(token[learned], times[learned], end + 1).astype(np.int64)
+            # The most frequent token; of several, the one met first in this row.
+            top = np.lexsort((token, -times, document))
+            top = top[np.concatenate([[0], np.flatnonzero(np.diff(document[top])) + 1])]
+            kind = np.array([zlib.crc32((*different, b"")[t]) % KINDS for t in token[top]])
+            cell = token[learned] * KINDS + kind[document[learned]]
+            uses = np.bincount(cell, times[learned], (end + 1) * KINDS).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex]), pa.array([[*different, b""]], pa.list_(pa.binary())),
-                 pa.array([uses]), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
+                 pa.array([uses.reshape(-1, KINDS).tolist()]), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([held.tolist()]), pa.array([np.bincount(document, minlength=n)]),
                  pa.array([pack(token.astype("<u4").tobytes())]),
                  pa.array([pack(times.astype("<u4").tobytes())])],
@@ -325,6 +399,7 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokens_per_file: int = 400_000,
+    mixer_tokens: int = 400_000,
 ) -> DataFrame:
     """Log10 probabilities of all whole texts, learned from the rows not held out.
 
@@ -332,7 +407,8 @@ def score_texts(
     base_score (smoothed token frequencies), score (the mixed model) and n_bytes (of the
     tokens with one mark each); total bits per byte are -score * log2(10) / n_bytes.
 
-    A-Z are lower-cased; tokens are the runs of characters other than ASCII white space
+    Token and bit counts cover all training texts. The mixing weights are fitted on about
+    ``mixer_tokens`` different tokens, those in one class of a hash. A-Z are lower-cased; tokens are the runs of characters other than ASCII white space
     and one end. Null and empty texts are an end alone. ``held_out`` must not be null.
     Repeated rows stay rows and count as often. With nothing to learn from, all counts are
     zero and the base score is that of unknown tokens. An empty table gives no rows;
@@ -342,37 +418,58 @@ def score_texts(
     rows = written(_token_rows(docs, id_col, text_col, held_out), "tokens")
     asked = rows.select("batch", F.posexplode(F.arrays_zip("tokens", "uses")).alias("place", "t"))
     asked = asked.select("batch", "place", F.col("t.tokens").alias("token"), "t.uses")
-    counted = written(asked.groupBy("token").agg(F.sum("uses").alias("uses")), "counts")
+    kinds = [f"kind_{n}" for n in range(KINDS)]
+    counted = asked.groupBy("token").agg(
+        *[F.sum(F.get("uses", F.lit(n))).alias(kind) for n, kind in enumerate(kinds)]
+    )
+    counted = written(counted.withColumn("uses", sum((F.col(k) for k in kinds), F.lit(0))), "counts")
     totals = counted.agg(
-        F.coalesce(F.sum("uses"), F.lit(0)).alias("all"),
+        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds],
         F.count_if(F.col("uses") > 0).alias("known"),
         F.count(F.lit(1)).alias("different"),
     ).first()
+    kind_totals = np.array([totals[k] for k in kinds], float)
     # Every task holds a table of fixed size, so tasks get a good number of tokens each.
     spread = counted.coalesce(1 + totals["different"] // tokens_per_file)
     table = spark.sparkContext.broadcast(_gathered_bits(spread))
-    mixer = _learned_mixer(spread, table)
-    floor = math.log10(totals["all"] + 0.1 * (totals["known"] + 1))
-    train_tokens = totals["all"]
+    some = F.pmod(F.xxhash64("token"), F.lit(1 + totals["different"] // mixer_tokens)) == 0
+    mixer = _learned_mixer(spread.filter(some), table)
+    train_tokens = int(kind_totals.sum())
+    floor = math.log10(train_tokens + 0.1 * (totals["known"] + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds, trust = slot_odds(table.value)
         for part in by_size(batches, "token", 1 << 20):
-            found = mixer.log10(part.column("token").to_pylist(), table.value)
+            found = mixer.log10(part.column("token").to_pylist(), odds, trust)
+            by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
+            tilted = tilts(by_kind, kind_totals)
             yield pa.RecordBatch.from_arrays(
-                [part.column("token"), part.column("uses"), pa.array(found)],
-                ["token", "uses", "score"],
+                [part.column("token"), part.column("uses"), pa.array(found),
+                 *[pa.array(tilted[:, n].astype("<f4")) for n in range(KINDS)]],
+                ["token", "uses", "score", *kinds],
             )
 
-    scored = counted.mapInArrow(score, "token binary, uses bigint, score double")
+    tilt_schema = ", ".join(f"{k} float" for k in kinds)
+    scored = written(
+        counted.mapInArrow(score, f"token binary, uses bigint, score double, {tilt_schema}"),
+        "scores",
+    )
+    # What tilting adds to the sum of all probabilities; unknown tokens are not tilted.
+    added = scored.filter("uses > 0").agg(
+        *[F.sum(F.pow(F.lit(10.0), "score") * (F.col(k) - 1)).alias(k) for k in kinds]
+    ).first()
+    whole = np.array([1 + (added[k] or 0.0) for k in kinds])
     answers = asked.select("batch", "place", "token").join(scored, "token").select(
-        "batch", "place", "uses", "score", F.octet_length("token").alias("size")
+        "batch", "place", "uses", "score", F.octet_length("token").alias("size"), *kinds
     )
 
     def total(key, answers_: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         if row.empty:
             return pd.DataFrame(columns=names)
         answers_ = answers_.sort_values("place")
-        uses, scores = answers_["uses"].to_numpy(), answers_["score"].to_numpy()
+        uses = answers_["uses"].to_numpy()
+        tilted = np.log10(answers_[kinds].to_numpy().astype(float) / whole)
+        scores = answers_["score"].to_numpy()[:, None] + tilted
         sizes = answers_["size"].to_numpy() + 1
         base = np.log10(uses + 0.1) - floor
         r = row.iloc[0]
@@ -391,7 +488,7 @@ def score_texts(
             "n_known": summed((uses > 0)[token]).astype(np.int64),
             "train_tokens": np.full(n, train_tokens, np.int64),
             "base_score": summed(base[token]),
-            "score": summed(scores[token]),
+            "score": adapted(scores[token], times.astype(float), owner, n),
             "n_bytes": summed(sizes[token]).astype(np.int64),
         })
 
