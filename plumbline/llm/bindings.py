@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.bpe import bpe_decode, bpe_encode
 from plumbline.llm.common import scratch_path
+from plumbline.llm.embedding_dedup import embedding_components
 from plumbline.llm.fingerprints import edit_likeness
 from plumbline.llm.language import identify_language, train_language
 from plumbline.llm.mixing import mix_rates, plan_mix
@@ -41,6 +42,13 @@ def token_digests(read: DataFrame) -> DataFrame:
     )
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.schema("vec_id bigint, embedding array<float>").parquet(
+        f"{sf_dir}/embeddings.parquet"
+    )
+    return embedding_components(vectors).withColumnRenamed("id", "vec_id")
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -124,7 +132,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
-        op1_token_files, op3_document_fingerprints, op4_lm_scoring,
+        op1_token_files, op2_embedding_near_dedup, op3_document_fingerprints,
+        op4_lm_scoring,
         op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
         op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
     )}
