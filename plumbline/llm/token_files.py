@@ -15,6 +15,7 @@ it and a failed task leaves nothing behind:
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from plumbline.llm.common import by_size, id_and_text, ship_package
 from plumbline.llm.pieces import byte_pieces, gather
@@ -46,11 +47,17 @@ class PieceTokenizer:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        # The same tokenizer for what the pattern has already cut.
+        self.by_piece = Tokenizer.from_str(self.library.to_str())
+        self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(
+            add_prefix_space=False, use_regex=False
+        )
         self.kept: dict[str, bytes] = {}
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _bytes(self, library: Tokenizer, texts: list[str]) -> list[bytes]:
+        # The fast form leaves out offsets into the text, which nothing here uses.
+        found = library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, as the library gives them without added special tokens."""
@@ -61,7 +68,7 @@ class PieceTokenizer:
             self.kept.clear()
         kept, different = self.kept, coded.dictionary.to_pylist()
         new = [piece for piece in different if piece not in kept]
-        kept.update(zip(new, self._bytes(new)))
+        kept.update(zip(new, self._bytes(self.by_piece, new)))
         found = [kept[piece] for piece in different]
         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int64)
         codes = coded.indices.to_numpy()
@@ -70,7 +77,7 @@ class PieceTokenizer:
         ends = before[np.cumsum(counts)].tolist()
         split = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         for row in np.flatnonzero(whole).tolist():
-            split[row] = np.frombuffer(self._bytes([texts[row]])[0], "<u4")
+            split[row] = np.frombuffer(self._bytes(self.library, [texts[row]])[0], "<u4")
         return split
 
 
