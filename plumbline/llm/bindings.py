@@ -63,12 +63,13 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe_decode(bpe_encode(documents(spark, sf_dir), tokenizer), tokenizer))
 
 
-def bpe_digests(decoded: DataFrame) -> DataFrame:
+def bpe_digests(decoded: DataFrame, *kept: str) -> DataFrame:
     return decoded.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *kept,
     )
 
 

@@ -289,3 +289,24 @@ def mix_rates(sized: DataFrame, plan: DataFrame, cap: float = 2.0) -> DataFrame:
     return drawn.withColumn("taken", F.col("copies") * F.col("size")).select(
         *sized.columns, "source_size", "target", "rate", "copies", "taken"
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    plan: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    cap: float = 2.0,
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as the mix takes it."""
+    sized = docs.select(
+        F.struct("*").alias("doc"),
+        named_column(id_col).alias("id"),
+        named_column(source_col).alias("source"),
+        word_count(named_column(text_col)).alias("size"),
+    )
+    drawn = _drawn(_with_plan(sized, plan), cap).withColumn("copies", _copies(cap).cast("int"))
+    return drawn.filter("copies > 0").select(
+        "doc", F.explode(F.array_repeat(F.lit(1), F.col("copies")))
+    ).select("doc.*")

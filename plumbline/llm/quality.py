@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.args import named_column
-from plumbline.llm.common import by_size, id_and_text
+from plumbline.llm.common import by_size, id_and_text, ship_package
 
 _SHAPE = bytearray(b"a" * 256)
 for _chars, _mark in (
@@ -288,3 +288,17 @@ def score_quality(
     source = id_and_text(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(score, f"id {kind}, score double")
+
+
+def keep_good(
+    docs: DataFrame, model: LineField, text_col: str = "text", least: float = 0.5
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``least``."""
+    ship_package(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_size(batches, text_col):
+            texts = [t or "" for t in part.column(text_col).to_pylist()]
+            yield part.filter(pa.array(model.scores(texts) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)

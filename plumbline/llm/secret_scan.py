@@ -235,3 +235,34 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
             ),
         )
     )
+
+
+def redact_secrets(
+    docs: DataFrame, text_col: str = "text", scope: int = 200, mark: str = "[secret]"
+) -> DataFrame:
+    """``docs`` with every span of :func:`secret_spans` in its text replaced by ``mark``.
+
+    Other columns and the number of rows stay; a null text stays null.
+    """
+    text = F.coalesce(named_column(text_col), F.lit(""))
+    weak = text.rlike(_ANY_IDENTIFIER)
+    names = ("__base", "__weak", "__key")
+    candidates = docs.filter(weak).withColumns(
+        {"__base": _base_spans(text), "__weak": _weak_spans(text), "__key": F.sha2(text, 256)}
+    )
+    parts = candidates.select(*[F.col(n).alias(n[2:]) for n in names]).dropDuplicates(["key"])
+    links = _linked(written(parts, "spans"), scope).select(
+        F.col("key").alias("__key"), F.col("linked").alias("__linked")
+    )
+    some = candidates.join(links, "__key", "left").withColumn(
+        text_col,
+        redacted(
+            named_column(text_col),
+            F.array_sort(F.concat("__base", F.coalesce("__linked", _NONE))),
+            mark,
+        ),
+    )
+    none = docs.filter(~weak).withColumn("__base", _base_spans(text)).withColumn(
+        text_col, redacted(named_column(text_col), F.col("__base"), mark)
+    )
+    return none.select(*docs.columns).unionByName(some.select(*docs.columns))

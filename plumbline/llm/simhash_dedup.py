@@ -218,3 +218,23 @@ def simhash_components(
         "fingerprint", F.coalesce("component_id", "least_id").alias("component_id")
     )
     return fingerprints.join(component, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def one_per_group(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 4,
+    max_bits: int = 4,
+) -> DataFrame:
+    """The rows of ``docs`` with the least id of each component, all columns as they are.
+
+    An id names one document: of rows with equal ids, one stays. Rows without an id are
+    told apart by their text and stay only if their whole component has none.
+    """
+    number = F.col(id_col).cast("bigint")
+    without = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_col), 2)
+    keyed = docs.withColumn("__key", F.coalesce(number, without))
+    found = simhash_components(keyed, "__key", text_col, shingle, max_bits)
+    kept = found.filter("id = component_id").select(F.col("id").alias("__key")).distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
