@@ -28,7 +28,12 @@ ENDPOINT = r"""\b[a-z][a-z0-9+]{1,9}://[^\x00-\x20"'<>]+"""
 
 KINDS = ("assign", "access", "hex", "identifier", "random", "endpoint")
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
-_NONE = F.array().cast(_SPAN)
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
+
+
 #: What a text must contain for any weak part to be reported.
 _ANY_IDENTIFIER = r"AKIA[A-Z0-9]{16}|\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{16}\b"
 
@@ -62,12 +67,12 @@ def _spans(text: Column, kind: str, pattern: str, least: int, group: int = 0) ->
             F.when(hit["m"] >= least, grown).otherwise(done["spans"]).alias("spans"),
         )
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), _NONE.alias("spans"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), _none().alias("spans"))
     return F.aggregate(zipped, first, step, lambda done: done["spans"])
 
 
 def _where(text: Column, test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(_NONE)
+    return F.when(test, spans).otherwise(_none())
 
 
 def _base_spans(text: Column) -> Column:
@@ -91,7 +96,7 @@ def _weak_spans(text: Column) -> Column:
         _spans(text, "random", RANDOM, 1),
         _spans(text, "endpoint", ENDPOINT, 1),
     )
-    return F.when(text.rlike(_ANY_IDENTIFIER), weak).otherwise(_NONE)
+    return F.when(text.rlike(_ANY_IDENTIFIER), weak).otherwise(_none())
 
 
 def _linked(parts: DataFrame, scope: int) -> DataFrame:
@@ -183,7 +188,7 @@ def secret_spans(
     links = _linked(candidates.dropDuplicates(["key"]).select("key", "base", "weak"), scope)
     none = scanned.filter(F.col("key").isNull()).select("id", "base", F.col("base").alias("spans"))
     apart = F.filter(
-        F.coalesce("linked", _NONE),
+        F.coalesce("linked", _none()),
         lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     some = candidates.join(links, "key", "left").select(
@@ -258,7 +263,7 @@ def redact_secrets(
         text_col,
         redacted(
             named_column(text_col),
-            F.array_sort(F.concat("__base", F.coalesce("__linked", _NONE))),
+            F.array_sort(F.concat("__base", F.coalesce("__linked", _none()))),
             mark,
         ),
     )
