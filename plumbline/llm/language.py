@@ -27,8 +27,9 @@ UNDETERMINED = "und"
 LONGEST = 256
 #: Distinct languages a model may have; all their tables reach driver and tasks.
 MOST_LANGUAGES = 400
-KEPT_WORDS = 200_000
-_COUNTED_AT_ONCE = 300_000
+#: Words a Python worker keeps, in one table of floats; beyond it the table is emptied.
+KEPT_WORDS = 1_000_000
+_COUNTED_AT_ONCE = 500_000
 
 
 class Vocabulary:
@@ -38,23 +39,39 @@ class Vocabulary:
         with open(path, "rb") as file:
             self.piece = {base64.b64decode(a): n for n, (a, _) in enumerate(map(bytes.split, file))}
         self.size = len(self.piece)
-        self.prefixes = {p[:n] for p in self.piece for n in range(1, len(p) + 1)}
+        # A tree of the pieces' bytes: state and byte, as one number, to the next state.
+        self.step: dict[int, int] = {}
+        self.ends = [-1]
+        for raw, number in self.piece.items():
+            state = 0
+            for byte in raw:
+                key = state << 8 | byte
+                state = self.step.get(key, -1)
+                if state < 0:
+                    state = self.step[key] = len(self.ends)
+                    self.ends.append(-1)
+            self.ends[state] = number
 
     def arcs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word, start, end and piece of every piece in every word."""
-        piece, prefixes = self.piece, self.prefixes
-        found: list[tuple[int, int, int, int]] = []
-        for number, word in enumerate(words):
+        step, ends = self.step.get, self.ends
+        starts, stops, pieces, counts = [], [], [], []
+        for word in words:
+            before = len(pieces)
             for start in range(len(word)):
-                for end in range(start + 1, len(word) + 1):
-                    part = word[start:end]
-                    if part not in prefixes:
+                state = 0
+                for at in range(start, len(word)):
+                    state = step(state << 8 | word[at], -1)
+                    if state < 0:
                         break
-                    known = piece.get(part)
-                    if known is not None:
-                        found.append((number, start, end, known))
-        arcs = np.array(found, np.int64).reshape(-1, 4)
-        return arcs[:, 0], arcs[:, 1], arcs[:, 2], arcs[:, 3]
+                    known = ends[state]
+                    if known >= 0:
+                        starts.append(start)
+                        stops.append(at + 1)
+                        pieces.append(known)
+            counts.append(len(pieces) - before)
+        owner = np.repeat(np.arange(len(words)), counts)
+        return owner, np.array(starts, np.int64), np.array(stops, np.int64), np.array(pieces, np.int64)
 
 
 @cache
@@ -149,17 +166,16 @@ def count_words(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     source = id_and_text(docs, lang_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], int] = {}
-
-        def flush() -> pa.RecordBatch:
-            langs, words = zip(*held) if held else ((), ())
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(words, pa.string()),
-                 pa.array(held.values(), pa.int64())],
-                ["lang", "word", "n"],
-            )
-            held.clear()
-            return rows
+        held: list[pa.Table] = []
+        rows = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                added = pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("n", "sum")])
+                held.clear()
+                yield from added.rename_columns({"n_sum": "n"}).select(
+                    ["lang", "word", "n"]
+                ).to_batches(max_chunksize=50_000)
 
         for part in by_size(batches):
             langs = part.column("id").dictionary_encode()
@@ -167,13 +183,16 @@ def count_words(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             width = max(len(coded.dictionary), 1)
             both = langs.indices.to_numpy()[owner].astype(np.int64) * width + codes
             seen, n = np.unique(both, return_counts=True)
-            names, words = langs.dictionary.to_pylist(), coded.dictionary.to_pylist()
-            for key, times in zip(seen.tolist(), n.tolist()):
-                pair = (names[key // width], words[key % width])
-                held[pair] = held.get(pair, 0) + times
-            if len(held) > _COUNTED_AT_ONCE:
-                yield flush()
-        yield flush()
+            held.append(pa.table({
+                "lang": langs.dictionary.take(pa.array(seen // width)),
+                "word": coded.dictionary.take(pa.array(seen % width)),
+                "n": pa.array(n.astype(np.int64)),
+            }))
+            rows += seen.size
+            if rows > _COUNTED_AT_ONCE:
+                yield from flush()
+                rows = 0
+        yield from flush()
 
     counted = source.filter("id is not null").mapInArrow(count, "lang string, word string, n bigint")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -184,10 +203,33 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], vocabulary: str, logs: np.ndarray):
         self.languages, self.vocabulary, self.logs = languages, vocabulary, logs
-        self._known: dict[str, np.ndarray] = {}
+        self._known: dict[str, int] = {}
+        self._table = np.zeros((0, len(languages)), np.float32)
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_table": self._table[:0]}
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words, worked out for those the table does not have."""
+        known = self._known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = [w for w in words if w not in known]
+        if new:
+            parts = [_parts(w) for w in new]
+            logs = word_log_probabilities(
+                _vocabulary(self.vocabulary), [p for ps in parts for p in ps], self.logs
+            )
+            first = np.cumsum([0, *map(len, parts)])[:-1]
+            logs = np.add.reduceat(logs, first, axis=0)
+            before = len(known)
+            if len(self._table) < before + len(new):
+                grown = np.zeros((2 * (before + len(new)), len(self.languages)), np.float32)
+                grown[:before] = self._table[:before]
+                self._table = grown
+            self._table[before : before + len(new)] = logs
+            known.update(zip(new, range(before, before + len(new))))
+        return self._table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text, all alike beforehand, and its probability."""
@@ -195,21 +237,10 @@ class LanguageModel:
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         words = coded.dictionary.to_pylist()
-        used = np.unique(codes).tolist()
-        if len(self._known) > KEPT_WORDS:
-            self._known.clear()
-        new = [words[c] for c in used if words[c] not in self._known]
-        parts = [_parts(w) for w in new]
-        logs = word_log_probabilities(
-            _vocabulary(self.vocabulary), [p for ps in parts for p in ps], self.logs
-        ) if new else np.zeros((0, len(self.languages)))
-        at = 0
-        for word, ps in zip(new, parts):
-            self._known[word] = logs[at : at + len(ps)].sum(axis=0)
-            at += len(ps)
+        used = np.unique(codes)
         table = np.zeros((len(words), len(self.languages)))
-        for c in used:
-            table[c] = self._known[words[c]]
+        if used.size:
+            table[used] = self._rows([words[c] for c in used.tolist()])
         total = np.zeros((len(texts), len(self.languages)))
         for n in range(len(self.languages)):
             total[:, n] = np.bincount(owner, table[codes, n], len(texts))
