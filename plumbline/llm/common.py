@@ -16,11 +16,15 @@ from plumbline.functions.args import named_column
 
 _OWN_FOLDER: dict[str, str] = {}
 ROWS_PER_FILE = 250_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per Spark application."""
+    # Texts can be very long: fewer rows than by default go to a Python worker at once.
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     context = spark.sparkContext
     if _OWN_FOLDER.get("shipped") == context.applicationId:
         return
@@ -83,6 +87,22 @@ def by_size(
             yield batch.slice(start)
 
 
+def gathered(
+    batches: Iterable[pa.RecordBatch], column: str = "text", least: int = 1 << 23
+) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``least`` bytes of text, and cut beyond that."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in by_size(batches, column, least):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: bigint), component = least node.
 

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.args import named_column
-from plumbline.llm.common import by_size, ship_package, written
+from plumbline.llm.common import by_size, gathered, ship_package, written
 
 #: Slots per predictor, as powers of two: position, 1 to 4 bytes, the whole token so far.
 SLOTS = (16, 16, 19, 20, 21, 21)
@@ -294,7 +294,7 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for part in by_size(batches, most=_TEXT_AT_ONCE):
+        for part in gathered(batches, least=_TEXT_AT_ONCE):
             split = pc.ascii_split_whitespace(pc.ascii_lower(part.column("text")))
             flat = pc.list_flatten(split)
             owner = pc.list_parent_indices(split).to_numpy()
