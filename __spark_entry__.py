@@ -53,7 +53,9 @@ KEYS = {
     "lineitem": ["l_orderkey", "l_linenumber"],
     "events": ["event_id"],
     "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
     "pages": ["page_id"],
+    "benchmark": ["item_id"],
     "labels": ["doc_id"],
     "conversations": ["conv_id", "turn"],
 }
@@ -85,10 +87,7 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _data(spark, sf_dir).table("orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
-    )
-    return pl.sample_rows(orders, ["o_orderkey"], n=20)
+    return pl.sample_rows(_data(spark, sf_dir).table("orders"), ["o_orderkey"], n=20)
 
 
 def sample_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,10 +181,13 @@ def name_lint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = _data(spark, sf_dir).table("events").groupBy("user_id").agg(
+    events = _data(spark, sf_dir).table("events")
+    users = events.groupBy("user_id").agg(
         F.min("ts").alias("created"), F.max("ts").alias("modified")
     )
-    return pl.recent_changes(users, "created", "modified", days=1)
+    # The latest change is the log's latest moment, found without grouping it again.
+    as_of = events.agg(F.max("ts")).scalar()
+    return pl.recent_changes(users, "created", "modified", days=1, as_of=as_of)
 
 
 def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +203,7 @@ def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as runs, with date and status packed the way run logs pack them."""
+    """Orders as runs, with date, duration and status packed the way run logs pack them."""
     data = _data(spark, sf_dir)
     at = F.col("o_orderdate")
     packed = F.year(at) * 10000 + F.month(at) * 100 + F.day(at)
@@ -213,6 +215,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", 1)
         .otherwise(4)
         .alias("status"),
+        (F.col("o_orderkey") % 24 * 10000 + F.col("o_orderkey") % 60 * 100).alias("took"),
     )
     history = pl.run_history(
         data.table("customer"),
@@ -223,8 +226,9 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         run_at="run_at",
         step="o_orderkey",
         status="status",
+        duration="took",
     )
-    return history.select("o_orderkey", "run_at", "status_label")
+    return history.select("o_orderkey", "run_at", "status_label", "duration_seconds")
 
 
 # --- relations ------------------------------------------------------------------
@@ -253,6 +257,23 @@ def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def candidate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that look like references, each checked against the key of that name."""
+    data = _data(spark, sf_dir)
+    tables = data.tables()
+    single = {table: columns[0] for table, columns in KEYS.items() if len(columns) == 1}
+    parents = {key.split("_", 1)[1]: (table, key) for table, key in single.items() if key[1] == "_"}
+    found = pl.reference_candidates(tables, keys=single.items(), suffixes=["key"])
+    links = []
+    for table, column, _ in found:
+        if column.split("_", 1)[1] in parents:
+            parent, key = parents[column.split("_", 1)[1]]
+            links.append(
+                pl.Link(f"{table}.{column}", tables[table], column, tables[parent], key)
+            )
+    return pl.missing_references(links)
+
+
 def unreferenced_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     return pl.unreferenced_rows(
@@ -275,6 +296,17 @@ def find_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def find_short_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of one to four words: how benchmark passages begin."""
+    data = _data(spark, sf_dir)
+    words = (F.col("item_id") % 4 + 1).cast("int")
+    start = F.array_join(F.slice(F.split("text", " "), F.lit(1), words), " ")
+    items = data.table("benchmark").select("item_id", start.alias("text"))
+    return pl.find_references(
+        data.table("documents"), "doc_id", "text", items, "item_id", "text"
+    )
+
+
 def mention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     return pl.mention_report(
@@ -311,18 +343,30 @@ def annotate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_covered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _data(spark, sf_dir).table("events").withColumn("day", F.to_date("ts"))
-    pairs = pl.prefix_covered_lists(
-        events, "user_id", "day", ["ts", "event_id"], "event_type",
-        block=F.hour("ts"),
+    return _covered_days(spark, sf_dir, False).select(
+        "user_id",
+        F.col("covered").alias("covered_day"),
+        F.col("covering").alias("covering_day"),
+        "coverers",
     )
-    return pairs.select(
+
+
+def prefix_covered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covered_days(spark, sf_dir, True).select(
         "user_id",
         F.col("covered").alias("covered_day"),
         F.col("covering").alias("covering_day"),
     )
 
 
+def _covered_days(spark: SparkSession, sf_dir: str, all_pairs: bool) -> DataFrame:
+    events = _data(spark, sf_dir).table("events").withColumn("day", F.to_date("ts"))
+    return pl.prefix_covered_lists(
+        events, "user_id", "day", ["ts", "event_id"], "event_type",
+        block=F.hour("ts"), all_pairs=all_pairs,
+    )
+
+
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     return pl.latest_run(
@@ -364,6 +408,11 @@ def duplicate_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.duplicate_groups(lineitem, ["l_orderkey", "l_linenumber"], top=200)
 
 
+def all_duplicate_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineitem = _data(spark, sf_dir).table("lineitem")
+    return pl.duplicate_groups(lineitem, ["l_orderkey", "l_linenumber"], top=None)
+
+
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _data(spark, sf_dir).table("documents")
     return pl.duplicate_groups(documents, ["text"], top=200)
@@ -421,6 +470,10 @@ def table_schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.table_schema_profile(_data(spark, sf_dir).table("orders"), ["o_orderkey"])
 
 
+def customer_schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.table_schema_profile(_data(spark, sf_dir).table("customer"), ["c_custkey"])
+
+
 # --- activity -------------------------------------------------------------------
 
 
@@ -432,6 +485,14 @@ def role_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def member_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _data(spark, sf_dir)
+    return pl.member_roles(
+        data.table("customer"), "c_custkey",
+        data.table("orders"), "o_custkey", "o_orderpriority",
+    )
+
+
 def customer_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     return pl.role_lists(
@@ -476,7 +537,7 @@ def multi_event_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _data(spark, sf_dir).table("events").withColumn("day", F.to_date("ts"))
-    groups = pl.multi_event_groups(events, "day", "user_id", names_per_row=40)
+    groups = pl.multi_event_groups(events, "day", "user_id")
     return groups.withColumnRenamed("entities", "users")
 
 
@@ -494,8 +555,8 @@ def top_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.top_by_cost(
         _data(spark, sf_dir).table("lineitem"),
         "l_partkey",
-        cost=F.col("l_extendedprice"),
-        measure=F.col("l_quantity"),
+        cost=F.col("l_extendedprice").cast("decimal(18,2)"),
+        measure=F.col("l_quantity").cast("decimal(18,2)"),
         run_at="l_shipdate",
         text=F.concat_ws("/", "l_returnflag", "l_linestatus"),
     )
@@ -505,7 +566,7 @@ def top_events_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.top_by_cost(
         _data(spark, sf_dir).table("events"),
         "event_type",
-        cost=F.col("value"),
+        cost=F.col("value").cast("decimal(18,2)"),
         measure=F.length("props"),
         run_at="ts",
         text=F.col("props"),
@@ -526,29 +587,36 @@ def top_texts_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _data(spark, sf_dir).table("events")
-    return pl.share_of_total(events, "event_type", F.col("value"), exclude=["error"])
+    value = F.col("value").cast("decimal(18,2)")
+    return pl.share_of_total(events, "event_type", value, exclude=["error"])
 
 
 def share_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = _data(spark, sf_dir).table("lineitem")
-    return pl.share_of_total(lineitem, "l_suppkey", F.col("l_extendedprice"))
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    return pl.share_of_total(lineitem, "l_suppkey", price)
 
 
 def impact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     prices = data.table("part").groupBy("p_partkey").agg(
-        F.avg(F.col("p_retailprice").cast("decimal(18,2)")).alias("price")
+        _mean("p_retailprice").alias("price")
     )
     lines = data.table("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-        F.avg(F.col("l_discount").cast("decimal(10,2)") * 100).alias("discount"),
+        (_mean("l_discount") * 100).alias("discount"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),
         F.count_if(F.col("l_returnflag") == "A").alias("accepted"),
     )
     return pl.impact_ranking(
-        prices, lines, lines, "p_partkey", "price", "discount", "returned", "accepted"
+        prices, lines, "p_partkey", "price", "discount", "returned", "accepted"
     )
 
 
+def _mean(column: str) -> Column:
+    """Of values with two decimals, added exactly."""
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double") / F.count(column)
+
+
 def clustering_fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _data(spark, sf_dir).table("orders")
     return pl.clustering_fragmentation(
@@ -598,6 +666,16 @@ def text_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_version_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _data(spark, sf_dir).table("conversations")
+    return pl.text_version_tokens(
+        turns.filter(F.col("role") == "user"),
+        turns.filter(F.col("role") == "assistant"),
+        "conv_id",
+        "text",
+    )
+
+
 # --- feeds ----------------------------------------------------------------------
 
 
@@ -632,7 +710,8 @@ def feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = events.select(
         _stamped(F.col("user_id").cast("string"), F.col("event_type"), band)
     )
-    return pl.feed_health(names)
+    latest = events.agg(F.max(F.date_trunc("SECOND", "ts"))).scalar().cast("timestamp_ntz")
+    return pl.feed_health(names, as_of=latest)
 
 
 def _drift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -679,6 +758,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lookup_by_name_and_kind, lookup_page, search_text, external_references, keyword_guard,
             text_complexity, text_complexity_totals, page_complexity, name_lint, name_lint_counts,
             recent_changes, recent_failures, run_history, missing_references,
+            candidate_references, find_short_references, prefix_covered_pairs,
+            all_duplicate_line_keys, customer_schema_profile, member_roles, text_version_tokens,
             unreferenced_customers, unreferenced_orders, find_references,
             mention_report, grant_listing, annotate_rows, prefix_covered_lists,
             latest_run, column_profile, nullable_without_nulls, duplicate_groups,

@@ -15,7 +15,8 @@ _KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
     "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
     "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"],
-    "documents": ["doc_id"], "pages": ["page_id"], "labels": ["doc_id"],
+    "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"],
+    "benchmark": ["item_id"], "labels": ["doc_id"],
     "conversations": ["conv_id", "turn"],
 }
 _LINKS = [
@@ -104,6 +105,29 @@ def _missing() -> str:
     )
 
 
+def _candidates() -> str:
+    """Columns named like another table's key, each against that key."""
+    links = [
+        ("customer", "c_nationkey", "nation", "n_nationkey"),
+        ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        ("lineitem", "l_partkey", "part", "p_partkey"),
+        ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+        ("nation", "n_regionkey", "region", "r_regionkey"),
+        ("orders", "o_custkey", "customer", "c_custkey"),
+        ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ]
+    return _union(
+        [
+            f"""SELECT '{child}.{ck}' AS link, sum(n)::BIGINT AS child_rows,
+                count(*) AS child_keys, count(*) FILTER (WHERE NOT known) AS orphan_keys,
+                round(count(*) FILTER (WHERE known) / count(*), 4) AS coverage
+            FROM (SELECT {ck}, count(*) AS n, {ck} IN (SELECT {pk} FROM {parent}) AS known
+                  FROM {child} GROUP BY {ck})"""
+            for child, ck, parent, pk in links
+        ]
+    )
+
+
 def _layout() -> str:
     columns = {
         "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linestatus"],
@@ -187,6 +211,7 @@ def _profile() -> str:
 
 
 def _name_flags() -> str:
+    # Name parts that repeat the type of a thing or its version.
     prefixed = " OR ".join(
         f"starts_with(lower(name), '{p}')"
         for p in ("tbl_", "sp_", "vw_", "col_", "f_", "fn_", "usp_")
@@ -339,6 +364,7 @@ ORACLE: dict[str, str] = {
     "sample_rows": f"""
         SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey,
             {_clip('o_orderstatus', 30, 27)} AS o_orderstatus,
+            o_totalprice::VARCHAR AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate,
             {_clip('o_orderpriority', 30, 27)} AS o_orderpriority
         FROM orders ORDER BY orders.o_orderkey LIMIT 20""",
     "sample_texts": f"""
@@ -392,7 +418,8 @@ ORACLE: dict[str, str] = {
     "run_history": """
         SELECT o_orderkey, o_orderdate AS run_at,
             CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'Succeeded'
-                ELSE '4' END AS status_label
+                ELSE '4' END AS status_label,
+            o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 AS duration_seconds
         FROM orders JOIN customer ON o_custkey = c_custkey
         WHERE c_name = 'Customer#000000605'
         ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""",
@@ -424,6 +451,15 @@ ORACLE: dict[str, str] = {
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
         WHERE contains(lower(lang), 'en') OR contains(lower(source), 'en')""",
     "prefix_covered_lists": """
+        WITH lists AS (
+            SELECT user_id, ts::DATE AS day,
+                list(event_type ORDER BY ts, event_id) AS items FROM events GROUP BY ALL)
+        SELECT a.user_id, a.day AS covered_day, min(b.day) AS covering_day,
+            count(*) AS coverers
+        FROM lists a JOIN lists b ON a.user_id = b.user_id
+        WHERE len(a.items) < len(b.items) AND b.items[1:len(a.items)] = a.items
+        GROUP BY a.user_id, a.day""",
+    "prefix_covered_pairs": """
         WITH lists AS (
             SELECT user_id, ts::DATE AS day,
                 list(event_type ORDER BY ts, event_id) AS items FROM events GROUP BY ALL)
@@ -455,9 +491,36 @@ ORACLE: dict[str, str] = {
     "duplicate_texts": """
         SELECT text, count(*) AS duplicate_count FROM documents
         GROUP BY text HAVING count(*) > 1
-        ORDER BY duplicate_count DESC,
-            CASE WHEN length(text) > 64 THEN 'sha256:' || sha256(text) ELSE text END
-        LIMIT 200""",
+        ORDER BY duplicate_count DESC, text LIMIT 200""",
+    "all_duplicate_line_keys": """
+        SELECT l_orderkey, l_linenumber, count(*) AS duplicate_count FROM lineitem
+        GROUP BY ALL HAVING count(*) > 1""",
+    "find_short_references": """
+        SELECT item_id, doc_id FROM documents d JOIN (
+            SELECT item_id, array_to_string(string_split(text, ' ')[1:item_id % 4 + 1], ' ') AS t
+            FROM benchmark) b
+        ON contains(lower(d.text), lower(b.t))""",
+    "candidate_references": _candidates(),
+    "member_roles": """
+        SELECT DISTINCT c_custkey, o_orderpriority AS role
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey""",
+    "text_version_tokens": """
+        SELECT conv_id, w AS token, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a'
+            ELSE 'only_b' END AS side
+        FROM (
+            SELECT conv_id, w, bool_or(role = 'user') AS a, bool_or(role = 'assistant') AS b
+            FROM (SELECT conv_id, role, unnest(regexp_split_to_array(
+                    lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS w
+                  FROM conversations WHERE role IN ('user', 'assistant'))
+            WHERE w <> '' GROUP BY conv_id, w)""",
+    "customer_schema_profile": _schema_rows(
+        "customer",
+        [
+            ("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+            ("c_acctbal", "double"), ("c_mktsegment", "string"),
+        ],
+        "c_custkey",
+    ),
     "key_capacity": _all_capacities(),
     "dataset_summary": _summary(),
     "check_rules": """
@@ -522,14 +585,9 @@ ORACLE: dict[str, str] = {
             string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS label
         FROM events GROUP BY ALL HAVING count(DISTINCT event_type) > 1""",
     "multi_event_groups": """
-        WITH pairs AS (SELECT DISTINCT ts::DATE AS day, user_id::VARCHAR AS name FROM events),
-        sized AS (SELECT *, count(*) OVER (PARTITION BY day) AS users FROM pairs),
-        placed AS (
-            SELECT *, ('0x' || substr(md5(name), 1, 8))::BIGINT
-                % ceil(users / 40)::BIGINT AS part
-            FROM sized WHERE users > 1)
-        SELECT day, users, part, string_agg(name, ', ' ORDER BY name) AS names
-        FROM placed GROUP BY day, users, part""",
+        WITH pairs AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events)
+        SELECT day, count(*) OVER (PARTITION BY day) AS users, user_id FROM pairs
+        QUALIFY count(*) OVER (PARTITION BY day) > 1""",
     "size_report": _sizes("source"),
     "size_by_language": _sizes("lang"),
     "top_by_cost": _cost(
@@ -545,12 +603,11 @@ ORACLE: dict[str, str] = {
     "share_of_total": _share("events", "event_type", "value", "event_type <> 'error'"),
     "share_of_suppliers": _share("lineitem", "l_suppkey", "l_extendedprice", "true"),
     "impact_ranking": """
-        SELECT p_partkey, hits, round(price::DECIMAL(18,4) * discount::DECIMAL(10,4)
-            * hits::DECIMAL(10,0), 0)::BIGINT AS score
-        FROM (SELECT p_partkey, sum(p_retailprice::DECIMAL(18,2)) / count(*) AS price
+        SELECT p_partkey, hits, round(price * discount * hits, 0) AS score
+        FROM (SELECT p_partkey, sum(p_retailprice::DECIMAL(18,2))::DOUBLE / count(*) AS price
               FROM part GROUP BY p_partkey)
         JOIN (SELECT l_partkey,
-                round(sum(l_discount::DECIMAL(10,2) * 100)::DOUBLE / count(*), 6) AS discount,
+                sum(l_discount::DECIMAL(18,2))::DOUBLE / count(*) * 100 AS discount,
                 count(*) FILTER (WHERE l_returnflag IN ('R', 'A')) AS hits
               FROM lineitem GROUP BY l_partkey)
         ON p_partkey = l_partkey""",

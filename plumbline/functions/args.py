@@ -7,8 +7,27 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return min(max(value, low), high)
+def limited(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of an ordered frame, all with None; the caller's number holds."""
+    if n is None:
+        return df
+    if n < 1:
+        raise ValueError("The number of rows must be at least 1.")
+    return df.limit(n)
+
+
+def key_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner"
+) -> DataFrame:
+    """Join on one key each, which may have the same name.
+
+    The left key stays; the right one stays too if its name is not a left column.
+    """
+    renamed = right.withColumnRenamed(right_key, "_right_key")
+    joined = left.join(renamed, named_column(left_key) == F.col("_right_key"), how)
+    if right_key.lower() in {name.lower() for name in left.columns}:
+        return joined.drop("_right_key")
+    return joined.withColumnRenamed("_right_key", right_key)
 
 
 def named_column(name: str) -> Column:

@@ -14,10 +14,6 @@ RUN_STATUS = {
 }
 
 
-def yes_no(condition: Column) -> Column:
-    return F.when(condition, "YES").otherwise("NO")
-
-
 def status_label(code: Column) -> Column:
     """Label of a run status code; an unlisted code is shown as its number."""
     label = F.lit(None).cast("string")

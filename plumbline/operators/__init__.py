@@ -6,6 +6,7 @@ from plumbline.operators.activity import (
     event_flags,
     impact_ranking,
     last_access,
+    member_roles,
     multi_event_entities,
     multi_event_groups,
     role_lists,
@@ -18,6 +19,7 @@ from plumbline.operators.comparison import (
     set_compare,
     set_compare_counts,
     text_version_diff,
+    text_version_tokens,
 )
 from plumbline.operators.feeds import (
     feed_health,
@@ -77,7 +79,7 @@ __all__ = [
     "event_flags", "external_references", "feed_health", "feed_inventory",
     "feed_orphans", "feed_totals", "find_references", "grant_listing",
     "impact_ranking", "is_snapshot", "key_capacity", "keyword_guard", "last_access",
-    "latest_run", "layout_candidates", "lookup_by_name", "mention_report",
+    "latest_run", "layout_candidates", "lookup_by_name", "member_roles", "mention_report",
     "missing_references", "multi_event_entities", "multi_event_groups", "name_lint",
     "name_lint_counts", "nullable_without_nulls", "object_listing",
     "prefix_covered_lists", "recent_changes", "recent_failures",
@@ -85,5 +87,5 @@ __all__ = [
     "set_compare", "set_compare_counts", "share_of_total", "size_report",
     "snapshot_drift", "snapshot_drift_columns", "table_inventory",
     "table_schema_profile", "text_complexity", "text_complexity_totals",
-    "text_version_diff", "top_by_cost", "unreferenced_rows", "without_snapshots",
+    "text_version_diff", "text_version_tokens", "top_by_cost", "unreferenced_rows", "without_snapshots",
 ]

@@ -5,19 +5,48 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import (
-    clamp,
     clip_text,
     days_between,
     join_flags,
     latest,
+    limited,
     size_label,
 )
 from plumbline.plans import out_of_order_counts
 
 
+def _summable(df: DataFrame, measure: Column) -> Column:
+    """The measure in a type whose sum is exact and can't run over, if there is one."""
+    kind = df.select(measure.alias("_measure")).schema["_measure"].dataType
+    return measure.cast("decimal(20,0)") if isinstance(kind, T.IntegralType) else measure
+
+
+def member_roles(
+    members: DataFrame,
+    member: str,
+    roles: DataFrame,
+    role_member: str,
+    role: str,
+    exclude: Sequence[object] = (),
+) -> DataFrame:
+    """(member, role): a row for every distinct role of every member, null if it has none.
+
+    Members in ``exclude`` are left out. No member's roles are gathered.
+    """
+    pairs = (
+        roles.select(F.col(role_member).alias("_member"), F.col(role).alias("role"))
+        .filter(F.col("role").isNotNull())
+        .distinct()
+    )
+    kept = members.select(member)
+    if exclude:
+        kept = kept.filter(~F.col(member).isin(list(exclude)))
+    return kept.join(pairs, F.col(member) == F.col("_member"), "left").select(member, "role")
+
+
 def role_lists(
     members: DataFrame,
     member: str,
@@ -25,19 +54,32 @@ def role_lists(
     role_member: str,
     role: str,
     exclude: Sequence[object] = (),
+    longest: int = 1000,
 ) -> DataFrame:
     """(member, roles): every member with its sorted role list, or ``(none)``.
 
     Members in ``exclude`` are left out. Repeated (member, role) rows are combined
-    first, so a list is as long as the number of different roles.
+    first, so a list is as long as the number of different roles. A member with more than
+    ``longest`` of them has their number instead, as ``(n roles)``, so no list is
+    gathered beyond that; :func:`member_roles` lists roles one by one.
     """
     pairs = (
         roles.select(F.col(role_member).alias("_member"), F.col(role).alias("_role"))
         .filter(F.col("_role").isNotNull())
         .distinct()
     )
-    lists = pairs.groupBy("_member").agg(
-        F.array_join(F.sort_array(F.collect_list("_role")), ", ").alias("roles")
+    numbers = pairs.groupBy(F.col("_member").alias("_counted")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    counted = pairs.join(numbers, F.col("_member") == F.col("_counted"))
+    some = F.when(F.col("_n") <= longest, F.col("_role"))
+    lists = counted.groupBy("_member", "_n").agg(
+        F.array_join(F.sort_array(F.collect_list(some)), ", ").alias("_names")
+    ).select(
+        "_member",
+        F.when(F.col("_n") <= longest, F.col("_names"))
+        .otherwise(F.concat(F.lit("("), "_n", F.lit(" roles)")))
+        .alias("roles"),
     )
     kept = members.select(member)
     if exclude:
@@ -145,35 +187,20 @@ def multi_event_entities(
     return found.filter(F.col("types") > 1)
 
 
-def multi_event_groups(
-    events: DataFrame, group: str, entity: str, names_per_row: int = 1000
-) -> DataFrame:
-    """(group, entities, part, names): groups with more than one entity.
+def multi_event_groups(events: DataFrame, group: str, entity: str) -> DataFrame:
+    """(group, entities, entity): a row per entity of groups with more than one entity.
 
-    ``names`` lists the entities, sorted. A group with more than ``names_per_row``
-    of them is listed in several rows, told apart by ``part``, so that no task
-    holds all names of a large group. Which part a name falls in follows from its
-    MD5.
+    ``entities`` is how many the group has. No group's names are gathered; a large group
+    is as many rows as it has entities. Null entities are left out.
     """
-    pairs = (
-        events.select(F.col(group), F.col(entity).cast("string").alias("_name"))
-        .filter(F.col("_name").isNotNull())
-        .distinct()
-    )
+    pairs = events.select(group, entity).filter(F.col(entity).isNotNull()).distinct()
     sizes = (
         pairs.groupBy(F.col(group).alias("_group"))
-        .agg(F.count("_name").alias("entities"))
+        .agg(F.count(F.lit(1)).alias("entities"))
         .filter(F.col("entities") > 1)
     )
-    parts = F.ceil(F.col("entities") / names_per_row)
-    number = F.conv(F.substring(F.md5("_name"), 1, 8), 16, 10).cast("long")
-    placed = pairs.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).select(
-        group, "entities", (number % parts).alias("part"), "_name"
-    )
-    # Leaving the join's partitioning lets adaptive execution split a large group.
-    spread = placed.repartition(F.col(group), F.col("part"))
-    return spread.groupBy(group, "entities", "part").agg(
-        F.array_join(F.sort_array(F.collect_list("_name")), ", ").alias("names")
+    return pairs.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).select(
+        group, "entities", entity
     )
 
 
@@ -207,27 +234,27 @@ def top_by_cost(
     measure: Column,
     run_at: str,
     text: Column,
-    n: int = 20,
+    n: int | None = 20,
 ) -> DataFrame:
-    """The ``n`` (1 to 100) keys with the greatest total cost.
+    """The ``n`` keys with the greatest total cost, all with None.
 
     (key, executions, total_cost, avg_cost, total_measure, avg_measure, last_run,
-    preview). Costs and measures are added as decimals. ``preview`` is the text of
+    preview). Costs and measures are added in their own type, integers and decimals
+    exactly; pass them as decimals if they have fixed digits. ``preview`` is the text of
     the last run (the greatest, should several share its time), cut to 197
     characters and an ellipsis when longer than 200.
 
     The ranking shuffles numbers only. Previews are then read for the reported
-    keys alone, found by broadcasting those at most 100 rows.
+    keys alone.
     """
-    amount = cost.cast("decimal(18,2)")
-    second = measure.cast("decimal(18,2)")
+    amount, second = _summable(log, cost), _summable(log, measure)
     per_key = log.groupBy(F.col(key).alias("_key")).agg(
         F.count(F.lit(1)).alias("executions"),
         F.sum(amount).alias("_cost"),
         F.sum(second).alias("_measure"),
         F.max(run_at).alias("last_run"),
     )
-    worst = per_key.orderBy(F.desc("_cost"), "_key").limit(clamp(n, 1, 100))
+    worst = limited(per_key.orderBy(F.desc("_cost"), "_key"), n)
     last_texts = log.select(
         F.col(key).alias("_log_key"),
         F.col(run_at).alias("_at"),
@@ -239,7 +266,7 @@ def top_by_cost(
         F.col("last_run")
     )
     shown = (
-        last_texts.join(F.broadcast(worst), same_run)
+        last_texts.join(worst, same_run)
         .groupBy(*worst.columns)
         .agg(F.max("_text").alias("preview"))
     )
@@ -264,9 +291,11 @@ def share_of_total(
     key: str,
     measure: Column,
     exclude: Sequence[object] = (),
-    n: int = 20,
+    n: int | None = 20,
 ) -> DataFrame:
-    """(key, total, events, pct_total) of the ``n`` largest keys.
+    """(key, total, events, pct_total) of the ``n`` largest keys, all with None.
+
+    The measure is added in its own type, integers and decimals exactly.
 
     Excluded keys count neither in the list nor in the grand total. The percentage
     is null when the grand total is 0. The grand total is a scalar subquery over
@@ -274,7 +303,7 @@ def share_of_total(
     """
     kept = log.filter(~F.col(key).isin(list(exclude))) if exclude else log
     per_key = kept.groupBy(key).agg(
-        F.sum(measure.cast("decimal(18,2)")).alias("_sum"),
+        F.sum(_summable(log, measure)).alias("_sum"),
         F.count(F.lit(1)).alias("events"),
     )
     # Both sums are asked for so that the subquery needs the same columns as the
@@ -283,8 +312,7 @@ def share_of_total(
     grand = per_key.agg(sums).scalar().getField("total")
     total = F.col("_sum").cast("double")
     return (
-        per_key.orderBy(F.desc("_sum"), key)
-        .limit(n)
+        limited(per_key.orderBy(F.desc("_sum"), key), n)
         .select(
             key,
             total.alias("total"),
@@ -297,29 +325,30 @@ def share_of_total(
 def impact_ranking(
     costs: DataFrame,
     benefits: DataFrame,
-    hits: DataFrame,
     key: str,
     cost: str,
     benefit: str,
     hit_a: str,
     hit_b: str,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """(key, hits, score), highest score first.
 
-    The score is cost * benefit * (hits a + hits b), rounded to a whole number.
-    All three inputs hold one row per key; a key missing from one is not ranked.
+    The score is cost * benefit * (hits a + hits b) as a double, rounded once to a whole
+    number. All inputs hold one row per key; a key missing from one is not ranked. Hits
+    are columns of ``benefits`` unless a frame of their own is given; one frame for both
+    is computed once.
     """
-    score = (
-        F.col(cost).cast("decimal(18,4)")
-        * F.col(benefit).cast("decimal(10,4)")
-        * (F.col(hit_a) + F.col(hit_b)).cast("decimal(10,0)")
-    )
-    joined = costs.select(key, cost).join(benefits.select(key, benefit), key)
-    joined = joined.join(hits.select(key, hit_a, hit_b), key)
+    joined = costs.select(key, cost)
+    if hits is None:
+        joined = joined.join(benefits.select(key, benefit, hit_a, hit_b), key)
+    else:
+        joined = joined.join(benefits.select(key, benefit), key)
+        joined = joined.join(hits.select(key, hit_a, hit_b), key)
+    total = F.col(hit_a) + F.col(hit_b)
+    score = F.col(cost).cast("double") * F.col(benefit).cast("double") * total.cast("double")
     return joined.select(
-        key,
-        (F.col(hit_a) + F.col(hit_b)).alias("hits"),
-        F.round(score, 0).cast("long").alias("score"),
+        key, total.alias("hits"), F.round(score, 0).alias("score")
     ).orderBy(F.desc("score"), key)
 
 
@@ -338,7 +367,8 @@ def clustering_fragmentation(
     ``pct`` is the percentage of rows whose value is below the one before them in
     the given order. Groups of at least ``min_rows`` rows with more than ``low``
     percent are listed: REBUILD from ``high``, else REORGANIZE. ``block``, an
-    expression that never decreases along the order, splits hot groups.
+    expression that never decreases along the order, splits hot groups; one that does
+    decrease raises.
     """
     counts = out_of_order_counts(
         df.withColumn("_group", F.col(group)), ["_group"], order, value, block

@@ -49,14 +49,14 @@ def set_compare_counts(comparison: DataFrame) -> DataFrame:
     return counted.unpivot([], list(names), "status", "keys")
 
 
-def column_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+def column_diff(a: DataFrame, b: DataFrame, approx: bool = False) -> DataFrame:
     """Columns of two tables side by side; names match in any case.
 
     (column, type_1, type_2, nulls_1, nulls_2, ndv_1, ndv_2, status) where status
-    is only_1, only_2, type, nullability or same.
+    is only_1, only_2, type, nullability or same. ``approx=True`` estimates the ndv.
     """
     def side(df: DataFrame, n: int) -> DataFrame:
-        return table_schema_profile(df).select(
+        return table_schema_profile(df, approx=approx).select(
             F.lower("column").alias(f"_match{n}"),
             F.col("column").alias(f"_column{n}"),
             F.col("type").alias(f"type_{n}"),
@@ -82,6 +82,29 @@ def column_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def text_version_tokens(
+    a: DataFrame, b: DataFrame, key: str, text_col: str
+) -> DataFrame:
+    """(key, token, side): the distinct tokens of both versions, only_a, only_b or both.
+
+    The names behind the counts of :func:`text_version_diff`, as one row each. A key with
+    a text on one side only has its tokens on that side. Null texts have none.
+    """
+    def side(df: DataFrame, in_a: bool) -> DataFrame:
+        words = F.array_distinct(F.split(F.lower(text_col), r"\s+"))
+        return df.select(
+            key,
+            F.explode(F.array_remove(words, "")).alias("token"),
+            F.lit(in_a).alias("_a"),
+            F.lit(not in_a).alias("_b"),
+        )
+
+    merged = side(a, True).unionByName(side(b, False)).groupBy(key, "token").agg(
+        F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b")
+    )
+    return merged.select(key, "token", _side_status(F.col("_a"), F.col("_b")).alias("side"))
+
+
 def text_version_diff(
     a: DataFrame, b: DataFrame, key: str, text_col: str
 ) -> DataFrame:

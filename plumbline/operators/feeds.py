@@ -114,15 +114,11 @@ def feed_health(
 
     OVERDUE: the latest snapshot is more than 24 hours old. CLEANUP LATE: the
     earliest is more than 5 days old. EXCESS: more than 6 snapshots. ``as_of``
-    defaults to the latest snapshot of all.
+    defaults to the current time, so feeds that have all stopped are overdue.
     """
     feeds = _per_feed(names, name_col).filter(F.col("snapshots") > 0)
     if as_of is None:
-        # Over the raw log: one map-only pass, cheaper than grouping it again.
-        stamps = names.select(F.col(name_col).alias("name")).filter(
-            is_snapshot(F.col("name"))
-        )
-        moment = stamps.agg(F.max(snapshot_time(F.col("name")))).scalar()
+        moment = F.localtimestamp()
     elif isinstance(as_of, Column):
         moment = as_of
     else:
@@ -166,7 +162,7 @@ def snapshot_drift_columns(snapshots: DataFrame, permanent: DataFrame) -> DataFr
     newest = per_type.groupBy(feed.alias("_feed")).agg(F.max("_last").alias("_newest"))
     current = per_type.join(
         newest,
-        (F.lower("feed") == F.col("_feed"))
+        F.lower("feed").eqNullSafe(F.col("_feed"))
         & F.col("_last").eqNullSafe(F.col("_newest")),
     )
     nothing = F.lit(None).cast("string")

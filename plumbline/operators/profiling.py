@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from plumbline.functions import clamp, clip_text, named_column, require_columns
+from plumbline.functions import clip_text, limited, named_column, require_columns
 from plumbline.plans import column_counts, digest_key, is_digest
 
 # The largest value of each integer type.
@@ -141,19 +141,20 @@ def nullable_without_nulls(
 
 
 def duplicate_groups(
-    df: DataFrame, columns: Sequence[str], top: int = 20, max_width: int | None = None
+    df: DataFrame, columns: Sequence[str], top: int | None = 20, max_width: int | None = None
 ) -> DataFrame:
     """Key groups with more than one row, most duplicated first.
 
-    ``top`` is held to 1..200. Ties go by key, ascending. A null key is a group.
-    ``max_width`` cuts long text keys in the result.
+    ``top`` groups are given, or all with None. Ties go by key, ascending. A null key is
+    a group. ``max_width`` cuts long text keys in the result.
 
-    Long texts are counted by digest, so the shuffle moves short keys, and tie by
-    digest. The texts of the reported groups are then fetched by a second scan,
-    which adaptive execution drops when no reported key is a digest.
+    Long texts are counted by digest, so the shuffle moves short keys. Groups whose count
+    reaches that of the last one asked for are ranked by their texts, which a second
+    scan fetches; adaptive execution drops it when no such key is a digest.
     """
     names = require_columns(df, columns)
-    limit = clamp(top, 1, 200)
+    if top is not None and top < 1:
+        raise ValueError("top must be at least 1.")
     texts = [name for name in names if _is_text(df.schema[name].dataType)]
     keys = [f"_k{i}" for i in range(len(names))]
     keyed = df.select(
@@ -164,17 +165,18 @@ def duplicate_groups(
         *[named_column(n).alias(f"_v{i}") for i, n in enumerate(names)],
     )
     counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("duplicate_count"))
-    worst = (
-        counted.filter(F.col("duplicate_count") > 1)
-        .orderBy(F.desc("duplicate_count"), *keys)
-        .limit(limit)
-    )
+    worst = counted.filter(F.col("duplicate_count") > 1)
     if not texts:
-        return worst.select(
+        return limited(worst.orderBy(F.desc("duplicate_count"), *keys), top).select(
             *[F.col(key).alias(name) for key, name in zip(keys, names)],
             "duplicate_count",
         )
 
+    if top is not None:
+        best = worst.select("duplicate_count").orderBy(F.desc("duplicate_count")).limit(top)
+        worst = worst.filter(
+            F.col("duplicate_count") >= best.agg(F.min("duplicate_count")).scalar()
+        )
     digested = F.lit(False)
     for key, name in zip(keys, names):
         if name in texts:
@@ -182,11 +184,8 @@ def duplicate_groups(
     short = worst.filter(~digested).select(
         *keys, "duplicate_count", *[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)]
     )
-    # At most 200 groups are looked up, so they are safe to broadcast.
-    wanted = F.broadcast(
-        worst.filter(digested).select(
-            *[F.col(k).alias(f"_w{k}") for k in keys], "duplicate_count"
-        )
+    wanted = worst.filter(digested).select(
+        *[F.col(k).alias(f"_w{k}") for k in keys], "duplicate_count"
     )
     same = F.lit(True)
     for key in keys:
@@ -194,19 +193,18 @@ def duplicate_groups(
     long = keyed.join(wanted, same).groupBy(*keys, "duplicate_count").agg(
         *[F.any_value(f"_v{i}").alias(f"_v{i}") for i in range(len(names))]
     )
+    values = [f"_v{i}" for i in range(len(names))]
+    ranked = limited(
+        short.unionByName(long).orderBy(F.desc("duplicate_count"), *values), top
+    )
     shown = [
-        clip_text(F.col(f"_v{i}"), max_width, max_width - 3)
+        clip_text(F.col(value), max_width, max_width - 3)
         if max_width is not None and name in texts
-        else F.col(f"_v{i}")
-        for i, name in enumerate(names)
+        else F.col(value)
+        for value, name in zip(values, names)
     ]
-    return (
-        short.unionByName(long)
-        .orderBy(F.desc("duplicate_count"), *keys)
-        .select(
-            *[value.alias(name) for value, name in zip(shown, names)],
-            "duplicate_count",
-        )
+    return ranked.select(
+        *[value.alias(name) for value, name in zip(shown, names)], "duplicate_count"
     )
 
 
@@ -402,13 +400,15 @@ def layout_candidates(
     suffixes: Sequence[str] = ("id",),
     names: Sequence[str] = FILTER_NAMES,
     laid_out: Sequence[tuple[str, str]] = (),
+    approx: bool = False,
 ) -> DataFrame:
     """(table_name, column, ndv, ndv_ratio, top_share) of likely layout columns.
 
     Candidates are columns whose name ends in one of ``suffixes`` or is one of
     ``names``, in any case, except (table, column) pairs already ``laid_out``. A
     high ratio suits bucketing, few values suit partitioning, and a high share of
-    the most frequent value warns of skew.
+    the most frequent value warns of skew. ``approx=True`` estimates ndv in one pass
+    without a shuffle of values and leaves top_share null.
     """
     endings = tuple(suffix.lower() for suffix in suffixes)
     exact = {name.lower() for name in names}
@@ -422,7 +422,7 @@ def layout_candidates(
         ]
         if not columns:
             continue
-        part = column_counts(df, columns).select(
+        part = column_counts(df, columns, approx).select(
             F.lit(table).alias("table_name"), "*"
         )
         report = part if report is None else report.unionByName(part)
@@ -436,14 +436,19 @@ def layout_candidates(
         F.round(F.coalesce(F.col("distinct_count") / total, F.lit(0.0)), 4).alias(
             "ndv_ratio"
         ),
-        F.round(F.coalesce(F.col("top_count") / total, F.lit(0.0)), 4).alias("top_share"),
+        F.round(
+            F.when(F.col("total") == 0, 0.0).otherwise(F.col("top_count") / total), 4
+        ).alias("top_share"),
     )
 
 
-def table_schema_profile(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+def table_schema_profile(
+    df: DataFrame, key: Sequence[str] = (), approx: bool = False
+) -> DataFrame:
     """One row per column, in order: type, nullability and measured contents.
 
-    (ordinal, column, type, nullable, nulls, distinct_count, is_unique, is_key)
+    (ordinal, column, type, nullable, nulls, distinct_count, is_unique, is_key). With
+    ``approx=True`` distinct counts are estimated, and is_unique with them.
     """
     keys = {name.lower() for name in (require_columns(df, key) if key else [])}
     declared = df.sparkSession.createDataFrame(
@@ -453,7 +458,7 @@ def table_schema_profile(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
         ],
         "ordinal int, column string, type string, nullable boolean, is_key boolean",
     )
-    measured = column_counts(df, df.columns)
+    measured = column_counts(df, df.columns, approx)
     return declared.join(measured, "column").select(
         "ordinal", "column", "type", "nullable", "nulls", "distinct_count",
         (

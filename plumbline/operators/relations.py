@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.functions import contains_ignoring_case, line_count
-from plumbline.plans import SPLIT_OVER, containment_pairs, prefix_fingerprints
+from plumbline.functions import contains_ignoring_case, key_join, line_count
+from plumbline.plans import containment_pairs, prefix_fingerprints
 
 
 @dataclass(frozen=True)
@@ -107,11 +109,11 @@ def find_references(
     item_id: str,
     item_text: str,
     same_things: bool = False,
-    **options: int,
 ) -> DataFrame:
     """(item id, corpus id) for every text that contains the item, in any case.
 
-    Ids must be unique on both sides. ``same_things=True`` says that items and
+    Ids name things: a pair of ids is reported once, however many rows have them, and
+    a null id is an id. ``same_things=True`` says that items and
     texts are the same entities; an entity is then not reported in itself. If both
     id columns have one name, the item's is prefixed with ``item_``.
     """
@@ -122,10 +124,9 @@ def find_references(
         items.select(
             F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")
         ),
-        **options,
     )
     if same_things:
-        pairs = pairs.filter(F.col("text_id") != F.col("item_id"))
+        pairs = pairs.filter(~F.col("text_id").eqNullSafe(F.col("item_id")))
     return pairs.select(
         F.col("item_id").alias(_item_column(corpus_id, item_id)),
         F.col("text_id").alias(corpus_id),
@@ -145,7 +146,6 @@ def mention_report(
     item_text: str,
     max_lines: int = 100,
     same_things: bool = False,
-    **options: int,
 ) -> DataFrame:
     """(corpus id, lines, items, is_complex) for every text.
 
@@ -154,7 +154,7 @@ def mention_report(
     contains an item or has more than ``max_lines`` lines.
     """
     mentions = find_references(
-        corpus, corpus_id, corpus_text, items, item_id, item_text, same_things, **options
+        corpus, corpus_id, corpus_text, items, item_id, item_text, same_things
     )
     found_item = F.col(_item_column(corpus_id, item_id))
     lists = mentions.groupBy(F.col(corpus_id).alias("_text_id")).agg(
@@ -163,7 +163,7 @@ def mention_report(
         ).alias("items")
     )
     texts = corpus.select(corpus_id, line_count(F.col(corpus_text)).alias("lines"))
-    return texts.join(lists, F.col(corpus_id) == F.col("_text_id"), "left").select(
+    return texts.join(lists, F.col(corpus_id).eqNullSafe(F.col("_text_id")), "left").select(
         corpus_id,
         "lines",
         F.coalesce("items", F.lit("")).alias("items"),
@@ -186,10 +186,8 @@ def grant_listing(
     may hang on the fact or on the principal. ``exclude`` maps a column to values
     whose rows are left out (null values too, as with NOT IN).
     """
-    left, right = principal_on
-    joined = facts.join(principals, F.col(left) == F.col(right))
-    left, right = object_on
-    joined = joined.join(objects, F.col(left) == F.col(right))
+    joined = key_join(facts, principals, *principal_on)
+    joined = key_join(joined, objects, *object_on)
     for column, values in exclude.items():
         joined = joined.filter(~F.col(column).isin(list(values)))
     return joined.orderBy(*order_by)
@@ -227,44 +225,62 @@ def prefix_covered_lists(
     order: Sequence[str],
     value: str,
     block: Column | None = None,
-    split_over: int = SPLIT_OVER,
+    all_pairs: bool = False,
 ) -> DataFrame:
-    """(group, covered, covering): lists that begin another, longer list.
+    """(group, covered, covering, coverers): lists that begin another, longer list.
 
     A list is the values of one (group, list_id) in the given order, which must
     be unique within it. Equal lists do not cover each other. Text values are
-    compared in any case.
+    compared in any case. Each covered list is one row: ``coverers`` is the number of
+    lists that begin with it and ``covering`` the least of their ids. ``all_pairs=True``
+    gives (group, covered, covering) for every pair instead, which grows with the square
+    of the number of equal lists.
 
     Every element carries the fingerprint of the prefix that ends before it, so
-    one equi-join on (group, length, fingerprint) gives the result: no list is
-    ever gathered into a row and no false pair is emitted. ``block``, an
-    expression that never decreases along the order, splits lists of more than
-    ``split_over`` values.
+    an equi-join on (group, length, fingerprint) gives the result and no list is
+    ever gathered into a row. Lists are compared by 128-bit fingerprints alone: two
+    different ones are taken as equal with a probability of 2**-128 per pair. Equal
+    lists are one class while they are compared. ``block``, an expression that never
+    decreases along the order, splits long lists; a block that does decrease raises.
     """
     content = F.col(value)
     if isinstance(items.schema[value].dataType, T.StringType):
         content = F.lower(content)
-    keyed = items.withColumns(
-        {"_group": F.col(group), "_list": F.col(list_id)}
+    keyed = items.withColumns({"_group": F.col(group), "_list": F.col(list_id)})
+    prefixes, wholes = prefix_fingerprints(keyed, ["_group", "_list"], order, content, block)
+    print_ = ["_group", "length", "fp1", "fp2"]
+
+    def same(left: str, right: str) -> Column:
+        return reduce(
+            and_, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in print_]
+        )
+
+    if all_pairs:
+        found = prefixes.alias("p").join(wholes.alias("w"), same("p", "w"))
+        return found.select(
+            F.col("p._group").alias(group),
+            F.col("w._list").alias("covered"),
+            F.col("p._list").alias("covering"),
+        )
+    classes = wholes.groupBy(*print_).agg(
+        F.min("_list").alias("least"), F.count(F.lit(1)).alias("lists")
     )
-    prefixes, wholes = prefix_fingerprints(
-        keyed, ["_group", "_list"], order, content, block, split_over
+    firsts = classes.select(
+        F.col("_group").alias("_class_group"), F.col("least").alias("_class_list"), "lists"
     )
-    covered = wholes.select(
-        F.col("_group").alias("_covered_group"),
-        F.col("_list").alias("covered"),
-        F.col("length").alias("_length"),
-        F.col("fp1").alias("_whole1"),
-        F.col("fp2").alias("_whole2"),
+    per_class = prefixes.join(
+        firsts,
+        F.col("_group").eqNullSafe(F.col("_class_group"))
+        & F.col("_list").eqNullSafe(F.col("_class_list")),
+    ).select(*print_, "_list", "lists")
+    covers = per_class.groupBy(*print_).agg(
+        F.min("_list").alias("covering"), F.sum("lists").alias("coverers")
     )
-    return prefixes.join(
-        covered,
-        F.col("_group").eqNullSafe(F.col("_covered_group"))
-        & (F.col("length") == F.col("_length"))
-        & (F.col("fp1") == F.col("_whole1"))
-        & (F.col("fp2") == F.col("_whole2")),
-    ).select(
-        F.col("_group").alias(group), "covered", F.col("_list").alias("covering")
+    return wholes.alias("w").join(covers.alias("c"), same("w", "c")).select(
+        F.col("w._group").alias(group),
+        F.col("w._list").alias("covered"),
+        "covering",
+        "coverers",
     )
 
 
@@ -277,14 +293,28 @@ def latest_run(
 ) -> DataFrame:
     """Every entity with the ``shown`` columns of its most recent run.
 
-    The latest run is the greatest ``run_order`` tuple. It is found with an
-    aggregate, so no key's history is sorted or gathered. ``never_run`` marks
+    The latest run is the greatest ``run_order`` tuple, a null being least; of runs
+    equal in it, the greatest ``shown`` tuple. One order column after the other, the
+    greatest value per entity is found by a hash aggregate and the other runs drop out,
+    so the log is neither sorted before it is reduced nor gathered. ``never_run`` marks
     entities without one.
     """
     entity_key, run_key = on
-    newest = runs.groupBy(F.col(run_key).alias("_run_key")).agg(
-        F.max_by(F.struct(*shown), F.struct(*run_order)).alias("_run")
+    left = runs.select(
+        F.col(run_key).alias("_run_key"),
+        *[F.col(name).alias(f"_order{i}") for i, name in enumerate(run_order)],
+        F.struct(*shown).alias("_run"),
     )
+    for i in range(len(run_order)):
+        newest = left.groupBy(F.col("_run_key").alias("_newest_key")).agg(
+            F.max(f"_order{i}").alias("_newest")
+        )
+        left = left.join(
+            newest,
+            F.col("_run_key").eqNullSafe(F.col("_newest_key"))
+            & F.col(f"_order{i}").eqNullSafe(F.col("_newest")),
+        ).drop("_newest_key", "_newest")
+    newest = left.groupBy("_run_key").agg(F.max("_run").alias("_run"))
     joined = entities.join(newest, F.col(entity_key) == F.col("_run_key"), "left")
     return joined.select(
         *entities.columns,

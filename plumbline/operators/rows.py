@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import (
-    clamp,
     clip_text,
     contains_ignoring_case,
+    key_join,
     latest,
+    limited,
     line_count,
     named_column,
+    packed_seconds,
     require_columns,
     seconds_between,
     status_label,
@@ -32,7 +34,7 @@ WRITE_WORDS = (
 ROUTINE_MARKERS = {
     "cursor": ("CURSOR",),
     "temp_table": (" #", "INTO #"),
-    "dynamic_sql": ("EXEC(", "EXECUTE(", "SP_EXECUTESQL", "EXEC SP_EXECUTESQL"),
+    "dynamic_sql": ("EXEC(", "EXECUTE(", "SP_EXECUTESQL"),
     "nolock": ("NOLOCK",),
 }
 SERIOUS_MARKERS = ("cursor", "dynamic_sql")
@@ -121,15 +123,15 @@ def object_listing(
 
 
 def sample_rows(
-    df: DataFrame, order_by: Sequence[str], n: int = 5, max_width: int = 30
+    df: DataFrame, order_by: Sequence[str], n: int | None = 5, max_width: int = 30
 ) -> DataFrame:
-    """The first ``n`` (1 to 100) rows as text, long values cut with an ellipsis.
+    """The first ``n`` rows (all with None) as text, long values cut with an ellipsis.
 
     A key is required so that the sample is repeatable. Each partition keeps only
     its own first n rows, and columns are turned into text after that.
     """
     order = require_columns(df, order_by)
-    first = df.orderBy(*[named_column(c) for c in order]).limit(clamp(n, 1, 100))
+    first = limited(df.orderBy(*[named_column(c) for c in order]), n)
     return first.select(
         *[
             F.coalesce(
@@ -205,17 +207,17 @@ def text_complexity(
     A text needs review if it has more than ``max_lines`` lines or a serious
     marker. Markers match literally in any case; missing text counts as empty.
     """
-    upper = df.withColumn("_upper", F.upper(F.coalesce(F.col(text_col), F.lit(""))))
-    flagged = upper.withColumn("lines", line_count(F.col(text_col)))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    flagged = df.withColumn("lines", line_count(F.col(text_col)))
     for group, texts in markers.items():
         found = F.lit(False)
         for text in texts:
-            found = found | F.col("_upper").contains(text.upper())
+            found = found | contains_ignoring_case(body, text)
         flagged = flagged.withColumn(f"has_{group}", found)
     review = F.col("lines") > max_lines
     for group in serious:
         review = review | F.col(f"has_{group}")
-    return flagged.withColumn("review", review).drop("_upper")
+    return flagged.withColumn("review", review)
 
 
 def text_complexity_totals(complexity: DataFrame) -> DataFrame:
@@ -283,12 +285,12 @@ def recent_changes(
     days: int = 30,
     as_of: datetime | Column | None = None,
 ) -> DataFrame:
-    """Rows modified in the last ``days`` (1 to 365), newest first, with ``is_new``.
+    """Rows modified in the last ``days`` days, newest first, with ``is_new``.
 
     A row is new if it was modified less than two minutes after its creation.
     ``as_of`` defaults to the latest modification.
     """
-    window = F.expr(f"INTERVAL {clamp(days, 1, 365)} DAYS")
+    window = F.make_dt_interval(F.lit(int(days)))
     since = latest(df, F.col(modified), as_of) - window
     recent = df.filter(F.col(modified) >= since)
     age = seconds_between(F.col(created), F.col(modified))
@@ -315,7 +317,7 @@ def recent_failures(
     )
     failures = runs.filter(failed & (F.col(run_at) >= since))
     entity_key, run_key = on
-    joined = failures.join(entities, F.col(run_key) == F.col(entity_key))
+    joined = key_join(failures, entities, run_key, entity_key)
     return joined.orderBy(F.desc(run_at))
 
 
@@ -328,11 +330,13 @@ def run_history(
     run_at: str,
     step: str,
     status: str | None = None,
-    last_n: int = 20,
+    last_n: int | None = 20,
+    duration: str | None = None,
 ) -> DataFrame:
     """The last ``last_n`` runs of one named entity, newest first, then by step.
 
-    With ``status``, a column of status codes, ``status_label`` is added. The run
+    With ``status``, a column of status codes, ``status_label`` is added; with
+    ``duration``, a column of packed HHMMSS digits, ``duration_seconds``. The run
     log is narrowed to the entity's key before the join, so only its runs move.
     """
     entity_key, run_key = on
@@ -340,12 +344,11 @@ def run_history(
     least = chosen.agg(F.min(entity_key)).scalar()
     greatest = chosen.agg(F.max(entity_key)).scalar()
     own_runs = runs.filter(F.col(run_key).between(least, greatest))
-    history = (
-        own_runs.join(chosen, F.col(run_key) == F.col(entity_key))
-        .orderBy(F.desc(run_at), F.asc(step))
-        .limit(last_n)
-    )
+    joined = key_join(own_runs, chosen, run_key, entity_key)
+    history = limited(joined.orderBy(F.desc(run_at), F.asc(step)), last_n)
     if status is not None:
         history = history.withColumn("status_label", status_label(F.col(status)))
+    if duration is not None:
+        history = history.withColumn("duration_seconds", packed_seconds(F.col(duration)))
     return history
 

@@ -8,8 +8,8 @@ candidates, and each candidate is checked with an exact ``contains``.
 Runs have 1, 2, 4 or 8 units, so that a run's hash comes from the hashes of its
 two halves. A size is coded in one integer: ``n > 0`` is a run of n words,
 ``n < 0`` a run of -n characters. Only an item's inner words are whole words of
-the text around it (its first and last may be cut), so an item of one or two
-words is keyed by characters.
+the text around it (its first and last may be cut). One inner word says little, so an
+item of up to three words is keyed by characters of the whole item.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WORD_SIZES = (1, 2, 4)
 CHAR_SIZES = (-1, -2, -4, -8)
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 def _doubled(runs: Column, n: int) -> Column:
     """Hashes of all runs of 2n units from the hashes of all runs of n units."""
@@ -86,30 +85,18 @@ def _sized_items(items: DataFrame) -> DataFrame:
     words = _split_words(F.col("item_text"))
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     size = F.coalesce(
-        _largest(WORD_SIZES, F.size("_inner")),
+        _largest(WORD_SIZES[1:], F.size("_inner")),
         _largest(CHAR_SIZES, F.length("item_text")),
     )
     return items.withColumn("_inner", inner).withColumn("size", size)
 
 
-def _item_keys(sized: DataFrame, used: Collection[int]) -> DataFrame:
-    """(item_id, item_text, run): one key per item, the rarest of its runs.
-
-    Choosing the run that fewest items share keeps boilerplate in many items from
-    becoming a hot join key.
-    """
+def _item_runs(sized: DataFrame, used: Collection[int]) -> DataFrame:
+    """(item_id, item_text, run): all runs that an item could be keyed by."""
     own = F.coalesce(*[F.when(F.col("size") == n, F.col(f"_runs{n}")) for n in used])
-    runs = _explode_runs(
+    return _explode_runs(
         sized, F.col("_inner"), _split_chars(F.col("item_text")), used, own
-    ).select("item_id", "run")
-    frequency = runs.groupBy("run").agg(F.count(F.lit(1)).alias("shared_by"))
-    chosen = (
-        runs.join(frequency, "run")
-        .groupBy("item_id")
-        .agg(F.min(F.struct("shared_by", "run")).alias("key"))
-        .select("item_id", "key.run")
-    )
-    return chosen.join(sized.select("item_id", "item_text"), "item_id")
+    ).select("item_id", "item_text", "run")
 
 
 def _text_runs(texts: DataFrame, used: Collection[int]) -> DataFrame:
@@ -122,43 +109,42 @@ def _text_runs(texts: DataFrame, used: Collection[int]) -> DataFrame:
     )
 
 
-def containment_pairs(
-    texts: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """(text_id, item_id) for every text that contains the item, ignoring case.
+def containment_pairs(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (text_id, item_id) of texts that contain items, ignoring case.
 
-    ``texts`` has ``text_id, text``; ``items`` has unique ``item_id`` and
-    ``item_text``. Null and empty items are in no text.
+    ``texts`` has ``text_id, text``; ``items`` has ``item_id`` and ``item_text``. Ids may
+    repeat or be null: a pair is given if any text of that id contains any item of that
+    id. Null and empty items are in no text.
 
-    The item table is measured first: its size and the few run sizes it needs
-    reach the driver as one row. Up to ``broadcast_bytes`` the items are broadcast
-    and the texts are read once with no shuffle. Above it only (id, run) pairs are
-    shuffled, and texts are fetched for the candidates alone.
+    The run sizes the items need reach the driver as one row. Texts are then reduced to
+    (id, run); which of an item's runs is its key is decided by how often each occurs in
+    the texts, so a run of common words makes no candidates. Texts are fetched for the
+    candidates alone. No side is broadcast by a hint: adaptive execution does so if what
+    it has measured is small.
     """
     texts = texts.select("text_id", F.lower("text").alias("text"))
     items = items.select("item_id", F.lower("item_text").alias("item_text"))
-    sized = _sized_items(items.filter(F.length("item_text") > 0))
-    measured = sized.agg(
-        F.coalesce(F.sum(F.octet_length("item_text") + 64), F.lit(0)).alias("bytes"),
-        F.collect_set("size").alias("sizes"),
-    ).first()
-    used = sorted(measured.sizes)
+    sized = _sized_items(items.filter(F.length("item_text") > 0).distinct())
+    used = sorted(sized.agg(F.collect_set("size").alias("sizes")).first().sizes)
     if not used:
         nothing = texts.select("text_id").filter(F.lit(False))
         item_type = items.schema["item_id"].dataType
         return nothing.withColumn("item_id", F.lit(None).cast(item_type))
 
-    keys = _item_keys(sized, used)
-    if measured.bytes <= broadcast_bytes:
-        found = _text_runs(texts, used).join(F.broadcast(keys), "run")
-        found = found.filter(F.col("text").contains(F.col("item_text")))
-        return found.select("text_id", "item_id")
-
-    runs = _text_runs(texts, used).select("text_id", "run")
-    candidates = runs.join(keys.select("item_id", "run"), "run").select(
-        "text_id", "item_id"
+    item_runs = _item_runs(sized, used)
+    asked = item_runs.select("run").distinct()
+    found = _text_runs(texts, used).select("text_id", "run").join(asked, "run")
+    frequency = found.groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
+    # An item whose every run is in some text is keyed by the rarest; any other is in none.
+    ranked = item_runs.join(frequency, "run", "left").groupBy("item_id", "item_text").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("key")
     )
-    checked = candidates.join(items, "item_id").join(texts, "text_id")
-    return checked.filter(F.col("text").contains(F.col("item_text"))).select(
-        "text_id", "item_id"
+    keys = ranked.filter(F.col("key.texts") > 0).select("item_id", "item_text", "key.run")
+    candidates = found.join(keys, "run").select("text_id", "item_id", "item_text").distinct()
+    named = texts.withColumnRenamed("text_id", "_id")
+    checked = candidates.join(named, F.col("text_id").eqNullSafe(F.col("_id")))
+    return (
+        checked.filter(F.col("text").contains(F.col("item_text")))
+        .select("text_id", "item_id")
+        .distinct()
     )

@@ -1,8 +1,10 @@
-"""Value counts of several columns in one scan and one shuffle per value type.
+"""Value counts of several columns in one scan and one shuffle.
 
 Each row is unpivoted to (column, value) and counted per value, so a value that
-fills a third of the table is combined before the shuffle. Distinct counts, null
-counts and the share of the most frequent value all follow from those counts.
+fills a third of the table is combined before the shuffle. Values are numbers,
+fractions or texts, each kind in a field of its own, so that 9 and 10 are counted as
+numbers. Distinct counts, null counts and the share of the most frequent value all
+follow from those counts.
 """
 
 from __future__ import annotations
@@ -34,63 +36,75 @@ def is_digest(key: Column) -> Column:
     return (F.length(key) > DIGEST_OVER) & key.startswith(_DIGEST_MARK)
 
 
+_FIELDS = {"whole": "bigint", "fraction": "double", "text": "string"}
+
+
 def _as_key(column: Column, data_type: T.DataType) -> tuple[str, Column]:
-    """A column as a grouping key, with the type it is grouped as."""
+    """The field a value is counted in, and the value as it is counted there."""
     if isinstance(data_type, T.IntegralType):
-        return "bigint", column.cast("bigint")
+        return "whole", column.cast("bigint")
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         # Adding zero makes -0.0 and 0.0 the same value, as in SQL DISTINCT.
-        return "double", column.cast("double") + F.lit(0.0)
-    if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
-        return "string", digest_key(column.cast("string"))
+        return "fraction", column.cast("double") + F.lit(0.0)
     if isinstance(data_type, T.BinaryType):
-        return "string", digest_key(F.hex(column))
-    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        return "string", digest_key(column.cast("string"))
-    return data_type.simpleString(), column
+        return "text", digest_key(F.hex(column))
+    return "text", digest_key(column.cast("string"))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
-    """(column, value, n) frames: how often each value occurs, nulls included.
-
-    There is one frame per value type, so numbers are grouped as numbers.
-    """
-    by_type: dict[str, dict[str, Column]] = {}
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, whole, fraction, text, n): how often each value occurs, nulls included."""
+    cells = []
     for name in columns:
         kind, key = _as_key(named_column(name), df.schema[name].dataType)
-        by_type.setdefault(kind, {})[name] = key
-    frames = []
-    for keys in by_type.values():
-        keyed = df.select(*[key.alias(name) for name, key in keys.items()])
-        long = keyed.unpivot(
-            [], [named_column(name) for name in keys], "column", "value"
-        )
-        frames.append(
-            long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        )
-    return frames
-
-
-def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        fields = [
+            (key if field == kind else F.lit(None)).cast(data_type).alias(field)
+            for field, data_type in _FIELDS.items()
+        ]
+        cells.append(F.struct(F.lit(name).alias("column"), *fields))
+    long = df.select(F.inline(F.array(*cells)))
+    return long.groupBy("column", *_FIELDS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _approximate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same measures from one aggregate, distinct values estimated, no top count."""
+    row = df.agg(
+        *[
+            F.struct(
+                F.lit(name).alias("column"),
+                F.count(F.lit(1)).alias("total"),
+                F.count_if(named_column(name).isNull()).alias("nulls"),
+                F.approx_count_distinct(
+                    _as_key(named_column(name), df.schema[name].dataType)[1]
+                ).alias("distinct_count"),
+                F.lit(None).cast("bigint").alias("top_count"),
+            ).alias(f"_c{i}")
+            for i, name in enumerate(columns)
+        ]
+    )
+    return row.select(F.inline(F.array(*row.columns)))
+
+
+def column_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """(column, total, nulls, distinct_count, top_count), one row per column.
 
-    An empty table still gives its rows, with zeros.
+    An empty table still gives its rows, with zeros. ``approx=True`` estimates the
+    distinct counts without a shuffle of values; top_count is null then.
     """
+    if approx:
+        return _approximate(df, columns)
     n = F.col("n")
-    is_null = F.col("value").isNull()
+    is_null = F.coalesce(*[F.col(f).cast("string") for f in _FIELDS]).isNull()
     measures = ("total", "nulls", "distinct_count", "top_count")
     # A row of zeros per column keeps columns of an empty table in the result.
-    counted = df.sparkSession.createDataFrame(
+    zeros = df.sparkSession.createDataFrame(
         [(name, 0, 0, 0, 0) for name in columns],
         "column string, " + ", ".join(f"{m} bigint" for m in measures),
     )
-    for values in value_counts(df, columns):
-        counted = counted.unionByName(
-            values.groupBy("column").agg(
-                F.sum(n).alias("total"),
-                F.sum(F.when(is_null, n).otherwise(0)).alias("nulls"),
-                F.count("value").alias("distinct_count"),
-                F.max(F.when(~is_null, n).otherwise(0)).alias("top_count"),
-            )
-        )
-    return counted.groupBy("column").agg(*[F.sum(m).alias(m) for m in measures])
+    counted = value_counts(df, columns).groupBy("column").agg(
+        F.sum(n).alias("total"),
+        F.sum(F.when(is_null, n).otherwise(0)).alias("nulls"),
+        F.count_if(~is_null).alias("distinct_count"),
+        F.max(F.when(~is_null, n).otherwise(0)).alias("top_count"),
+    )
+    both = zeros.unionByName(counted)
+    return both.groupBy("column").agg(*[F.sum(m).alias(m) for m in measures])

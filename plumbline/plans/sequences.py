@@ -13,9 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-SPLIT_OVER = 1_000_000
-BROADCAST_KEYS = 10_000
+_NOT_IN_ORDER = "The block expression decreases along the order."
 
 
 def _before_block(name: str, combine: str) -> Column:
@@ -38,6 +36,11 @@ def _join_blocks(rows: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame
     return rows.join(side, same).drop("_block_key", "_block_id")
 
 
+def _checked(order: Column, first: str, last: str, before: Column) -> Column:
+    """``order`` of blocks as it is, but an error if one begins before the last one ends."""
+    return F.when(F.col(first) < before, F.raise_error(F.lit(_NOT_IN_ORDER))).otherwise(order)
+
+
 def _hashed(rows: DataFrame) -> DataFrame:
     """Two independent hashes of each element's position and value."""
     return rows.withColumns(
@@ -82,8 +85,14 @@ def _in_one_piece(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _in_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same with one sort per block; block totals carry over to later blocks."""
     window = _ordered(["_key", "_block"], rows)
-    counts = rows.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_skipped", _before_block("n", "sum"))
+    order = F.struct(*[name for name in rows.columns if name.startswith("_order")])
+    counts = rows.groupBy("_key", "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"), F.max(order).alias("_last")
+    )
+    ended = F.lag("_last").over(Window.partitionBy("_key").orderBy("_block"))
+    counts = counts.withColumn(
+        "_skipped", _checked(_before_block("n", "sum"), "_first", "_last", ended)
+    )
     local = rows.withColumn("pos", F.row_number().over(window).cast("long"))
     elements = _hashed(
         _join_blocks(local, counts, "_skipped").withColumn(
@@ -120,7 +129,6 @@ def prefix_fingerprints(
     order: Sequence[str],
     value: Column,
     block: Column | None = None,
-    split_over: int = SPLIT_OVER,
 ) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all strict prefixes and of all whole sequences.
 
@@ -130,10 +138,8 @@ def prefix_fingerprints(
     (fp1, fp2) if they hold the same values, and otherwise with probability
     2**-128.
 
-    With a ``block``, sequences of more than ``split_over`` elements are sorted
-    block by block. How many there are is counted first (one row reaches the
-    driver): with none, the blocked part is left out; with few, their keys are
-    broadcast to tell the two kinds of rows apart.
+    With a ``block``, sequences are sorted block by block, short ones too, so the result
+    does not depend on their length. A block that does not follow the order raises.
 
     A fingerprint is the XOR of hashes of (position, value). Keys and blocks travel
     as structs: equal structs compare null-safely, a null block sorts first as a
@@ -145,21 +151,7 @@ def prefix_fingerprints(
         value.alias("_value"),
         *([] if block is None else [F.struct(block.alias("block")).alias("_block")]),
     )
-    lengths = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    is_long = F.col("n") > split_over
-    long_ones = 0
-    if block is not None:
-        long_ones = lengths.agg(F.count_if(is_long).alias("n")).first().n
-    if not long_ones:
-        prefixes, wholes = _in_one_piece(rows)
-    else:
-        long = lengths.filter(is_long).select(F.col("_key").alias("_long"))
-        if long_ones <= BROADCAST_KEYS:
-            long = F.broadcast(long)
-        same = F.col("_key") == F.col("_long")
-        pieces = _in_one_piece(rows.join(long, same, "left_anti"))
-        blocked = _in_blocks(rows.join(long, same, "left_semi"))
-        prefixes, wholes = (a.unionByName(b) for a, b in zip(pieces, blocked))
+    prefixes, wholes = _in_one_piece(rows) if block is None else _in_blocks(rows)
 
     def unpacked(df: DataFrame, length: Column) -> DataFrame:
         names = [F.col(f"_key.{name}").alias(name) for name in keys]
@@ -190,9 +182,16 @@ def out_of_order_counts(
         F.count_if(F.col("_value") < F.col("_previous")).alias("inside"),
         F.min_by("_value", "_order").alias("_first"),
         F.max_by("_value", "_order").alias("_last"),
+        F.min("_order").alias("_begins"),
+        F.max("_order").alias("_ends"),
     )
     across = Window.partitionBy(*keys).orderBy("_block")
-    joints = per_block.withColumn("_before", F.lag("_last").over(across))
+    joints = per_block.withColumns(
+        {
+            "rows": _checked(F.col("rows"), "_begins", "_ends", F.lag("_ends").over(across)),
+            "_before": F.lag("_last").over(across),
+        }
+    )
     return joints.groupBy(*keys).agg(
         F.sum("rows").alias("rows"),
         (

@@ -28,7 +28,7 @@ def read_annotations(
     """Annotations from JSON files of the form ``{"constraints": [{...}, ...]}``.
 
     ``filter`` keeps entries whose database or object name contains it,
-    ignoring case.
+    ignoring case. A date that can't be read is null.
     """
     files = spark.read.schema(_ENVELOPE).option("multiLine", True).json(path)
     entry = F.explode("constraints").alias("entry")
@@ -38,7 +38,7 @@ def read_annotations(
         F.col("entry.objectName").alias("object_name"),
         F.col("entry.type").alias("type"),
         F.col("entry.description").alias("description"),
-        F.to_timestamp("entry.addedAt").alias("added_at"),
+        F.try_to_timestamp("entry.addedAt").alias("added_at"),
     )
     if filter is None:
         return annotations

@@ -73,15 +73,42 @@ def test_last_access_order(spark):
     assert found[0].last_read is None and found[1].last_write is None
 
 
-def test_multi_event_groups_split_long_lists(spark):
+def test_multi_event_groups_are_one_row_per_entity(spark, rows):
     events = spark.createDataFrame(
         [("d1", str(i)) for i in range(25)] * 2 + [("d2", "only")], "day string, who string"
     )
-    parts = pl.multi_event_groups(events, "day", "who", names_per_row=10).collect()
-    assert {(r.day, r.entities) for r in parts} == {("d1", 25)}
-    assert {r.part for r in parts} == {0, 1, 2}
-    names = [name for r in parts for name in r.names.split(", ")]
-    assert sorted(names) == sorted(str(i) for i in range(25))
+    found = pl.multi_event_groups(events, "day", "who")
+    assert rows(found) == sorted(("d1", 25, str(i)) for i in range(25))
+
+
+@pytest.mark.parametrize("longest, shown", [(2, "a, b"), (1, "(2 roles)")])
+def test_long_role_lists_give_their_number(spark, rows, longest, shown):
+    members = spark.createDataFrame([(1,), (2,)], "id int")
+    roles = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "m int, r string")
+    lists = pl.role_lists(members, "id", roles, "m", "r", longest=longest)
+    assert rows(lists) == [(1, shown), (2, "(none)")]
+    assert rows(pl.member_roles(members, "id", roles, "m", "r")) == [(1, "a"), (1, "b"), (2, None)]
+
+
+def test_sums_are_exact_at_any_scale(spark):
+    small = spark.range(1000).select(F.lit("k").alias("k"), F.lit("0.004").cast("decimal(9,4)").alias("c"))
+    data = small.unionByName(spark.createDataFrame([("one",)], "k string").select("k", F.lit("0.01").cast("decimal(9,4)").alias("c")))
+    top = pl.share_of_total(data, "k", F.col("c")).first()
+    assert (top.k, top.total, top.pct_total) == ("k", 4.0, 99.75)
+    big = spark.createDataFrame([("k", 1e17), ("k", 1.0)], "k string, c double")
+    assert pl.share_of_total(big, "k", F.col("c")).first().total == 1e17
+    log = big.select("k", "c", F.lit(2**62).alias("m"), F.lit(1).alias("at"), F.lit("t").alias("t"))
+    cost = pl.top_by_cost(log, "k", F.col("c"), F.col("m"), "at", F.col("t")).first()
+    assert (cost.total_cost, cost.total_measure) == (1e17, float(2**63))
+
+
+def test_impact_multiplies_as_doubles(spark):
+    costs = spark.createDataFrame([(1, 0.00004)], "k int, c double")
+    lines = spark.createDataFrame([(1, 2e6, 10**11, 0)], "k int, b double, x bigint, y bigint")
+    found = pl.impact_ranking(costs, lines, "k", "c", "b", "x", "y").first()
+    assert (found.hits, found.score) == (10**11, 8e12)
+    apart = pl.impact_ranking(costs, lines, "k", "c", "b", "x", "y", hits=lines).first()
+    assert apart == found
 
 
 def test_multi_event_entities(spark, rows):
@@ -111,14 +138,15 @@ def test_cost_preview_is_cut(spark, length, shown):
     assert got.preview.endswith("...") == (length > 200)
 
 
-def test_cost_clamp_and_missing_text(spark):
+def test_cost_number_of_keys_and_missing_text(spark):
     log = spark.range(120).select(
         F.col("id").alias("k"), F.col("id").alias("c"), F.lit(1).alias("m"),
         F.lit(1).alias("at"), F.lit(None).cast("string").alias("t"),
     )
     args = ("k", F.col("c"), F.col("m"), "at", F.col("t"))
-    assert pl.top_by_cost(log, *args, n=500).count() == 100
-    first = pl.top_by_cost(log, *args, n=0).collect()
+    assert pl.top_by_cost(log, *args, n=500).count() == 120
+    assert pl.top_by_cost(log, *args, n=None).count() == 120
+    first = pl.top_by_cost(log, *args, n=1).collect()
     assert [(r.k, r.preview) for r in first] == [(119, "(unavailable)")]
 
 
@@ -136,5 +164,5 @@ def test_impact_ranking_needs_all_sources(spark, rows):
     costs = spark.createDataFrame([(1, 2.0), (2, 9.0)], "k int, cost double")
     gains = spark.createDataFrame([(1, 10.0), (2, 1.0)], "k int, gain double")
     hits = spark.createDataFrame([(1, 1, 2)], "k int, seeks int, scans int")
-    ranked = pl.impact_ranking(costs, gains, hits, "k", "cost", "gain", "seeks", "scans")
+    ranked = pl.impact_ranking(costs, gains, "k", "cost", "gain", "seeks", "scans", hits)
     assert rows(ranked) == [(1, 3, 60)]

@@ -106,7 +106,8 @@ def test_feed_health_boundaries(spark):
         ("bad", "OVERDUE, CLEANUP LATE, EXCESS"), ("kept", "CLEANUP LATE"),
         ("late", "OVERDUE"), ("seven", "EXCESS"),
     ]
-    assert pl.feed_health(landed).count() == 4  # the latest snapshot is as_of itself
+    stopped = {r.feed for r in pl.feed_health(landed).collect() if "OVERDUE" in r.flags}
+    assert stopped == {"on_time", "late", "kept", "six", "seven", "bad"}  # years ago by now
 
 
 def test_snapshot_drift(spark, rows):
@@ -131,3 +132,11 @@ def test_snapshot_drift(spark, rows):
 def test_repartitioning_changes_nothing(names, rows, parts):
     moved = names.repartition(parts)
     assert rows(pl.feed_inventory(moved)) == rows(pl.feed_inventory(names))
+
+
+def test_version_tokens_name_each_side(spark, rows):
+    a = spark.createDataFrame([(1, "x  Y"), (2, None)], "k int, t string")
+    b = spark.createDataFrame([(1, "y z"), (3, "q")], "k int, t string")
+    assert rows(pl.text_version_tokens(a, b, "k", "t")) == [
+        (1, "x", "only_a"), (1, "y", "both"), (1, "z", "only_b"), (3, "q", "only_b")
+    ]

@@ -81,7 +81,10 @@ def test_duplicates_group_nulls_and_order_ties(spark):
     )
     found = pl.duplicate_groups(df, ["K"])
     assert [tuple(r) for r in found.collect()] == [("a", 3), (None, 2), ("b", 2)]
-    assert pl.duplicate_groups(df, ["k"], top=0).count() == 1
+    assert pl.duplicate_groups(df, ["k"], top=1).count() == 1
+    assert pl.duplicate_groups(df, ["k"], top=None).count() == 3
+    with pytest.raises(ValueError):
+        pl.duplicate_groups(df, ["k"], top=0)
     assert pl.duplicate_groups(df.filter("k = 'z'"), ["k"]).count() == 0
     assert pl.duplicate_groups(df.limit(0), ["k"]).count() == 0
 
@@ -178,3 +181,31 @@ def test_schema_profile(spark):
         (2, "t", "string", True, 1, 1, False, False),
         (3, "a", "array<int>", True, 0, 1, False, False),
     ]
+
+
+def test_tied_duplicates_go_by_text_at_any_length(spark):
+    """Texts on both sides of the length from which digests are counted."""
+    texts = ["bbb", "a" * 80, "m" * 80, "zzz", "a" * 64, "a" * 65]
+    df = spark.createDataFrame([(t,) for t in texts * 2] + [("top",)] * 3, "t string")
+    ranked = ["top", *sorted(texts)]
+    for top in (1, 3, 4, None):
+        found = [r.t for r in pl.duplicate_groups(df, ["t"], top=top).collect()]
+        assert found == ranked[:top]
+
+
+def test_no_number_of_duplicates_is_cut(spark):
+    df = spark.range(800).selectExpr("concat('k', id % 400) AS k")
+    assert pl.duplicate_groups(df, ["k"], top=1000).count() == 400
+
+
+def test_estimated_profiles_have_the_shape_of_exact_ones(spark):
+    df = spark.range(50).selectExpr("id", "id % 5 AS five", "cast(null AS string) AS t")
+    exact = pl.table_schema_profile(df, ["id"])
+    near = pl.table_schema_profile(df, ["id"], approx=True)
+    assert exact.schema.names == near.schema.names
+    assert [r.nulls for r in near.collect()] == [0, 0, 50]
+    assert [r.distinct_count for r in near.collect()][1] == 5
+    layout = pl.layout_candidates({"t": df}, names=["five"], approx=True).collect()
+    assert {r.column: r.top_share for r in layout} == {"id": None, "five": None}
+    plan = exact._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 50") == 1

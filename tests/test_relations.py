@@ -61,9 +61,8 @@ def _random_corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_containment_equals_brute_force(spark, rows, seed, limit):
-    """Both the broadcast and the shuffled way, with cut words and odd spacing."""
+def test_containment_equals_brute_force(spark, rows, seed):
+    """With cut words and odd spacing."""
     texts, items = _random_corpus(seed)
     expected = sorted(
         (t, i) for t, text in texts for i, item in items
@@ -72,7 +71,6 @@ def test_containment_equals_brute_force(spark, rows, seed, limit):
     found = containment_pairs(
         spark.createDataFrame(texts, "text_id int, text string"),
         spark.createDataFrame(items, "item_id int, item_text string"),
-        broadcast_bytes=limit,
     )
     assert sorted(map(tuple, found.collect())) == expected
 
@@ -124,8 +122,8 @@ def _prefix_pairs(lists):
     )
 
 
-@pytest.mark.parametrize("blocked, over", [(False, 0), (True, 0), (True, 4), (True, 99)])
-def test_prefix_lists_equal_brute_force(spark, rows, blocked, over):
+@pytest.mark.parametrize("blocked", [False, True])
+def test_prefix_lists_equal_brute_force(spark, rows, blocked):
     rng = random.Random(5)
     lists = {
         (g, i): [rng.choice("ab") for _ in range(rng.randint(1, 9))]
@@ -140,7 +138,7 @@ def test_prefix_lists_equal_brute_force(spark, rows, blocked, over):
     rng.shuffle(elements)
     df = spark.createDataFrame(elements, "g string, i int, pos int, v string")
     block = F.floor(F.col("pos") / 2) if blocked else None
-    found = pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block, over)
+    found = pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block, all_pairs=True)
     assert rows(found) == _prefix_pairs(lists)
 
 
@@ -152,8 +150,8 @@ def test_prefix_lists_keep_elements_without_an_order(spark, rows, blocked):
         "g string, i int, pos int, v string",
     )
     block = F.floor(F.col("pos") / 2) if blocked else None
-    found = pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block, split_over=0)
-    assert rows(found) == [("g", 1, 2)]
+    found = pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block)
+    assert rows(found) == [("g", 1, 2, 1)]
 
 
 def test_latest_run_keeps_entities_without_runs(spark, rows):
@@ -187,3 +185,73 @@ def test_fragmentation_boundaries(spark, rows):
     df = spark.createDataFrame(data, "g string, o int, v int")
     found = pl.clustering_fragmentation(df, "g", ["o"], "v", min_rows=10)
     assert rows(found) == [("some", 10, 20.0, "REORGANIZE"), ("thirty", 10, 30.0, "REBUILD")]
+
+
+def test_covered_lists_count_equal_ones_once_each(spark, rows):
+    """Equal lists are one class inside, and as many rows and coverers as they are."""
+    lists = {1: "a", 2: "a", 3: "ab", 4: "ab", 5: "abc", 6: "b"}
+    data = [("g", i, n, v) for i, text in lists.items() for n, v in enumerate(text)]
+    df = spark.createDataFrame(data, "g string, i int, pos int, v string")
+    expected = [("g", 1, 3, 3), ("g", 2, 3, 3), ("g", 3, 5, 1), ("g", 4, 5, 1)]
+    for block in (None, F.floor(F.col("pos") / 2)):
+        assert rows(pl.prefix_covered_lists(df, "g", "i", ["pos"], "v", block)) == expected
+
+
+def test_a_block_against_the_order_raises(spark):
+    df = spark.range(10).select(F.lit("g").alias("g"), F.lit(1).alias("i"), "id", F.lit("v").alias("v"))
+    block = -F.floor(F.col("id") / 3)
+    with pytest.raises(Exception, match="decreases along the order"):
+        pl.prefix_covered_lists(df, "g", "i", ["id"], "v", block).collect()
+    with pytest.raises(Exception, match="decreases along the order"):
+        pl.clustering_fragmentation(df, "g", ["id"], "v", 1, block=block).collect()
+
+
+def test_containment_of_null_and_repeated_ids(spark, rows):
+    texts = spark.createDataFrame(
+        [(None, "one two three four five six"), (1, "zero one two three four five six"),
+         (1, "one two three four five six seven"), (2, "else")],
+        "text_id int, text string",
+    )
+    items = spark.createDataFrame([(7, "two three four five")], "item_id int, item_text string")
+    assert rows(containment_pairs(texts, items)) == [(1, 7), (None, 7)]
+
+
+def test_short_items_of_common_words_make_few_candidates(spark):
+    """300 items and 1000 texts that share their middle word only: one row per run pair at most."""
+    texts = spark.range(1000).selectExpr("id AS text_id", "concat('t', id, ' the u', id) AS text")
+    items = spark.range(300).selectExpr("id AS item_id", "concat('w', id, ' the v', id) AS item_text")
+    found = containment_pairs(texts, items)
+    assert found.count() == 0
+    more = items.unionByName(
+        spark.createDataFrame([(999, "t7 the u7")], "item_id bigint, item_text string")
+    )
+    assert sorted(map(tuple, containment_pairs(texts, more).collect())) == [(7, 999)] + [
+        (n, 999) for n in range(10, 1000) if str(n).endswith("7") and f"t{n} the u{n}".find("t7 the u7") >= 0
+    ]
+
+
+def test_latest_run_does_not_sort_the_log(spark):
+    log = spark.range(100).selectExpr("id % 7 AS job", "id AS at", "id AS seq")
+    jobs = spark.range(7)
+    plan = pl.latest_run(jobs, log, ("id", "job"), ["at"], ["seq"])
+    text = plan._jdf.queryExecution().sparkPlan().toString()
+    over_log = text[text.index("functions=[max(_order0") :]
+    assert "SortAggregate" not in over_log and "HashAggregate" in over_log
+
+
+@pytest.mark.parametrize("order", [["at"], ["at", "seq"]])
+def test_latest_run_breaks_ties_and_keeps_nulls_last(spark, rows, order):
+    jobs = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    runs = spark.createDataFrame(
+        [(1, 5, 1), (1, 5, 3), (1, None, 9), (2, None, None)], "id int, at int, seq int"
+    )
+    found = pl.latest_run(jobs, runs, ("id", "id"), order, ["seq", "at"])
+    assert rows(found) == [(1, 3, 5, False), (2, None, None, False), (3, None, None, True)]
+
+
+def test_grants_join_on_keys_of_one_name(spark, rows):
+    facts = spark.createDataFrame([(1, 10)], "id int, obj int")
+    people = spark.createDataFrame([(1, "ann")], "id int, who string")
+    things = spark.createDataFrame([(10, "box")], "obj int, what string")
+    found = pl.grant_listing(facts, people, things, ("id", "id"), ("obj", "obj"), {}, ["id"])
+    assert rows(found, "id", "who", "obj", "what") == [(1, "ann", 10, "box")]

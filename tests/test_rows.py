@@ -34,11 +34,36 @@ def test_object_listing_filters_are_literal(spark, rows):
         pl.object_listing(entities, type_filter="index")
 
 
-@pytest.mark.parametrize("asked, given", [(0, 1), (7, 7), (500, 100)])
-def test_sample_is_clamped(spark, asked, given):
+@pytest.mark.parametrize("asked, given", [(7, 7), (120, 120), (500, 150), (None, 150)])
+def test_sample_gives_what_is_asked(spark, asked, given):
     assert pl.sample_rows(spark.range(150), ["id"], n=asked).count() == given
 
 
+def test_sample_of_no_rows_is_refused(spark):
+    with pytest.raises(ValueError):
+        pl.sample_rows(spark.range(5), ["id"], n=0)
+
+
+def test_run_reports_join_on_keys_of_one_name(spark, rows):
+    jobs = spark.createDataFrame([(1, "load")], "id int, name string")
+    runs = spark.createDataFrame(
+        [(1, datetime(2024, 1, 2), 1, 0, 13005)],
+        "id int, at timestamp_ntz, step int, status int, took int",
+    )
+    failed = pl.recent_failures(jobs, runs, ("id", "id"), F.col("status") == 0, "at")
+    assert rows(failed, "id", "name") == [(1, "load")]
+    history = pl.run_history(
+        jobs, runs, ("id", "id"), "name", "load", "at", "step", "status", duration="took"
+    )
+    assert rows(history, "id", "status_label", "duration_seconds") == [(1, "FAILED", 5405)]
+
+
+def test_markers_do_not_match_an_expanded_upper_case(spark, rows):
+    df = spark.createDataFrame([(1, "pa\u00dfword"), (2, "PASSWORD")], "id int, t string")
+    found = pl.text_complexity(df, "t", {"m": ["password"]}, ["m"])
+    assert rows(found, "id", "has_m") == [(1, False), (2, True)]
+
+
 def test_sample_cuts_long_values_and_shows_nulls(spark, rows):
     df = spark.createDataFrame(
         [(1, "x" * 30), (2, "x" * 31), (3, None)], "id int, t string"
