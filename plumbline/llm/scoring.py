@@ -49,7 +49,8 @@ ORDERS = len(SLOTS)
 #: Tokens are spelled in parts of at most so many bytes, each a lane of its own.
 LONGEST = 32
 _OPEN, _GOES_ON = 0x20, 0x09
-_TEXT_AT_ONCE = 1 << 23
+_TEXT_AT_ONCE = 1 << 24
+_TILT_STEPS = 25
 _LANES = 1 << 13
 _BINS = 33
 _BIN_SPAN = 8.0
@@ -275,9 +276,22 @@ def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
 
 
 _ROWS = (
-    "batch string, tokens array<binary>, uses array<array<bigint>>, ids array<{id}>, "
+    "batch bigint, tokens array<binary>, uses binary, ids array<bigint>, "
     "held_out array<boolean>, n_pairs array<bigint>, token binary, times binary"
 )
+_KIND_NAMES = [f"kind_{n}" for n in range(KINDS)]
+
+
+def packed_tilts(tilted: np.ndarray) -> np.ndarray:
+    """Tilts as one bigint, a byte for the log10 of each kind, in steps of 1/_TILT_STEPS."""
+    steps = np.clip(np.rint(np.log10(tilted) * _TILT_STEPS), -127, 127).astype(np.int8)
+    return np.ascontiguousarray(steps).view("<i8").reshape(-1)
+
+
+def unpacked_tilts(packed: np.ndarray) -> np.ndarray:
+    """log10 of the tilts, as they were packed."""
+    steps = np.ascontiguousarray(packed.astype("<i8")).view(np.int8).reshape(-1, KINDS)
+    return steps.astype(float) / _TILT_STEPS
 
 
 def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
@@ -301,8 +315,10 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             filled = pc.greater(pc.binary_length(flat), 0)
             flat, owner = flat.filter(filled), owner[filled.to_numpy(zero_copy_only=False)]
             coded = flat.dictionary_encode()
-            different = [w.encode() for w in coded.dictionary.to_pylist()]
-            n, end = part.num_rows, len(different)
+            different = pa.concat_arrays(
+                [coded.dictionary.cast(pa.binary()), pa.array([b""], pa.binary())]
+            )
+            n, end = part.num_rows, len(different) - 1
             pairs = np.concatenate([
                 owner.astype(np.int64) * (end + 1) + coded.indices.to_numpy(),
                 np.arange(n, dtype=np.int64) * (end + 1) + end,  # one end for each document
@@ -314,19 +330,48 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             # The most frequent token; of several, the one met first in this row.
             top = np.lexsort((token, -times, document))
             top = top[np.concatenate([[0], np.flatnonzero(np.diff(document[top])) + 1])]
-            kind = np.array([zlib.crc32((*different, b"")[t]) % KINDS for t in token[top]])
+            most = different.take(pa.array(token[top])).to_pylist()
+            kind = np.array([zlib.crc32(name) % KINDS for name in most], np.int64)
             cell = token[learned] * KINDS + kind[document[learned]]
             uses = np.bincount(cell, times[learned], (end + 1) * KINDS).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([[*different, b""]], pa.list_(pa.binary())),
-                 pa.array([uses.reshape(-1, KINDS).tolist()]), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
+                [pa.array([uuid.uuid4().int >> 65]),
+                 pa.ListArray.from_arrays(pa.array([0, end + 1], pa.int32()), different),
+                 pa.array([pack(uses.astype("<i8").tobytes())]),
+                 pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([held.tolist()]), pa.array([np.bincount(document, minlength=n)]),
                  pa.array([pack(token.astype("<u4").tobytes())]),
                  pa.array([pack(times.astype("<u4").tobytes())])],
                 ["batch", "tokens", "uses", "ids", "held_out", "n_pairs", "token", "times"],
             )
 
-    return source.mapInArrow(rows, _ROWS.format(id="bigint"))
+    return source.mapInArrow(rows, _ROWS)
+
+
+def _asked(rows: DataFrame, with_uses: bool) -> DataFrame:
+    """(batch, place, token) of every token of every row, or (token, its uses by kind)."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tokens = batch.column("tokens")[row].values
+                if with_uses:
+                    packed = batch.column("uses")[row].as_py()
+                    uses = np.frombuffer(zstandard.decompress(packed), "<i8").reshape(-1, KINDS)
+                    columns = [pa.array(np.ascontiguousarray(uses[:, n])) for n in range(KINDS)]
+                    made = pa.RecordBatch.from_arrays([tokens, *columns], ["token", *_KIND_NAMES])
+                else:
+                    number = np.full(len(tokens), batch.column("batch")[row].as_py(), np.int64)
+                    place = np.arange(len(tokens), dtype=np.int32)
+                    made = pa.RecordBatch.from_arrays(
+                        [pa.array(number), pa.array(place), tokens], ["batch", "place", "token"]
+                    )
+                yield from (made.slice(a, 20_000) for a in range(0, made.num_rows, 20_000))
+
+    if with_uses:
+        columns = ", ".join(f"{k} bigint" for k in _KIND_NAMES)
+        return rows.select("tokens", "uses").mapInArrow(flat, f"token binary, {columns}")
+    return rows.select("batch", "tokens").mapInArrow(flat, "batch bigint, place int, token binary")
 
 
 def _gathered_bits(counted: DataFrame) -> np.ndarray:
@@ -416,12 +461,8 @@ def score_texts(
     """
     spark = docs.sparkSession
     rows = written(_token_rows(docs, id_col, text_col, held_out), "tokens")
-    asked = rows.select("batch", F.posexplode(F.arrays_zip("tokens", "uses")).alias("place", "t"))
-    asked = asked.select("batch", "place", F.col("t.tokens").alias("token"), "t.uses")
-    kinds = [f"kind_{n}" for n in range(KINDS)]
-    counted = asked.groupBy("token").agg(
-        *[F.sum(F.get("uses", F.lit(n))).alias(kind) for n, kind in enumerate(kinds)]
-    )
+    kinds = _KIND_NAMES
+    counted = _asked(rows, True).groupBy("token").agg(*[F.sum(k).alias(k) for k in kinds])
     counted = written(counted.withColumn("uses", sum((F.col(k) for k in kinds), F.lit(0))), "counts")
     totals = counted.agg(
         *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds],
@@ -442,33 +483,37 @@ def score_texts(
         for part in by_size(batches, "token", 1 << 20):
             found = mixer.log10(part.column("token").to_pylist(), odds, trust)
             by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
-            tilted = tilts(by_kind, kind_totals)
+            packed = packed_tilts(tilts(by_kind, kind_totals))
+            # What tilting adds to the sum of probabilities; unknown tokens are not tilted.
+            known = part.column("uses").to_numpy() > 0
+            mass = np.where(known, 10.0**found, 0.0)
+            added = mass[:, None] * (10 ** unpacked_tilts(packed) - 1)
+            total = added.sum(axis=0)
             yield pa.RecordBatch.from_arrays(
-                [part.column("token"), part.column("uses"), pa.array(found),
-                 *[pa.array(tilted[:, n].astype("<f4")) for n in range(KINDS)]],
-                ["token", "uses", "score", *kinds],
+                [part.column("token"), part.column("uses"), pa.array(found), pa.array(packed),
+                 *[pa.array(np.append(total[n], np.zeros(len(found) - 1))) for n in range(KINDS)]],
+                ["token", "uses", "score", "tilts", *kinds],
             )
 
-    tilt_schema = ", ".join(f"{k} float" for k in kinds)
+    sums = ", ".join(f"{k} double" for k in kinds)
     scored = written(
-        counted.mapInArrow(score, f"token binary, uses bigint, score double, {tilt_schema}"),
+        counted.mapInArrow(
+            score, f"token binary, uses bigint, score double, tilts bigint, {sums}"
+        ),
         "scores",
     )
-    # What tilting adds to the sum of all probabilities; unknown tokens are not tilted.
-    added = scored.filter("uses > 0").agg(
-        *[F.sum(F.pow(F.lit(10.0), "score") * (F.col(k) - 1)).alias(k) for k in kinds]
-    ).first()
-    whole = np.array([1 + (added[k] or 0.0) for k in kinds])
-    answers = asked.select("batch", "place", "token").join(scored, "token").select(
-        "batch", "place", "uses", "score", F.octet_length("token").alias("size"), *kinds
-    )
+    added = scored.agg(*[F.sum(k).alias(k) for k in kinds]).first()
+    whole = np.log10([1 + (added[k] or 0.0) for k in kinds])
+    answers = _asked(rows, False).join(
+        scored.select("token", "uses", "score", "tilts"), "token"
+    ).select("batch", "place", "uses", "score", "tilts", F.octet_length("token").alias("size"))
 
     def total(key, answers_: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         if row.empty:
             return pd.DataFrame(columns=names)
         answers_ = answers_.sort_values("place")
         uses = answers_["uses"].to_numpy()
-        tilted = np.log10(answers_[kinds].to_numpy().astype(float) / whole)
+        tilted = unpacked_tilts(answers_["tilts"].to_numpy()) - whole
         scores = answers_["score"].to_numpy()[:, None] + tilted
         sizes = answers_["size"].to_numpy() + 1
         base = np.log10(uses + 0.1) - floor
