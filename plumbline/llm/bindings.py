@@ -13,6 +13,7 @@ from plumbline.llm.embedding_dedup import embedding_components
 from plumbline.llm.fingerprints import edit_likeness
 from plumbline.llm.language import identify_language, train_language
 from plumbline.llm.mixing import mix_rates, plan_mix
+from plumbline.llm.oracles import ORACLE
 from plumbline.llm.quality import remainder, score_quality, train_quality
 from plumbline.llm.scoring import score_texts
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
@@ -141,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
