@@ -117,8 +117,7 @@ def containment_pairs(texts: DataFrame, items: DataFrame) -> DataFrame:
     id. Null and empty items are in no text.
 
     The run sizes the items need reach the driver as one row. Texts are then reduced to
-    (id, run); which of an item's runs is its key is decided by how often each occurs in
-    the texts, so a run of common words makes no candidates. Texts are fetched for the
+    (id, run) in one pass, matched with one run per item, and fetched again for the
     candidates alone. No side is broadcast by a hint: adaptive execution does so if what
     it has measured is small.
     """
@@ -131,16 +130,19 @@ def containment_pairs(texts: DataFrame, items: DataFrame) -> DataFrame:
         item_type = items.schema["item_id"].dataType
         return nothing.withColumn("item_id", F.lit(None).cast(item_type))
 
+    # The run that fewest items share keeps what many items say from being a hot key.
     item_runs = _item_runs(sized, used)
-    asked = item_runs.select("run").distinct()
-    found = _text_runs(texts, used).select("text_id", "run").join(asked, "run")
-    frequency = found.groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
-    # An item whose every run is in some text is keyed by the rarest; any other is in none.
-    ranked = item_runs.join(frequency, "run", "left").groupBy("item_id", "item_text").agg(
-        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("key")
+    frequency = item_runs.groupBy(F.col("run").alias("_run")).agg(
+        F.count(F.lit(1)).alias("shared_by")
+    )
+    ranked = item_runs.join(frequency, F.col("run") == F.col("_run")).groupBy(
+        "item_id", "item_text"
+    ).agg(F.min(F.struct("shared_by", "run")).alias("key"))
+    keys = ranked.select("item_id", "item_text", "key.run")
+    candidates = (
+        _text_runs(texts, used).select("text_id", "run").join(keys, "run")
+        .select("text_id", "item_id", "item_text").distinct()
     )
-    keys = ranked.filter(F.col("key.texts") > 0).select("item_id", "item_text", "key.run")
-    candidates = found.join(keys, "run").select("text_id", "item_id", "item_text").distinct()
     named = texts.withColumnRenamed("text_id", "_id")
     checked = candidates.join(named, F.col("text_id").eqNullSafe(F.col("_id")))
     return (
