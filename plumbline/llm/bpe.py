@@ -25,7 +25,7 @@ from plumbline.llm.pieces import gather, word_pieces
 NO_PAIR = 1 << 62
 _POSITION_BITS = 32
 #: Pieces a Python worker keeps; beyond it the table is emptied, which changes no result.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 200_000
 
 
 def _byte_alphabet() -> list[str]:
@@ -215,7 +215,7 @@ def bpe_encode(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(tokenizer)
-        for part in by_size(batches):
+        for part in by_size(batches, most=1 << 20):
             coded = model.encode(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("id"), _binary(*coded)], ["id", "ids"])
 
@@ -233,7 +233,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(tokenizer)
-        for part in by_size(batches, "ids"):
+        for part in by_size(batches, "ids", 1 << 20):
             rows = [x or b"" for x in part.column("ids").to_pylist()]
             counts = np.array([len(x) // 4 for x in rows], np.int64)
             texts = model.decode(np.frombuffer(b"".join(rows), "<u4"), counts)
