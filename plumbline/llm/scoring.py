@@ -51,7 +51,7 @@ LONGEST = 32
 _OPEN, _GOES_ON = 0x20, 0x09
 _TEXT_AT_ONCE = 1 << 24
 _TILT_STEPS = 25
-_LANES = 1 << 13
+_LANES = 1 << 15
 _BINS = 33
 _BIN_SPAN = 8.0
 _SEGMENTS = 64
@@ -85,45 +85,61 @@ def _parts(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return spelled, np.array(owner, np.int64), np.array(first, bool)
 
 
-def _lanes(spelled: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of parts of like length, their bytes as a matrix, and their lengths."""
-    lengths = np.array([len(s) for s in spelled])
-    order = np.argsort(-lengths, kind="stable")
-    for a in range(0, order.size, _LANES):
-        rows = order[a : a + _LANES]
-        width = int(lengths[rows[0]])
+def _lanes(
+    spelled: list[bytes],
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of parts in their order as bytes: the bytes as a matrix, lengths, shared beginnings.
+
+    Parts that begin alike have the same contexts there; ``shared`` is how many bytes a
+    part has in common with the one before it, so each beginning is worked out once.
+    """
+    order = sorted(range(len(spelled)), key=spelled.__getitem__)
+    for a in range(0, len(order), _LANES):
+        rows = np.array(order[a : a + _LANES])
+        lengths = np.array([len(spelled[r]) for r in rows])
+        width = int(lengths.max())
         matrix = np.frombuffer(
             b"".join(spelled[r].ljust(width, b"\0") for r in rows), np.uint8
         ).reshape(-1, width)
-        yield rows, matrix, lengths[rows]
+        shared = np.zeros(len(rows), np.int64)
+        alike = np.logical_and.accumulate(matrix[1:] == matrix[:-1], axis=1).sum(axis=1)
+        shared[1:] = np.minimum(alike, np.minimum(lengths[1:], lengths[:-1]))
+        yield rows, matrix, lengths, shared
 
 
-def _walk(matrix: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every bit of every byte: lanes (a leading range), slots (lanes, orders), bits."""
+def _walk(
+    matrix: np.ndarray, lengths: np.ndarray, shared: np.ndarray
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every bit of every byte, for every different beginning: its slots and its bit.
+
+    With them come the rows that still go on there, and the first row of each beginning;
+    the rows after it, up to the next first row, have the same beginning.
+    """
     n, width = matrix.shape
     whole = np.zeros(n, np.uint64)
-    past = np.zeros(n, np.uint64)
     salt = np.arange(1, ORDERS + 1, dtype=np.uint64) * _M2
     for at in range(1, width):
-        live = int(np.searchsorted(-lengths, -at))  # lanes are sorted, longest first
-        before = matrix[:live, at - 1].astype(np.uint64)
-        whole = (whole[:live] + before + np.uint64(1)) * _M1
+        going = lengths > at
+        first = np.flatnonzero(going & (shared <= at))
+        whole = (whole + matrix[:, at - 1] + np.uint64(1)) * _M1
         whole ^= whole >> np.uint64(29)
-        past = (past[:live] << np.uint64(8)) | before
-        contexts = np.empty((live, ORDERS), np.uint64)
+        contexts = np.empty((first.size, ORDERS), np.uint64)
         contexts[:, 0] = min(at, 8)
+        past = np.zeros(first.size, np.uint64)
         for order in range(1, 5):
-            contexts[:, order] = past & np.uint64((1 << 8 * order) - 1)
-        contexts[:, 5] = whole
+            if order <= at:
+                past |= matrix[first, at - order].astype(np.uint64) << np.uint64(8 * (order - 1))
+            contexts[:, order] = past
+        contexts[:, 5] = whole[first]
         contexts = (contexts + salt) * _M1
         contexts ^= contexts >> np.uint64(31)
-        byte = matrix[:live, at].astype(np.int64)
-        node = np.ones(live, np.int64)
+        byte = matrix[first, at].astype(np.int64)
+        node = np.ones(first.size, np.int64)
         for bit in range(7, -1, -1):
             hashed = (contexts + node.astype(np.uint64)[:, None] * _M2) * _M1
             slots = (hashed >> _SHIFT).astype(np.int64) + _FIRST[:-1]
             value = (byte >> bit) & 1
-            yield bit, slots, value
+            yield bit, slots, value, going, first
             node = 2 * node + value
 
 
@@ -132,13 +148,12 @@ def count_bits(tokens: list[bytes], uses: np.ndarray) -> np.ndarray:
     table = np.zeros((_FIRST[-1], 2), np.float32)
     spelled, owner, _ = _parts(tokens)
     flat = table.reshape(-1)
-    for rows, matrix, lengths in _lanes(spelled):
+    for rows, matrix, lengths, shared in _lanes(spelled):
         weight = uses[owner[rows]].astype(np.float32)
-        for _, slots, value in _walk(matrix, lengths):
-            live = len(value)
-            np.add.at(
-                flat, (slots * 2 + value[:, None]).reshape(-1), np.repeat(weight[:live], ORDERS)
-            )
+        for bit, slots, value, going, first in _walk(matrix, lengths, shared):
+            if bit == 7:
+                some = np.add.reduceat(weight * going, first)
+            np.add.at(flat, (slots * 2 + value[:, None]).reshape(-1), np.repeat(some, ORDERS))
     return table
 
 
@@ -171,6 +186,13 @@ def _bins(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
+def _spread(values: np.ndarray, first: np.ndarray, going: np.ndarray) -> np.ndarray:
+    """Each beginning's value for all rows that have it, 0 for rows that have ended."""
+    place = np.zeros(going.size, np.int64)
+    place[first] = 1
+    return np.where(going, values[np.maximum(np.cumsum(place) - 1, 0)], 0.0)
+
+
 class Mixer:
     """Weights per gate and outcome counts per gate and bin."""
 
@@ -195,15 +217,16 @@ class Mixer:
         uses = uses[known].astype(np.float32)
         spelled, owner, _ = _parts(tokens)
         flat = self.outcomes.reshape(-1)
-        for rows, matrix, lengths in _lanes(spelled):
+        for rows, matrix, lengths, shared in _lanes(spelled):
             weight = uses[owner[rows]]
-            for bit, slots, value in _walk(matrix, lengths):
+            for bit, slots, value, going, first in _walk(matrix, lengths, shared):
+                if bit == 7:
+                    some = np.add.reduceat(weight * going, first)
                 live = np.arange(len(value))
                 counts = table[slots]
                 counts[live, :, value] = np.maximum(counts[live, :, value] - 1, 0)
                 inputs, gate = _stretch(counts), _gate(_trust(counts.sum(axis=2)), bit)
                 p = _mixed(inputs, self.weights[gate])
-                some = weight[: len(value)]
                 slope = inputs * ((value - p) * some)[:, None]
                 mass = np.maximum(np.bincount(gate, some, _GATES), 1e-9)
                 for order in range(ORDERS):
@@ -219,12 +242,15 @@ class Mixer:
         """log10 of every token's probability, from the slots' log odds and trust."""
         spelled, owner, _ = _parts(tokens)
         per_part = np.zeros(len(spelled))
-        for rows, matrix, lengths in _lanes(spelled):
+        for rows, matrix, lengths, shared in _lanes(spelled):
             total = np.zeros(len(rows))
-            for bit, slots, value in _walk(matrix, lengths):
+            for bit, slots, value, going, first in _walk(matrix, lengths, shared):
                 gate = _gate(trust[slots], bit)
                 p = self.refined(_mixed(odds[slots], self.weights[gate]), gate)
-                total[: len(value)] += np.log10(np.where(value == 1, p, 1 - p))
+                told = np.log10(np.where(value == 1, p, 1 - p))
+                byte = told if bit == 7 else byte + told
+                if bit == 0:
+                    total += _spread(byte, first, going)
             per_part[rows] = total
         return np.bincount(owner, per_part, len(tokens))
 
@@ -380,7 +406,7 @@ def _gathered_bits(counted: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for part in by_size(batches, "token", 1 << 20):
+        for part in by_size(batches, "token", 1 << 21):
             uses = part.column("uses").to_numpy()
             tokens = [t for t, n in zip(part.column("token").to_pylist(), uses) if n]
             if tokens:
@@ -415,7 +441,7 @@ def _learned_mixer(counted: DataFrame, table) -> Mixer:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, mass = Mixer(), 0.0
-        for part in by_size(batches, "token", 1 << 20):
+        for part in by_size(batches, "token", 1 << 21):
             uses = part.column("uses").to_numpy()
             mixer.learn(part.column("token").to_pylist(), uses, table.value)
             mass += float(uses.sum())
@@ -463,7 +489,9 @@ def score_texts(
     rows = written(_token_rows(docs, id_col, text_col, held_out), "tokens")
     kinds = _KIND_NAMES
     counted = _asked(rows, True).groupBy("token").agg(*[F.sum(k).alias(k) for k in kinds])
-    counted = written(counted.withColumn("uses", sum((F.col(k) for k in kinds), F.lit(0))), "counts")
+    counted = counted.withColumn("uses", sum((F.col(k) for k in kinds), F.lit(0)))
+    # In order, so that the tokens a task has at once begin alike.
+    counted = written(counted.sortWithinPartitions("token"), "counts")
     totals = counted.agg(
         *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds],
         F.count_if(F.col("uses") > 0).alias("known"),
@@ -480,7 +508,7 @@ def score_texts(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, trust = slot_odds(table.value)
-        for part in by_size(batches, "token", 1 << 20):
+        for part in by_size(batches, "token", 1 << 21):
             found = mixer.log10(part.column("token").to_pylist(), odds, trust)
             by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
             packed = packed_tilts(tilts(by_kind, kind_totals))
