@@ -234,7 +234,7 @@ def edit_likeness(
         if held is not None:
             yield aside("tail", held[0], held[1])
 
-    ordered = source.repartitionByRange(F.desc("id"), F.desc("text")).sortWithinPartitions(
+    ordered = source.repartitionByRange(F.desc("id")).sortWithinPartitions(
         F.desc("id"), F.desc("text")
     )
     done = written(
