@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.args import named_column
-from plumbline.llm.common import by_size, gathered, ship_package, written
+from plumbline.llm.common import gathered, ship_package, written
 
 #: Slots per predictor, as powers of two: position, 1 to 4 bytes, the whole token so far.
 SLOTS = (16, 16, 19, 20, 21, 21)
@@ -50,8 +50,9 @@ ORDERS = len(SLOTS)
 LONGEST = 32
 _OPEN, _GOES_ON = 0x20, 0x09
 _TEXT_AT_ONCE = 1 << 24
-_TILT_STEPS = 25
+_TILT_STEPS = 32
 _LANES = 1 << 15
+_LEARNED_AT_ONCE = 1 << 12
 _BINS = 33
 _BIN_SPAN = 8.0
 _SEGMENTS = 64
@@ -210,13 +211,22 @@ class Mixer:
         table = (1 - part) * seen[gate, low] + part * seen[gate, low + 1]
         return np.clip((p + table) / 2, _CERTAIN, 1 - _CERTAIN)
 
-    def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.1):
+    def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.02):
         """One online pass; every use is predicted from the counts of all other uses."""
         known = uses > 0
         tokens = [t for t, k in zip(tokens, known) if k]
         uses = uses[known].astype(np.float32)
-        spelled, owner, _ = _parts(tokens)
         flat = self.outcomes.reshape(-1)
+        # Mixed well and in small groups, so that no step sees one corner of the tokens only.
+        order = np.random.default_rng(len(tokens)).permutation(len(tokens))
+        for a in range(0, order.size, _LEARNED_AT_ONCE):
+            some_tokens = order[a : a + _LEARNED_AT_ONCE]
+            self._learn_group(
+                [tokens[n] for n in some_tokens], uses[some_tokens], table, rate, flat
+            )
+
+    def _learn_group(self, tokens, uses, table, rate, flat) -> None:
+        spelled, owner, _ = _parts(tokens)
         for rows, matrix, lengths, shared in _lanes(spelled):
             weight = uses[owner[rows]]
             for bit, slots, value, going, first in _walk(matrix, lengths, shared):
@@ -406,7 +416,7 @@ def _gathered_bits(counted: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for part in by_size(batches, "token", 1 << 21):
+        for part in gathered(batches, "token", 1 << 20):
             uses = part.column("uses").to_numpy()
             tokens = [t for t, n in zip(part.column("token").to_pylist(), uses) if n]
             if tokens:
@@ -440,11 +450,13 @@ def _learned_mixer(counted: DataFrame, table) -> Mixer:
     """Every task learns from its tokens; weights are averaged by uses, outcomes added."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, mass = Mixer(), 0.0
-        for part in by_size(batches, "token", 1 << 21):
-            uses = part.column("uses").to_numpy()
-            mixer.learn(part.column("token").to_pylist(), uses, table.value)
-            mass += float(uses.sum())
+        # All of the task's sample at once, about mixer_tokens at most: it comes in order.
+        mixer, tokens, uses = Mixer(), [], []
+        for batch in batches:
+            tokens.extend(batch.column("token").to_pylist())
+            uses.extend(batch.column("uses").to_pylist())
+        mixer.learn(tokens, np.array(uses, np.int64), table.value)
+        mass = float(sum(uses))
         yield pa.RecordBatch.from_arrays(
             [pa.array([mass]), pa.array([mixer.weights.tobytes()]),
              pa.array([mixer.outcomes.tobytes()])],
@@ -508,7 +520,7 @@ def score_texts(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, trust = slot_odds(table.value)
-        for part in by_size(batches, "token", 1 << 21):
+        for part in gathered(batches, "token", 1 << 20):
             found = mixer.log10(part.column("token").to_pylist(), odds, trust)
             by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
             packed = packed_tilts(tilts(by_kind, kind_totals))
