@@ -15,13 +15,20 @@ tokens, n of them this one, the next is it with probability (n + a p) / (t + a).
 paces a are mixed, their weights again set by how well each has predicted the document;
 such a product depends on the document's token counts alone.
 
+Word order enters through the token before: in the training texts the token b came c times
+and this token c' times right after it, so it is next with probability
+(c' + s e) / (c + s), where e is each of the adapted probabilities above and s grows with
+c. These are mixed with the others in the same way, by how well they predict the document.
+
 What grows with the corpus stays distributed:
 
 - texts become rows of many documents at a time: their different tokens, and which
   document has which token how often;
 - tokens are counted over all such rows, and bit counts gathered from all tokens;
 - each token's count and probability goes back to the rows that asked for it. A frequent
-  token is asked for once per row, not once per document.
+  token is asked for once per row, not once per document;
+- pairs of tokens in sequence are counted exactly, by a hash of 64 bits: each row sends its
+  different pairs to the tasks that their hashes fall to, and gets back their counts.
 
 The bit counts are the one thing every task has whole; their size is fixed by ``SLOTS``.
 """
@@ -37,6 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -62,6 +70,10 @@ _CERTAIN = 1e-7
 _PRIOR = 0.4
 #: Paces of adapting to a document: tokens until its own counts weigh as much as the model.
 PACES = (10.0, 100.0, 400.0, 2000.0, 20000.0)
+#: Weights of the adapted probability next to the counts after a token: times the root of its uses.
+STRENGTHS = (1.0, 4.0)
+_PAIRS_AT_ONCE = 1 << 21
+_PLACES_AT_ONCE = 1 << 15
 #: Kinds of documents, by their most frequent token; token frequencies are kept for each.
 KINDS = 8
 # Odd multipliers of published 64-bit mixers (splitmix64).
@@ -304,6 +316,63 @@ def adapted(scores: np.ndarray, times: np.ndarray, owner: np.ndarray, n: int) ->
     return (np.logaddexp.reduce(found, axis=0) - math.log(len(found))) / math.log(10)
 
 
+def earlier(sequence: np.ndarray, owner: np.ndarray, different: int) -> np.ndarray:
+    """How often each position's token came before it in its document."""
+    key = owner * different + sequence
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    found = np.empty(key.size, np.int64)
+    found[order] = np.arange(key.size) - np.repeat(start, np.diff(np.append(start, key.size)))
+    return found
+
+
+def followed(
+    scores: np.ndarray, sequence: np.ndarray, owner: np.ndarray, n: int,
+    together: np.ndarray, before: np.ndarray,
+) -> np.ndarray:
+    """log10 of each document's probability in its order, each token predicted from the one before.
+
+    ``scores`` has a row for each token and a column for each kind of document,
+    ``sequence`` the tokens of all positions, document by document. Of each position,
+    ``together`` is how often its token came after the one before it in training, and
+    ``before`` how often that one was there.
+    """
+    spoken = 10.0**scores
+    n_before = earlier(sequence, owner, len(scores)).astype(float)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
+    place = np.arange(owner.size) - np.repeat(first, np.diff(np.append(first, owner.size)))
+    found = np.zeros((scores.shape[1] * len(PACES) * len(STRENGTHS), n))
+    for a in range(0, sequence.size, _PLACES_AT_ONCE):
+        at = slice(a, a + _PLACES_AT_ONCE)
+        own, c, c_before = owner[at], together[at].astype(float), before[at].astype(float)
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
+        # With no use of the token before, what is adapted stands alone.
+        weighed = []
+        for strength in STRENGTHS:
+            s = strength * np.sqrt(1 + c_before)
+            weighed.append((c / (c_before + s), s / (c_before + s)))
+        row = 0
+        for kind in range(scores.shape[1]):
+            p = spoken[sequence[at], kind]
+            for pace in PACES:
+                e = (n_before[at] + pace * p) / (place[at] + pace)
+                for counted, rest in weighed:
+                    told = np.log(np.maximum(counted + rest * e, 1e-300))
+                    found[row, own[starts]] += np.add.reduceat(told, starts)
+                    row += 1
+    return (np.logaddexp.reduce(found, axis=0) - math.log(len(found))) / math.log(10)
+
+
+def pairs_in(sequence: np.ndarray, different: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs (the one before * different + token), and the pair of each position.
+
+    Before a document's first token is the end, the last of the ``different`` tokens, as
+    which the document before it closes.
+    """
+    before = np.concatenate([[different - 1], sequence[:-1]])
+    return np.unique(before * different + sequence, return_inverse=True)
+
+
 def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
     """(tokens, KINDS): how much likelier each token is in a kind, before normalizing."""
     total = by_kind.sum(axis=1, keepdims=True)
@@ -313,7 +382,7 @@ def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
 
 _ROWS = (
     "batch bigint, tokens array<binary>, uses binary, ids array<bigint>, "
-    "held_out array<boolean>, n_pairs array<bigint>, token binary, times binary"
+    "held_out array<boolean>, n_tokens array<bigint>, sequence binary, n_pairs bigint"
 )
 _KIND_NAMES = [f"kind_{n}" for n in range(KINDS)]
 
@@ -361,6 +430,11 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             ])
             pairs, times = np.unique(pairs, return_counts=True)
             document, token = np.divmod(pairs, end + 1)
+            n_tokens = np.bincount(owner, minlength=n) + 1
+            sequence = np.full(int(n_tokens.sum()), end, np.int64)
+            inner = np.ones(sequence.size, bool)
+            inner[np.cumsum(n_tokens) - 1] = False
+            sequence[inner] = coded.indices.to_numpy()
             held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             learned = ~held[document]
             # The most frequent token; of several, the one met first in this row.
@@ -375,10 +449,10 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
                  pa.ListArray.from_arrays(pa.array([0, end + 1], pa.int32()), different),
                  pa.array([pack(uses.astype("<i8").tobytes())]),
                  pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
-                 pa.array([held.tolist()]), pa.array([np.bincount(document, minlength=n)]),
-                 pa.array([pack(token.astype("<u4").tobytes())]),
-                 pa.array([pack(times.astype("<u4").tobytes())])],
-                ["batch", "tokens", "uses", "ids", "held_out", "n_pairs", "token", "times"],
+                 pa.array([held.tolist()]), pa.array([n_tokens]),
+                 pa.array([pack(sequence.astype("<u4").tobytes())]),
+                 pa.array([pairs_in(sequence, end + 1)[0].size])],
+                ["batch", "tokens", "uses", "ids", "held_out", "n_tokens", "sequence", "n_pairs"],
             )
 
     return source.mapInArrow(rows, _ROWS)
@@ -410,6 +484,70 @@ def _asked(rows: DataFrame, with_uses: bool) -> DataFrame:
     return rows.select("batch", "tokens").mapInArrow(flat, "batch bigint, place int, token binary")
 
 
+def _asked_pairs(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, batch, places, hashes, uses): every row's different pairs, cut by their hashes."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tokens = batch.column("tokens")[row].as_py()
+                sequence = zstandard.decompress(batch.column("sequence")[row].as_py())
+                sequence = np.frombuffer(sequence, "<u4").astype(np.int64)
+                pairs, place = pairs_in(sequence, len(tokens))
+                held = np.array(batch.column("held_out")[row].as_py(), bool)
+                held = np.repeat(held, batch.column("n_tokens")[row].values.to_numpy())
+                uses = np.bincount(place[~held], minlength=pairs.size).astype("<i8")
+                own = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+                before, token = np.divmod(pairs, len(tokens))
+                hashes = own[before] * _M1 + own[token]
+                bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order].astype(np.int64)
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+                number = batch.column("batch")[row].as_py()
+                for a, b in zip(starts, np.append(starts[1:], order.size)):
+                    some = order[a:b]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket[a]]), pa.array([number]),
+                         pa.array([pack(np.diff(some, prepend=0).astype("<u4").tobytes())]),
+                         pa.array([hashes[some].astype("<u8").tobytes()]),
+                         pa.array([pack(uses[some].tobytes())])],
+                        ["bucket", "batch", "places", "hashes", "uses"],
+                    )
+
+    return rows.select("batch", "tokens", "held_out", "n_tokens", "sequence").mapInArrow(
+        ask, "bucket bigint, batch bigint, places binary, hashes binary, uses binary"
+    )
+
+
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """(batch, answers): for every row, how often its pairs came in all training texts."""
+    pairs = rows.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n")).first()["n"]
+    asked = _asked_pairs(rows, 1 + pairs // _PAIRS_AT_ONCE)
+
+    def count(found: pd.DataFrame) -> pd.DataFrame:
+        hashes = [np.frombuffer(h, "<u8") for h in found["hashes"]]
+        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        uses = np.concatenate([
+            np.frombuffer(zstandard.decompress(u), "<i8") for u in found["uses"]
+        ])
+        total = np.zeros(which.max() + 1, np.int64)
+        np.add.at(total, which, uses)
+        answers = np.split(total[which], np.cumsum([h.size for h in hashes])[:-1])
+        packed = [zstandard.compress(a.astype("<i8").tobytes(), 1) for a in answers]
+        return pd.DataFrame(
+            {"batch": found["batch"], "places": found["places"], "counts": packed}
+        )
+
+    counted = asked.groupBy("bucket").applyInPandas(
+        count, "batch bigint, places binary, counts binary"
+    )
+    return counted.groupBy("batch").agg(
+        F.collect_list(F.struct("places", "counts")).alias("answers")
+    )
+
+
 def _gathered_bits(counted: DataFrame) -> np.ndarray:
     """The bit counts of all tokens: summed per segment of the table, then put together."""
     bounds = np.linspace(0, _FIRST[-1], _SEGMENTS + 1).astype(np.int64)
@@ -490,7 +628,7 @@ def score_texts(
     base_score (smoothed token frequencies), score (the mixed model) and n_bytes (of the
     tokens with one mark each); total bits per byte are -score * log2(10) / n_bytes.
 
-    Token and bit counts cover all training texts. The mixing weights are fitted on about
+    Token, pair and bit counts cover all training texts. The mixing weights are fitted on about
     ``mixer_tokens`` different tokens, those in one class of a hash. A-Z are lower-cased; tokens are the runs of characters other than ASCII white space
     and one end. Null and empty texts are an end alone. ``held_out`` must not be null.
     Repeated rows stay rows and count as often. With nothing to learn from, all counts are
@@ -558,10 +696,25 @@ def score_texts(
         sizes = answers_["size"].to_numpy() + 1
         base = np.log10(uses + 0.1) - floor
         r = row.iloc[0]
-        token = np.frombuffer(zstandard.decompress(r["token"]), "<u4")
-        times = np.frombuffer(zstandard.decompress(r["times"]), "<u4").astype(np.int64)
+        sequence = np.frombuffer(zstandard.decompress(r["sequence"]), "<u4").astype(np.int64)
         n = len(r["ids"])
-        owner = np.repeat(np.arange(n), r["n_pairs"])
+        position_owner = np.repeat(np.arange(n), r["n_tokens"])
+        cells, times = np.unique(position_owner * len(uses) + sequence, return_counts=True)
+        owner, token = np.divmod(cells, len(uses))
+        pairs, pair = pairs_in(sequence, len(uses))
+        together = np.zeros(pairs.size, np.int64)
+        for answer in r["answers"]:
+            places = np.frombuffer(zstandard.decompress(answer["places"]), "<u4")
+            together[np.cumsum(places, dtype=np.int64)] = np.frombuffer(
+                zstandard.decompress(answer["counts"]), "<i8"
+            )
+        # A token is before another as often as it is used: every one but the end has one
+        # after it, and the end stands for the beginning of each document.
+        before = uses[pairs // len(uses)]
+        alone = adapted(scores[token], times.astype(float), owner, n)
+        in_order = followed(
+            scores, sequence, position_owner, n, together[pair], before[pair]
+        )
 
         def summed(values: np.ndarray) -> np.ndarray:
             return np.bincount(owner, values * times, n)
@@ -573,7 +726,8 @@ def score_texts(
             "n_known": summed((uses > 0)[token]).astype(np.int64),
             "train_tokens": np.full(n, train_tokens, np.int64),
             "base_score": summed(base[token]),
-            "score": adapted(scores[token], times.astype(float), owner, n),
+            "score": (np.logaddexp(alone * math.log(10), in_order * math.log(10)) - math.log(2))
+            / math.log(10),
             "n_bytes": summed(sizes[token]).astype(np.int64),
         })
 
@@ -582,7 +736,7 @@ def score_texts(
         "base_score double, score double, n_bytes bigint"
     )
     names = [c.split()[0] for c in schema.split(", ")]
-    packed = rows.select(
-        F.col("batch").alias("row_batch"), "ids", "held_out", "n_pairs", "token", "times"
+    packed = rows.join(_pair_counts(rows), "batch").select(
+        F.col("batch").alias("row_batch"), "ids", "held_out", "n_tokens", "sequence", "answers"
     )
     return answers.groupBy("batch").cogroup(packed.groupBy("row_batch")).applyInPandas(total, schema)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from plumbline.llm import bindings, language, quality, scoring
@@ -182,3 +183,69 @@ def test_scores_of_edge_rows(spark, edges, held):
     assert {r.train_tokens for r in found} == {0 if held else 13}
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in found)
     assert scoring.score_texts(edges.limit(0), F.lit(held)).collect() == []
+
+
+def test_following_equals_the_running_product():
+    spoken = np.array([[0.5, 0.1], [0.3, 0.2], [0.2, 0.7]])
+    documents = [[0, 1, 1, 2, 1, 0, 0, 2], [1, 2]]
+    sequence, owner = np.array(sum(documents, [])), np.repeat([0, 1], [8, 2])
+    uses, counts = np.array([9, 4, 0]), np.array([[2, 3, 4], [1, 0, 3], [0, 0, 0]])
+    pairs, which = scoring.pairs_in(sequence, 3)
+    before, token = np.divmod(pairs, 3)
+    found = scoring.followed(
+        np.log10(spoken), sequence, owner, 2, counts[before, token][which], uses[before][which]
+    )
+    for number, document in enumerate(documents):
+        total = []
+        for kind, pace, strength in itertools.product((0, 1), scoring.PACES, scoring.STRENGTHS):
+            product, seen, last = 1.0, [0, 0, 0], 2
+            for t, token in enumerate(document):
+                e = (seen[token] + pace * spoken[token, kind]) / (t + pace)
+                s = strength * math.sqrt(1 + uses[last])
+                product *= (counts[last, token] + s * e) / (uses[last] + s)
+                seen[token] += 1
+                last = token
+            total.append(product)
+        assert math.isclose(found[number], math.log10(np.mean(total)), rel_tol=1e-9)
+
+
+def test_word_order_counts(spark):
+    """Shuffled words had the score of the text; pairs are counted over all rows and tasks."""
+    words = [f"w{n}" for n in range(20)]
+    rows = [(n, " ".join(words[n % 20:] + words[: n % 20])) for n in range(1, 60)]
+    shuffled = np.random.default_rng(0).permutation(words).tolist()
+    rows += [(1000, " ".join(words)), (1001, " ".join(shuffled))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.id: r for r in scoring.score_texts(docs, F.col("doc_id") >= 1000).collect()}
+    assert found[1000].base_score == found[1001].base_score
+    assert found[1000].score > found[1001].score + 5
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 21])
+def test_pairs_are_counted_over_all_training_texts(spark, monkeypatch, at_once):
+    monkeypatch.setattr(scoring, "_PAIRS_AT_ONCE", at_once)
+    texts = {1: "a b a b", 2: "b a", 3: "a b c", 4: "", 5: "c a b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    rows = scoring._token_rows(docs, "doc_id", "text", F.col("doc_id") == 5).localCheckpoint()
+    wanted = collections.Counter()
+    for number, text in texts.items():
+        said = ["", *text.split(), ""]
+        if number != 5:
+            wanted.update(zip(said, said[1:]))
+    answers = {r.batch: r.answers for r in scoring._pair_counts(rows).collect()}
+    seen = set()
+    for r in rows.collect():
+        tokens = [bytes(t).decode() for t in r.tokens]
+        sequence = np.frombuffer(zstandard.decompress(bytes(r.sequence)), "<u4").astype(int)
+        pairs, _ = scoring.pairs_in(sequence, len(tokens))
+        told = 0
+        for answer in answers[r.batch]:
+            places = np.cumsum(np.frombuffer(zstandard.decompress(bytes(answer.places)), "<u4"))
+            counts = np.frombuffer(zstandard.decompress(bytes(answer.counts)), "<i8")
+            for pair, n in zip(pairs[places], counts):
+                named = tokens[pair // len(tokens)], tokens[pair % len(tokens)]
+                assert n == wanted[named]
+                seen.add(named)
+                told += 1
+        assert told == pairs.size
+    assert seen >= set(wanted)
