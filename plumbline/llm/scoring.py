@@ -588,7 +588,7 @@ def _learned_mixer(counted: DataFrame, table) -> Mixer:
     """Every task learns from its tokens; weights are averaged by uses, outcomes added."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # All of the task's sample at once, about mixer_tokens at most: it comes in order.
+        # All of the task's tokens at once, about tokens_per_file: they come in order.
         mixer, tokens, uses = Mixer(), [], []
         for batch in batches:
             tokens.extend(batch.column("token").to_pylist())
@@ -620,7 +620,6 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokens_per_file: int = 400_000,
-    mixer_tokens: int = 400_000,
 ) -> DataFrame:
     """Log10 probabilities of all whole texts, learned from the rows not held out.
 
@@ -628,9 +627,11 @@ def score_texts(
     base_score (smoothed token frequencies), score (the mixed model) and n_bytes (of the
     tokens with one mark each); total bits per byte are -score * log2(10) / n_bytes.
 
-    Token, pair and bit counts cover all training texts. The mixing weights are fitted on about
-    ``mixer_tokens`` different tokens, those in one class of a hash. A-Z are lower-cased; tokens are the runs of characters other than ASCII white space
-    and one end. Null and empty texts are an end alone. ``held_out`` must not be null.
+    Token, pair and bit counts cover all training texts, and the mixing weights are fitted on
+    all their tokens: each task learns from about ``tokens_per_file`` different ones, so at any
+    size as far as at that one. A-Z are lower-cased; tokens are the runs of characters other
+    than ASCII white space and one end. Null and empty texts are an end alone. ``held_out``
+    must not be null.
     Repeated rows stay rows and count as often. With nothing to learn from, all counts are
     zero and the base score is that of unknown tokens. An empty table gives no rows;
     columns besides id, text and those ``held_out`` names are not read. Runs jobs.
@@ -651,8 +652,11 @@ def score_texts(
     # Every task holds a table of fixed size, so tasks get a good number of tokens each.
     spread = counted.coalesce(1 + totals["different"] // tokens_per_file)
     table = spark.sparkContext.broadcast(_gathered_bits(spread))
-    some = F.pmod(F.xxhash64("token"), F.lit(1 + totals["different"] // mixer_tokens)) == 0
-    mixer = _learned_mixer(spread.filter(some), table)
+    # Dealt by hash, so that a task has neither more of them nor a corner of the tokens only.
+    dealt = counted.filter("uses > 0").select("token", "uses").repartition(
+        1 + totals["different"] // tokens_per_file, "token"
+    )
+    mixer = _learned_mixer(dealt, table)
     train_tokens = int(kind_totals.sum())
     floor = math.log10(train_tokens + 0.1 * (totals["known"] + 1))
 

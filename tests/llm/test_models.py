@@ -249,3 +249,22 @@ def test_pairs_are_counted_over_all_training_texts(spark, monkeypatch, at_once):
                 told += 1
         assert told == pairs.size
     assert seen >= set(wanted)
+
+
+def test_mixing_weights_learn_from_all_tokens(spark, monkeypatch):
+    """Above 400,000 different tokens, only a class of a hash was learned from."""
+    docs = spark.range(410).selectExpr(
+        "id AS doc_id", "array_join(transform(sequence(1, 1000), n -> id * 1000 + n), ' ') AS text"
+    )
+    sizes = []
+
+    def learned(counted, table):
+        sizes.extend(r["n"] for r in counted.groupBy(F.spark_partition_id()).agg(
+            F.count_if(F.col("uses") > 0).alias("n")).collect())
+        return scoring.Mixer()
+
+    monkeypatch.setattr(scoring, "_gathered_bits", lambda _: np.zeros((scoring._FIRST[-1], 2), "f4"))
+    monkeypatch.setattr(scoring, "_learned_mixer", learned)
+    scoring.score_texts(docs, F.lit(False))
+    assert sum(sizes) == 410_001
+    assert min(sizes) > 150_000
