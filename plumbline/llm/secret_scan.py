@@ -23,10 +23,24 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 
 # Weak parts: reported only if complementary parts are near.
 IDENTIFIER = r"\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{16}\b"
-RANDOM = r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])"
+RANDOM = r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+]{40}={0,2}(?![A-Za-z0-9/+=_-])"
 ENDPOINT = r"""\b[a-z][a-z0-9+]{1,9}://[^\x00-\x20"'<>]+"""
+# Weak parts told by their names, whatever their form: NAME=value, name: "value", a.name = value.
+_NAMED = r"""(?i)(?<![A-Za-z0-9])(?:[a-z0-9]{{1,40}}[_.-]){{0,4}}(?:{})["']?\x20*[:=]\x20*["']?{}"""
+NAME = _NAMED.format(
+    r"(?:client|app|application|tenant|consumer|user|account|login)[_-]?(?:id|name)|user|login|account",
+    r"[A-Za-z0-9@+_.-]{3,}",
+)
+VALUE = _NAMED.format(
+    r"(?:secret|access|secret[_-]?access|account|client|private|signing|auth|consumer|storage)"
+    r"[_-]?key|passphrase|pass|pwd",
+    r"[A-Za-z0-9+/_.~!@#$%^&*=-]{8,}",
+)
+HOST = _NAMED.format(r"host(?:[_-]?name)?|server|endpoint", r"[A-Za-z0-9_.:-]{3,}")
 
-KINDS = ("assign", "access", "hex", "identifier", "random", "endpoint")
+KINDS = (
+    "assign", "access", "hex", "identifier", "random", "endpoint", "name", "value", "host"
+)
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -35,7 +49,7 @@ def _none() -> Column:
 
 
 #: What a text must contain for any weak part to be reported.
-_ANY_IDENTIFIER = r"AKIA[A-Z0-9]{16}|\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{16}\b"
+_ANY_IDENTIFIER = rf"AKIA[A-Z0-9]{{16}}|\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{{16}}\b|{NAME}"
 
 
 def _spans(text: Column, kind: str, pattern: str, least: int, group: int = 0) -> Column:
@@ -95,6 +109,9 @@ def _weak_spans(text: Column) -> Column:
         _spans(text, "identifier", IDENTIFIER, 1),
         _spans(text, "random", RANDOM, 1),
         _spans(text, "endpoint", ENDPOINT, 1),
+        _spans(text, "name", NAME, 1),
+        _spans(text, "value", VALUE, 1),
+        _spans(text, "host", HOST, 1),
     )
     return F.when(text.rlike(_ANY_IDENTIFIER), weak).otherwise(_none())
 
@@ -105,7 +122,7 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     A weak part is spread over the stretches of ``scope`` characters that it or its
     margins touch, a part it may be linked to over the stretches it lies in; equal
     stretches meet in the join. A stretch holds a bounded number of parts, since each is
-    at least 16 characters long, so the join stays linear in the length of the text.
+    at least 6 characters long, so the join stays linear in the length of the text.
     """
     part = F.col("part")
     flat = parts.select("key", F.explode(F.concat("base", "weak")).alias("part")).select(
@@ -113,8 +130,8 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     )
     kind = {name: F.lit(KINDS.index(name)) for name in KINDS}
     role = (
-        F.when(F.col("kind").isin(KINDS.index("access"), KINDS.index("identifier")), "identifier")
-        .when(F.col("kind") == kind["endpoint"], "endpoint")
+        F.when(F.col("kind").isin(kind["access"], kind["identifier"], kind["name"]), "identifier")
+        .when(F.col("kind").isin(kind["endpoint"], kind["host"]), "endpoint")
         .otherwise("secret")
     )
     roled = flat.withColumn("role", role)
@@ -144,8 +161,8 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
         F.bool_or(F.col("other_role") == "secret").alias("secret"),
     )
     complete = (
-        F.when(F.col("kind") == kind["identifier"], F.col("secret"))
-        .when(F.col("kind") == kind["random"], F.col("identifier"))
+        F.when(F.col("kind").isin(kind["identifier"], kind["name"]), F.col("secret"))
+        .when(F.col("kind").isin(kind["random"], kind["value"]), F.col("identifier"))
         .otherwise(F.col("identifier") & F.col("secret"))
     )
     return (
@@ -163,7 +180,8 @@ def secret_spans(
     Positions count code points, end exclusive. ``base`` has the matches of the three
     base patterns, leftmost and not overlapping within a kind. ``spans`` has these and
     the weak parts that overlap none of them and are linked within ``scope`` characters:
-    an identifier to a secret, a random token to an identifier, an endpoint to both.
+    an identifier (by form or by name) to a secret, a random token or a named value to an
+    identifier, an endpoint or named host to both.
     Order is by start, then kind.
 
     Null and empty texts have no spans. Repeated rows stay rows: spans depend on the text

@@ -200,3 +200,33 @@ def test_pipeline_stages_take_edge_rows(spark, rows):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF_DIR), name)
     assert (docs.count() > 0) == (rows > 0)
+
+
+KEY = "AWS_ACCESS_KEY_ID=" + IDENTIFIER
+
+
+@pytest.mark.parametrize(
+    "text, kinds, gone",
+    [
+        (f"{KEY}\nAWS_SECRET_ACCESS_KEY={RANDOM}\n", ["access", "value", "random"], RANDOM),
+        (f"export {KEY}\nexport AWS_SECRET_ACCESS_KEY='{RANDOM}'", ["access", "value", "random"], RANDOM),
+        (f"[default]\naws_secret_access_key = {RANDOM}\n{KEY}", ["value", "random", "access"], RANDOM),
+        (f"{KEY}\nX={RANDOM}", ["access", "random"], RANDOM),
+        (f"{KEY}\nX={RANDOM}==", ["access", "random"], RANDOM + "=="),
+        (f"{KEY}\nX={RANDOM}a", ["access"], IDENTIFIER),
+        ("CLIENT_ID=web-1234\nCLIENT_SECRET=abcdefgh1", ["name", "assign"], "web-1234"),
+        (f"AccountName=store9;AccountKey={'aB3/' * 21}ab==;", ["name", "value"], "aB3/ab=="),
+        ("DB_HOST=db.example\nDB_USER=bob\nDB_PASS=hunter2222", ["host", "name", "value"], "hunter2222"),
+        ("host: db.example, user: bob, password: hunter22", ["host", "name", "assign"], "db.example"),
+        ("DB_HOST=db.example\nDB_USER=bob", [], None),
+        ("DB_PASS=hunter2222", [], None),
+        (f"AccountName=store9;{' ' * 200}AccountKey={'aB3/' * 21}ab==", [], None),
+    ],
+)
+def test_named_parts_and_env_files(spark, text, kinds, gone):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = secret_scan.secret_spans(docs).first()
+    assert [secret_scan.KINDS[s.kind] for s in found.spans] == kinds
+    assert [tuple(s) for s in found.base] == _base(text)
+    clean = secret_scan.redact_secrets(docs).first().text
+    assert (clean == text) if gone is None else (gone in text and gone not in clean)
