@@ -229,12 +229,18 @@ def one_per_group(
 ) -> DataFrame:
     """The rows of ``docs`` with the least id of each component, all columns as they are.
 
-    An id names one document: of rows with equal ids, one stays. Rows without an id are
-    told apart by their text and stay only if their whole component has none.
+    Rows go only within one component: where an id has several texts, those that are no
+    near-duplicates of each other are each judged with their own component. Of near ones
+    with the least id, the one with the least hash of its text stays, once if repeated.
+    Rows without an id are told apart by their text and stay only if their whole component
+    has none.
     """
     number = F.col(id_col).cast("bigint")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     without = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_col), 2)
-    keyed = docs.withColumn("__key", F.coalesce(number, without))
+    key = F.struct(F.coalesce(number, without).alias("id"), hashed.alias("text"))
+    keyed = docs.withColumn("__key", key)
+    # Equal texts have one component, so id and text tell which row is its least.
     found = simhash_components(keyed, "__key", text_col, shingle, max_bits)
     kept = found.filter("id = component_id").select(F.col("id").alias("__key")).distinct()
     return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

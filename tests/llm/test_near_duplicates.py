@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import bindings, common, embedding_dedup, fingerprints, simhash_dedup
 
@@ -188,3 +189,17 @@ def test_window_is_calibrated():
     apart = rng.standard_normal((20_000, 48)) * np.sqrt(0.1)
     lost = ((np.abs(apart) > window).sum(axis=1) > 2).mean()
     assert abs(lost - 0.01) < 0.003
+
+
+def test_rows_go_only_within_one_component(spark):
+    """One id with different texts: a clean text stays, a copy of a smaller id's text goes."""
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue pink grey")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, b), (4, c)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = sorted(tuple(r) for r in simhash_dedup.one_per_group(docs).collect())
+    assert kept == [(1, a), (2, b), (3, c)]
+    # Near texts of one id: the same one stays in every order of the rows.
+    near = spark.createDataFrame([(7, a), (7, b)], "doc_id bigint, text string")
+    stay = {tuple(map(tuple, simhash_dedup.one_per_group(d, max_bits=64).collect()))
+            for d in (near.repartition(1), near.orderBy(F.desc("text")).coalesce(1))}
+    assert len(stay) == 1 and len(next(iter(stay))) == 1
