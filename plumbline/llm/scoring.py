@@ -158,11 +158,11 @@ def _walk(
 
 def count_bits(tokens: list[bytes], uses: np.ndarray) -> np.ndarray:
     """(slots, 2): how often each bit followed in each slot, over all uses of the tokens."""
-    table = np.zeros((_FIRST[-1], 2), np.float32)
+    table = np.zeros((_FIRST[-1], 2), np.int64)
     spelled, owner, _ = _parts(tokens)
     flat = table.reshape(-1)
     for rows, matrix, lengths, shared in _lanes(spelled):
-        weight = uses[owner[rows]].astype(np.float32)
+        weight = uses[owner[rows]].astype(np.int64)
         for bit, slots, value, going, first in _walk(matrix, lengths, shared):
             if bit == 7:
                 some = np.add.reduceat(weight * going, first)
@@ -227,7 +227,7 @@ class Mixer:
         """One online pass; every use is predicted from the counts of all other uses."""
         known = uses > 0
         tokens = [t for t, k in zip(tokens, known) if k]
-        uses = uses[known].astype(np.float32)
+        uses = uses[known].astype(np.float64)
         flat = self.outcomes.reshape(-1)
         # Mixed well and in small groups, so that no step sees one corner of the tokens only.
         order = np.random.default_rng(len(tokens)).permutation(len(tokens))
@@ -569,7 +569,7 @@ def _gathered_bits(counted: DataFrame) -> np.ndarray:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = None
         for packed in rows["counts"]:
-            part = np.frombuffer(zstandard.decompress(packed), "<f4")
+            part = np.frombuffer(zstandard.decompress(packed), "<i8")
             total = part.copy() if total is None else np.add(total, part, out=total)
         return pd.DataFrame(
             {"segment": rows["segment"].iloc[:1], "counts": [zstandard.compress(total.tobytes(), 1)]}
@@ -577,10 +577,10 @@ def _gathered_bits(counted: DataFrame) -> np.ndarray:
 
     schema = "segment int, counts binary"
     summed = counted.mapInArrow(count, schema).groupBy("segment").applyInPandas(add, schema)
-    table = np.zeros((_FIRST[-1], 2), np.float32)
+    table = np.zeros((_FIRST[-1], 2), np.int64)
     for r in summed.collect():  # at most _SEGMENTS rows, of a fixed size together
         a, b = bounds[r["segment"]], bounds[r["segment"] + 1]
-        table[a:b] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), "<f4").reshape(-1, 2)
+        table[a:b] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), "<i8").reshape(-1, 2)
     return table
 
 

@@ -268,3 +268,10 @@ def test_mixing_weights_learn_from_all_tokens(spark, monkeypatch):
     scoring.score_texts(docs, F.lit(False))
     assert sum(sizes) == 410_001
     assert min(sizes) > 150_000
+
+
+def test_bit_counts_grow_by_ones():
+    """Floats of 32 bits stop at 16.7 million."""
+    tokens, uses = [b"a", b"ab", b""], np.array([1 << 24, 1, 3])
+    table = scoring.count_bits(tokens, uses)
+    assert table[: 1 << scoring.SLOTS[0]].sum() == 8 * (2 * (1 << 24) + 3 * 1 + 1 * 3)
