@@ -19,6 +19,7 @@ from plumbline.llm.scoring import score_texts
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
 from plumbline.llm.simhash_dedup import fingerprint_hex, simhash_components
 from plumbline.llm.token_files import read_bundle, write_bundle
+from plumbline.llm.whitening import whiten_vectors
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -27,6 +28,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema("vec_id bigint, embedding array<float>").parquet(
+        f"{sf_dir}/embeddings.parquet"
+    )
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "bundle")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,10 +51,7 @@ def token_digests(read: DataFrame) -> DataFrame:
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.schema("vec_id bigint, embedding array<float>").parquet(
-        f"{sf_dir}/embeddings.parquet"
-    )
-    return embedding_components(vectors).withColumnRenamed("id", "vec_id")
+    return embedding_components(vectors(spark, sf_dir)).withColumnRenamed("id", "vec_id")
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +136,29 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_rows(whiten_vectors(vectors(spark, sf_dir)))
+
+
+def component_rows(whitened: DataFrame) -> DataFrame:
+    """One row for each vector and component, numbered from 1."""
+    return whitened.select(
+        F.col("id").alias("vec_id"), "n", F.col("deviation").try_cast("bigint").alias("deviation"),
+        "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "cell"),
+    ).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+        F.col("cell.whitened").alias("whitened"), F.col("cell.explained").alias("explained"),
+        "identity_error",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
         op1_token_files, op2_embedding_near_dedup, op3_document_fingerprints,
         op4_lm_scoring,
         op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
         op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
+        op11_embedding_whitening,
     )}
 
 
