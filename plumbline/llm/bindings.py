@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm.alignment import link_counts
 from plumbline.llm.bpe import bpe_decode, bpe_encode
 from plumbline.llm.common import scratch_path
 from plumbline.llm.embedding_dedup import embedding_components
@@ -152,13 +153,18 @@ def component_rows(whitened: DataFrame) -> DataFrame:
     )
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return link_counts(documents(spark, sf_dir), *paths).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: query for query in (
         op1_token_files, op2_embedding_near_dedup, op3_document_fingerprints,
         op4_lm_scoring,
         op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
         op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
-        op11_embedding_whitening,
+        op11_embedding_whitening, op13_tokenizer_alignment,
     )}
 
 

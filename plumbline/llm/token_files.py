@@ -41,17 +41,19 @@ class PieceTokenizer:
     the pieces of many texts are cut together and only different ones reach the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # As text, the string of a special token is cut into pieces like any other.
+        self.special = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         # The same tokenizer for what the pattern has already cut.
         self.by_piece = Tokenizer.from_str(self.library.to_str())
         self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(
             add_prefix_space=False, use_regex=False
         )
+        self.by_piece.encode_special_tokens = special_as_text
         self.kept: dict[str, bytes] = {}
 
     def _bytes(self, library: Tokenizer, texts: list[str]) -> list[bytes]:
