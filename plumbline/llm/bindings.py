@@ -15,6 +15,7 @@ from plumbline.llm.fingerprints import edit_likeness
 from plumbline.llm.language import identify_language, train_language
 from plumbline.llm.mixing import mix_rates, plan_mix
 from plumbline.llm.oracles import ORACLE
+from plumbline.llm.pii import BASE, count_kind, pii_spans, spelled, train_pii
 from plumbline.llm.quality import remainder, score_quality, train_quality
 from plumbline.llm.scoring import score_texts
 from plumbline.llm.secret_scan import count_of, listed, secret_spans
@@ -153,6 +154,17 @@ def component_rows(whitened: DataFrame) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii_spans(docs, train_pii(docs))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return link_counts(documents(spark, sf_dir), *paths).withColumnRenamed("id", "doc_id")
@@ -164,7 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_lm_scoring,
         op5_bpe_round_trip, op6_quality_classifier, op7_language_id,
         op8_entropy_mix, op9_secret_scans, op10_simhash_near_dedup,
-        op11_embedding_whitening, op13_tokenizer_alignment,
+        op11_embedding_whitening, op12_pii, op13_tokenizer_alignment,
     )}
 
 
