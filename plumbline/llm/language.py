@@ -23,8 +23,6 @@ from plumbline.llm.common import by_size, id_and_text, ship_package, written
 from plumbline.llm.pieces import word_pieces
 
 UNDETERMINED = "und"
-#: Longer runs of letters are cut after so many bytes; each part is summed on its own.
-LONGEST = 256
 #: Distinct languages a model may have; all their tables reach driver and tasks.
 MOST_LANGUAGES = 400
 #: Words a Python worker keeps, in one table of floats; beyond it the table is emptied.
@@ -40,38 +38,76 @@ class Vocabulary:
             self.piece = {base64.b64decode(a): n for n, (a, _) in enumerate(map(bytes.split, file))}
         self.size = len(self.piece)
         # A tree of the pieces' bytes: state and byte, as one number, to the next state.
-        self.step: dict[int, int] = {}
-        self.ends = [-1]
+        step: dict[int, int] = {}
+        ends = [-1]
         for raw, number in self.piece.items():
             state = 0
             for byte in raw:
                 key = state << 8 | byte
-                state = self.step.get(key, -1)
+                state = step.get(key, -1)
                 if state < 0:
-                    state = self.step[key] = len(self.ends)
-                    self.ends.append(-1)
-            self.ends[state] = number
+                    state = step[key] = len(ends)
+                    ends.append(-1)
+            ends[state] = number
+        self.ends = np.array(ends)
+        self._fill(np.fromiter(step.keys(), np.int64), np.fromiter(step.values(), np.int64))
+
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """A hash table of the tree's steps that numpy can look up many at a time."""
+        self._bits = np.uint64((2 * keys.size + 1).bit_length())
+        self._keys = np.full(1 << int(self._bits), -1, np.int64)
+        self._next = np.full(self._keys.size, -1, np.int64)
+        left, place = np.arange(keys.size), self._home(keys)
+        while left.size:
+            free = np.flatnonzero(self._keys[place[left]] < 0)
+            slots, first = np.unique(place[left[free]], return_index=True)
+            won = left[free[first]]
+            self._keys[slots], self._next[slots] = keys[won], values[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            place[left] = (place[left] + 1) & (self._keys.size - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> (np.uint64(64) - self._bits)).view(np.int64)
+
+    def _step(self, states: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+        """The next state of each, -1 where no piece goes on so."""
+        keys = states << 8 | bytes_
+        place = self._home(keys)
+        found = np.full(keys.size, -1, np.int64)
+        rows = np.arange(keys.size)
+        while rows.size:
+            there = self._keys[place[rows]]
+            hit = there == keys[rows]
+            found[rows[hit]] = self._next[place[rows[hit]]]
+            rows = rows[~hit & (there >= 0)]
+            place[rows] = (place[rows] + 1) & (self._keys.size - 1)
+        return found
 
     def arcs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word, start, end and piece of every piece in every word."""
-        step, ends = self.step.get, self.ends
-        starts, stops, pieces, counts = [], [], [], []
-        for word in words:
-            before = len(pieces)
-            for start in range(len(word)):
-                state = 0
-                for at in range(start, len(word)):
-                    state = step(state << 8 | word[at], -1)
-                    if state < 0:
-                        break
-                    known = ends[state]
-                    if known >= 0:
-                        starts.append(start)
-                        stops.append(at + 1)
-                        pieces.append(known)
-            counts.append(len(pieces) - before)
-        owner = np.repeat(np.arange(len(words)), counts)
-        return owner, np.array(starts, np.int64), np.array(stops, np.int64), np.array(pieces, np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        last = np.cumsum(sizes)
+        begin, end = (last - sizes)[owner], last[owner]
+        # All places walk the tree together, a byte at a time; most leave it soon.
+        live, states, depth = np.arange(data.size), np.zeros(data.size, np.int64), 0
+        places, depths, pieces = [live[:0]], [live[:0]], [live[:0]]
+        while live.size:
+            inside = live + depth < end[live]
+            live, states = live[inside], states[inside]
+            states = self._step(states, data[live + depth].astype(np.int64))
+            live, states = live[states >= 0], states[states >= 0]
+            depth += 1
+            known = self.ends[states]
+            hit = known >= 0
+            places.append(live[hit])
+            depths.append(np.full(places[-1].size, depth))
+            pieces.append(known[hit])
+        place, piece = np.concatenate(places), np.concatenate(pieces)
+        start = place - begin[place]
+        return owner[place], start, start + np.concatenate(depths), piece
 
 
 @cache
@@ -80,43 +116,71 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 def _sums(
-    logs: np.ndarray, word: np.ndarray, at: np.ndarray, other: np.ndarray, words: int, length: int,
-    order: np.ndarray, backwards: bool,
+    arcs: np.ndarray, word: np.ndarray, at: np.ndarray, other: np.ndarray, words: int, length: int,
+    backwards: np.ndarray | None = None, logarithms: bool = False,
 ) -> np.ndarray:
-    """Log sums over paths up to (or from) each position: (words, length + 1, columns).
+    """Sums over paths up to (or from) each position: (words, length + 1, columns).
 
-    ``order`` sorts the arcs by (at, word); all arcs that end (or start) at one position
-    are added together for all words.
+    ``arcs`` has the weight of each arc, or its logarithm. All arcs that end (or, given the
+    words' lengths as ``backwards``, start) at one position are added up for all words.
     """
-    table = np.full((words, length + 1, logs.shape[1]), -np.inf)
-    return _run(table, logs[order], word[order], at[order], other[order], backwards)
-
-
-def _run(table, logs, word, at, other, backwards):
-    if not backwards:
-        table[:, 0] = 0.0
+    table = np.full((words, length + 1, arcs.shape[1]), -np.inf if logarithms else 0.0)
+    begins = 0 if backwards is None else backwards
+    table[np.arange(words), begins] = 0.0 if logarithms else 1.0
+    order = np.lexsort((word, at))
+    arcs, word, at, other = arcs[order], word[order], at[order], other[order]
     cuts = np.flatnonzero(np.diff(at)) + 1
-    groups = list(zip([0, *cuts], [*cuts, at.size]))
-    for a, b in reversed(groups) if backwards else groups:
+    groups = list(zip([0, *cuts], [*cuts, at.size])) if at.size else []
+    for a, b in groups if backwards is None else reversed(groups):
         w = word[a:b]
         first = np.concatenate([[0], np.flatnonzero(np.diff(w)) + 1])
-        paths = table[w, other[a:b]] + logs[a:b]
-        table[w[first], at[a]] = np.logaddexp.reduceat(paths, first, axis=0)
+        before = table[w, other[a:b]]
+        if logarithms:
+            table[w[first], at[a]] = np.logaddexp.reduceat(before + arcs[a:b], first, axis=0)
+        else:
+            table[w[first], at[a]] = np.add.reduceat(before * arcs[a:b], first, axis=0)
     return table
 
 
+#: Words of up to so many bytes are summed as probabilities, longer ones by logarithms.
+_SHORT = 40
+#: A byte's weight is raised by this much (natural logarithm), so that sums stay in range.
+_RAISED = 8.0
+_CELLS = 1 << 22
+
+
+def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, bool]]:
+    """(rows, whether they are long): words of like length, in number as memory allows."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    ordered = lengths[order]
+    a = 0
+    while a < order.size:
+        long = bool(ordered[a] > _SHORT)
+        b = a + 4096 if long else min(a + 4096, int(np.searchsorted(ordered, _SHORT, "right")))
+        b = min(b, order.size)
+        while b > a + 1 and (b - a) * (int(ordered[b - 1]) + 1) > _CELLS:
+            b = a + (b - a) // 2
+        yield order[a:b], long
+        a = b
+
+
 def word_log_probabilities(vocabulary: Vocabulary, words: list[bytes], logs: np.ndarray) -> np.ndarray:
     """(words, languages): log of the sum over all segmentations; ``logs`` is (pieces, languages)."""
     out = np.zeros((len(words), logs.shape[1]))
-    lengths = np.array([len(w) for w in words])
-    order = np.argsort(lengths, kind="stable")
-    for a in range(0, len(words), 4096):
-        rows = order[a : a + 4096]
-        word, start, end, piece = vocabulary.arcs([words[r] for r in rows])
-        by_end = np.lexsort((word, end))
-        size = lengths[rows]
-        table = _sums(logs[piece], word, end, start, len(rows), int(size.max()), by_end, False)
-        out[rows] = table[np.arange(len(rows)), size]
+    for rows, long in _groups(words):
+        some = [words[r] for r in rows]
+        word, start, end, piece = vocabulary.arcs(some)
+        size = np.fromiter(map(len, some), np.int64, len(some))
+        longest, every = int(size.max()), np.arange(len(rows))
+        step = max(1, _CELLS // (len(rows) * (longest + 1)))
+        for a in range(0, logs.shape[1], step):
+            own = logs[piece, a : a + step]
+            if not long:
+                own = np.exp(own + _RAISED * (end - start)[:, None])
+            table = _sums(own, word, end, start, len(rows), longest, logarithms=long)
+            whole = table[every, size]
+            out[rows, a : a + step] = whole if long else np.log(whole) - _RAISED * size[:, None]
     return out
 
 
@@ -125,23 +189,24 @@ def expected_pieces(
     logs: np.ndarray,
 ) -> np.ndarray:
     """(pieces, languages): expected uses of every piece in words of the given languages."""
-    total = np.zeros_like(logs)
-    lengths = np.array([len(w) for w in words])
-    order = np.argsort(lengths, kind="stable")
-    for a in range(0, len(words), 4096):
-        rows = order[a : a + 4096]
-        word, start, end, piece = vocabulary.arcs([words[r] for r in rows])
-        size, spoken = lengths[rows], language[rows]
-        own = logs[piece, spoken[word]][:, None]
-        n, longest = len(rows), int(size.max())
-        ahead = _sums(own, word, end, start, n, longest, np.lexsort((word, end)), False)
-        behind = np.full((n, longest + 1, 1), -np.inf)
-        behind[np.arange(n), size] = 0.0
-        order_ = np.lexsort((word, start))
-        behind = _run(behind, own[order_], word[order_], start[order_], end[order_], True)
-        whole = ahead[np.arange(n), size, 0]
-        share = np.exp(ahead[word, start, 0] + own[:, 0] + behind[word, end, 0] - whole[word])
-        np.add.at(total, (piece, spoken[word]), share * weights[rows][word])
+    total = np.zeros(logs.shape)
+    for rows, long in _groups(words):
+        some = [words[r] for r in rows]
+        word, start, end, piece = vocabulary.arcs(some)
+        size = np.fromiter(map(len, some), np.int64, len(some))
+        spoken, n, longest = language[rows], len(rows), int(size.max())
+        own = logs[piece, spoken[word]]
+        if not long:
+            own = np.exp(own + _RAISED * (end - start))
+        ahead = _sums(own[:, None], word, end, start, n, longest, logarithms=long)[..., 0]
+        behind = _sums(own[:, None], word, start, end, n, longest, size, long)[..., 0]
+        whole = ahead[np.arange(n), size][word]
+        if long:
+            share = np.exp(ahead[word, start] + own + behind[word, end] - whole)
+        else:
+            share = ahead[word, start] / whole * own * behind[word, end]
+        cell = piece * logs.shape[1] + spoken[word]
+        np.add.at(total.reshape(-1), cell, share * weights[rows][word])
     return total
 
 
@@ -156,9 +221,8 @@ def _letters(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
     return coded, owner[keep], codes[keep]
 
 
-def _parts(word: str) -> list[bytes]:
-    raw = b" " + word.encode("utf-8", "surrogatepass")
-    return [raw[n : n + LONGEST] for n in range(0, len(raw), LONGEST)]
+def _spelled(word: str) -> bytes:
+    return b" " + word.encode("utf-8", "surrogatepass")
 
 
 def count_words(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -216,12 +280,9 @@ class LanguageModel:
             known.clear()
         new = [w for w in words if w not in known]
         if new:
-            parts = [_parts(w) for w in new]
             logs = word_log_probabilities(
-                _vocabulary(self.vocabulary), [p for ps in parts for p in ps], self.logs
+                _vocabulary(self.vocabulary), list(map(_spelled, new)), self.logs
             )
-            first = np.cumsum([0, *map(len, parts)])[:-1]
-            logs = np.add.reduceat(logs, first, axis=0)
             before = len(known)
             if len(self._table) < before + len(new):
                 grown = np.zeros((2 * (before + len(new)), len(self.languages)), np.float32)
@@ -284,15 +345,11 @@ def train_language(
             known, total = _vocabulary(vocabulary), np.zeros(now.shape)
             current = now.astype(float)
             for part in by_size(batches, "word"):
-                words, weights, spoken = [], [], []
-                for lang, word, n in zip(*(part.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                    for piece in _parts(word):
-                        words.append(piece)
-                        weights.append(n)
-                        spoken.append(place[lang])
-                if words:
+                if part.num_rows:
+                    spoken = np.array([place[name] for name in part.column("lang").to_pylist()])
                     total += expected_pieces(
-                        known, words, np.array(weights, float), np.array(spoken), current
+                        known, list(map(_spelled, part.column("word").to_pylist())),
+                        part.column("n").to_numpy().astype(float), spoken, current,
                     )
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays(

@@ -97,6 +97,24 @@ def test_forward_sums_equal_all_segmentations():
     assert math.isclose(covered, 4 + 2 * 12 + 2 + 5)  # every byte of every word once
 
 
+@pytest.mark.parametrize("word", ["ab" * 1000, "é" * 700, "the" * 13, "the" * 14, "日本語" * 400])
+def test_long_runs_of_letters_are_summed_whole(word):
+    """No cut, whatever the length: against a forward pass over the whole run."""
+    known = language.Vocabulary(VOCABULARY)
+    logs = np.log(np.random.default_rng(1).dirichlet(np.ones(known.size), 3).T)
+    raw = b" " + word.encode()
+    longest = max(map(len, known.piece))
+    ahead = [np.zeros(3)]
+    for end in range(1, len(raw) + 1):
+        paths = [ahead[n] + logs[known.piece[raw[n:end]]] for n in range(max(0, end - longest), end)
+                 if raw[n:end] in known.piece]
+        ahead.append(np.logaddexp.reduce(paths, axis=0))
+    found = language.word_log_probabilities(known, [b" the", raw, b" a"], logs)
+    assert np.allclose(found[1], ahead[-1], rtol=1e-10)
+    uses = language.expected_pieces(known, [raw], np.array([2.0]), np.array([1]), logs)
+    assert math.isclose(sum(len(p) * uses[n].sum() for p, n in known.piece.items()), 2 * len(raw))
+
+
 def test_op7_on_held_out_documents(spark):
     spoken = {d.doc_id: d.lang for d in bindings.documents(spark, SF_DIR).collect()}
     found = bindings.op7_language_id(spark, SF_DIR).collect()
