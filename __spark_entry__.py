@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import plumbline as pl  # noqa: E402
 from plumbline.functions import packed_timestamp  # noqa: E402
+from plumbline.plans.scratch import scratch_path  # noqa: E402
 
 try:
     import corpus_pipeline  # noqa: E402
@@ -75,6 +76,20 @@ def table_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.table_inventory(_data(spark, sf_dir).tables())
 
 
+def inventory_from_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory from Parquet footers alone."""
+    return pl.inventory_from_footers(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
+
+
+def bounds_from_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the keys from Parquet footers alone."""
+    columns = [
+        (f"{sf_dir}/{table}.parquet", column) for table, names in KEYS.items() for column in names
+    ]
+    found = pl.bounds_from_footers(spark, columns)
+    return found.select("column", "row_count", "min_value", "max_value")
+
+
 def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _data(spark, sf_dir)
     entities = {
@@ -111,6 +126,15 @@ def lookup_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.lookup_by_name(pages, "url", url)
 
 
+def lookup_in_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a URL, from files with Bloom filters on it."""
+    path = scratch_path(spark, "pages")
+    pages = _data(spark, sf_dir).table("pages")
+    pl.write_lookup_files(pages, path, "page_id", ["url"])
+    url = "https://m.ththth.example.net/en/25#top"
+    return pl.lookup_by_name(spark.read.schema(TABLES["pages"]).parquet(path), "url", url)
+
+
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _data(spark, sf_dir).table("documents")
     return pl.search_text(documents, "text", "LICENSE").select("doc_id", "source")
@@ -176,6 +200,14 @@ def name_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.name_lint(_names(spark, sf_dir))
 
 
+def column_name_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.name_lint(_names(spark, sf_dir), columns=True)
+
+
+def column_name_lint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.name_lint_counts(_names(spark, sf_dir), columns=True)
+
+
 def name_lint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.name_lint_counts(_names(spark, sf_dir))
 
@@ -342,6 +374,27 @@ def annotate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotated.select("doc_id", "quality", "toxic", "annotated")
 
 
+def annotate_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the annotations of a JSON file that is made of their labels."""
+    data = _data(spark, sf_dir)
+    path = scratch_path(spark, "notes")
+    entry = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.lit("corpus").alias("database"),
+        F.concat(F.lit("Document "), "doc_id").alias("objectName"), F.lit("label").alias("type"),
+        F.concat(F.lit("quality "), "quality").alias("description"),
+        F.lit("2024-01-01T00:00:00Z").alias("addedAt"),
+    )
+    lines = data.table("labels").select(
+        F.to_json(F.struct(F.array(entry).alias("constraints"))).alias("value")
+    )
+    lines.write.text(path)
+    notes = pl.read_annotations(spark, path, "document 1", lines=True).select(
+        F.col("id").cast("bigint").alias("note_id"), "object_name", "description"
+    )
+    annotated = pl.annotate_rows(data.table("documents"), notes, on=("doc_id", "note_id"))
+    return annotated.select("doc_id", "object_name", "description", "annotated")
+
+
 def prefix_covered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _covered_days(spark, sf_dir, False).select(
         "user_id",
@@ -362,8 +415,7 @@ def prefix_covered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _covered_days(spark: SparkSession, sf_dir: str, all_pairs: bool) -> DataFrame:
     events = _data(spark, sf_dir).table("events").withColumn("day", F.to_date("ts"))
     return pl.prefix_covered_lists(
-        events, "user_id", "day", ["ts", "event_id"], "event_type",
-        block=F.hour("ts"), all_pairs=all_pairs,
+        events, "user_id", "day", ["ts", "event_id"], "event_type", all_pairs=all_pairs
     )
 
 
@@ -466,6 +518,14 @@ def layout_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.layout_candidates(tables, suffixes=["id", "key"], names=["o_orderstatus", "l_linestatus"])
 
 
+def approximate_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with fewer values than the sketches keep, so the estimates are exact."""
+    data = _data(spark, sf_dir)
+    tables = {name: data.table(name) for name in ("lineitem", "orders", "events")}
+    names = ["l_linestatus", "l_returnflag", "l_linenumber", "o_orderstatus", "event_type"]
+    return pl.layout_candidates(tables, suffixes=[], names=names, approx=True)
+
+
 def table_schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.table_schema_profile(_data(spark, sf_dir).table("orders"), ["o_orderkey"])
 
@@ -620,8 +680,7 @@ def _mean(column: str) -> Column:
 def clustering_fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _data(spark, sf_dir).table("orders")
     return pl.clustering_fragmentation(
-        orders, "o_custkey", ["o_orderkey"], "o_orderdate", min_rows=10, high=50,
-        block=F.floor(F.col("o_orderkey") / 4096),
+        orders, "o_custkey", ["o_orderkey"], "o_orderdate", min_rows=10, high=50
     )
 
 
@@ -754,7 +813,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {
         query.__name__: query
         for query in (
-            table_inventory, object_listing, sample_rows, sample_texts, lookup_by_name,
+            table_inventory, inventory_from_footers, bounds_from_footers, lookup_in_sorted_files,
+            column_name_lint, column_name_lint_counts, annotate_from_json, approximate_layout,
+            object_listing, sample_rows, sample_texts, lookup_by_name,
             lookup_by_name_and_kind, lookup_page, search_text, external_references, keyword_guard,
             text_complexity, text_complexity_totals, page_complexity, name_lint, name_lint_counts,
             recent_changes, recent_failures, run_history, missing_references,

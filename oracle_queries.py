@@ -128,12 +128,19 @@ def _candidates() -> str:
     )
 
 
-def _layout() -> str:
-    columns = {
-        "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linestatus"],
-        "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
-        "events": ["event_id", "user_id"],
-    }
+_LAYOUT = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linestatus"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
+    "events": ["event_id", "user_id"],
+}
+_FEW_VALUES = {
+    "lineitem": ["l_linestatus", "l_returnflag", "l_linenumber"],
+    "orders": ["o_orderstatus"],
+    "events": ["event_type"],
+}
+
+
+def _layout(columns: dict[str, list[str]]) -> str:
     return _union(
         [
             f"""SELECT '{table}' AS table_name, '{c}' AS "column", count(*) AS ndv,
@@ -210,7 +217,7 @@ def _profile() -> str:
     )
 
 
-def _name_flags() -> str:
+def _name_flags(columns: bool = False) -> str:
     # Name parts that repeat the type of a thing or its version.
     prefixed = " OR ".join(
         f"starts_with(lower(name), '{p}')"
@@ -228,11 +235,12 @@ def _name_flags() -> str:
         flags AS (
             SELECT name, ({prefixed}) AS type_prefix, ({versioned}) AS version_suffix,
                 name = upper(name) AND length(name) > 1 AS all_caps,
-                contains(name, '_') AND NOT ({prefixed}) AS underscore
+                contains(name, '_') AND ({columns} OR NOT ({prefixed})) AS underscore
             FROM names)"""
 
 
 _NAME_RULES = ("type_prefix", "version_suffix", "all_caps", "underscore")
+_COLUMN_RULES = ("type_prefix", "all_caps", "underscore")
 
 _DOC_FLAGS = """
     SELECT doc_id,
@@ -354,6 +362,20 @@ ORACLE: dict[str, str] = {
             for t, n in _TABLES.items()
         ]
     ),
+    "inventory_from_footers": _union(
+        [
+            f"SELECT '{t}' AS table_name, count(*) AS row_count, {n}::INTEGER AS column_count FROM {t}"
+            for t, n in _TABLES.items()
+        ]
+    ),
+    "bounds_from_footers": _union(
+        [
+            f"""SELECT '{c}' AS "column", count(*) AS row_count, min({c})::BIGINT AS min_value,
+                max({c})::BIGINT AS max_value FROM {t}"""
+            for t, names in _KEYS.items()
+            for c in names
+        ]
+    ),
     "object_listing": """
         SELECT * FROM (
             SELECT 'region' AS object_type, r_name AS name FROM region
@@ -375,6 +397,8 @@ ORACLE: dict[str, str] = {
         SELECT * FROM part WHERE p_name = 'small ring' AND p_type = 'ECONOMY'""",
     "lookup_page": """
         SELECT * FROM pages WHERE url = 'https://m.ththth.example.net/en/25#top'""",
+    "lookup_in_sorted_files": """
+        SELECT * FROM pages WHERE url = 'https://m.ththth.example.net/en/25#top'""",
     "search_text": """
         SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')""",
     "external_references": """
@@ -399,6 +423,15 @@ ORACLE: dict[str, str] = {
             FROM pages)""",
     "name_lint": _name_flags()
     + _union([f"SELECT '{r}' AS rule, name FROM flags WHERE {r}" for r in _NAME_RULES]),
+    "column_name_lint": _name_flags(columns=True)
+    + _union([f"SELECT '{r}' AS rule, name FROM flags WHERE {r}" for r in _COLUMN_RULES]),
+    "column_name_lint_counts": _name_flags(columns=True)
+    + _union(
+        [
+            f"SELECT '{r}' AS rule, count(*) FILTER (WHERE {r}) AS names FROM flags"
+            for r in _COLUMN_RULES
+        ]
+    ),
     "name_lint_counts": _name_flags()
     + _union(
         [
@@ -450,6 +483,12 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, quality, toxic, l.doc_id IS NOT NULL AS annotated
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
         WHERE contains(lower(lang), 'en') OR contains(lower(source), 'en')""",
+    "annotate_from_json": """
+        SELECT d.doc_id, l.doc_id IS NOT NULL AS annotated,
+            'Document ' || l.doc_id AS object_name, 'quality ' || quality AS description
+        FROM documents d LEFT JOIN (
+            SELECT * FROM labels WHERE starts_with(doc_id::VARCHAR, '1')) l
+        ON d.doc_id = l.doc_id""",
     "prefix_covered_lists": """
         WITH lists AS (
             SELECT user_id, ts::DATE AS day,
@@ -538,7 +577,8 @@ ORACLE: dict[str, str] = {
             count(*) FILTER (WHERE NOT l_shipdate >= o_orderdate),
             count(*) FILTER (WHERE NOT l_shipdate >= o_orderdate) = 0
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "layout_candidates": _layout(),
+    "layout_candidates": _layout(_LAYOUT),
+    "approximate_layout": _layout(_FEW_VALUES),
     "table_schema_profile": _schema_rows(
         "orders",
         [

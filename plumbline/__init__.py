@@ -1,13 +1,15 @@
 """Table profiling, comparison and feed health on Spark DataFrames.
 
 Every operator takes DataFrames and plain parameters and returns a DataFrame.
-Nothing is collected on the way, apart from the one-row size checks of
-``find_references``, ``mention_report`` and ``prefix_covered_lists``.
+What is collected on the way has a bound that does not grow with the tables:
+``find_references`` and ``mention_report`` fetch a row about their items, a sketch and a
+Bloom filter, and the footer readers a row per table.
 """
 
 from plumbline.operators import *  # noqa: F401,F403
 from plumbline.operators import __all__ as _operators
 from plumbline.session import build_session
-from plumbline.sources import Dataset, read_annotations
+from plumbline.sources import *  # noqa: F401,F403
+from plumbline.sources import __all__ as _sources
 
-__all__ = [*_operators, "Dataset", "build_session", "read_annotations"]
+__all__ = [*_operators, *_sources, "build_session"]

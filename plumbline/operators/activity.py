@@ -361,17 +361,19 @@ def clustering_fragmentation(
     high: float = 30,
     low: float = 10,
     block: Column | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """(group, rows, pct, action): how far a value is out of order, worst first.
 
     ``pct`` is the percentage of rows whose value is below the one before them in
     the given order. Groups of at least ``min_rows`` rows with more than ``low``
-    percent are listed: REBUILD from ``high``, else REORGANIZE. ``block``, an
-    expression that never decreases along the order, splits hot groups; one that does
-    decrease raises.
+    percent are listed: REBUILD from ``high``, else REORGANIZE. Groups of more than
+    ``longest`` rows are found and split into ranges of their order; ``block``, an
+    expression that never decreases along the order, splits all groups instead, and raises
+    where it does decrease.
     """
     counts = out_of_order_counts(
-        df.withColumn("_group", F.col(group)), ["_group"], order, value, block
+        df.withColumn("_group", F.col(group)), ["_group"], order, value, block, longest
     )
     share = F.col("out_of_order") * 100.0 / F.col("rows")
     pct = F.round(share, 1)

@@ -407,8 +407,8 @@ def layout_candidates(
     Candidates are columns whose name ends in one of ``suffixes`` or is one of
     ``names``, in any case, except (table, column) pairs already ``laid_out``. A
     high ratio suits bucketing, few values suit partitioning, and a high share of
-    the most frequent value warns of skew. ``approx=True`` estimates ndv in one pass
-    without a shuffle of values and leaves top_share null.
+    the most frequent value warns of skew. ``approx=True`` estimates ndv and
+    top_share in one pass without a shuffle of values.
     """
     endings = tuple(suffix.lower() for suffix in suffixes)
     exact = {name.lower() for name in names}

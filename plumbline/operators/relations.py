@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -51,46 +51,141 @@ def reference_candidates(
     )
 
 
+@dataclass(frozen=True)
+class _KeyColumn:
+    """A column that links compare, and its place among all of them."""
+
+    table: DataFrame
+    name: str
+    place: int
+
+
+#: Columns compared in one pass: as many as a 64-bit mask has bits, but the sign.
+_COLUMNS_AT_ONCE = 63
+
+
 def missing_references(links: Sequence[Link]) -> DataFrame:
     """(link, child_rows, child_keys, orphan_keys, coverage) per link.
 
-    Null child keys are ignored. Both sides are counted per key in one aggregate,
-    which needs no join: a hot key shrinks to one row per task before the shuffle.
-    Coverage is the share of child keys that exist in the parent, 1 if there are
-    none.
+    Null child keys are ignored. Coverage is the share of child keys that exist in the
+    parent, 1 if there are none. Keys are compared as the type to which Spark brings both
+    columns in a union.
+
+    All links are checked together. Each table is read once, for all its columns; their
+    values go into one aggregate per value that keeps which columns hold it and how often,
+    so a hot key shrinks to one row per task before the only shuffle of keys, and no join
+    is needed. More than ``_COLUMNS_AT_ONCE`` columns take a pass for every so many.
     """
     report = None
-    for link in links:
-        children = link.child.select(
-            F.col(link.child_key).alias("key"),
-            F.lit(1).alias("child"),
-            F.lit(0).alias("parent"),
-        )
-        parents = link.parent.select(
-            F.col(link.parent_key).alias("key"),
-            F.lit(0).alias("child"),
-            F.lit(1).alias("parent"),
-        )
-        per_key = (
-            children.unionByName(parents)
-            .filter(F.col("key").isNotNull())
-            .groupBy("key")
-            .agg(F.sum("child").alias("rows"), F.max("parent").alias("known"))
-        )
-        used = F.col("rows") > 0
-        counted = per_key.agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("child_rows"),
-            F.count_if(used).alias("child_keys"),
-            F.count_if(used & (F.col("known") == 0)).alias("orphan_keys"),
-        ).select(
-            F.lit(link.name).alias("link"), "child_rows", "child_keys", "orphan_keys"
-        )
+    for some in _passes(links):
+        counted = _orphans(some)
         report = counted if report is None else report.unionByName(counted)
     known_share = (F.col("child_keys") - F.col("orphan_keys")) / F.col("child_keys")
     coverage = F.when(F.col("child_keys") > 0, known_share).otherwise(1.0)
     return report.withColumn("coverage", F.round(coverage, 4))
 
 
+def _passes(links: Sequence[Link]) -> Iterator[list[Link]]:
+    most = _COLUMNS_AT_ONCE // 2
+    for start in range(0, len(links), most):
+        yield list(links[start : start + most])
+
+
+def _orphans(links: list[Link]) -> DataFrame:
+    columns: list[_KeyColumn] = []
+    tables: dict[int, DataFrame] = {}
+
+    def place(table: DataFrame, name: str) -> int:
+        # Two reads of a table have one hash; different tables practically never do.
+        known = tables.setdefault(table.semanticHash(), table)
+        if known is table or known.sameSemantics(table):
+            table = known
+        for column in columns:
+            if column.table is table and column.name == name:
+                return column.place
+        columns.append(_KeyColumn(table, name, len(columns)))
+        return len(columns) - 1
+
+    ends = [(place(l.child, l.child_key), place(l.parent, l.parent_key)) for l in links]
+    # Columns that links connect share their values; others must not meet.
+    group = list(range(len(columns)))
+    for child, parent in ends:
+        group = [group[parent] if g == group[child] else g for g in group]
+    kinds = {g: _common_type([c for c in columns if group[c.place] == g]) for g in set(group)}
+
+    def value(column: _KeyColumn) -> Column:
+        kind = kinds[group[column.place]]
+        plain = F.col(column.name).cast(kind)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            plain = plain + F.lit(0.0).cast(kind)  # one zero
+        return plain.cast("bigint" if isinstance(kind, T.IntegralType) else "string")
+
+    def picked(own: list[_KeyColumn], whole: bool) -> Column:
+        """The value of the column in place ``place``, if it is of this kind."""
+        found = F.lit(None).cast("bigint" if whole else "string")
+        for column in own:
+            if isinstance(kinds[group[column.place]], T.IntegralType) == whole:
+                found = F.when(F.col("place") == column.place, value(column)).otherwise(found)
+        return found
+
+    # Whole numbers are compared as such, everything else in its one spelling.
+    sides = {"number": True, "text": False}
+    used = [s for s, whole in sides.items()
+            if any(isinstance(k, T.IntegralType) == whole for k in kinds.values())]
+    values = None
+    read = []
+    for column in columns:
+        if not any(t is column.table for t in read):
+            read.append(column.table)
+    for table in read:
+        own = [c for c in columns if c.table is table]
+        places = F.explode(F.array(*[F.lit(c.place) for c in own])).alias("place")
+        of_group = F.get(F.array(*map(F.lit, group)), F.col("place"))
+        some = table.select(*{c.name for c in own}, places).select(
+            "place", of_group.alias("group"), *[picked(own, sides[s]).alias(s) for s in used]
+        )
+        values = some if values is None else values.unionByName(some)
+    # A count for each child column of a group: groups share the counts' places.
+    slot: dict[int, int] = {}
+    for child in sorted({child for child, _ in ends}):
+        slot[child] = sum(group[other] == group[child] for other in slot)
+    slots = F.array(*[F.lit(slot.get(c.place, -1)) for c in columns])
+    per_value = (
+        values.filter(reduce(or_, [F.col(s).isNotNull() for s in used]))
+        .withColumn("slot", F.get(slots, "place"))
+        .groupBy("group", *used)
+        .agg(
+            F.bit_or(F.expr("shiftleft(1L, place)")).alias("held"),
+            *[F.sum((F.col("slot") == n).cast("bigint")).alias(f"rows{n}")
+              for n in sorted(set(slot.values()))],
+        )
+    )
+    report = []
+    for link, (child, parent) in zip(links, ends):
+        rows, own = F.col(f"rows{slot[child]}"), F.col("group") == group[child]
+        present = own & (rows > 0)
+        known = F.col("held").bitwiseAND(F.lit(1 << parent)) != 0
+        report.append(F.struct(
+            F.lit(link.name).alias("link"),
+            F.coalesce(F.sum(F.when(own, rows)), F.lit(0)).alias("child_rows"),
+            F.count_if(present).alias("child_keys"),
+            F.count_if(present & ~known).alias("orphan_keys"),
+        ))
+    return per_value.agg(F.array(*report).alias("links")).select(F.inline("links"))
+
+
+def _common_type(columns: list[_KeyColumn]) -> T.DataType:
+    """The type to which Spark brings the columns in a union."""
+    kinds = [column.table.schema[column.name].dataType for column in columns]
+    if all(kind == kinds[0] for kind in kinds):
+        return kinds[0]
+    frame = None
+    for column in columns:
+        own = column.table.select(F.col(column.name).alias("key"))
+        frame = own if frame is None else frame.unionByName(own)
+    return frame.schema["key"].dataType
+
+
 def unreferenced_rows(
     entities: DataFrame, key: str, refs: DataFrame, ref_key: str
 ) -> DataFrame:
@@ -226,6 +321,7 @@ def prefix_covered_lists(
     value: str,
     block: Column | None = None,
     all_pairs: bool = False,
+    longest: int | None = None,
 ) -> DataFrame:
     """(group, covered, covering, coverers): lists that begin another, longer list.
 
@@ -240,14 +336,15 @@ def prefix_covered_lists(
     an equi-join on (group, length, fingerprint) gives the result and no list is
     ever gathered into a row. Lists are compared by 128-bit fingerprints alone: two
     different ones are taken as equal with a probability of 2**-128 per pair. Equal
-    lists are one class while they are compared. ``block``, an expression that never
-    decreases along the order, splits long lists; a block that does decrease raises.
+    lists are one class while they are compared. Lists of more than ``longest`` elements
+    are found and split into ranges of their order; ``block``, an expression that never
+    decreases along the order, splits all lists instead, and raises where it does decrease.
     """
     content = F.col(value)
     if isinstance(items.schema[value].dataType, T.StringType):
         content = F.lower(content)
     keyed = items.withColumns({"_group": F.col(group), "_list": F.col(list_id)})
-    prefixes, wholes = prefix_fingerprints(keyed, ["_group", "_list"], order, content, block)
+    prefixes, wholes = prefix_fingerprints(keyed, ["_group", "_list"], order, content, block, longest)
     print_ = ["_group", "length", "fp1", "fp2"]
 
     def same(left: str, right: str) -> Column:
@@ -294,27 +391,15 @@ def latest_run(
     """Every entity with the ``shown`` columns of its most recent run.
 
     The latest run is the greatest ``run_order`` tuple, a null being least; of runs
-    equal in it, the greatest ``shown`` tuple. One order column after the other, the
-    greatest value per entity is found by a hash aggregate and the other runs drop out,
-    so the log is neither sorted before it is reduced nor gathered. ``never_run`` marks
-    entities without one.
+    equal in it, the greatest ``shown`` tuple. The log is read once and reduced to one row
+    per entity and task before its only shuffle. ``never_run`` marks entities without one.
     """
     entity_key, run_key = on
-    left = runs.select(
-        F.col(run_key).alias("_run_key"),
-        *[F.col(name).alias(f"_order{i}") for i, name in enumerate(run_order)],
-        F.struct(*shown).alias("_run"),
+    newest = (
+        runs.groupBy(F.col(run_key).alias("_run_key"))
+        .agg(F.max(F.struct(F.struct(*run_order).alias("order"), F.struct(*shown).alias("run"))).alias("_last"))
+        .select("_run_key", F.col("_last.run").alias("_run"))
     )
-    for i in range(len(run_order)):
-        newest = left.groupBy(F.col("_run_key").alias("_newest_key")).agg(
-            F.max(f"_order{i}").alias("_newest")
-        )
-        left = left.join(
-            newest,
-            F.col("_run_key").eqNullSafe(F.col("_newest_key"))
-            & F.col(f"_order{i}").eqNullSafe(F.col("_newest")),
-        ).drop("_newest_key", "_newest")
-    newest = left.groupBy("_run_key").agg(F.max("_run").alias("_run"))
     joined = entities.join(newest, F.col(entity_key) == F.col("_run_key"), "left")
     return joined.select(
         *entities.columns,

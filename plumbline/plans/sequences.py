@@ -1,10 +1,12 @@
 """Ordered sequences that may be too long for one task.
 
-A sequence is the rows of one key in a given order. A window over the key alone
-would sort a hot key in a single task, so the caller may name a ``block``: any
-expression that never decreases along the order, such as the hour of a
-timestamp. Rows are then sorted per (key, block), and only one summary row per
-block is carried across blocks.
+A sequence is the rows of one key in a given order. Short ones are sorted by a window over
+their key. A window would also sort a hot key in a single task, so sequences of more than
+``LONGEST`` rows are found by a count first, dealt out by ranges of (key, order) and
+written: a range is then a block of its sequence. A caller who knows an expression that
+never decreases along the order, such as the hour of a timestamp, can name it as ``block``
+and save the count and the ranges. Either way rows are sorted per (key, block), and only
+one summary row per block is carried across blocks.
 """
 
 from __future__ import annotations
@@ -13,9 +15,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.plans.scratch import written
+
+#: Rows of one sequence that a task sorts in one piece.
+LONGEST = 1_000_000
 _NOT_IN_ORDER = "The block expression decreases along the order."
 
 
+def split_long(
+    rows: DataFrame, order: Sequence[str], longest: int | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of short sequences, rows of longer ones with a ``_block``, None without any).
+
+    ``rows`` has the sequence's key as ``_key``. Keys are counted by an aggregate that runs
+    here; there are at most so many long ones as ``longest`` goes into the rows.
+    """
+    counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    keys = counts.filter(F.col("_n") > (LONGEST if longest is None else longest)).select("_key")
+    if keys.isEmpty():
+        return rows, None
+    keys = written(keys, "long-keys")
+    ranged = (
+        rows.join(keys, "_key", "left_semi").repartitionByRange("_key", *order)
+        .withColumn("_block", F.struct(F.spark_partition_id().alias("block")))
+    )
+    # Ranges come from a sample: written, they are the same for all that reads them.
+    return rows.join(keys, "_key", "left_anti"), written(ranged, "ranges")
+
+
 def _before_block(name: str, combine: str) -> Column:
     """An aggregate of ``name`` over the earlier blocks of the same sequence."""
     earlier = (
@@ -129,6 +156,7 @@ def prefix_fingerprints(
     order: Sequence[str],
     value: Column,
     block: Column | None = None,
+    longest: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all strict prefixes and of all whole sequences.
 
@@ -138,8 +166,10 @@ def prefix_fingerprints(
     (fp1, fp2) if they hold the same values, and otherwise with probability
     2**-128.
 
-    With a ``block``, sequences are sorted block by block, short ones too, so the result
-    does not depend on their length. A block that does not follow the order raises.
+    With a ``block``, all sequences are sorted block by block; a block that does not follow
+    the order raises. Without it those of more than ``longest`` rows (``LONGEST`` if not
+    given) are sorted range by range, which takes jobs while this is called; the result is
+    the same for every ``longest``.
 
     A fingerprint is the XOR of hashes of (position, value). Keys and blocks travel
     as structs: equal structs compare null-safely, a null block sorts first as a
@@ -151,7 +181,15 @@ def prefix_fingerprints(
         value.alias("_value"),
         *([] if block is None else [F.struct(block.alias("block")).alias("_block")]),
     )
-    prefixes, wholes = _in_one_piece(rows) if block is None else _in_blocks(rows)
+    if block is not None:
+        prefixes, wholes = _in_blocks(rows)
+    else:
+        names = [name for name in rows.columns if name.startswith("_order")]
+        short, long = split_long(rows, names, longest)
+        prefixes, wholes = _in_one_piece(short)
+        if long is not None:
+            more, ends = _in_blocks(long)
+            prefixes, wholes = prefixes.unionByName(more), wholes.unionByName(ends)
 
     def unpacked(df: DataFrame, length: Column) -> DataFrame:
         names = [F.col(f"_key.{name}").alias(name) for name in keys]
@@ -167,17 +205,42 @@ def out_of_order_counts(
     order: Sequence[str],
     value: str,
     block: Column | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
-    """(keys, rows, out_of_order): rows whose value is below the one before it."""
+    """(keys, rows, out_of_order): rows whose value is below the one before it.
+
+    ``block`` and ``longest`` as in ``prefix_fingerprints``.
+    """
     rows = df.select(
-        *keys,
+        F.struct(*keys).alias("_key"),
         F.struct(*order).alias("_order"),
         F.col(value).alias("_value"),
-        (block if block is not None else F.lit(0)).alias("_block"),
+        *([] if block is None else [F.struct(block.alias("block")).alias("_block")]),
     )
-    within = Window.partitionBy(*keys, "_block").orderBy("_order")
+    if block is not None:
+        counted = _steps_in_blocks(rows)
+    else:
+        short, long = split_long(rows, ["_order"], longest)
+        counted = _steps_in_one_piece(short)
+        if long is not None:
+            counted = counted.unionByName(_steps_in_blocks(long))
+    names = [F.col(f"_key.{name}").alias(name) for name in keys]
+    return counted.select(*names, "rows", "out_of_order")
+
+
+def _steps_in_one_piece(rows: DataFrame) -> DataFrame:
+    within = Window.partitionBy("_key").orderBy("_order")
+    steps = rows.withColumn("_previous", F.lag("_value").over(within))
+    return steps.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("_value") < F.col("_previous")).alias("out_of_order"),
+    )
+
+
+def _steps_in_blocks(rows: DataFrame) -> DataFrame:
+    within = Window.partitionBy("_key", "_block").orderBy("_order")
     steps = rows.withColumn("_previous", F.lag("_value").over(within))
-    per_block = steps.groupBy(*keys, "_block").agg(
+    per_block = steps.groupBy("_key", "_block").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("_value") < F.col("_previous")).alias("inside"),
         F.min_by("_value", "_order").alias("_first"),
@@ -185,16 +248,14 @@ def out_of_order_counts(
         F.min("_order").alias("_begins"),
         F.max("_order").alias("_ends"),
     )
-    across = Window.partitionBy(*keys).orderBy("_block")
+    across = Window.partitionBy("_key").orderBy("_block")
     joints = per_block.withColumns(
         {
             "rows": _checked(F.col("rows"), "_begins", "_ends", F.lag("_ends").over(across)),
             "_before": F.lag("_last").over(across),
         }
     )
-    return joints.groupBy(*keys).agg(
+    return joints.groupBy("_key").agg(
         F.sum("rows").alias("rows"),
-        (
-            F.sum("inside") + F.count_if(F.col("_first") < F.col("_before"))
-        ).alias("out_of_order"),
+        (F.sum("inside") + F.count_if(F.col("_first") < F.col("_before"))).alias("out_of_order"),
     )

@@ -17,20 +17,42 @@ ANNOTATION_SCHEMA = T.StructType(
     ]
 )
 
+_BROKEN = "_broken"
 _ENVELOPE = T.StructType(
-    [T.StructField("constraints", T.ArrayType(ANNOTATION_SCHEMA))]
+    [
+        T.StructField("constraints", T.ArrayType(ANNOTATION_SCHEMA)),
+        T.StructField(_BROKEN, T.StringType()),
+    ]
 )
 
 
+def _envelopes(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    reader = spark.read.schema(_ENVELOPE).option("multiLine", not lines)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
+    return reader.json(path)
+
+
+def unreadable_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, record): the files, or lines, that aren't the JSON ``read_annotations`` takes."""
+    found = _envelopes(spark, path, lines).select(
+        F.col("_metadata.file_path").alias("file"), F.col(_BROKEN).alias("record"), "constraints"
+    )
+    # Spark wants a field of the records to be read along with what is broken about them.
+    read = F.col("constraints").isNull() | (F.size("constraints") >= 0)
+    return found.filter(F.col("record").isNotNull() & read).select("file", "record")
+
+
 def read_annotations(
-    spark: SparkSession, path: str, filter: str | None = None
+    spark: SparkSession, path: str, filter: str | None = None, lines: bool = False
 ) -> DataFrame:
-    """Annotations from JSON files of the form ``{"constraints": [{...}, ...]}``.
+    """Annotations from JSON of the form ``{"constraints": [{...}, ...]}``.
 
+    A file is one such object, or each of its lines with ``lines=True``, which lets Spark
+    split large files. What can't be read is left out; ``unreadable_annotations`` lists it.
     ``filter`` keeps entries whose database or object name contains it,
     ignoring case. A date that can't be read is null.
     """
-    files = spark.read.schema(_ENVELOPE).option("multiLine", True).json(path)
+    files = _envelopes(spark, path, lines)
     entry = F.explode("constraints").alias("entry")
     annotations = files.select(entry).select(
         F.col("entry.id").alias("id"),

@@ -230,13 +230,39 @@ def test_short_items_of_common_words_make_few_candidates(spark):
     ]
 
 
-def test_latest_run_does_not_sort_the_log(spark):
-    log = spark.range(100).selectExpr("id % 7 AS job", "id AS at", "id AS seq")
-    jobs = spark.range(7)
-    plan = pl.latest_run(jobs, log, ("id", "job"), ["at"], ["seq"])
-    text = plan._jdf.queryExecution().sparkPlan().toString()
-    over_log = text[text.index("functions=[max(_order0") :]
-    assert "SortAggregate" not in over_log and "HashAggregate" in over_log
+def test_latest_run_reads_and_shuffles_the_log_once(spark):
+    """However many order columns there are, and with texts among what is shown."""
+    log = spark.range(100).selectExpr("id % 7 AS job", "id AS at", "id AS seq", "'t' AS name")
+    jobs = spark.createDataFrame([(1,)], "id long")
+    found = pl.latest_run(jobs, log, ("id", "job"), ["at", "seq", "name"], ["seq", "name"])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Range (0, 100") == 1
+    assert text.count("hashpartitioning(") == 1
+    # Reduced per task before that shuffle.
+    assert text.count("partial_max(") == 1
+
+
+def test_missing_references_compare_values_not_spellings(spark, rows):
+    """Links of several types in one pass: columns that no link connects never meet."""
+    a = spark.createDataFrame([(1, "1", 1.0, None), (2, "x", -0.0, "p"), (2, "1", 5.0, "q")],
+                              "i int, s string, d double, n string")
+    b = spark.createDataFrame([(1, "x", 0.0, "p"), (3, "y", 1.0, None)], "i long, s string, d double, n string")
+    links = [pl.Link(c, a, c, b, c) for c in ("i", "s", "d", "n")]
+    links.append(pl.Link("back", b, "i", a, "i"))
+    found = pl.missing_references(links)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == sorted([
+        ("i", 3, 2, 1, 0.5), ("s", 3, 2, 1, 0.5), ("d", 3, 3, 1, 0.6667),
+        ("n", 2, 2, 1, 0.5), ("back", 2, 2, 1, 0.5)], key=repr)
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("hashpartitioning") == 1
+
+
+def test_missing_references_in_several_passes(spark, rows, monkeypatch):
+    a = spark.createDataFrame([(1, 5), (2, 6)], "x int, y int")
+    links = [pl.Link(f"{c}{p}", a, c, a, p) for c in "xy" for p in "xy"]
+    whole = rows(pl.missing_references(links))
+    monkeypatch.setattr("plumbline.operators.relations._COLUMNS_AT_ONCE", 3)
+    assert rows(pl.missing_references(links)) == whole
 
 
 @pytest.mark.parametrize("order", [["at"], ["at", "seq"]])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import plumbline as pl
+from plumbline.plans import sequences
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -106,3 +107,36 @@ def test_hot_list_is_matched_in_blocks(spark, hot, rows, shuffled_joins):
         block=F.floor(F.col("o") / 1000),
     )
     assert rows(found) == [("g", 2, 1, 1)]
+
+
+@pytest.mark.parametrize("longest", [400, 9_999, 10_000])
+def test_hot_group_out_of_order_without_a_block(hot, rows, longest, shuffled_joins):
+    whole = pl.clustering_fragmentation(hot, "k", ["o"], "v", min_rows=1, low=-1)
+    split = pl.clustering_fragmentation(hot, "k", ["o"], "v", min_rows=1, low=-1, longest=longest)
+    assert rows(split) == rows(whole)
+
+
+def test_hot_list_is_matched_in_ranges(spark, hot, rows, shuffled_joins):
+    whole = hot.filter("k = 0").select(F.lit("g").alias("g"), F.lit(1).alias("i"), "o", "v")
+    start = whole.filter("o < 12000").withColumn("i", F.lit(2))
+    other = start.withColumn("i", F.lit(3)).withColumn("v", F.col("v") + (F.col("o") == 11997).cast("int"))
+    short = start.filter("o < 60").withColumn("i", F.lit(None).cast("int"))
+    lists = whole.union(start).union(other).union(short)
+    for longest in (50, 3_000, 5_000):
+        found = pl.prefix_covered_lists(lists, "g", "i", ["o"], "v", longest=longest)
+        assert rows(found) == rows(pl.prefix_covered_lists(lists, "g", "i", ["o"], "v"))
+        assert ("g", 2, 1, 1) in rows(found) and ("g", None, 1, 3) in rows(found)
+
+
+def test_ranges_of_a_hot_group_are_even(spark, hot):
+    """A third of all rows in one group: its ranges hold about as many rows each."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keyed = hot.select(F.struct("k").alias("_key"), F.col("o").alias("_order0"))
+        short, long = sequences.split_long(keyed, ["_order0"], 1000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert short.count() == 20000
+    sizes = sorted(r["count"] for r in long.groupBy("_block").count().collect())
+    assert len(sizes) > 2 and sum(sizes) == 10000
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
