@@ -29,7 +29,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from plumbline.llm.common import by_size, id_and_text, ship_package
 from plumbline.llm.pieces import byte_pieces, gather
 
-#: Pieces a Python worker keeps; beyond it the table is emptied, which changes no result.
+#: Pieces a Python worker keeps in its newer table, and as many in the older one. When the
+#: newer is full it becomes the older, so pieces in use stay known; no result depends on it.
 KEPT_PIECES = 500_000
 _BLOCK = "part int, block int, dictionary string, start bigint, n_ids bigint, ids array<{id}>, offsets binary, counts binary, frames binary"
 
@@ -55,6 +56,7 @@ class PieceTokenizer:
         )
         self.by_piece.encode_special_tokens = special_as_text
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _bytes(self, library: Tokenizer, texts: list[str]) -> list[bytes]:
         # The fast form leaves out offsets into the text, which nothing here uses.
@@ -67,11 +69,15 @@ class PieceTokenizer:
         pieces, counts = byte_pieces(["" if w else text for w, text in zip(whole, texts)])
         coded = pieces.dictionary_encode()
         if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
+            self.older, self.kept = self.kept, {}
         kept, different = self.kept, coded.dictionary.to_pylist()
-        new = [piece for piece in different if piece not in kept]
-        kept.update(zip(new, self._bytes(self.by_piece, new)))
-        found = [kept[piece] for piece in different]
+        found = list(map(kept.get, different))
+        lacking = [n for n, ids in enumerate(found) if ids is None]
+        again = list(map(self.older.get, map(different.__getitem__, lacking)))
+        unknown = [n for n, ids in zip(lacking, again) if ids is None]
+        made = iter(self._bytes(self.by_piece, [different[n] for n in unknown]))
+        for n, ids in zip(lacking, again):
+            kept[different[n]] = found[n] = next(made) if ids is None else ids
         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int64)
         codes = coded.indices.to_numpy()
         ids = gather(np.frombuffer(b"".join(found), "<u4"), offsets, codes)
@@ -121,8 +127,9 @@ def write_bundle(
 ) -> None:
     """Encode every text whole, append ``end_id``, and write the bundle to ``path``.
 
-    Documents are in ascending id order, null ids first, equal ids by their text; null
-    texts count as empty and hold the end id alone. The dictionary is trained on at most
+    Documents are in ascending id order, null ids first, equal ids by a hash of their text,
+    then by the text, so that one id's many rows are dealt out to tasks; null texts count as
+    empty and hold the end id alone. The dictionary is trained on at most
     ``dictionary_documents`` documents, those with the least hash of the id, and at most
     ``sample_bytes`` from each; it changes sizes, never contents. An empty table gives a
     bundle without documents. Columns besides id and text are not read.
@@ -193,7 +200,8 @@ def write_bundle(
             yield block()
 
     id_type = _arrow_type(kind)
-    ordered = source.repartitionByRange("id").sortWithinPartitions("id", "text")
+    place = ["id", F.xxhash64("text")]
+    ordered = source.repartitionByRange(*place).sortWithinPartitions(*place, "text")
     ordered.mapInArrow(blocks, _BLOCK.format(id=kind)).write.option(
         "compression", "uncompressed"
     ).parquet(f"{path}/blocks")
