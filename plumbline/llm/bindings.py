@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.alignment import link_counts
 from plumbline.llm.bpe import bpe_decode, bpe_encode
-from plumbline.llm.common import scratch_path
+from plumbline.llm.common import scratch_path, written
 from plumbline.llm.embedding_dedup import embedding_components
-from plumbline.llm.fingerprints import edit_likeness
+from plumbline.llm.fingerprints import edit_likeness, with_near_counts
 from plumbline.llm.language import identify_language, train_language
 from plumbline.llm.mixing import mix_rates, plan_mix
 from plumbline.llm.oracles import ORACLE
@@ -57,7 +57,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    found = written(edit_likeness(documents(spark, sf_dir)), "likeness")
+    # The search: every hundredth id against all rows.
+    near = with_near_counts(found, F.col("id") % 100 == 0)
+    return near.withColumnRenamed("id", "doc_id")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import by_size, id_and_text, written
 
@@ -110,8 +110,8 @@ def near_fingerprints(
     Both frames are (id, fingerprint) as :func:`fingerprints` makes them. Equal
     fingerprints are one row with the number of rows that have it, so a large group of
     copies meets in no join. Tables fix ``blocks - radius`` of the blocks; with two blocks
-    more than the radius (the default) a key has a good part of the bits. Null
-    fingerprints find nothing.
+    more than the radius (the default) a key has a good part of the bits. A pair that meets
+    in several tables is given by the first of them. Null fingerprints find nothing.
     """
     blocks = radius + 2 if blocks is None else blocks
     digits = BITS // 4
@@ -144,10 +144,32 @@ def near_fingerprints(
         )
         for at in range(1, digits, 8)
     ]
+    # The first table fixes the first equal blocks, so all others before its last one differ.
+    differs = [
+        F.substring("query_fingerprint", a + 1, b - a) != F.substring("fingerprint", a + 1, b - a)
+        for a, b in zip(cuts, cuts[1:])
+    ]
+    first = F.lit(False)
+    for n, kept in enumerate(combinations(range(blocks), blocks - radius)):
+        own = F.col("table") == n
+        for block in set(range(kept[-1])) - set(kept):
+            own = own & differs[block]
+        first = first | own
     found = left.join(keyed(rows), ["table", "key"]).withColumn("distance", sum(apart, F.lit(0)))
-    return found.filter(F.col("distance") <= radius).select(
+    return found.filter((F.col("distance") <= radius) & first).select(
         "query_fingerprint", "fingerprint", "distance", "n_rows"
-    ).distinct()
+    )
+
+
+def with_near_counts(rows: DataFrame, is_query: Column, radius: int = 3) -> DataFrame:
+    """The rows with ``n_near``: for those that ask, how many other rows' fingerprints are
+    within ``radius`` bits of their own, null for the others."""
+    found = near_fingerprints(rows.filter(is_query), rows, radius).groupBy("query_fingerprint").agg(
+        F.sum("n_rows").alias("n_near")
+    )
+    near = F.when(is_query, F.col("n_near") - 1)  # but the row itself
+    joined = rows.join(found, F.col("fingerprint") == F.col("query_fingerprint"), "left")
+    return joined.select(*rows.columns, near.alias("n_near"))
 
 
 _EDITED = (
@@ -180,8 +202,9 @@ def edit_likeness(
 ) -> DataFrame:
     """How alike a document's fingerprint is to its edited text's and to the next document's.
 
-    The next document is the one before it in id order (of equal ids, by text; null ids
-    come last); after the last comes the first. The edited text has the second half of
+    The next document is the one before it in id order (of equal ids, by a hash of the text,
+    then the text, so that one id's many rows are dealt out to tasks; null ids come last);
+    after the last comes the first. The edited text has the second half of
     the code points, rounded down, replaced by as many from the start of the next text.
 
     Texts are shuffled once, into ranges of ids; a task reads its range in order. Only a
@@ -234,9 +257,8 @@ def edit_likeness(
         if held is not None:
             yield aside("tail", held[0], held[1])
 
-    ordered = source.repartitionByRange(F.desc("id")).sortWithinPartitions(
-        F.desc("id"), F.desc("text")
-    )
+    place = [F.desc("id"), F.xxhash64("text").desc()]
+    ordered = source.repartitionByRange(*place).sortWithinPartitions(*place, F.desc("text"))
     done = written(
         ordered.mapInArrow(ranges, f"{edited_schema}, part int, role string, text string"), "edited"
     )

@@ -100,6 +100,11 @@ def test_op3_against_brute_force(spark):
         assert row.edited_fingerprint == changed.tobytes().hex()
         assert row.near_edited == 1 - int(np.bitwise_count(own ^ changed).sum()) / 128
         assert row.near_next == 1 - int(np.bitwise_count(own ^ after).sum()) / 128
+    prints = {n: np.frombuffer(bytes.fromhex(r.fingerprint), np.uint8) for n, r in found.items()}
+    every = np.array(list(prints.values()))
+    for number, own in prints.items():
+        near = int((np.bitwise_count(every ^ own).sum(axis=1) <= 3).sum()) - 1
+        assert found[number].n_near == (near if number % 100 == 0 else None)
     nearer = np.mean([r.near_edited > r.near_next for r in found.values()])
     assert nearer > 0.95
 
@@ -128,8 +133,10 @@ def test_block_tables_find_every_near_fingerprint(spark, radius, blocks):
     rows = [(n, p.tobytes().hex()) for n, p in enumerate(prints)] + [(900, None)]
     df = spark.createDataFrame(rows, "id bigint, fingerprint string")
     queries = df.filter("id % 10 = 0")
-    found = {(r.query_fingerprint, r.fingerprint, r.distance, r.n_rows) for r in
-             fingerprints.near_fingerprints(queries, df, radius, blocks).collect()}
+    pairs = [(r.query_fingerprint, r.fingerprint, r.distance, r.n_rows) for r in
+             fingerprints.near_fingerprints(queries, df, radius, blocks).collect()]
+    found = set(pairs)
+    assert len(pairs) == len(found)  # each by one table only
     times = {}
     for _, text in rows[:-1]:
         times[text] = times.get(text, 0) + 1
