@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.args import named_column
+from plumbline.functions.shipping import ship_package as send_package
+from plumbline.plans.scratch import scratch_path
 
-_OWN_FOLDER: dict[str, str] = {}
 ROWS_PER_FILE = 250_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -25,27 +21,16 @@ def ship_package(spark: SparkSession) -> None:
     # Texts can be very long: fewer rows than by default go to a Python worker at once.
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, "1000")
-    context = spark.sparkContext
-    if _OWN_FOLDER.get("shipped") == context.applicationId:
-        return
-    archive = Path(tempfile.mkdtemp(prefix="plumbline-")) / f"{_PACKAGE.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(_PACKAGE.rglob("*.py")):
-            out.write(path, path.relative_to(_PACKAGE.parent))
-    context.addPyFile(str(archive))
-    _OWN_FOLDER["shipped"] = context.applicationId
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for an intermediate table, below the cluster's shared folder.
-
-    The folder is the one in ``spark.checkpoint.dir``. Only where the session does not
-    set it, as in tests on one machine, a temporary folder of this driver is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN_FOLDER.setdefault("base", tempfile.mkdtemp(prefix="plumbline-"))
-    return f"{base.rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
+    send_package(spark)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that no column of the frame has, in any case."""
+    taken = {name.lower() for name in df.columns}
+    mark = "_"
+    while any(f"{mark}{name}".lower() in taken for name in names):
+        mark += "_"
+    return [f"{mark}{name}" for name in names]
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

@@ -8,10 +8,12 @@ finds which of them lie within one scope. Everything is DataFrame expressions an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.args import named_column
-from plumbline.llm.common import written
+from plumbline.llm.common import free_names, written
 
 # Fixed patterns of the base kinds, in their order.
 ASSIGN = (
@@ -81,8 +83,35 @@ def _spans(text: Column, kind: str, pattern: str, least: int, group: int = 0) ->
             F.when(hit["m"] >= least, grown).otherwise(done["spans"]).alias("spans"),
         )
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), _none().alias("spans"))
-    return F.aggregate(zipped, first, step, lambda done: done["spans"])
+    zero = F.lit(0).cast("bigint")
+
+    def part(every: Column, chunk: Column) -> Column:
+        return F.slice(every, (chunk * _CHUNK + 1).cast("int"), F.lit(_CHUNK))
+
+    def in_chunks(every: Column) -> Column:
+        # Adding to an array copies it, so spans grow in arrays of a bounded size only.
+        last = F.floor((F.greatest(F.size(every), F.lit(1)) - 1) / _CHUNK)
+        chunks = F.sequence(F.lit(0).cast("bigint"), last)
+        totals = F.transform(chunks, lambda chunk: F.aggregate(
+            part(every, chunk), zero, lambda at, hit: at + hit["gap"] + hit["n"]))
+        return _once(totals, lambda totals_: F.flatten(F.transform(chunks, lambda chunk: F.aggregate(
+            part(every, chunk),
+            F.struct(
+                F.aggregate(F.slice(totals_, F.lit(1), chunk.cast("int")), zero, lambda a, b: a + b).alias("at"),
+                _none().alias("spans"),
+            ),
+            step, lambda done: done["spans"]))))
+
+    return _once(zipped, in_chunks)
+
+
+#: Matches whose spans are put together in one array before the arrays are joined.
+_CHUNK = 256
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _where(text: Column, test: Column, spans: Column) -> Column:
@@ -269,23 +298,26 @@ def redact_secrets(
     """
     text = F.coalesce(named_column(text_col), F.lit(""))
     weak = text.rlike(_ANY_IDENTIFIER)
-    names = ("__base", "__weak", "__key")
+    base, others, key, found = free_names(docs, "base", "weak", "key", "linked")
     candidates = docs.filter(weak).withColumns(
-        {"__base": _base_spans(text), "__weak": _weak_spans(text), "__key": F.sha2(text, 256)}
+        {base: _base_spans(text), others: _weak_spans(text), key: F.sha2(text, 256)}
     )
-    parts = candidates.select(*[F.col(n).alias(n[2:]) for n in names]).dropDuplicates(["key"])
+    parts = candidates.select(
+        F.col(base).alias("base"), F.col(others).alias("weak"), F.col(key).alias("key")
+    ).dropDuplicates(["key"])
     links = _linked(written(parts, "spans"), scope).select(
-        F.col("key").alias("__key"), F.col("linked").alias("__linked")
+        F.col("key").alias(key), F.col("linked").alias(found)
     )
-    some = candidates.join(links, "__key", "left").withColumn(
+    some = candidates.join(links, key, "left").withColumn(
         text_col,
         redacted(
             named_column(text_col),
-            F.array_sort(F.concat("__base", F.coalesce("__linked", _none()))),
+            F.array_sort(F.concat(base, F.coalesce(found, _none()))),
             mark,
         ),
     )
-    none = docs.filter(~weak).withColumn("__base", _base_spans(text)).withColumn(
-        text_col, redacted(named_column(text_col), F.col("__base"), mark)
+    none = docs.filter(~weak).withColumn(base, _base_spans(text)).withColumn(
+        text_col, redacted(named_column(text_col), F.col(base), mark)
     )
-    return none.select(*docs.columns).unionByName(some.select(*docs.columns))
+    kept = [named_column(name) for name in docs.columns]
+    return none.select(*kept).unionByName(some.select(*kept))

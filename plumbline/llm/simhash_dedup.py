@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.common import by_size, connected_components, id_and_text, written
+from plumbline.llm.common import by_size, connected_components, free_names, id_and_text, written
 
 SEED = 42
 _SHINGLES_AT_ONCE = 1 << 16
@@ -239,8 +239,9 @@ def one_per_group(
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     without = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_col), 2)
     key = F.struct(F.coalesce(number, without).alias("id"), hashed.alias("text"))
-    keyed = docs.withColumn("__key", key)
+    (name,) = free_names(docs, "key")
+    keyed = docs.withColumn(name, key)
     # Equal texts have one component, so id and text tell which row is its least.
-    found = simhash_components(keyed, "__key", text_col, shingle, max_bits)
-    kept = found.filter("id = component_id").select(F.col("id").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    found = simhash_components(keyed, name, text_col, shingle, max_bits)
+    kept = found.filter("id = component_id").select(F.col("id").alias(name)).distinct()
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -7,11 +7,12 @@ import hashlib
 import math
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import bindings, mixing, secret_scan
+from plumbline.llm import bindings, mixing, secret_scan, simhash_dedup
 from plumbline.llm.common import written
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -203,26 +204,24 @@ def test_pipeline_stages_take_edge_rows(spark, rows):
 
 
 KEY = "AWS_ACCESS_KEY_ID=" + IDENTIFIER
-
-
-@pytest.mark.parametrize(
-    "text, kinds, gone",
-    [
-        (f"{KEY}\nAWS_SECRET_ACCESS_KEY={RANDOM}\n", ["access", "value", "random"], RANDOM),
-        (f"export {KEY}\nexport AWS_SECRET_ACCESS_KEY='{RANDOM}'", ["access", "value", "random"], RANDOM),
-        (f"[default]\naws_secret_access_key = {RANDOM}\n{KEY}", ["value", "random", "access"], RANDOM),
-        (f"{KEY}\nX={RANDOM}", ["access", "random"], RANDOM),
-        (f"{KEY}\nX={RANDOM}==", ["access", "random"], RANDOM + "=="),
-        (f"{KEY}\nX={RANDOM}a", ["access"], IDENTIFIER),
-        ("CLIENT_ID=web-1234\nCLIENT_SECRET=abcdefgh1", ["name", "assign"], "web-1234"),
-        (f"AccountName=store9;AccountKey={'aB3/' * 21}ab==;", ["name", "value"], "aB3/ab=="),
-        ("DB_HOST=db.example\nDB_USER=bob\nDB_PASS=hunter2222", ["host", "name", "value"], "hunter2222"),
-        ("host: db.example, user: bob, password: hunter22", ["host", "name", "assign"], "db.example"),
-        ("DB_HOST=db.example\nDB_USER=bob", [], None),
-        ("DB_PASS=hunter2222", [], None),
-        (f"AccountName=store9;{' ' * 200}AccountKey={'aB3/' * 21}ab==", [], None),
-    ],
-)
+FORMS = [
+    (f"{KEY}\nAWS_SECRET_ACCESS_KEY={RANDOM}\n", ["access", "value", "random"], RANDOM),
+    (f"export {KEY}\nexport AWS_SECRET_ACCESS_KEY='{RANDOM}'", ["access", "value", "random"], RANDOM),
+    (f"[default]\naws_secret_access_key = {RANDOM}\n{KEY}", ["value", "random", "access"], RANDOM),
+    (f"{KEY}\nX={RANDOM}", ["access", "random"], RANDOM),
+    (f"{KEY}\nX={RANDOM}==", ["access", "random"], RANDOM + "=="),
+    (f"{KEY}\nX={RANDOM}a", ["access"], IDENTIFIER),
+    ("CLIENT_ID=web-1234\nCLIENT_SECRET=abcdefgh1", ["name", "assign"], "web-1234"),
+    (f"AccountName=store9;AccountKey={'aB3/' * 21}ab==;", ["name", "value"], "aB3/ab=="),
+    ("DB_HOST=db.example\nDB_USER=bob\nDB_PASS=hunter2222", ["host", "name", "value"], "hunter2222"),
+    ("host: db.example, user: bob, password: hunter22", ["host", "name", "assign"], "db.example"),
+    ("DB_HOST=db.example\nDB_USER=bob", [], None),
+    ("DB_PASS=hunter2222", [], None),
+    (f"AccountName=store9;{' ' * 200}AccountKey={'aB3/' * 21}ab==", [], None),
+]
+
+
+@pytest.mark.parametrize("text, kinds, gone", FORMS)
 def test_named_parts_and_env_files(spark, text, kinds, gone):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     found = secret_scan.secret_spans(docs).first()
@@ -230,3 +229,38 @@ def test_named_parts_and_env_files(spark, text, kinds, gone):
     assert [tuple(s) for s in found.base] == _base(text)
     clean = secret_scan.redact_secrets(docs).first().text
     assert (clean == text) if gone is None else (gone in text and gone not in clean)
+
+
+def test_sql_agrees_on_parts_told_by_their_names(spark):
+    """Also on forms that the test tables don't hold, alone and in one text with others."""
+    texts = [text for text, _, _ in FORMS]
+    texts += ["\n".join(texts), "x".join(texts), " | ".join(reversed(texts)), "é" + texts[0] + "é", "", None]
+    texts += [f"{KEY} {RANDOM}={RANDOM}", f"{KEY}\n{RANDOM}===", f"{KEY}\n_{RANDOM}", f"{KEY}\na-b=c/{RANDOM}=",
+              "user=abc;login=def;pass=12345678;server: a.b", "my_app.client-id: 'zz9', x.secret_key=abcdefgh12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = bindings.span_digests(secret_scan.secret_spans(docs))
+    duck = duckdb.connect()
+    documents = docs.toPandas()
+    duck.register("documents", documents)
+    relation = duck.sql(bindings.oracle_sql()["op9_secret_scans"])
+    order = [relation.columns.index(c) for c in found.columns]
+    want = {r[order[0]]: tuple(r[i] for i in order) for r in relation.fetchall()}
+    for row in found.collect():
+        assert tuple(row) == want[row.doc_id], texts[row.doc_id]
+
+
+def test_many_matches_in_one_text(spark):
+    """Far more than one array of spans holds; positions run on across them."""
+    text = "".join(f"é{n:x} {'0123456789abcdef' * 2} " for n in range(700))
+    found = secret_scan.secret_spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [tuple(s) for s in found.base] == _base(text) and len(found.base) == 700
+
+
+def test_columns_with_the_names_of_temporary_ones(spark):
+    texts = [(1, f"{KEY}\nX={RANDOM}", 5, "a", 7), (2, "plain", 6, "b", 8), (3, "plain", None, None, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, _base int, `__KEY` string, _linked int")
+    clean = {r.doc_id: r for r in secret_scan.redact_secrets(docs).collect()}
+    assert [tuple(clean[n])[2:] for n in (1, 2, 3)] == [t[2:] for t in texts] and RANDOM not in clean[1].text
+    renamed = docs.withColumnRenamed("_base", "_key")
+    kept = simhash_dedup.one_per_group(renamed).orderBy("doc_id").collect()
+    assert [(r.doc_id, r["_key"], r["__KEY"]) for r in kept] == [(1, 5, "a"), (2, 6, "b")]
