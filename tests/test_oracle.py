@@ -6,6 +6,8 @@ import datetime as dt
 import decimal
 import math
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -62,6 +64,19 @@ def test_every_query_has_an_oracle():
     assert all(name == "pipeline" or re.match(r"op\d+_", name) for name in without)
 
 
+@pytest.mark.parametrize("absent", ["zstandard", "public_tokenizers"])
+def test_queries_without_what_only_the_training_data_need(absent):
+    """In a process of its own: the other queries are there all the same."""
+    code = (
+        f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as c; "
+        "print(len(c.queries()), sum(n.startswith('op') and n[2].isdigit() for n in c.queries()))"
+    )
+    root = Path(contract.__file__).parent
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True)
+    own = sum(not re.match(r"op\d+_|pipeline", name) for name in QUERIES)
+    assert done.stdout.split() == [str(own), "0"], done.stderr
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
