@@ -54,13 +54,12 @@ from plumbline.llm.common import gathered, ship_package, written
 #: Slots per predictor, as powers of two: position, 1 to 4 bytes, the whole token so far.
 SLOTS = (16, 16, 19, 20, 21, 21)
 ORDERS = len(SLOTS)
-#: Tokens are spelled in parts of at most so many bytes, each a lane of its own.
-LONGEST = 32
-_OPEN, _GOES_ON = 0x20, 0x09
+_MARK = b" "
+_SHORT_TOKEN, _MATRIX_BYTES = 63, 1 << 21
 _TEXT_AT_ONCE = 1 << 24
 _TILT_STEPS = 32
 _LANES = 1 << 15
-_LEARNED_AT_ONCE = 1 << 12
+_LEARNED_AT_ONCE = 1 << 13
 _BINS = 33
 _BIN_SPAN = 8.0
 _SEGMENTS = 64
@@ -82,33 +81,24 @@ _FIRST = np.concatenate([[0], np.cumsum([1 << n for n in SLOTS])])
 _SHIFT = np.array([64 - n for n in SLOTS], np.uint64)
 
 
-def _parts(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Spelled parts, their marks included, the token of each, and whether it is the first."""
-    spelled, owner, first = [], [], []
-    for number, token in enumerate(tokens):
-        for at in range(0, max(len(token), 1), LONGEST):
-            last = at + LONGEST >= len(token)
-            spelled.append(
-                bytes([_OPEN if at == 0 else _GOES_ON])
-                + token[at : at + LONGEST]
-                + bytes([_OPEN if last else _GOES_ON])
-            )
-            owner.append(number)
-            first.append(at == 0)
-    return spelled, np.array(owner, np.int64), np.array(first, bool)
-
-
 def _lanes(
-    spelled: list[bytes],
+    tokens: list[bytes],
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of parts in their order as bytes: the bytes as a matrix, lengths, shared beginnings.
+    """Rows of tokens, marks around them, in their order as bytes within classes of length:
+    the bytes as a matrix, lengths, shared beginnings.
 
-    Parts that begin alike have the same contexts there; ``shared`` is how many bytes a
-    part has in common with the one before it, so each beginning is worked out once.
+    Tokens that begin alike have the same contexts there; ``shared`` is how many bytes a
+    token has in common with the one before it, so each beginning is worked out once.
+    Long tokens have lanes of their own, of fewer rows, so a matrix is bounded in size.
     """
-    order = sorted(range(len(spelled)), key=spelled.__getitem__)
-    for a in range(0, len(order), _LANES):
-        rows = np.array(order[a : a + _LANES])
+    spelled = [_MARK + token + _MARK for token in tokens]
+    size = [max(len(s) - 1, _SHORT_TOKEN).bit_length() for s in spelled]
+    order = sorted(range(len(spelled)), key=lambda n: (size[n], spelled[n]))
+    a = 0
+    while a < len(order):
+        b = a + min(_LANES, max(_MATRIX_BYTES >> size[order[a]], 1))
+        rows = np.array([r for r in order[a:b] if size[r] == size[order[a]]])
+        a += len(rows)
         lengths = np.array([len(spelled[r]) for r in rows])
         width = int(lengths.max())
         matrix = np.frombuffer(
@@ -159,10 +149,9 @@ def _walk(
 def count_bits(tokens: list[bytes], uses: np.ndarray) -> np.ndarray:
     """(slots, 2): how often each bit followed in each slot, over all uses of the tokens."""
     table = np.zeros((_FIRST[-1], 2), np.int64)
-    spelled, owner, _ = _parts(tokens)
     flat = table.reshape(-1)
-    for rows, matrix, lengths, shared in _lanes(spelled):
-        weight = uses[owner[rows]].astype(np.int64)
+    for rows, matrix, lengths, shared in _lanes(tokens):
+        weight = uses[rows].astype(np.int64)
         for bit, slots, value, going, first in _walk(matrix, lengths, shared):
             if bit == 7:
                 some = np.add.reduceat(weight * going, first)
@@ -223,31 +212,28 @@ class Mixer:
         table = (1 - part) * seen[gate, low] + part * seen[gate, low + 1]
         return np.clip((p + table) / 2, _CERTAIN, 1 - _CERTAIN)
 
-    def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.02):
+    def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.04):
         """One online pass; every use is predicted from the counts of all other uses."""
         known = uses > 0
         tokens = [t for t, k in zip(tokens, known) if k]
         uses = uses[known].astype(np.float64)
         flat = self.outcomes.reshape(-1)
+        others = others_odds(table)
         # Mixed well and in small groups, so that no step sees one corner of the tokens only.
         order = np.random.default_rng(len(tokens)).permutation(len(tokens))
         for a in range(0, order.size, _LEARNED_AT_ONCE):
             some_tokens = order[a : a + _LEARNED_AT_ONCE]
             self._learn_group(
-                [tokens[n] for n in some_tokens], uses[some_tokens], table, rate, flat
+                [tokens[n] for n in some_tokens], uses[some_tokens], *others, rate, flat
             )
 
-    def _learn_group(self, tokens, uses, table, rate, flat) -> None:
-        spelled, owner, _ = _parts(tokens)
-        for rows, matrix, lengths, shared in _lanes(spelled):
-            weight = uses[owner[rows]]
+    def _learn_group(self, tokens, uses, odds, trust, rate, flat) -> None:
+        for rows, matrix, lengths, shared in _lanes(tokens):
+            weight = uses[rows]
             for bit, slots, value, going, first in _walk(matrix, lengths, shared):
                 if bit == 7:
                     some = np.add.reduceat(weight * going, first)
-                live = np.arange(len(value))
-                counts = table[slots]
-                counts[live, :, value] = np.maximum(counts[live, :, value] - 1, 0)
-                inputs, gate = _stretch(counts), _gate(_trust(counts.sum(axis=2)), bit)
+                inputs, gate = odds[slots, value[:, None]], _gate(trust[slots], bit)
                 p = _mixed(inputs, self.weights[gate])
                 slope = inputs * ((value - p) * some)[:, None]
                 mass = np.maximum(np.bincount(gate, some, _GATES), 1e-9)
@@ -262,9 +248,8 @@ class Mixer:
 
     def log10(self, tokens: list[bytes], odds: np.ndarray, trust: np.ndarray) -> np.ndarray:
         """log10 of every token's probability, from the slots' log odds and trust."""
-        spelled, owner, _ = _parts(tokens)
-        per_part = np.zeros(len(spelled))
-        for rows, matrix, lengths, shared in _lanes(spelled):
+        found = np.zeros(len(tokens))
+        for rows, matrix, lengths, shared in _lanes(tokens):
             total = np.zeros(len(rows))
             for bit, slots, value, going, first in _walk(matrix, lengths, shared):
                 gate = _gate(trust[slots], bit)
@@ -273,13 +258,34 @@ class Mixer:
                 byte = told if bit == 7 else byte + told
                 if bit == 0:
                     total += _spread(byte, first, going)
-            per_part[rows] = total
-        return np.bincount(owner, per_part, len(tokens))
+            found[rows] = total
+        return found
 
 
 def slot_odds(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds and trust of every slot."""
-    return _stretch(table), _trust(table.sum(axis=1))
+    odds, trust = np.empty(len(table), np.float32), np.empty(len(table), np.uint8)
+    for at in _stretches(table):
+        odds[at], trust[at] = _stretch(table[at]), _trust(table[at].sum(axis=1))
+    return odds, trust
+
+
+def _stretches(table: np.ndarray) -> list[slice]:
+    """Parts of the table small enough that what is made of them on the way stays small."""
+    return [slice(a, a + (1 << 18)) for a in range(0, len(table), 1 << 18)]
+
+
+def others_odds(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and trust of every slot without one use: (slots, 2), by that use's bit, and
+    (slots,). A slot's own uses see it so; slots without any are never asked for."""
+    odds, trust = np.empty(table.shape, np.float32), np.empty(len(table), np.uint8)
+    for at in _stretches(table):
+        for bit in (0, 1):
+            rest = table[at].copy()
+            rest[:, bit] = np.maximum(rest[:, bit] - 1, 0)
+            odds[at, bit] = _stretch(rest)
+        trust[at] = _trust(np.maximum(table[at].sum(axis=1) - 1, 0))
+    return odds, trust
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -548,9 +554,28 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _gathered_bits(counted: DataFrame) -> np.ndarray:
+class BitCounts:
+    """The table of bit counts as tasks get it: packed, a few megabytes for most of its zeros."""
+
+    def __init__(self, segments: dict[int, bytes]):
+        self.segments = segments
+
+    def table(self) -> np.ndarray:
+        bounds = _segment_bounds()
+        made = np.zeros((_FIRST[-1], 2), np.int64)
+        for n, packed in self.segments.items():
+            part = np.frombuffer(zstandard.decompress(packed), "<i8")
+            made[bounds[n] : bounds[n + 1]] = part.reshape(-1, 2)
+        return made
+
+
+def _segment_bounds() -> np.ndarray:
+    return np.linspace(0, _FIRST[-1], _SEGMENTS + 1).astype(np.int64)
+
+
+def _gathered_bits(counted: DataFrame) -> BitCounts:
     """The bit counts of all tokens: summed per segment of the table, then put together."""
-    bounds = np.linspace(0, _FIRST[-1], _SEGMENTS + 1).astype(np.int64)
+    bounds = _segment_bounds()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
@@ -577,15 +602,17 @@ def _gathered_bits(counted: DataFrame) -> np.ndarray:
 
     schema = "segment int, counts binary"
     summed = counted.mapInArrow(count, schema).groupBy("segment").applyInPandas(add, schema)
-    table = np.zeros((_FIRST[-1], 2), np.int64)
-    for r in summed.collect():  # at most _SEGMENTS rows, of a fixed size together
-        a, b = bounds[r["segment"]], bounds[r["segment"] + 1]
-        table[a:b] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), "<i8").reshape(-1, 2)
-    return table
+    # At most _SEGMENTS rows, of a fixed size together.
+    return BitCounts({r["segment"]: bytes(r["counts"]) for r in summed.collect()})
 
 
-def _learned_mixer(counted: DataFrame, table) -> Mixer:
-    """Every task learns from its tokens; weights are averaged by uses, outcomes added."""
+def _learned_mixer(counted: DataFrame, bits) -> Mixer:
+    """Every task learns from its tokens; weights are averaged by uses, outcomes added.
+
+    Both are summed in Spark, cell by cell, so what reaches the driver has the size of one
+    mixer however many tasks there are.
+    """
+    prior = Mixer()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All of the task's tokens at once, about tokens_per_file: they come in order.
@@ -593,24 +620,28 @@ def _learned_mixer(counted: DataFrame, table) -> Mixer:
         for batch in batches:
             tokens.extend(batch.column("token").to_pylist())
             uses.extend(batch.column("uses").to_pylist())
-        mixer.learn(tokens, np.array(uses, np.int64), table.value)
+        if not tokens:
+            return
+        mixer.learn(tokens, np.array(uses, np.int64), bits.value.table())
         mass = float(sum(uses))
+        cells = np.concatenate([
+            [mass], (mixer.weights * mass).ravel(), (mixer.outcomes - prior.outcomes).ravel()
+        ])
+        changed = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([mass]), pa.array([mixer.weights.tobytes()]),
-             pa.array([mixer.outcomes.tobytes()])],
-            ["mass", "weights", "outcomes"],
+            [pa.array(changed), pa.array(cells[changed])], ["cell", "value"]
         )
 
-    rows = counted.mapInArrow(learn, "mass double, weights binary, outcomes binary").collect()
-    mixer, prior = Mixer(), Mixer().outcomes
-    mass = sum(r["mass"] for r in rows)
+    found = (
+        counted.mapInArrow(learn, "cell bigint, value double")
+        .groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    )
+    cells = np.zeros(1 + prior.weights.size + prior.outcomes.size)
+    cells[found.column("cell").to_numpy()] = found.column("value").to_numpy()
+    mixer, mass = Mixer(), cells[0]
     if mass:
-        mixer.weights = sum(
-            np.frombuffer(r["weights"]).reshape(_GATES, ORDERS) * (r["mass"] / mass) for r in rows
-        )
-        mixer.outcomes = prior + sum(
-            np.frombuffer(r["outcomes"]).reshape(prior.shape) - prior for r in rows
-        )
+        mixer.weights = (cells[1 : 1 + prior.weights.size] / mass).reshape(prior.weights.shape)
+        mixer.outcomes = prior.outcomes + cells[1 + prior.weights.size :].reshape(prior.outcomes.shape)
     return mixer
 
 
@@ -651,18 +682,20 @@ def score_texts(
     kind_totals = np.array([totals[k] for k in kinds], float)
     # Every task holds a table of fixed size, so tasks get a good number of tokens each.
     spread = counted.coalesce(1 + totals["different"] // tokens_per_file)
-    table = spark.sparkContext.broadcast(_gathered_bits(spread))
+    bits = spark.sparkContext.broadcast(_gathered_bits(spread))
     # Dealt by hash, so that a task has neither more of them nor a corner of the tokens only.
     dealt = counted.filter("uses > 0").select("token", "uses").repartition(
         1 + totals["different"] // tokens_per_file, "token"
     )
-    mixer = _learned_mixer(dealt, table)
+    mixer = _learned_mixer(dealt, bits)
     train_tokens = int(kind_totals.sum())
     floor = math.log10(train_tokens + 0.1 * (totals["known"] + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, trust = slot_odds(table.value)
+        odds = None
         for part in gathered(batches, "token", 1 << 20):
+            if odds is None:
+                odds, trust = slot_odds(bits.value.table())
             found = mixer.log10(part.column("token").to_pylist(), odds, trust)
             by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
             packed = packed_tilts(tilts(by_kind, kind_totals))

@@ -13,6 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import written
 from plumbline.llm import bindings, language, quality, scoring
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -244,7 +245,8 @@ def test_pairs_are_counted_over_all_training_texts(spark, monkeypatch, at_once):
     monkeypatch.setattr(scoring, "_PAIRS_AT_ONCE", at_once)
     texts = {1: "a b a b", 2: "b a", 3: "a b c", 4: "", 5: "c a b"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
-    rows = scoring._token_rows(docs, "doc_id", "text", F.col("doc_id") == 5).localCheckpoint()
+    rows = scoring._token_rows(docs, "doc_id", "text", F.col("doc_id") == 5)
+    rows = written(rows, "rows")
     wanted = collections.Counter()
     for number, text in texts.items():
         said = ["", *text.split(), ""]
@@ -293,3 +295,71 @@ def test_bit_counts_grow_by_ones():
     tokens, uses = [b"a", b"ab", b""], np.array([1 << 24, 1, 3])
     table = scoring.count_bits(tokens, uses)
     assert table[: 1 << scoring.SLOTS[0]].sum() == 8 * (2 * (1 << 24) + 3 * 1 + 1 * 3)
+
+
+def _by_hand(token, counts, mixer, learned_from=None):
+    """A token's probability and its bits' errors, one bit at a time, contexts as plain keys."""
+    spelled = b" " + token + b" "
+    found = 1.0
+    for at in range(1, len(spelled)):
+        past = spelled[:at]
+        contexts = [min(at, 8), *[past[-n:] if n <= at else past for n in range(1, 5)], past]
+        node = 1
+        for bit in range(7, -1, -1):
+            value = spelled[at] >> bit & 1
+            cells = [counts.get((order, c, node), (0, 0)) for order, c in enumerate(contexts)]
+            trust = [min(math.frexp(a + b)[1], 8) for a, b in cells]
+            longest = max((n + 1 for n, t in enumerate(trust) if t), default=0)
+            gate = (longest * 9 + trust[max(longest - 1, 0)]) * 8 + bit
+            dot = sum(w * (math.log(b + 0.4) - math.log(a + 0.4)) for w, (a, b) in
+                      zip(mixer.weights[gate], cells))
+            p = min(max(1 / (1 + math.exp(-dot)), 1e-7), 1 - 1e-7)
+            place = (min(max(math.log(p / (1 - p)), -8), 8) / 8 + 1) * 16
+            low = min(int(place), 31)
+            seen = mixer.outcomes[gate, :, 1] / mixer.outcomes[gate].sum(axis=1)
+            refined = (p + (1 - place + low) * seen[low] + (place - low) * seen[low + 1]) / 2
+            found *= refined if value else 1 - refined
+            node = 2 * node + value
+    return found
+
+
+def test_mixing_equals_a_plain_walk_bit_by_bit():
+    """Hashed contexts, gates, mixing and refinement against dictionaries; tokens of any length."""
+    tokens = [b"the", b"then", b"there", b"a", b"", "é".encode(), b"ab" * 40, b"x" * 70, b"x" * 200 + b"y"]
+    uses = np.array([9, 2, 3, 7, 20, 1, 2, 1, 1])
+    counts = {}
+    for token, n in zip(tokens, uses.tolist()):
+        spelled = b" " + token + b" "
+        for at in range(1, len(spelled)):
+            past, node = spelled[:at], 1
+            contexts = [min(at, 8), *[past[-k:] if k <= at else past for k in range(1, 5)], past]
+            for bit in range(7, -1, -1):
+                value = spelled[at] >> bit & 1
+                for order, context in enumerate(contexts):
+                    cell = list(counts.get((order, context, node), (0, 0)))
+                    cell[value] += n
+                    counts[order, context, node] = tuple(cell)
+                node = 2 * node + value
+    table = scoring.count_bits(tokens, uses)
+    mixer = scoring.Mixer()
+    mixer.learn(tokens, uses, table)
+    asked = [*tokens, b"thee", b"zz", b"x" * 199]
+    found = mixer.log10(asked, *scoring.slot_odds(table))
+    for token, value in zip(asked, found):
+        assert math.isclose(value, math.log10(_by_hand(token, counts, mixer)), rel_tol=1e-4), token
+
+
+def test_every_use_is_learned_from_the_others():
+    table = np.array([[0, 0], [1, 0], [0, 3], [5, 2]])
+    odds, trust = scoring.others_odds(table)
+    assert odds[1, 0] == 0 and math.isclose(odds[2, 1], math.log(2.4) - math.log(0.4), rel_tol=1e-6)
+    assert math.isclose(odds[3, 0], math.log(2.4) - math.log(4.4), rel_tol=1e-6)
+    assert trust.tolist() == [0, 0, 2, 3]
+
+
+def test_packed_counts_are_the_counts(spark):
+    counted = spark.createDataFrame([(b"the", 5), (b"a", 0), (b"x" * 100, 1)], "token binary, uses bigint")
+    bits = scoring._gathered_bits(counted)
+    assert np.array_equal(bits.table(), scoring.count_bits([b"the", b"x" * 100], np.array([5, 1])))
+    assert sum(map(len, bits.segments.values())) < 1 << 20
+    assert not scoring._gathered_bits(counted.limit(0)).table().any()
