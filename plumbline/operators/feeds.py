@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import join_flags, seconds_between
 from plumbline.operators.rows import is_snapshot
@@ -159,11 +159,10 @@ def snapshot_drift_columns(snapshots: DataFrame, permanent: DataFrame) -> DataFr
     per_type = snapshots.groupBy("feed", "column", "type").agg(
         F.max("snapshot").alias("_last")
     )
-    newest = per_type.groupBy(feed.alias("_feed")).agg(F.max("_last").alias("_newest"))
-    current = per_type.join(
-        newest,
-        F.lower("feed").eqNullSafe(F.col("_feed"))
-        & F.col("_last").eqNullSafe(F.col("_newest")),
+    # By now a feed has a row for each of its columns and types.
+    newest = F.max("_last").over(Window.partitionBy(feed))
+    current = per_type.withColumn("_newest", newest).filter(
+        F.col("_last").eqNullSafe(F.col("_newest"))
     )
     nothing = F.lit(None).cast("string")
     sides = current.select(

@@ -164,7 +164,14 @@ def duplicate_groups(
         ],
         *[named_column(n).alias(f"_v{i}") for i, n in enumerate(names)],
     )
-    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("duplicate_count"))
+    digested = F.lit(False)
+    for key, name in zip(keys, names):
+        if name in texts:
+            digested = digested | F.coalesce(is_digest(F.col(key)), F.lit(False))
+    # Worked out in the aggregate, which short and long keys then share.
+    counted = keyed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("duplicate_count"), F.bool_or(digested).alias("_digested")
+    )
     worst = counted.filter(F.col("duplicate_count") > 1)
     if not texts:
         return limited(worst.orderBy(F.desc("duplicate_count"), *keys), top).select(
@@ -177,14 +184,10 @@ def duplicate_groups(
         worst = worst.filter(
             F.col("duplicate_count") >= best.agg(F.min("duplicate_count")).scalar()
         )
-    digested = F.lit(False)
-    for key, name in zip(keys, names):
-        if name in texts:
-            digested = digested | F.coalesce(is_digest(F.col(key)), F.lit(False))
-    short = worst.filter(~digested).select(
+    short = worst.filter(~F.col("_digested")).select(
         *keys, "duplicate_count", *[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)]
     )
-    wanted = worst.filter(digested).select(
+    wanted = worst.filter("_digested").select(
         *[F.col(k).alias(f"_w{k}") for k in keys], "duplicate_count"
     )
     same = F.lit(True)
