@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
@@ -222,13 +223,15 @@ def train_quality(
     text_col: str = "text",
     label_col: str = "quality",
     per_label: int = 1500,
-    most_lines: int = 2000,
+    most_lines: int = 300,
 ) -> LineField:
     """Fit the field on at most ``per_label`` documents of each label.
 
     ``labels`` should hold the rows to learn from. The documents are those with the least
-    hash of the id; documents of over ``most_lines`` lines are not learned from. An id
-    with several labels counts as bad. Runs jobs; the sample's features reach the driver.
+    hash of the id. Of a document with more than ``most_lines`` lines the fit takes so many
+    in a row, from a place that a hash of its text chooses; scoring always takes all lines.
+    So at most 2 * per_label * most_lines lines' features (250 MB) reach the driver. An id
+    with several labels counts as bad. Runs jobs.
     """
     known = (
         labels.select(named_column(id_col).alias("id"), named_column(label_col).alias("label"))
@@ -245,17 +248,23 @@ def train_quality(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_size(batches):
-            x, _, counts = line_features(part.column("text").to_pylist())
+            given = part.column("text").to_pylist()
+            x, _, counts = line_features(given)
             ends = np.cumsum(counts)
-            rows = [x[b - n : b].astype("<f4").tobytes() if n <= most_lines else None
-                    for b, n in zip(ends.tolist(), counts.tolist())]
+            rows = []
+            for text, end, n in zip(given, ends.tolist(), counts.tolist()):
+                first = end - n
+                if n > most_lines:
+                    place = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                    first += place % (n - most_lines + 1)
+                rows.append(x[first : min(first + most_lines, end)].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part.column("label"), pa.array(rows, pa.binary())], ["label", "x"]
             )
 
     rows = (
         texts.select("label", "text", "id").orderBy("id")
-        .mapInArrow(features, "label int, x binary").filter("x is not null").collect()
+        .mapInArrow(features, "label int, x binary").collect()
     )
     width = 3 * _OWN + _BORDER
     parts = [np.frombuffer(r["x"], "<f4").reshape(-1, width) for r in rows]

@@ -363,3 +363,15 @@ def test_packed_counts_are_the_counts(spark):
     assert np.array_equal(bits.table(), scoring.count_bits([b"the", b"x" * 100], np.array([5, 1])))
     assert sum(map(len, bits.segments.values())) < 1 << 20
     assert not scoring._gathered_bits(counted.limit(0)).table().any()
+
+
+def test_long_documents_are_learned_from(spark):
+    """Documents beyond most_lines give a stretch of lines, so a label of long ones only counts."""
+    good = "\n".join(["The quiet river runs past the old mill and the green fields."] * 900)
+    bad = "\n".join(["### $$$ %%% &&& *** click"] * 40)
+    docs = [(n, good if n % 2 else bad) for n in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n, _ in docs], "doc_id bigint, quality int")
+    model = quality.train_quality(frame, labels, most_lines=50)
+    scores = {r.id: r.score for r in quality.score_quality(frame, model).collect()}
+    assert all((scores[n] >= 0.5) == bool(n % 2) for n in scores)
