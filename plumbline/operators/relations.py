@@ -139,7 +139,8 @@ def _orphans(links: list[Link]) -> DataFrame:
             read.append(column.table)
     for table in read:
         own = [c for c in columns if c.table is table]
-        places = F.explode(F.array(*[F.lit(c.place) for c in own])).alias("place")
+        places = F.array(*[F.lit(c.place) for c in own])
+        places = (F.explode(places) if len(own) > 1 else F.lit(own[0].place)).alias("place")
         of_group = F.get(F.array(*map(F.lit, group)), F.col("place"))
         some = table.select(*{c.name for c in own}, places).select(
             "place", of_group.alias("group"), *[picked(own, sides[s]).alias(s) for s in used]
