@@ -17,7 +17,7 @@ such a product depends on the document's token counts alone.
 
 Word order enters through the token before: in the training texts the token b came c times
 and this token c' times right after it, so it is next with probability
-(c' + s e) / (c + s), where e is each of the adapted probabilities above and s grows with
+(c' + s e) / (c + s), where e is one of the adapted probabilities above and s grows with
 c. These are mixed with the others in the same way, by how well they predict the document.
 
 What grows with the corpus stays distributed:
@@ -71,6 +71,8 @@ _PRIOR = 0.4
 PACES = (10.0, 100.0, 400.0, 2000.0, 20000.0)
 #: Weights of the adapted probability next to the counts after a token: times the root of its uses.
 STRENGTHS = (1.0, 4.0)
+#: The paces that are mixed with the counts after a token.
+FOLLOWED = PACES[1:4]
 _PAIRS_AT_ONCE = 1 << 21
 _PLACES_AT_ONCE = 1 << 15
 #: Kinds of documents, by their most frequent token; token frequencies are kept for each.
@@ -347,7 +349,7 @@ def followed(
     n_before = earlier(sequence, owner, len(scores)).astype(float)
     first = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
     place = np.arange(owner.size) - np.repeat(first, np.diff(np.append(first, owner.size)))
-    found = np.zeros((scores.shape[1] * len(PACES) * len(STRENGTHS), n))
+    found = np.zeros((scores.shape[1] * len(FOLLOWED) * len(STRENGTHS), n))
     for a in range(0, sequence.size, _PLACES_AT_ONCE):
         at = slice(a, a + _PLACES_AT_ONCE)
         own, c, c_before = owner[at], together[at].astype(float), before[at].astype(float)
@@ -360,7 +362,7 @@ def followed(
         row = 0
         for kind in range(scores.shape[1]):
             p = spoken[sequence[at], kind]
-            for pace in PACES:
+            for pace in FOLLOWED:
                 e = (n_before[at] + pace * p) / (place[at] + pace)
                 for counted, rest in weighed:
                     told = np.log(np.maximum(counted + rest * e, 1e-300))
@@ -379,6 +381,27 @@ def pairs_in(sequence: np.ndarray, different: int) -> tuple[np.ndarray, np.ndarr
     return np.unique(before * different + sequence, return_inverse=True)
 
 
+def pair_hashes(tokens: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, the pair of each) of pairs as ``pairs_in`` gives them."""
+    own = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+    before, token = np.divmod(pairs, len(tokens))
+    hashes = own[before] * _M1 + own[token]
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], order
+
+
+def packed_planes(values: np.ndarray) -> bytes:
+    """Unsigned integers, compressed byte by byte of their places: high bytes are mostly 0."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpacked_planes(packed: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
     """(tokens, KINDS): how much likelier each token is in a kind, before normalizing."""
     total = by_kind.sum(axis=1, keepdims=True)
@@ -456,7 +479,7 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
                  pa.array([pack(uses.astype("<i8").tobytes())]),
                  pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([held.tolist()]), pa.array([n_tokens]),
-                 pa.array([pack(sequence.astype("<u4").tobytes())]),
+                 pa.array([packed_planes(sequence.astype("<u4"))]),
                  pa.array([pairs_in(sequence, end + 1)[0].size])],
                 ["batch", "tokens", "uses", "ids", "held_out", "n_tokens", "sequence", "n_pairs"],
             )
@@ -491,66 +514,62 @@ def _asked(rows: DataFrame, with_uses: bool) -> DataFrame:
 
 
 def _asked_pairs(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, batch, places, hashes, uses): every row's different pairs, cut by their hashes."""
+    """(bucket, batch, hashes, uses): every row's different pairs by their hashes, in order.
+
+    A bucket is a range of hashes. Each row can work out its hashes again, so neither they
+    nor the pairs' places come back with the answers.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for row in range(batch.num_rows):
                 tokens = batch.column("tokens")[row].as_py()
-                sequence = zstandard.decompress(batch.column("sequence")[row].as_py())
-                sequence = np.frombuffer(sequence, "<u4").astype(np.int64)
+                sequence = unpacked_planes(batch.column("sequence")[row].as_py(), "<u4")
+                sequence = sequence.astype(np.int64)
                 pairs, place = pairs_in(sequence, len(tokens))
                 held = np.array(batch.column("held_out")[row].as_py(), bool)
                 held = np.repeat(held, batch.column("n_tokens")[row].values.to_numpy())
                 uses = np.bincount(place[~held], minlength=pairs.size).astype("<i8")
-                own = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
-                before, token = np.divmod(pairs, len(tokens))
-                hashes = own[before] * _M1 + own[token]
+                hashes, order = pair_hashes(tokens, pairs)
+                uses = uses[order]
                 bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order].astype(np.int64)
+                bucket = bucket.astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
                 number = batch.column("batch")[row].as_py()
                 for a, b in zip(starts, np.append(starts[1:], order.size)):
-                    some = order[a:b]
+                    steps = np.diff(hashes[a:b], prepend=np.uint64(0)).astype("<u8")
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([bucket[a]]), pa.array([number]),
-                         pa.array([pack(np.diff(some, prepend=0).astype("<u4").tobytes())]),
-                         pa.array([hashes[some].astype("<u8").tobytes()]),
-                         pa.array([pack(uses[some].tobytes())])],
-                        ["bucket", "batch", "places", "hashes", "uses"],
+                         pa.array([packed_planes(steps)]), pa.array([packed_planes(uses[a:b])])],
+                        ["bucket", "batch", "hashes", "uses"],
                     )
 
     return rows.select("batch", "tokens", "held_out", "n_tokens", "sequence").mapInArrow(
-        ask, "bucket bigint, batch bigint, places binary, hashes binary, uses binary"
+        ask, "bucket bigint, batch bigint, hashes binary, uses binary"
     )
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
-    """(batch, answers): for every row, how often its pairs came in all training texts."""
+    """(batch, answers): for every row, how often its pairs came in all training texts, by
+    bucket, in the order of their hashes."""
     pairs = rows.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n")).first()["n"]
     asked = _asked_pairs(rows, 1 + pairs // _PAIRS_AT_ONCE)
 
     def count(found: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.frombuffer(h, "<u8") for h in found["hashes"]]
+        hashes = [np.cumsum(unpacked_planes(h, "<u8"), dtype=np.uint64) for h in found["hashes"]]
         _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        uses = np.concatenate([
-            np.frombuffer(zstandard.decompress(u), "<i8") for u in found["uses"]
-        ])
+        uses = np.concatenate([unpacked_planes(u, "<i8") for u in found["uses"]])
         total = np.zeros(which.max() + 1, np.int64)
         np.add.at(total, which, uses)
         answers = np.split(total[which], np.cumsum([h.size for h in hashes])[:-1])
-        packed = [zstandard.compress(a.astype("<i8").tobytes(), 1) for a in answers]
-        return pd.DataFrame(
-            {"batch": found["batch"], "places": found["places"], "counts": packed}
-        )
+        packed = [packed_planes(a.astype("<i8")) for a in answers]
+        return pd.DataFrame({"bucket": found["bucket"], "batch": found["batch"], "counts": packed})
 
     counted = asked.groupBy("bucket").applyInPandas(
-        count, "batch bigint, places binary, counts binary"
+        count, "bucket bigint, batch bigint, counts binary"
     )
     return counted.groupBy("batch").agg(
-        F.collect_list(F.struct("places", "counts")).alias("answers")
+        F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("answers")
     )
 
 
@@ -733,18 +752,17 @@ def score_texts(
         sizes = answers_["size"].to_numpy() + 1
         base = np.log10(uses + 0.1) - floor
         r = row.iloc[0]
-        sequence = np.frombuffer(zstandard.decompress(r["sequence"]), "<u4").astype(np.int64)
+        sequence = unpacked_planes(r["sequence"], "<u4").astype(np.int64)
         n = len(r["ids"])
         position_owner = np.repeat(np.arange(n), r["n_tokens"])
         cells, times = np.unique(position_owner * len(uses) + sequence, return_counts=True)
         owner, token = np.divmod(cells, len(uses))
         pairs, pair = pairs_in(sequence, len(uses))
         together = np.zeros(pairs.size, np.int64)
-        for answer in r["answers"]:
-            places = np.frombuffer(zstandard.decompress(answer["places"]), "<u4")
-            together[np.cumsum(places, dtype=np.int64)] = np.frombuffer(
-                zstandard.decompress(answer["counts"]), "<i8"
-            )
+        _, order = pair_hashes(list(r["tokens"]), pairs)
+        together[order] = np.concatenate([
+            unpacked_planes(answer["counts"], "<i8") for answer in r["answers"]
+        ])
         # A token is before another as often as it is used: every one but the end has one
         # after it, and the end stands for the beginning of each document.
         before = uses[pairs // len(uses)]
@@ -774,6 +792,7 @@ def score_texts(
     )
     names = [c.split()[0] for c in schema.split(", ")]
     packed = rows.join(_pair_counts(rows), "batch").select(
-        F.col("batch").alias("row_batch"), "ids", "held_out", "n_tokens", "sequence", "answers"
+        F.col("batch").alias("row_batch"), "tokens", "ids", "held_out", "n_tokens", "sequence",
+        "answers",
     )
     return answers.groupBy("batch").cogroup(packed.groupBy("row_batch")).applyInPandas(total, schema)
