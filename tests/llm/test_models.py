@@ -280,7 +280,7 @@ def test_mixing_weights_learn_from_all_tokens(spark, monkeypatch):
             F.count_if(F.col("uses") > 0).alias("n")).collect())
         return scoring.Mixer()
 
-    monkeypatch.setattr(scoring, "_gathered_bits", lambda _: np.zeros((scoring._FIRST[-1], 2), "f4"))
+    monkeypatch.setattr(scoring, "_gathered_bits", lambda _: scoring.BitCounts({}))
     monkeypatch.setattr(scoring, "_learned_mixer", learned)
     scoring.score_texts(docs, F.lit(False))
     assert sum(sizes) == 410_001
