@@ -166,8 +166,12 @@ class Aligner:
         b_entries = piece_entries(self.b)
         self.a_bytes, self.a_at = _table(a_entries)
         self.b_bytes, self.b_at = _table(b_entries)
-        self.a_names = list(map(str, range(len(a_entries))))
-        self.b_names = list(map(str, range(len(b_entries))))
+        self.a_size, self.b_size = len(a_entries), len(b_entries)
+        # Every id behind each mark that may stand before it, first A's, then B's.
+        self.marked = pa.array(
+            [f"{mark}{n}" for size, marks in ((self.a_size, ",;"), (self.b_size, ",|"))
+             for mark in marks for n in range(size)]
+        )
 
     def align(self, texts: list[str]) -> Aligned:
         """Texts whose tokens don't spell space + text on both sides get no tokens."""
@@ -199,17 +203,26 @@ class Aligner:
             np.searchsorted(a_cut + 1, a_docs, "right") * (a_docs > 0),
         )
 
-    def spelled_groups(self, found: Aligned) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` for every document, '' for one without tokens."""
-        a_names = [self.a_names[n] for n in found.a_ids.tolist()]
-        b_names = [self.b_names[n] for n in found.b_ids.tolist()]
-        a, b = found.a_groups.tolist(), found.b_groups.tolist()
-        groups = [
-            f"{','.join(a_names[a0:a1])}|{','.join(b_names[b0:b1])}"
-            for a0, a1, b0, b1 in zip(a, a[1:], b, b[1:])
-        ]
-        cuts = found.group_docs.tolist()
-        return [";".join(groups[i:j]) for i, j in zip(cuts, cuts[1:])]
+    def spelled_groups(self, found: Aligned) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` for every document, nothing for one without tokens."""
+        a_first, b_first = np.zeros(found.a_ids.size, bool), np.zeros(found.b_ids.size, bool)
+        a_first[found.a_groups[:-1]] = b_first[found.b_groups[:-1]] = True
+        groups = np.arange(found.a_groups.size - 1)
+        a_group = np.repeat(groups, np.diff(found.a_groups))
+        b_group = np.repeat(groups, np.diff(found.b_groups))
+        # Tokens stand group by group, those of A before those of B.
+        codes = np.empty(a_group.size + b_group.size, np.int32)
+        codes[np.arange(a_group.size) + found.b_groups[a_group]] = found.a_ids + a_first * self.a_size
+        codes[np.arange(b_group.size) + found.a_groups[b_group + 1]] = (
+            2 * self.a_size + found.b_ids + b_first * self.b_size
+        )
+        spelled = self.marked.take(pa.array(codes))
+        if not codes.size:
+            return [b""] * (found.a_docs.size - 1)
+        ends = np.frombuffer(spelled.buffers()[1], np.int32)[found.a_docs + found.b_docs].tolist()
+        data = memoryview(spelled.buffers()[2])
+        # A document's first mark, before its first group, is left out.
+        return [bytes(data[x + 1 : y]) for x, y in zip(ends, ends[1:])]
 
     def linked_pairs(self, found: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, a * size of b + b, how often) of every different linked pair.
@@ -220,8 +233,8 @@ class Aligner:
         a_sizes, b_sizes = np.diff(found.a_groups), np.diff(found.b_groups)
         links = _offsets(a_sizes * b_sizes)
         doc_of_group = np.repeat(np.arange(found.group_docs.size - 1), np.diff(found.group_docs))
-        width = np.int64(len(self.b_names))
-        size = np.int64(len(self.a_names)) * width
+        width = np.int64(self.b_size)
+        size = np.int64(self.a_size) * width
         keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for start in range(0, int(links[-1]), _LINKS_AT_ONCE):
             link = np.arange(start, min(start + _LINKS_AT_ONCE, int(links[-1])))
@@ -305,7 +318,7 @@ class _Block:
         self.facts["n_groups"] += groups.tolist()
         self.facts["n_links"] += np.diff(links[found.group_docs]).tolist()
         self.facts["groups_sha256"] += [
-            hashlib.sha256(s.encode()).hexdigest() if s else "" for s in model.spelled_groups(found)
+            hashlib.sha256(s).hexdigest() if s else "" for s in model.spelled_groups(found)
         ]
         self.docs.append(np.bincount(doc, minlength=len(ids)))
         self.pairs.append(pair)
