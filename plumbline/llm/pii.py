@@ -9,12 +9,15 @@ There are no labels for that, so the fixed formats teach it: what meets one is a
 what looks alike and fails its check is a counterexample, and both are also rewritten in
 place into forms that the fixed formats don't know (a phone without its country code, an
 address spelled "name at host dot org"; a date, a version, a number with a wrong digit).
-Candidates whose form can't be checked are neither. A part of the examples sets, for each
+Candidates whose form can't be checked are neither. All examples fit the trees: Spark adds
+their gradients up by value, so only such sums reach the driver. Trees fitted without a
+fourth of the examples score that fourth, and these scores of all examples set, for each
 generator, the least score at which the wanted precision still holds.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.args import named_column
-from plumbline.llm.common import by_size, id_and_text, ship_package, written
+from plumbline.llm.common import by_size, gathered, id_and_text, ship_package, written
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "host", "number")
@@ -60,6 +63,17 @@ CUES = (
 _CUES = re.compile(r"\b(?:" + "|".join(CUES) + r")\b", re.IGNORECASE)
 _AROUND = 40
 
+#: Parts of the examples; each is scored by trees that have not seen it.
+FOLDS = 4
+#: Different examples that are fitted on the driver, about 5 MB, or by one task of a larger fit.
+_ROWS_AT_ONCE = 100_000
+#: Trees until a larger fit writes the examples' log odds anew.
+_TREES_AT_ONCE = 5
+#: Gradients are whole numbers of this part, so their sums don't depend on an order.
+_PART = 1 << 24
+#: Scores are told apart in so many steps where thresholds are set.
+_SCORE_STEPS = 1 << 16
+
 
 def passes_luhn(digits: str) -> bool:
     total = 0
@@ -165,6 +179,9 @@ def features(text: str, span: Span, near: int) -> list[int]:
     ]
 
 
+WIDTH = len(features("0", (0, NUMBER, 1), 0))
+
+
 def _overlaps(start: int, end: int, spans: list[Span]) -> bool:
     """Whether one of the spans (ascending) shares a character with start..end."""
     return any(s < end and start < e for s, _, e in spans)
@@ -260,56 +277,220 @@ class Trees:
     splits: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     leaves: list[np.ndarray] = field(default_factory=list)
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.start)
+    def grown(self, x: np.ndarray, total: np.ndarray, since: int = 0) -> np.ndarray:
+        """``total`` with what the trees from the ``since``-th on add to it, one by one."""
         rows = np.arange(len(x))
-        for (feature, cut), leaf in zip(self.splits, self.leaves):
+        for (feature, cut), leaf in zip(self.splits[since:], self.leaves[since:]):
             node = np.zeros(len(x), np.int64)
             # Nodes are numbered level by level; leaves come after the inner ones.
             while len(x) and node[0] < feature.size:
                 node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
-            total += leaf[node - feature.size]
-        return 1 / (1 + np.exp(-total))
+            total = total + leaf[node - feature.size]
+        return total
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.grown(x, np.full(len(x), self.start))))
 
-def fit_trees(
-    x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.3,
-    smoothing: float = 1.0,
-) -> Trees:
-    """Gradient boosting on the logistic loss with second-order leaves; no randomness."""
-    rows, width = x.shape
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    model = Trees(float(np.log(share / (1 - share))))
-    total = np.full(rows, model.start)
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-total))
-        slope, curve = y - p, p * (1 - p)
-        node = np.zeros(rows, np.int64)
-        features_, cuts = [], []
+
+Level = tuple[np.ndarray, np.ndarray]
+
+
+@dataclass
+class Examples:
+    """Different examples as arrays; ``odds`` has a column for each model that is fitted.
+
+    A model leaves the fold of its number out.
+    """
+
+    x: np.ndarray
+    label: np.ndarray
+    times: np.ndarray
+    weight: np.ndarray
+    fold: np.ndarray
+    odds: np.ndarray
+
+    def sums(self, growing: list[list[Level]]) -> np.ndarray:
+        """(models, 2, features, nodes * 256): slopes and curves by value, in each node that
+        the next level of a model's tree splits."""
+        nodes = 1 << len(growing[0])
+        found = np.zeros((len(growing), 2, self.x.shape[1], nodes * 256))
+        for model, levels in enumerate(growing):
+            seen = np.flatnonzero(self.fold != model)
+            x, weight = self.x[seen], self.weight[seen] * _PART
+            p = 1 / (1 + np.exp(-self.odds[seen, model]))
+            slope, curve = np.rint((self.label[seen] - p) * weight), np.rint(p * (1 - p) * weight)
+            node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+            for feature, cut in levels:
+                node = 2 * node + (x[rows, feature[node]] > cut[node])
+            for f in range(x.shape[1]):
+                cell = node * 256 + x[:, f]
+                found[model, 0, f] = np.bincount(cell, slope, nodes * 256)
+                found[model, 1, f] = np.bincount(cell, curve, nodes * 256)
+        return found
+
+    def add(self, models: list[Trees], since: int) -> None:
+        """Take the models' trees from the ``since``-th on into the log odds."""
+        for n, model in enumerate(models):
+            self.odds[:, n] = model.grown(self.x, self.odds[:, n], since)
+
+    def unseen(self) -> np.ndarray:
+        """Each example's score from the model that left it out, in whole steps."""
+        odds = self.odds[np.arange(len(self.fold)), self.fold]
+        return np.floor(_SCORE_STEPS / (1 + np.exp(-odds))).astype(np.int64)
+
+    def unseen_counts(self) -> Iterator[tuple[np.ndarray, ...]]:
+        yield self.x[:, 0], self.unseen(), self.label, self.times
+
+
+class SpreadExamples:
+    """Examples as a table: every step is a job over all of them, in parts.
+
+    Parts get the trees and return sums by value, so what a task and the driver hold is
+    bounded by the trees' features, not by the number of examples.
+    """
+
+    def __init__(self, found: DataFrame, starts: list[float], rows: int):
+        self.parts = 1 + rows // _ROWS_AT_ONCE
+        self.frame = found.withColumn("odds", F.array(*map(F.lit, starts)))
+        self.models: list[Trees] = []
+        self.since = 0
+
+    def _held(self):
+        """What makes the arrays of a part, with the trees that its log odds don't have yet."""
+        models, since = self.models, self.since
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Examples]]:
+            for batch in gathered(batches, "row", 1 << 22):
+                held = example_arrays(batch)
+                held.add(models, since)
+                yield batch, held
+
+        return parts
+
+    def sums(self, growing: list[list[Level]]) -> np.ndarray:
+        parts = self._held()
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for _, held in parts(batches):
+                more = held.sums(growing)
+                total = more if total is None else np.add(total, more, out=total)
+            if total is not None:
+                slope, curve = (total[:, n].astype(np.int64).ravel() for n in (0, 1))
+                cell = np.flatnonzero((slope != 0) | (curve != 0))
+                made = pa.RecordBatch.from_arrays(
+                    [pa.array(cell), pa.array(slope[cell]), pa.array(curve[cell])],
+                    ["cell", "slope", "curve"],
+                )
+                yield from (made.slice(a, 20_000) for a in range(0, made.num_rows, 20_000))
+
+        found = (
+            self.frame.coalesce(self.parts).mapInArrow(add, "cell bigint, slope bigint, curve bigint")
+            .groupBy("cell").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve"))
+            .coalesce(4).toArrow()
+        )
+        shape = (len(growing), WIDTH, 256 << len(growing[0]))
+        total = np.zeros((2, math.prod(shape)))
+        for n, name in enumerate(("slope", "curve")):
+            total[n, found.column("cell").to_numpy()] = found.column(name).to_numpy()
+        return np.moveaxis(total.reshape(2, *shape), 0, 1)
+
+    def add(self, models: list[Trees], since: int) -> None:
+        self.models = models
+        if len(models[0].leaves) - self.since < _TREES_AT_ONCE:
+            return
+        parts = self._held()
+
+        def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, held in parts(batches):
+                at = batch.schema.get_field_index("odds")
+                odds = pa.array(list(held.odds), pa.list_(pa.float64()))
+                yield batch.set_column(at, "odds", odds)
+
+        frame = self.frame.coalesce(self.parts).mapInArrow(update, self.frame.schema)
+        self.frame, self.since = written(frame, "odds"), len(models[0].leaves)
+
+    def unseen_counts(self) -> Iterator[tuple[np.ndarray, ...]]:
+        parts = self._held()
+        schema = "kind bigint, step bigint, label double, times bigint"
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, held in parts(batches):
+                columns = held.x[:, 0].astype(np.int64), held.unseen(), held.label, held.times
+                made = pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], ["kind", "step", "label", "times"]
+                )
+                yield from (made.slice(a, 20_000) for a in range(0, made.num_rows, 20_000))
+
+        # At most a row for each kind, step and label, however many examples there are.
+        found = (
+            self.frame.coalesce(self.parts).mapInArrow(count, schema)
+            .groupBy("kind", "step", "label").agg(F.sum("times").alias("times")).toArrow()
+        )
+        yield tuple(found.column(name).to_numpy() for name in ("kind", "step", "label", "times"))
+
+
+def example_arrays(batch: pa.RecordBatch | pa.Table) -> Examples:
+    def numbers(name: str, kind: type) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False).astype(kind)
+
+    rows = batch.column("row").to_pylist()
+    odds = np.array(batch.column("odds").to_pylist(), float)
+    return Examples(
+        np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), numbers("label", float),
+        numbers("n", np.int64), numbers("weight", float), numbers("fold", np.int64), odds,
+    )
+
+
+def boosted(
+    examples: Examples | SpreadExamples, starts: list[float], trees: int = 60, depth: int = 3,
+    rate: float = 0.3, smoothing: float = 1.0,
+) -> list[Trees]:
+    """Gradient boosting on the logistic loss with second-order leaves; no randomness.
+
+    Models that leave out different folds are fitted side by side, on the same passes.
+    """
+    models = [Trees(start) for start in starts]
+    for number in range(trees):
+        growing: list[list[Level]] = [[] for _ in models]
+        leaves = []
         for level in range(depth):
             nodes = 1 << level
-            best = np.full(nodes, -1.0)
-            feature, cut = np.zeros(nodes, np.int64), np.full(nodes, 255, np.int64)
-            for f in range(width):
-                cell = node * 256 + x[:, f]
-                g = np.bincount(cell, slope, nodes * 256).reshape(nodes, 256).cumsum(axis=1)
-                h = np.bincount(cell, curve, nodes * 256).reshape(nodes, 256).cumsum(axis=1)
-                g1, h1 = g[:, -1:], h[:, -1:]
+            sums = examples.sums(growing) / _PART
+            leaves = []
+            for model, (slope, curve) in enumerate(sums):
+                # By node, feature and value: all up to a value go to the left.
+                g, h = (v.reshape(len(v), nodes, 256).swapaxes(0, 1).cumsum(axis=2)
+                        for v in (slope, curve))
+                g1, h1 = g[..., -1:], h[..., -1:]
                 gain = (g**2 / (h + smoothing) + (g1 - g) ** 2 / (h1 - h + smoothing)
                         - g1**2 / (h1 + smoothing))
-                at = gain.argmax(axis=1)
-                value = gain[np.arange(nodes), at]
-                better = value > best + 1e-12
-                best[better], feature[better], cut[better] = value[better], f, at[better]
-            features_.append(feature)
-            cuts.append(cut)
-            node = 2 * node + (x[np.arange(rows), feature[node]] > cut[node])
-        g, h = (np.bincount(node, v, 1 << depth) for v in (slope, curve))
-        leaf = rate * g / (h + smoothing)
-        total += leaf[node]
-        model.splits.append((np.concatenate(features_), np.concatenate(cuts)))
-        model.leaves.append(leaf)
-    return model
+                feature, cut = np.divmod(gain.reshape(nodes, -1).argmax(axis=1), 256)
+                growing[model].append((feature, cut))
+                at = np.arange(nodes), feature, cut
+                g, h = (np.column_stack([v[at], v1[:, 0, 0] - v[at]]).ravel()
+                        for v, v1 in ((g, g1), (h, h1)))
+                leaves.append(rate * g / (h + smoothing))
+        for model, levels, leaf in zip(models, growing, leaves):
+            model.splits.append(tuple(np.concatenate(part) for part in zip(*levels)))
+            model.leaves.append(leaf)
+        examples.add(models, number)
+    return models
+
+
+def _start(share: float) -> float:
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return math.log(share / (1 - share))
+
+
+def fit_trees(
+    x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.3,
+    smoothing: float = 1.0,
+) -> Trees:
+    """Boosted trees on all rows of ``x``, each of the same weight."""
+    once, start = np.ones(len(x)), _start(y.mean())
+    held = Examples(x, y, once, once, np.full(len(x), -1), np.full((len(x), 1), start))
+    return boosted(held, [start], trees, depth, rate, smoothing)[0]
 
 
 @dataclass
@@ -360,11 +541,14 @@ def train_pii(
 ) -> PiiModel:
     """Learn from the candidates in all texts of ``docs`` that the fixed formats can judge.
 
-    They are counted over all texts. Of each generator and label about ``per_label`` are
-    used, those with the least hash of their features and surroundings, which bounds what
-    comes to the driver; a fourth of them sets the thresholds. Where one label is missing
-    for all generators nothing is learned, and a generator without examples, or without a
-    score that reaches ``precision``, adds nothing. Null texts count as empty. Runs jobs.
+    They are counted over all texts, and all different ones are fitted. The examples of a
+    generator and label weigh as much as ``per_label`` together, or each as one if there
+    are fewer, so that no kind is drowned by a more frequent one. Thresholds come from all
+    examples too, each scored without its fold and counted as often as it was seen. Where
+    one label is missing for all generators nothing is learned, and a generator without
+    examples, or without a score that reaches ``precision``, adds nothing. Null texts count
+    as empty. Runs jobs: a few up to ``_ROWS_AT_ONCE`` different examples, which are fitted
+    on the driver, and beyond that one for each level of each tree.
     """
     ship_package(docs.sparkSession)
     source = docs.select(F.coalesce(named_column(text_col), F.lit("")).alias("text"))
@@ -384,30 +568,36 @@ def train_pii(
     found = (
         source.mapInArrow(find, "kind int, label int, row binary")
         .groupBy("kind", "label", "row").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("fold", F.pmod(F.xxhash64("row"), F.lit(FOLDS)))
     )
     found = written(found, "examples")
-    different = {(r["kind"], r["label"]): r["n"] for r in
-                 found.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # A row's hash is even over 0..1, so this takes about per_label rows of each kind and label.
-    place = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) / float(1 << 40)
-    taken = F.lit(False)
-    for (kind, label), n in sorted(different.items()):
-        taken = taken | ((F.col("kind") == kind) & (F.col("label") == label) & (place < per_label / n))
-    rows = sorted(
-        (bytes(r["row"]), r["label"], r["n"]) for r in found.filter(taken).collect()
-    )
-    if len({label for _, label, _ in rows}) < 2:
+    different = {(r["kind"], r["label"], r["fold"]): r["n"] for r in
+                 found.groupBy("kind", "label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len({label for _, label, _ in different}) < 2:
         return PiiModel(None, {})
-    x = np.frombuffer(b"".join(r for r, _, _ in rows), np.uint8).reshape(len(rows), -1)
-    y, n = (np.array([r[at] for r in rows], float) for at in (1, 2))
-    held = np.arange(len(rows)) % 4 == 3
-    trees = fit_trees(x[~held], y[~held])
-    scores = trees.scores(x[held])
-    kinds = x[held, 0]
-    thresholds = {
-        kind: calibrated_threshold(*(v[kinds == kind] for v in (scores, y[held], n[held])), precision)
-        for kind in (ADDRESS, HOST, NUMBER)
-    }
+    weights = {}
+    for kind, label in sorted({key[:2] for key in different}):
+        weights[kind, label] = min(1.0, per_label / sum(
+            n for key, n in different.items() if key[:2] == (kind, label)))
+    weight = F.lit(None).cast("double")
+    for (kind, label), value in weights.items():
+        weight = F.when((F.col("kind") == kind) & (F.col("label") == label), value).otherwise(weight)
+    starts = []
+    for left_out in range(FOLDS + 1):  # the last model leaves nothing out
+        mass = [sum(n * weights[kind, label] for (kind, label, fold), n in sorted(different.items())
+                    if label == wanted and fold != left_out) for wanted in (0, 1)]
+        starts.append(_start(mass[1] / max(sum(mass), 1e-9)))
+    found = found.select("row", "label", "n", "fold", weight.alias("weight"))
+    rows = sum(different.values())
+    held = SpreadExamples(found, starts, rows)
+    if rows <= _ROWS_AT_ONCE:
+        held = example_arrays(held.frame.toArrow())
+    trees = boosted(held, starts)[FOLDS]
+    thresholds = {}
+    for kinds, steps, labels, times in held.unseen_counts():
+        for kind in (ADDRESS, HOST, NUMBER):
+            own = [v[kinds == kind] for v in (steps / _SCORE_STEPS, labels, times)]
+            thresholds[kind] = calibrated_threshold(*own, precision)
     return PiiModel(trees, thresholds)
 
 

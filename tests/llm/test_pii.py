@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import functools
 import hashlib
 import re
 
@@ -68,7 +70,7 @@ def test_query_against_plain_patterns(spark):
 
 
 @pytest.fixture(scope="module")
-def model(spark):
+def taught(spark):
     rng = np.random.default_rng(1)
     texts = []
     for n in range(700):
@@ -82,8 +84,12 @@ def model(spark):
             f"Call +1 ({100 + a}) 555-{1000 + n} today, order {n}{a}{b}{c}999.",
             f"Paid with {number} on 2024-0{1 + n % 9}-1{n % 9}, not {number[:-1]}{(int(number[-1]) + 3) % 10}.",
         ]
-    frame = spark.createDataFrame([(n, t, "b", 1) for n, t in enumerate(texts)], SCHEMA)
-    return pii.train_pii(frame)
+    return spark.createDataFrame([(n, t, "b", 1) for n, t in enumerate(texts)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def model(taught):
+    return pii.train_pii(taught)
 
 
 @pytest.mark.parametrize("text, want", [
@@ -136,3 +142,42 @@ def test_trees_fit_and_thresholds_hold_their_precision():
     threshold = pii.calibrated_threshold(scores, noisy, once, 0.9)
     assert noisy[scores >= threshold].mean() >= 0.9
     assert pii.calibrated_threshold(scores, np.zeros(3000), once, 0.9) == 2.0
+
+
+def test_all_examples_are_learned_from(taught, monkeypatch):
+    """About per_label of each kind and label were taken, and a fourth of them set thresholds."""
+    seen = collections.Counter(
+        (label, row.tobytes()) for r in taught.collect() for label, row in pii.examples(r.text))
+    kept = []
+
+    def boosted(held, starts, **options):
+        kept.append(held)
+        return found(held, starts, **options)
+
+    found = pii.boosted
+    monkeypatch.setattr(pii, "boosted", boosted)
+    model = pii.train_pii(taught, per_label=20)
+    held = kept[0]
+    rows = {(int(label), x.tobytes()): n for label, x, n in zip(held.label, held.x, held.times)}
+    assert rows == dict(seen) and len(rows) > 500
+    weight = {}
+    for x, label, w in zip(held.x, held.label, held.weight):
+        weight[x[0], label] = weight.get((x[0], label), 0) + w
+    assert max(weight.values()) < 20.001
+    counted = [np.concatenate(c) for c in zip(*held.unseen_counts())]
+    assert counted[3].sum() == sum(seen.values())
+    text = "please call (201) 555-1234 soon"
+    assert [text[s:e] for s, _, e in model.spans(text)[1]] == ["(201) 555-1234"]
+
+
+def test_a_fit_in_parts_is_the_fit_on_the_driver(taught, monkeypatch):
+    few = taught.filter("doc_id < 400")
+    monkeypatch.setattr(pii, "boosted", functools.partial(pii.boosted, trees=7))
+    whole = pii.train_pii(few)
+    monkeypatch.setattr(pii, "_ROWS_AT_ONCE", 150)
+    monkeypatch.setattr(pii, "_TREES_AT_ONCE", 3)
+    parts = pii.train_pii(few)
+    assert parts.thresholds == whole.thresholds and len(whole.trees.leaves) == 7
+    assert parts.trees.start == whole.trees.start
+    for a, b in zip(parts.trees.splits + parts.trees.leaves, whole.trees.splits + whole.trees.leaves):
+        assert np.array_equal(a, b)
