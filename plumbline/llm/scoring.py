@@ -67,6 +67,7 @@ _TRUST = 8
 _GATES = (ORDERS + 1) * (_TRUST + 1) * 8
 _CERTAIN = 1e-7
 _PRIOR = 0.4
+_SHORT_PRODUCT = 12
 #: Paces of adapting to a document: tokens until its own counts weigh as much as the model.
 PACES = (10.0, 100.0, 400.0, 2000.0, 20000.0)
 #: Weights of the adapted probability next to the counts after a token: times the root of its uses.
@@ -75,6 +76,11 @@ STRENGTHS = (1.0, 4.0)
 FOLLOWED = PACES[1:4]
 _PAIRS_AT_ONCE = 1 << 21
 _PLACES_AT_ONCE = 1 << 15
+#: Positions of whole documents, or of one, that are scored together.
+_SCORED_AT_ONCE = 1 << 19
+_ANSWERS_AT_ONCE = 1 << 18
+#: Counts of a task are held in 32 bits up to here.
+_NARROW = 1 << 32
 #: Kinds of documents, by their most frequent token; token frequencies are kept for each.
 KINDS = 8
 # Odd multipliers of published 64-bit mixers (splitmix64).
@@ -148,15 +154,19 @@ def _walk(
             node = 2 * node + value
 
 
-def count_bits(tokens: list[bytes], uses: np.ndarray) -> np.ndarray:
-    """(slots, 2): how often each bit followed in each slot, over all uses of the tokens."""
-    table = np.zeros((_FIRST[-1], 2), np.int64)
+def count_bits(
+    tokens: list[bytes], uses: np.ndarray, table: np.ndarray | None = None
+) -> np.ndarray:
+    """(slots, 2): how often each bit followed in each slot, over all uses of the tokens.
+
+    Added to ``table``, if there is one."""
+    table = np.zeros((_FIRST[-1], 2), np.int64) if table is None else table
     flat = table.reshape(-1)
     for rows, matrix, lengths, shared in _lanes(tokens):
         weight = uses[rows].astype(np.int64)
         for bit, slots, value, going, first in _walk(matrix, lengths, shared):
             if bit == 7:
-                some = np.add.reduceat(weight * going, first)
+                some = np.add.reduceat(weight * going, first).astype(flat.dtype)
             np.add.at(flat, (slots * 2 + value[:, None]).reshape(-1), np.repeat(some, ORDERS))
     return table
 
@@ -216,11 +226,17 @@ class Mixer:
 
     def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.04):
         """One online pass; every use is predicted from the counts of all other uses."""
+        self.learn_from(tokens, uses, others_odds(table), rate)
+
+    def learn_from(
+        self, tokens: list[bytes], uses: np.ndarray, others: tuple[np.ndarray, np.ndarray],
+        rate: float = 0.04,
+    ):
+        """The pass, with what ``others_odds`` gives."""
         known = uses > 0
         tokens = [t for t, k in zip(tokens, known) if k]
         uses = uses[known].astype(np.float64)
         flat = self.outcomes.reshape(-1)
-        others = others_odds(table)
         # Mixed well and in small groups, so that no step sees one corner of the tokens only.
         order = np.random.default_rng(len(tokens)).permutation(len(tokens))
         for a in range(0, order.size, _LEARNED_AT_ONCE):
@@ -307,19 +323,30 @@ def adapted(scores: np.ndarray, times: np.ndarray, owner: np.ndarray, n: int) ->
     ``scores`` has a column for each kind of document.
     """
     length = np.bincount(owner, times, n)
+    tokens = np.bincount(owner, minlength=n)
+    # The most frequent first, so that those with a k-th use more are a beginning.
     again = np.flatnonzero(times > 1)
+    again = again[np.argsort(-times[again], kind="stable")]
+    own, uses = owner[again], times[again]
+    many = int(np.searchsorted(-uses, -_SHORT_PRODUCT))  # more uses than a product is made of
+    reach = np.searchsorted(-uses, -np.arange(1, _SHORT_PRODUCT), side="left")
     found = []
     for kind in range(scores.shape[1]):
         natural = scores[:, kind] * math.log(10)
         one = np.bincount(owner, natural, n)
-        tokens = np.bincount(owner, minlength=n)
+        spoken = np.exp(np.minimum(natural[again], 600))
         for pace in PACES:
             # Gamma(n + a p) / Gamma(a p), with Gamma(a p) = Gamma(1 + a p) / (a p).
-            mass = np.exp(np.minimum(natural[again] + math.log(pace), 700))
-            more = _log_gamma(times[again] + mass) - _log_gamma(1 + mass)
+            mass = spoken * pace
+            product = np.ones(again.size - many)
+            for k, end in enumerate(reach, 1):
+                product[: max(end - many, 0)] *= mass[many : max(end, many)] + k
+            more = np.empty(again.size)
+            more[many:] = np.log(product)
+            more[:many] = _log_gamma(uses[:many] + mass[:many]) - _log_gamma(1 + mass[:many])
             spent = _log_gamma(1 + length + pace) - np.log(length + pace)
             begun = _log_gamma(np.array([1 + pace])) - math.log(pace)
-            gained = one + tokens * math.log(pace) + np.bincount(owner[again], more, n)
+            gained = one + tokens * math.log(pace) + np.bincount(own, more, n)
             found.append(gained - spent + begun)
     return (np.logaddexp.reduce(found, axis=0) - math.log(len(found))) / math.log(10)
 
@@ -396,7 +423,7 @@ def packed_planes(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def unpacked_planes(packed: bytes, kind: str) -> np.ndarray:
+def unpacked_planes(packed: bytes, kind: str | np.dtype) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
@@ -449,6 +476,7 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             filled = pc.greater(pc.binary_length(flat), 0)
             flat, owner = flat.filter(filled), owner[filled.to_numpy(zero_copy_only=False)]
             coded = flat.dictionary_encode()
+            del split, flat
             different = pa.concat_arrays(
                 [coded.dictionary.cast(pa.binary()), pa.array([b""], pa.binary())]
             )
@@ -513,6 +541,54 @@ def _asked(rows: DataFrame, with_uses: bool) -> DataFrame:
     return rows.select("batch", "tokens").mapInArrow(flat, "batch bigint, place int, token binary")
 
 
+_ANSWER = np.dtype(
+    [("place", "<u4"), ("uses", "<i8"), ("score", "<f8"), ("tilts", "<i8"), ("size", "<u4")]
+)
+
+
+def _packed_answers(answers: DataFrame) -> DataFrame:
+    """(batch, cells): the answers of a task's tokens to a row, packed, in order of their places."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.concat_batches(held)
+        batch = part.column("batch").to_numpy()
+        order = np.lexsort((part.column("place").to_numpy(), batch))
+        cells = np.empty(order.size, _ANSWER)
+        for name in _ANSWER.names:
+            cells[name] = part.column(name).to_numpy()[order]
+        batch = batch[order]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(batch) != 0]))
+        made = []
+        for a, b in zip(starts, np.append(starts[1:], order.size)):
+            own = cells[a:b]
+            own["place"] = np.diff(own["place"], prepend=np.uint32(0))
+            made.append(packed_planes(own))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(batch[starts]), pa.array(made)], ["batch", "cells"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= _ANSWERS_AT_ONCE:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
+
+    return answers.mapInArrow(pack, "batch bigint, cells binary")
+
+
+def _unpacked_answers(packed: list[bytes]) -> np.ndarray:
+    """The cells of all places of a row, in order."""
+    parts = [unpacked_planes(cells, _ANSWER) for cells in packed]
+    cells = np.concatenate(parts)
+    cells["place"] = np.concatenate([np.cumsum(p["place"], dtype=np.uint32) for p in parts])
+    return cells[np.argsort(cells["place"])]
+
+
 def _asked_pairs(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, batch, hashes, uses): every row's different pairs by their hashes, in order.
 
@@ -587,6 +663,26 @@ class BitCounts:
             made[bounds[n] : bounds[n + 1]] = part.reshape(-1, 2)
         return made
 
+    def _parts(self) -> Iterator[tuple[slice, np.ndarray]]:
+        bounds = _segment_bounds()
+        for n, packed in self.segments.items():
+            part = np.frombuffer(zstandard.decompress(packed), "<i8").reshape(-1, 2)
+            yield slice(bounds[n], bounds[n + 1]), part
+
+    def slot_odds(self) -> tuple[np.ndarray, np.ndarray]:
+        """What ``slot_odds`` gives for the table, which is never whole."""
+        odds, trust = np.zeros(_FIRST[-1], np.float32), np.zeros(_FIRST[-1], np.uint8)
+        for at, part in self._parts():
+            odds[at], trust[at] = slot_odds(part)
+        return odds, trust
+
+    def others_odds(self) -> tuple[np.ndarray, np.ndarray]:
+        """What ``others_odds`` gives for the table, which is never whole."""
+        odds, trust = np.zeros((_FIRST[-1], 2), np.float32), np.zeros(_FIRST[-1], np.uint8)
+        for at, part in self._parts():
+            odds[at], trust[at] = others_odds(part)
+        return odds, trust
+
 
 def _segment_bounds() -> np.ndarray:
     return np.linspace(0, _FIRST[-1], _SEGMENTS + 1).astype(np.int64)
@@ -597,15 +693,29 @@ def _gathered_bits(counted: DataFrame) -> BitCounts:
     bounds = _segment_bounds()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+        # Several tasks share an executor's memory: 32 bits, and 64 only where they don't do.
+        table, wide, most = None, None, 0
         for part in gathered(batches, "token", 1 << 20):
             uses = part.column("uses").to_numpy()
             tokens = [t for t, n in zip(part.column("token").to_pylist(), uses) if n]
-            if tokens:
-                more = count_bits(tokens, uses[uses > 0])
-                table = more if table is None else np.add(table, more, out=table)
+            if not tokens:
+                continue
+            uses = uses[uses > 0]
+            # No slot gets more than a count for each use of a byte.
+            more = sum(n * (len(t) + 1) for t, n in zip(tokens, uses.tolist()))
+            table = np.zeros((_FIRST[-1], 2), np.uint32) if table is None else table
+            if most + more >= _NARROW:
+                wide = np.zeros(table.shape, np.int64) if wide is None else wide
+                wide += table
+                table[:], most = 0, 0
+            if more >= _NARROW:
+                count_bits(tokens, uses, wide)
+            else:
+                count_bits(tokens, uses, table)
+                most += more
         for n, (a, b) in enumerate(zip(bounds, bounds[1:]) if table is not None else ()):
-            packed = zstandard.compress(table[a:b].tobytes(), 1)
+            total = table[a:b].astype("<i8") + (0 if wide is None else wide[a:b])
+            packed = zstandard.compress(total.tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n], pa.int32()), pa.array([packed])], ["segment", "counts"]
             )
@@ -641,7 +751,7 @@ def _learned_mixer(counted: DataFrame, bits) -> Mixer:
             uses.extend(batch.column("uses").to_pylist())
         if not tokens:
             return
-        mixer.learn(tokens, np.array(uses, np.int64), bits.value.table())
+        mixer.learn_from(tokens, np.array(uses, np.int64), bits.value.others_odds())
         mass = float(sum(uses))
         cells = np.concatenate([
             [mass], (mixer.weights * mass).ravel(), (mixer.outcomes - prior.outcomes).ravel()
@@ -714,7 +824,7 @@ def score_texts(
         odds = None
         for part in gathered(batches, "token", 1 << 20):
             if odds is None:
-                odds, trust = slot_odds(bits.value.table())
+                odds, trust = bits.value.slot_odds()
             found = mixer.log10(part.column("token").to_pylist(), odds, trust)
             by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
             packed = packed_tilts(tilts(by_kind, kind_totals))
@@ -741,22 +851,20 @@ def score_texts(
     answers = _asked(rows, False).join(
         scored.select("token", "uses", "score", "tilts"), "token"
     ).select("batch", "place", "uses", "score", "tilts", F.octet_length("token").alias("size"))
+    # Packed, an answer takes about a third of what it does as a row of the shuffle.
+    answers = _packed_answers(answers)
 
     def total(key, answers_: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         if row.empty:
             return pd.DataFrame(columns=names)
-        answers_ = answers_.sort_values("place")
-        uses = answers_["uses"].to_numpy()
-        tilted = unpacked_tilts(answers_["tilts"].to_numpy()) - whole
-        scores = answers_["score"].to_numpy()[:, None] + tilted
-        sizes = answers_["size"].to_numpy() + 1
+        cells = _unpacked_answers(list(answers_["cells"]))
+        uses = np.ascontiguousarray(cells["uses"])
+        scores = cells["score"][:, None] + (unpacked_tilts(cells["tilts"]) - whole)
+        sizes = cells["size"].astype(float) + 1
         base = np.log10(uses + 0.1) - floor
+        del cells
         r = row.iloc[0]
         sequence = unpacked_planes(r["sequence"], "<u4").astype(np.int64)
-        n = len(r["ids"])
-        position_owner = np.repeat(np.arange(n), r["n_tokens"])
-        cells, times = np.unique(position_owner * len(uses) + sequence, return_counts=True)
-        owner, token = np.divmod(cells, len(uses))
         pairs, pair = pairs_in(sequence, len(uses))
         together = np.zeros(pairs.size, np.int64)
         _, order = pair_hashes(list(r["tokens"]), pairs)
@@ -766,24 +874,37 @@ def score_texts(
         # A token is before another as often as it is used: every one but the end has one
         # after it, and the end stands for the beginning of each document.
         before = uses[pairs // len(uses)]
-        alone = adapted(scores[token], times.astype(float), owner, n)
-        in_order = followed(
-            scores, sequence, position_owner, n, together[pair], before[pair]
-        )
-
-        def summed(values: np.ndarray) -> np.ndarray:
-            return np.bincount(owner, values * times, n)
-
+        del pairs, order
+        n_tokens = np.asarray(r["n_tokens"], np.int64)
+        ends = np.cumsum(n_tokens)
+        # Documents are scored apart, so some at a time, which bounds what is made on the way.
+        group = (ends - n_tokens) // _SCORED_AT_ONCE
+        firsts = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
+        made = []
+        for a, b in zip(firsts, np.append(firsts[1:], n_tokens.size)):
+            at = slice(ends[a] - n_tokens[a], ends[b - 1])
+            n, said = b - a, sequence[at]
+            position_owner = np.repeat(np.arange(n), n_tokens[a:b])
+            own, times = np.unique(position_owner * len(uses) + said, return_counts=True)
+            owner, token = np.divmod(own, len(uses))
+            alone = adapted(scores[token], times.astype(float), owner, n)
+            in_order = followed(
+                scores, said, position_owner, n, together[pair[at]], before[pair[at]]
+            )
+            score = np.logaddexp(alone * math.log(10), in_order * math.log(10)) - math.log(2)
+            summed = [np.bincount(owner, v * times, n) for v in
+                      ((uses > 0)[token], base[token], sizes[token])]
+            made.append((*summed, score / math.log(10)))
+        n_known, base_score, n_bytes, score = (np.concatenate(v) for v in zip(*made))
         return pd.DataFrame({
             "id": pd.array(list(r["ids"]), "Int64"),
             "held_out": np.array(r["held_out"], bool),
-            "n_tokens": summed(np.ones(times.size)).astype(np.int64),
-            "n_known": summed((uses > 0)[token]).astype(np.int64),
-            "train_tokens": np.full(n, train_tokens, np.int64),
-            "base_score": summed(base[token]),
-            "score": (np.logaddexp(alone * math.log(10), in_order * math.log(10)) - math.log(2))
-            / math.log(10),
-            "n_bytes": summed(sizes[token]).astype(np.int64),
+            "n_tokens": n_tokens,
+            "n_known": n_known.astype(np.int64),
+            "train_tokens": np.full(n_tokens.size, train_tokens, np.int64),
+            "base_score": base_score,
+            "score": score,
+            "n_bytes": n_bytes.astype(np.int64),
         })
 
     schema = (

@@ -372,3 +372,66 @@ def test_long_documents_are_learned_from(spark):
     model = quality.train_quality(frame, labels, most_lines=50)
     scores = {r.id: r.score for r in quality.score_quality(frame, model).collect()}
     assert all((scores[n] >= 0.5) == bool(n % 2) for n in scores)
+
+
+def test_bit_counts_of_a_task_are_narrow_and_grow_on(spark, monkeypatch):
+    """A task held two tables of 94 MB; counts past 32 bits go on in 64."""
+    rows = [(b"the", 5), (b"a", (1 << 33) + 1), (b"then", 7), (b"b", (1 << 31) + 3)]
+    counted = spark.createDataFrame(rows, "token binary, uses bigint").coalesce(1)
+    wanted = scoring.count_bits([t for t, _ in rows], np.array([n for _, n in rows]))
+    assert np.array_equal(scoring._gathered_bits(counted).table(), wanted)
+    monkeypatch.setattr(scoring, "gathered", lambda batches, *_: (
+        b.slice(n, 1) for b in batches for n in range(b.num_rows)))
+    assert np.array_equal(scoring._gathered_bits(counted).table(), wanted)
+    bits = scoring._gathered_bits(counted)
+    for found, whole in zip(bits.slot_odds() + bits.others_odds(),
+                            scoring.slot_odds(wanted) + scoring.others_odds(wanted)):
+        assert np.array_equal(found, whole)
+
+
+def test_documents_scored_some_at_a_time(spark, monkeypatch):
+    """All documents of a row were scored at once; their scores don't depend on it."""
+    docs = spark.createDataFrame(
+        [(n, " ".join(f"w{(n * k) % 7}" for k in range(n))) for n in range(40)],
+        "doc_id bigint, text string").coalesce(1)
+    whole = {r["id"]: r for r in scoring.score_texts(docs, F.col("doc_id") % 5 == 0).collect()}
+    monkeypatch.setattr(scoring, "_SCORED_AT_ONCE", 16)
+    monkeypatch.setattr(scoring, "_ANSWERS_AT_ONCE", 3)
+    parts = {r["id"]: r for r in scoring.score_texts(docs, F.col("doc_id") % 5 == 0).collect()}
+    assert parts.keys() == whole.keys() == set(range(40))
+    for n, r in whole.items():
+        assert parts[n][:5] == r[:5] and math.isclose(parts[n].score, r.score, rel_tol=1e-9)
+        assert math.isclose(parts[n].base_score, r.base_score, rel_tol=1e-9)
+        assert r.n_tokens == n + 1 and parts[n].n_bytes == r.n_bytes
+
+
+def test_packed_answers_come_back_in_place(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "_ANSWERS_AT_ONCE", 50)
+    rng = np.random.default_rng(4)
+    rows = [(b, p, b * 100 + p, -p / 7 - b, int(rng.integers(-(1 << 62), 1 << 62)), p % 9)
+            for b in range(3) for p in range(80 + b)]
+    frame = spark.createDataFrame(
+        [rows[n] for n in rng.permutation(len(rows))],
+        "batch bigint, place int, uses bigint, score double, tilts bigint, size int").repartition(4)
+    found = collections.defaultdict(list)
+    for r in scoring._packed_answers(frame).collect():
+        found[r.batch].append(bytes(r["cells"]))
+    back = [(b, *map(lambda v: v.item(), cell)) for b in sorted(found)
+            for cell in scoring._unpacked_answers(found[b])]
+    assert back == rows
+
+
+def test_adapting_to_many_uses():
+    """Short products of frequent tokens and long ones are the same running product."""
+    times = np.array([40.0, 1, 2, 12, 13, 11, 3])
+    scores = np.log10(np.array([[0.3, 0.1, 0.2, 0.1, 0.05, 0.05, 0.01]])).T
+    total = 0.0
+    for pace in scoring.PACES:
+        product, place = 1.0, 0
+        for n, p in zip(times.astype(int), 10 ** scores[:, 0]):
+            for k in range(n):
+                product *= (k + pace * p) / (place + pace)
+                place += 1
+        total += product / len(scoring.PACES)
+    found = scoring.adapted(scores, times, np.zeros(7, int), 1)
+    assert math.isclose(found[0], math.log10(total), rel_tol=1e-9)
