@@ -322,8 +322,9 @@ class Examples:
             node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
             for feature, cut in levels:
                 node = 2 * node + (x[rows, feature[node]] > cut[node])
-            for f in range(x.shape[1]):
-                cell = node * 256 + x[:, f]
+            node *= 256
+            for f, values in enumerate(np.ascontiguousarray(x.T)):
+                cell = node + values
                 found[model, 0, f] = np.bincount(cell, slope, nodes * 256)
                 found[model, 1, f] = np.bincount(cell, curve, nodes * 256)
         return found
@@ -404,7 +405,8 @@ class SpreadExamples:
         def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, held in parts(batches):
                 at = batch.schema.get_field_index("odds")
-                odds = pa.array(list(held.odds), pa.list_(pa.float64()))
+                ends = pa.array(np.arange(len(held.odds) + 1, dtype=np.int32) * held.odds.shape[1])
+                odds = pa.ListArray.from_arrays(ends, pa.array(held.odds.ravel()))
                 yield batch.set_column(at, "odds", odds)
 
         frame = self.frame.coalesce(self.parts).mapInArrow(update, self.frame.schema)
@@ -435,7 +437,9 @@ def example_arrays(batch: pa.RecordBatch | pa.Table) -> Examples:
         return batch.column(name).to_numpy(zero_copy_only=False).astype(kind)
 
     rows = batch.column("row").to_pylist()
-    odds = np.array(batch.column("odds").to_pylist(), float)
+    odds = batch.column("odds")
+    odds = (odds.combine_chunks() if isinstance(odds, pa.ChunkedArray) else odds).flatten()
+    odds = odds.to_numpy().reshape(len(rows), -1).copy()
     return Examples(
         np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), numbers("label", float),
         numbers("n", np.int64), numbers("weight", float), numbers("fold", np.int64), odds,
