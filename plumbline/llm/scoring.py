@@ -24,9 +24,10 @@ What grows with the corpus stays distributed:
 
 - texts become rows of many documents at a time: their different tokens, and which
   document has which token how often;
-- tokens are counted over all such rows, and bit counts gathered from all tokens;
-- each token's count and probability goes back to the rows that asked for it. A frequent
-  token is asked for once per row, not once per document;
+- each row sends its different tokens, packed, to the tasks that their hashes fall to, where
+  they are counted over all rows; bit counts are gathered from all tokens;
+- each token's count and probability goes back to the rows that asked for it, by the places
+  they sent. A frequent token is asked for once per row, not once per document;
 - pairs of tokens in sequence are counted exactly, by a hash of 64 bits: each row sends its
   different pairs to the tasks that their hashes fall to, and gets back their counts.
 
@@ -75,6 +76,9 @@ STRENGTHS = (1.0, 4.0)
 #: The paces that are mixed with the counts after a token.
 FOLLOWED = PACES[1:4]
 _PAIRS_AT_ONCE = 1 << 21
+#: Uses within a row from which a token is numbered by them.
+_FREQUENT = 8
+_TOKENS_AT_ONCE, _BYTES_AT_ONCE = 1 << 20, 1 << 27
 _PLACES_AT_ONCE = 1 << 15
 #: Positions of whole documents, or of one, that are scored together.
 _SCORED_AT_ONCE = 1 << 19
@@ -182,10 +186,11 @@ def _trust(total: np.ndarray) -> np.ndarray:
 
 def _gate(trust: np.ndarray, bit: int) -> np.ndarray:
     """Chosen by the longest known context, how well it is known, and the bit."""
-    known = trust > 0
-    longest = np.where(known.any(axis=1), ORDERS - np.argmax(known[:, ::-1], axis=1), 0)
-    seen = trust[np.arange(len(trust)), np.maximum(longest - 1, 0)].astype(np.int64)
-    return (longest * (_TRUST + 1) + seen) * 8 + bit
+    found = np.zeros(len(trust), np.int64)
+    for order in range(ORDERS):
+        step = trust[:, order]
+        np.copyto(found, (order + 1) * (_TRUST + 1) + step.astype(np.int64), where=step > 0)
+    return found * 8 + bit
 
 
 def _mixed(inputs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -218,10 +223,11 @@ class Mixer:
         centre = 1 / (1 + np.exp(-np.linspace(-_BIN_SPAN, _BIN_SPAN, _BINS)))
         self.outcomes = np.tile(np.stack([1 - centre, centre], axis=-1) * 8, (_GATES, 1, 1))
 
-    def refined(self, p: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def refined(self, p: np.ndarray, gate: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """With the share of ones ``seen`` in every gate and bin, one after the other."""
         low, part = _bins(p)
-        seen = self.outcomes[..., 1] / self.outcomes.sum(axis=-1)
-        table = (1 - part) * seen[gate, low] + part * seen[gate, low + 1]
+        at = gate * _BINS + low
+        table = (1 - part) * seen[at] + part * seen[at + 1]
         return np.clip((p + table) / 2, _CERTAIN, 1 - _CERTAIN)
 
     def learn(self, tokens: list[bytes], uses: np.ndarray, table: np.ndarray, rate: float = 0.04):
@@ -246,32 +252,35 @@ class Mixer:
             )
 
     def _learn_group(self, tokens, uses, odds, trust, rate, flat) -> None:
+        odds, columns = odds.reshape(-1), np.arange(ORDERS)
         for rows, matrix, lengths, shared in _lanes(tokens):
             weight = uses[rows]
             for bit, slots, value, going, first in _walk(matrix, lengths, shared):
                 if bit == 7:
                     some = np.add.reduceat(weight * going, first)
-                inputs, gate = odds[slots, value[:, None]], _gate(trust[slots], bit)
-                p = _mixed(inputs, self.weights[gate])
+                inputs, gate = odds.take(slots * 2 + value[:, None]), _gate(trust.take(slots), bit)
+                p = _mixed(inputs, self.weights.take(gate, axis=0))
                 slope = inputs * ((value - p) * some)[:, None]
                 mass = np.maximum(np.bincount(gate, some, _GATES), 1e-9)
-                for order in range(ORDERS):
-                    step = np.bincount(gate, slope[:, order], _GATES) / mass
-                    self.steepness[:, order] += step * step
-                    self.weights[:, order] += rate * step / np.sqrt(self.steepness[:, order])
+                cell = (gate[:, None] * ORDERS + columns).reshape(-1)
+                step = np.bincount(cell, slope.reshape(-1), _GATES * ORDERS).reshape(_GATES, ORDERS)
+                step /= mass[:, None]
+                self.steepness += step * step
+                self.weights += rate * step / np.sqrt(self.steepness)
                 low, part = _bins(p)
                 at = (gate * _BINS + low) * 2 + value
-                flat += np.bincount(at, some * (1 - part), flat.size)
-                flat += np.bincount(at + 2, some * part, flat.size)
+                np.add.at(flat, at, some * (1 - part))
+                np.add.at(flat, at + 2, some * part)
 
     def log10(self, tokens: list[bytes], odds: np.ndarray, trust: np.ndarray) -> np.ndarray:
         """log10 of every token's probability, from the slots' log odds and trust."""
         found = np.zeros(len(tokens))
+        seen = (self.outcomes[..., 1] / self.outcomes.sum(axis=-1)).reshape(-1)
         for rows, matrix, lengths, shared in _lanes(tokens):
             total = np.zeros(len(rows))
             for bit, slots, value, going, first in _walk(matrix, lengths, shared):
-                gate = _gate(trust[slots], bit)
-                p = self.refined(_mixed(odds[slots], self.weights[gate]), gate)
+                gate = _gate(trust.take(slots), bit)
+                p = self.refined(_mixed(odds.take(slots), self.weights.take(gate, axis=0)), gate, seen)
                 told = np.log10(np.where(value == 1, p, 1 - p))
                 byte = told if bit == 7 else byte + told
                 if bit == 0:
@@ -372,7 +381,10 @@ def followed(
     ``together`` is how often its token came after the one before it in training, and
     ``before`` how often that one was there.
     """
-    spoken = 10.0**scores
+    used = np.zeros(len(scores), bool)
+    used[sequence] = True
+    spoken = np.zeros(scores.shape[::-1])
+    spoken[:, used] = 10.0 ** scores[used].T
     n_before = earlier(sequence, owner, len(scores)).astype(float)
     first = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
     place = np.arange(owner.size) - np.repeat(first, np.diff(np.append(first, owner.size)))
@@ -381,20 +393,32 @@ def followed(
         at = slice(a, a + _PLACES_AT_ONCE)
         own, c, c_before = owner[at], together[at].astype(float), before[at].astype(float)
         starts = np.flatnonzero(np.concatenate([[True], np.diff(own) != 0]))
-        # With no use of the token before, what is adapted stands alone.
+        # With no use of the token before, what is adapted stands alone. Kinds differ in p only:
+        # for each pace and strength the probability is a part without it and a factor of it.
         weighed = []
-        for strength in STRENGTHS:
-            s = strength * np.sqrt(1 + c_before)
-            weighed.append((c / (c_before + s), s / (c_before + s)))
+        for pace in FOLLOWED:
+            reach = place[at] + pace
+            for strength in STRENGTHS:
+                s = strength * np.sqrt(1 + c_before)
+                rest = s / (c_before + s) / reach
+                weighed.append((c / (c_before + s) + rest * n_before[at], rest * pace))
+        # Logarithms of products of as many positions in a row as can't come below 1e-300.
+        least = min(factor.min() for _, factor in weighed) * spoken[:, sequence[at]].min()
+        run = int(min(max(-300 / min(math.log10(max(least, 1e-300)), -1e-3), 1), 64))
+        cuts = np.unique(np.concatenate([starts, np.arange(0, own.size, run)]))
+        documents = np.searchsorted(cuts, starts)
         row = 0
+        told = np.empty(own.size)
         for kind in range(scores.shape[1]):
-            p = spoken[sequence[at], kind]
-            for pace in FOLLOWED:
-                e = (n_before[at] + pace * p) / (place[at] + pace)
-                for counted, rest in weighed:
-                    told = np.log(np.maximum(counted + rest * e, 1e-300))
-                    found[row, own[starts]] += np.add.reduceat(told, starts)
-                    row += 1
+            p = spoken[kind].take(sequence[at])
+            for counted, factor in weighed:
+                np.multiply(factor, p, out=told)
+                told += counted
+                if run == 1:
+                    np.maximum(told, 1e-300, out=told)
+                product = np.log(np.multiply.reduceat(told, cuts))
+                found[row, own[starts]] += np.add.reduceat(product, documents)
+                row += 1
     return (np.logaddexp.reduce(found, axis=0) - math.log(len(found))) / math.log(10)
 
 
@@ -404,19 +428,39 @@ def pairs_in(sequence: np.ndarray, different: int) -> tuple[np.ndarray, np.ndarr
     Before a document's first token is the end, the last of the ``different`` tokens, as
     which the document before it closes.
     """
-    before = np.concatenate([[different - 1], sequence[:-1]])
+    before = tokens_before(sequence, different)
     return np.unique(before * different + sequence, return_inverse=True)
 
 
 def pair_hashes(tokens: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in ascending order, the pair of each) of pairs as ``pairs_in`` gives them."""
-    own = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+    own = token_hashes(tokens)
     before, token = np.divmod(pairs, len(tokens))
     hashes = own[before] * _M1 + own[token]
     order = np.argsort(hashes, kind="stable")
     return hashes[order], order
 
 
+def token_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+
+
+def tokens_before(sequence: np.ndarray, different: int) -> np.ndarray:
+    """The token before each position, as in ``pairs_in``."""
+    return np.concatenate([[different - 1], sequence[:-1]])
+
+
+def pairs_hashed(tokens: list[bytes], sequence: np.ndarray) -> np.ndarray:
+    """The hash of each position's pair, as ``pair_hashes`` has them."""
+    own = token_hashes(tokens)
+    return own[tokens_before(sequence, len(tokens))] * _M1 + own[sequence]
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket is a range of hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def packed_planes(values: np.ndarray) -> bytes:
     """Unsigned integers, compressed byte by byte of their places: high bytes are mostly 0."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
@@ -429,6 +473,19 @@ def unpacked_planes(packed: bytes, kind: str | np.dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def packed_tokens(tokens: pa.Array) -> tuple[bytes, bytes]:
+    """Binary values as their lengths and their bytes, both compressed."""
+    sizes = packed_planes(pc.binary_length(tokens).to_numpy().astype("<u4"))
+    return sizes, zstandard.compress(b"".join(tokens.to_pylist()), 3)
+
+
+def unpacked_tokens(sizes: bytes, spelled: bytes) -> pa.Array:
+    ends = np.cumsum(unpacked_planes(sizes, "<u4"), dtype=np.int32)
+    offsets = np.concatenate([np.zeros(1, np.int32), ends])
+    return pa.Array.from_buffers(pa.binary(), ends.size, [
+        None, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(spelled))])
+
+
 def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
     """(tokens, KINDS): how much likelier each token is in a kind, before normalizing."""
     total = by_kind.sum(axis=1, keepdims=True)
@@ -438,7 +495,8 @@ def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
 
 _ROWS = (
     "batch bigint, tokens array<binary>, uses binary, ids array<bigint>, "
-    "held_out array<boolean>, n_tokens array<bigint>, sequence binary, n_pairs bigint"
+    "held_out array<boolean>, n_tokens array<bigint>, sequence binary, n_pairs bigint, "
+    "n_different bigint, token_bytes bigint"
 )
 _KIND_NAMES = [f"kind_{n}" for n in range(KINDS)]
 
@@ -455,6 +513,20 @@ def unpacked_tilts(packed: np.ndarray) -> np.ndarray:
     return steps.astype(float) / _TILT_STEPS
 
 
+def _in_order(coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different tokens, frequent ones first and the rest by their bytes, the number of each
+    position's, and when each was met first.
+
+    So both compress: frequent numbers are small, and rare tokens begin like those before."""
+    words, said = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    times = np.bincount(said, minlength=len(words))
+    order = pc.sort_indices(words).to_numpy()
+    order = order[np.argsort(-np.where(times >= _FREQUENT, times, 0)[order], kind="stable")]
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    return words.take(pa.array(order)), number[said], order
+
+
 def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
     """Rows of many documents: their different tokens, training uses, and token counts."""
     ship_package(docs.sparkSession)
@@ -477,12 +549,11 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             flat, owner = flat.filter(filled), owner[filled.to_numpy(zero_copy_only=False)]
             coded = flat.dictionary_encode()
             del split, flat
-            different = pa.concat_arrays(
-                [coded.dictionary.cast(pa.binary()), pa.array([b""], pa.binary())]
-            )
+            words, said, met = _in_order(coded)
+            different = pa.concat_arrays([words, pa.array([b""], pa.binary())])
             n, end = part.num_rows, len(different) - 1
             pairs = np.concatenate([
-                owner.astype(np.int64) * (end + 1) + coded.indices.to_numpy(),
+                owner.astype(np.int64) * (end + 1) + said,
                 np.arange(n, dtype=np.int64) * (end + 1) + end,  # one end for each document
             ])
             pairs, times = np.unique(pairs, return_counts=True)
@@ -491,14 +562,18 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             sequence = np.full(int(n_tokens.sum()), end, np.int64)
             inner = np.ones(sequence.size, bool)
             inner[np.cumsum(n_tokens) - 1] = False
-            sequence[inner] = coded.indices.to_numpy()
+            sequence[inner] = said
             held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             learned = ~held[document]
             # The most frequent token; of several, the one met first in this row.
-            top = np.lexsort((token, -times, document))
-            top = top[np.concatenate([[0], np.flatnonzero(np.diff(document[top])) + 1])]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(document)) + 1])
+            most = np.maximum.reduceat(times, starts)[document]
+            first = np.where(times == most, np.append(met, end)[token], end + 1)
+            first = np.minimum.reduceat(first, starts)[document]
+            top = np.flatnonzero((times == most) & (np.append(met, end)[token] == first))
             most = different.take(pa.array(token[top])).to_pylist()
             kind = np.array([zlib.crc32(name) % KINDS for name in most], np.int64)
+            following = np.sort(tokens_before(sequence, end + 1) * (end + 1) + sequence)
             cell = token[learned] * KINDS + kind[document[learned]]
             uses = np.bincount(cell, times[learned], (end + 1) * KINDS).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -508,37 +583,133 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
                  pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([held.tolist()]), pa.array([n_tokens]),
                  pa.array([packed_planes(sequence.astype("<u4"))]),
-                 pa.array([pairs_in(sequence, end + 1)[0].size])],
-                ["batch", "tokens", "uses", "ids", "held_out", "n_tokens", "sequence", "n_pairs"],
+                 pa.array([1 + np.count_nonzero(np.diff(following))]),
+                 pa.array([end + 1]), pa.array([pc.sum(pc.binary_length(different)).as_py()], pa.int64())],
+                ["batch", "tokens", "uses", "ids", "held_out", "n_tokens", "sequence", "n_pairs",
+                 "n_different", "token_bytes"],
             )
 
     return source.mapInArrow(rows, _ROWS)
 
 
-def _asked(rows: DataFrame, with_uses: bool) -> DataFrame:
-    """(batch, place, token) of every token of every row, or (token, its uses by kind)."""
+def _asked_tokens(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, batch, places, sizes, spelled, uses): every row's tokens by their hashes, packed
+    with their places in the row and their uses by kind."""
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 tokens = batch.column("tokens")[row].values
-                if with_uses:
-                    packed = batch.column("uses")[row].as_py()
-                    uses = np.frombuffer(zstandard.decompress(packed), "<i8").reshape(-1, KINDS)
-                    columns = [pa.array(np.ascontiguousarray(uses[:, n])) for n in range(KINDS)]
-                    made = pa.RecordBatch.from_arrays([tokens, *columns], ["token", *_KIND_NAMES])
-                else:
-                    number = np.full(len(tokens), batch.column("batch")[row].as_py(), np.int64)
-                    place = np.arange(len(tokens), dtype=np.int32)
-                    made = pa.RecordBatch.from_arrays(
-                        [pa.array(number), pa.array(place), tokens], ["batch", "place", "token"]
-                    )
+                packed = batch.column("uses")[row].as_py()
+                uses = np.frombuffer(zstandard.decompress(packed), "<i8").reshape(-1, KINDS)
+                bucket = bucket_of(token_hashes(tokens.to_pylist()), buckets)
+                order = np.argsort(bucket, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+                made = []
+                for a, b in zip(starts, np.append(starts[1:], order.size)):
+                    places = order[a:b]
+                    steps = np.diff(places, prepend=0).astype("<u4")
+                    made.append((
+                        packed_planes(steps), *packed_tokens(tokens.take(pa.array(places))),
+                        packed_planes(uses[places]),
+                    ))
+                number = np.full(len(made), batch.column("batch")[row].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[order[starts]]), pa.array(number),
+                     *[pa.array(cells, pa.binary()) for cells in zip(*made)]],
+                    ["bucket", "batch", "places", "sizes", "spelled", "uses"],
+                )
+
+    return rows.select("batch", "tokens", "uses").mapInArrow(
+        ask, "bucket bigint, batch bigint, places binary, sizes binary, spelled binary, uses binary"
+    )
+
+
+def _token_counts(rows: DataFrame) -> DataFrame:
+    """Per bucket, a row of its different tokens in order (sizes, spelled) with their uses by kind,
+    and for every batch one of the places that ask and which of these tokens each asks for."""
+    size = rows.agg(
+        F.coalesce(F.sum("n_different"), F.lit(0)).alias("asked"),
+        F.coalesce(F.sum("token_bytes"), F.lit(0)).alias("bytes"),
+    ).first()
+    asked = _asked_tokens(rows, 1 + max(size["asked"] // _TOKENS_AT_ONCE, size["bytes"] // _BYTES_AT_ONCE))
+
+    def count(found: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpacked_tokens(*cells) for cells in zip(found["sizes"], found["spelled"])]
+        coded = pa.chunked_array(parts).dictionary_encode().chunks
+        order = pc.sort_indices(coded[0].dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        total = np.zeros((len(order), KINDS), np.int64)
+        which = []
+        for part, uses in zip(coded, found["uses"]):
+            own = rank[part.indices.to_numpy()]
+            total[own] += unpacked_planes(uses, "<i8").reshape(-1, KINDS)
+            which.append(packed_planes(np.diff(own, prepend=0).astype("<u4")))
+        sizes, spelled = packed_tokens(coded[0].dictionary.take(order))
+        asking, none = len(found), [None] * len(found)
+        return pd.DataFrame({
+            "bucket": found["bucket"].iloc[0],
+            "batch": [-1, *found["batch"]],
+            "places": [None, *found["places"]],
+            "which": [None, *which],
+            "sizes": [sizes, *none],
+            "spelled": [spelled, *none],
+            "uses": [packed_planes(total), *none],
+        }, index=range(1 + asking))
+
+    return asked.groupBy("bucket").applyInPandas(
+        count, "bucket bigint, batch bigint, places binary, which binary, sizes binary, "
+        "spelled binary, uses binary"
+    )
+
+
+def _unpacked_counts(bucket: int, sizes: bytes, spelled: bytes, uses: bytes) -> pa.RecordBatch:
+    """(token, its uses by kind, uses) of a bucket's tokens."""
+    by_kind = unpacked_planes(uses, "<i8").reshape(-1, KINDS)
+    columns = [pa.array(np.ascontiguousarray(by_kind[:, n])) for n in range(KINDS)]
+    return pa.RecordBatch.from_arrays(
+        [unpacked_tokens(sizes, spelled), *columns, pa.array(by_kind.sum(axis=1))],
+        ["token", *_KIND_NAMES, "uses"],
+    )
+
+
+_COUNTS = ["bucket", "sizes", "spelled", "uses"]
+
+
+def _counted_tokens(buckets: DataFrame) -> DataFrame:
+    """(token, its uses by kind, uses): a row for every different token."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                made = _unpacked_counts(*[batch.column(c)[row].as_py() for c in _COUNTS])
                 yield from (made.slice(a, 20_000) for a in range(0, made.num_rows, 20_000))
 
-    if with_uses:
-        columns = ", ".join(f"{k} bigint" for k in _KIND_NAMES)
-        return rows.select("tokens", "uses").mapInArrow(flat, f"token binary, {columns}")
-    return rows.select("batch", "tokens").mapInArrow(flat, "batch bigint, place int, token binary")
+    columns = ", ".join(f"{k} bigint" for k in [*_KIND_NAMES, "uses"])
+    return buckets.select(*_COUNTS).mapInArrow(flat, f"token binary, {columns}")
+
+
+def _answers(scored: DataFrame, asking: DataFrame) -> DataFrame:
+    """(batch, place, uses, score, tilts, size) of every token of every row."""
+    schema = "batch bigint, place int, uses bigint, score double, tilts bigint, size int"
+    kinds = dict(c.split() for c in schema.split(", "))
+    kinds = {n: {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[k] for n, k in kinds.items()}
+
+    def answer(bucket: pa.Table, asked: pa.Table) -> pa.Table:
+        cells = unpacked_planes(bucket.column("cells")[0].as_py(), _ANSWER)
+        made = []
+        for number, places, which in zip(*[asked.column(c).to_pylist() for c in ("batch", "places", "which")]):
+            own = cells[np.cumsum(unpacked_planes(which, "<u4"), dtype=np.uint32)]
+            own["place"] = np.cumsum(unpacked_planes(places, "<u4"), dtype=np.uint32)
+            arrays = [np.full(own.size, number)] + [np.ascontiguousarray(own[n]) for n in _ANSWER.names]
+            made.append(pa.table(
+                [pa.array(v.astype(k.to_pandas_dtype(), copy=False)) for v, k in zip(arrays, kinds.values())],
+                names=list(kinds),
+            ))
+        return pa.concat_tables(made)
+
+    return scored.groupBy("bucket").cogroup(asking.groupBy("bucket")).applyInArrow(answer, schema)
 
 
 _ANSWER = np.dtype(
@@ -602,17 +773,17 @@ def _asked_pairs(rows: DataFrame, buckets: int) -> DataFrame:
                 tokens = batch.column("tokens")[row].as_py()
                 sequence = unpacked_planes(batch.column("sequence")[row].as_py(), "<u4")
                 sequence = sequence.astype(np.int64)
-                pairs, place = pairs_in(sequence, len(tokens))
+                hashes = pairs_hashed(tokens, sequence)
                 held = np.array(batch.column("held_out")[row].as_py(), bool)
                 held = np.repeat(held, batch.column("n_tokens")[row].values.to_numpy())
-                uses = np.bincount(place[~held], minlength=pairs.size).astype("<i8")
-                hashes, order = pair_hashes(tokens, pairs)
-                uses = uses[order]
-                bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                bucket = bucket.astype(np.int64)
+                not_learned, times = np.unique(hashes[held], return_counts=True)
+                hashes, uses = np.unique(hashes, return_counts=True)
+                uses = uses.astype("<i8")
+                uses[np.searchsorted(hashes, not_learned)] -= times
+                bucket = bucket_of(hashes, buckets)
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
                 number = batch.column("batch")[row].as_py()
-                for a, b in zip(starts, np.append(starts[1:], order.size)):
+                for a, b in zip(starts, np.append(starts[1:], hashes.size)):
                     steps = np.diff(hashes[a:b], prepend=np.uint64(0)).astype("<u8")
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([bucket[a]]), pa.array([number]),
@@ -625,6 +796,25 @@ def _asked_pairs(rows: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def _packed_rows(rows: DataFrame) -> DataFrame:
+    """The rows as they go to their answers: tokens packed, without what is no longer asked for."""
+    kept = ["batch", "ids", "held_out", "n_tokens", "sequence"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [packed_tokens(batch.column("tokens")[n].values) for n in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept],
+                 *[pa.array(cells, pa.binary()) for cells in zip(*tokens)]],
+                [*kept, "sizes", "spelled"],
+            )
+
+    return rows.select(*kept, "tokens").mapInArrow(
+        pack, "batch bigint, ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, "
+        "sequence binary, sizes binary, spelled binary"
+    )
+
+
 def _pair_counts(rows: DataFrame) -> DataFrame:
     """(batch, answers): for every row, how often its pairs came in all training texts, by
     bucket, in the order of their hashes."""
@@ -799,10 +989,10 @@ def score_texts(
     spark = docs.sparkSession
     rows = written(_token_rows(docs, id_col, text_col, held_out), "tokens")
     kinds = _KIND_NAMES
-    counted = _asked(rows, True).groupBy("token").agg(*[F.sum(k).alias(k) for k in kinds])
-    counted = counted.withColumn("uses", sum((F.col(k) for k in kinds), F.lit(0)))
-    # In order, so that the tokens a task has at once begin alike.
-    counted = written(counted.sortWithinPartitions("token"), "counts")
+    buckets = written(_token_counts(rows), "counts")
+    vocabulary = buckets.filter("sizes IS NOT NULL")
+    # In order within a bucket, so that the tokens a task has at once begin alike.
+    counted = _counted_tokens(vocabulary)
     totals = counted.agg(
         *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds],
         F.count_if(F.col("uses") > 0).alias("known"),
@@ -822,35 +1012,39 @@ def score_texts(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds = None
-        for part in gathered(batches, "token", 1 << 20):
-            if odds is None:
-                odds, trust = bits.value.slot_odds()
-            found = mixer.log10(part.column("token").to_pylist(), odds, trust)
-            by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
-            packed = packed_tilts(tilts(by_kind, kind_totals))
-            # What tilting adds to the sum of probabilities; unknown tokens are not tilted.
-            known = part.column("uses").to_numpy() > 0
-            mass = np.where(known, 10.0**found, 0.0)
-            added = mass[:, None] * (10 ** unpacked_tilts(packed) - 1)
-            total = added.sum(axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("token"), part.column("uses"), pa.array(found), pa.array(packed),
-                 *[pa.array(np.append(total[n], np.zeros(len(found) - 1))) for n in range(KINDS)]],
-                ["token", "uses", "score", "tilts", *kinds],
-            )
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if odds is None:
+                    odds, trust = bits.value.slot_odds()
+                packed = [batch.column(c)[row].as_py() for c in _COUNTS]
+                made, total = [], np.zeros(KINDS)
+                for part in gathered([_unpacked_counts(*packed)], "token", 1 << 20):
+                    found = mixer.log10(part.column("token").to_pylist(), odds, trust)
+                    by_kind = np.column_stack([part.column(k).to_numpy() for k in kinds])
+                    cells = np.zeros(found.size, _ANSWER)
+                    cells["uses"], cells["score"] = part.column("uses").to_numpy(), found
+                    cells["tilts"] = packed_tilts(tilts(by_kind, kind_totals))
+                    cells["size"] = pc.binary_length(part.column("token")).to_numpy()
+                    # What tilting adds to the sum of probabilities; unknown tokens are not tilted.
+                    mass = np.where(cells["uses"] > 0, 10.0**found, 0.0)
+                    total += (mass[:, None] * (10 ** unpacked_tilts(cells["tilts"]) - 1)).sum(axis=0)
+                    made.append(cells)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([packed[0]]), pa.array([packed_planes(np.concatenate(made))]),
+                     *[pa.array([total[n]]) for n in range(KINDS)]],
+                    ["bucket", "cells", *kinds],
+                )
 
     sums = ", ".join(f"{k} double" for k in kinds)
     scored = written(
-        counted.mapInArrow(
-            score, f"token binary, uses bigint, score double, tilts bigint, {sums}"
-        ),
-        "scores",
+        vocabulary.select(*_COUNTS).mapInArrow(score, f"bucket bigint, cells binary, {sums}"), "scores"
     )
     added = scored.agg(*[F.sum(k).alias(k) for k in kinds]).first()
     whole = np.log10([1 + (added[k] or 0.0) for k in kinds])
-    answers = _asked(rows, False).join(
-        scored.select("token", "uses", "score", "tilts"), "token"
-    ).select("batch", "place", "uses", "score", "tilts", F.octet_length("token").alias("size"))
+    answers = _answers(
+        scored.select("bucket", "cells"),
+        buckets.filter("sizes IS NULL").select("bucket", "batch", "places", "which"),
+    )
     # Packed, an answer takes about a third of what it does as a row of the shuffle.
     answers = _packed_answers(answers)
 
@@ -865,16 +1059,15 @@ def score_texts(
         del cells
         r = row.iloc[0]
         sequence = unpacked_planes(r["sequence"], "<u4").astype(np.int64)
-        pairs, pair = pairs_in(sequence, len(uses))
-        together = np.zeros(pairs.size, np.int64)
-        _, order = pair_hashes(list(r["tokens"]), pairs)
-        together[order] = np.concatenate([
+        tokens = unpacked_tokens(r["sizes"], r["spelled"]).to_pylist()
+        _, pair = np.unique(pairs_hashed(tokens, sequence), return_inverse=True)
+        together = np.concatenate([
             unpacked_planes(answer["counts"], "<i8") for answer in r["answers"]
-        ])
+        ])[pair]
+        del pair, tokens
         # A token is before another as often as it is used: every one but the end has one
         # after it, and the end stands for the beginning of each document.
-        before = uses[pairs // len(uses)]
-        del pairs, order
+        before = uses[tokens_before(sequence, len(uses))]
         n_tokens = np.asarray(r["n_tokens"], np.int64)
         ends = np.cumsum(n_tokens)
         # Documents are scored apart, so some at a time, which bounds what is made on the way.
@@ -889,7 +1082,7 @@ def score_texts(
             owner, token = np.divmod(own, len(uses))
             alone = adapted(scores[token], times.astype(float), owner, n)
             in_order = followed(
-                scores, said, position_owner, n, together[pair[at]], before[pair[at]]
+                scores, said, position_owner, n, together[at], before[at]
             )
             score = np.logaddexp(alone * math.log(10), in_order * math.log(10)) - math.log(2)
             summed = [np.bincount(owner, v * times, n) for v in
@@ -912,8 +1105,5 @@ def score_texts(
         "base_score double, score double, n_bytes bigint"
     )
     names = [c.split()[0] for c in schema.split(", ")]
-    packed = rows.join(_pair_counts(rows), "batch").select(
-        F.col("batch").alias("row_batch"), "tokens", "ids", "held_out", "n_tokens", "sequence",
-        "answers",
-    )
+    packed = _packed_rows(rows).join(_pair_counts(rows), "batch").withColumnRenamed("batch", "row_batch")
     return answers.groupBy("batch").cogroup(packed.groupBy("row_batch")).applyInPandas(total, schema)

@@ -435,3 +435,60 @@ def test_adapting_to_many_uses():
         total += product / len(scoring.PACES)
     found = scoring.adapted(scores, times, np.zeros(7, int), 1)
     assert math.isclose(found[0], math.log10(total), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("at_once", [3, 1 << 20])
+def test_tokens_are_counted_in_packed_blocks(spark, monkeypatch, at_once):
+    """Every token of every row was a row of two shuffles, spelled out; now a row per block is."""
+    monkeypatch.setattr(scoring, "_TOKENS_AT_ONCE", at_once)
+    texts = {1: "a b a b", 2: "b a", 3: "a b c", 4: "", 5: "c a b d", 6: "e" * 3000 + " é f"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    rows = written(scoring._token_rows(docs, "doc_id", "text", F.col("doc_id") == 5), "rows")
+    wanted = collections.Counter()
+    for number, text in texts.items():
+        wanted.update({t: int(number != 5) * n for t, n in collections.Counter([*text.split(), ""]).items()})
+    buckets = written(scoring._token_counts(rows), "counts")
+    vocabulary = buckets.filter("sizes IS NOT NULL")
+    found = scoring._counted_tokens(vocabulary).collect()
+    assert len(found) == len(wanted) == 8
+    assert {bytes(r.token).decode(): r.uses for r in found} == dict(wanted)
+    assert all(sum(r[f"kind_{n}"] for n in range(scoring.KINDS)) == r.uses for r in found)
+    spoken = {r.bucket: scoring.unpacked_tokens(r.sizes, r.spelled).to_pylist() for r in vocabulary.collect()}
+    assert len(spoken) == 1 if at_once > 3 else len(spoken) > 1
+    own, seen = {r.batch: [bytes(t) for t in r.tokens] for r in rows.collect()}, collections.Counter()
+    for r in buckets.filter("sizes IS NULL").collect():
+        places = np.cumsum(scoring.unpacked_planes(bytes(r.places), "<u4"), dtype=np.uint32)
+        which = np.cumsum(scoring.unpacked_planes(bytes(r.which), "<u4"), dtype=np.uint32)
+        assert [own[r.batch][p] for p in places] == [spoken[r.bucket][w] for w in which]
+        seen.update((r.batch, p) for p in places.tolist())
+    assert set(seen.values()) == {1} and len(seen) == sum(map(len, own.values()))
+
+
+def test_no_shuffle_by_single_tokens(spark):
+    """The answers came by a join of a row for every token of every row."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id bigint, text string")
+    plan = scoring.score_texts(docs, F.lit(False))._jdf.queryExecution().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(token" not in plan
+
+
+def test_following_through_very_unlikely_tokens():
+    """Products of positions don't run out of a double's range; position by position they can't."""
+    rng = np.random.default_rng(5)
+    for least in (-3.0, -40.0, -280.0):
+        scores = rng.uniform(least, -0.5, (60, 2))
+        sequence, owner = rng.integers(0, 60, 400), np.repeat([0, 1, 2], [250, 1, 149])
+        together = rng.integers(0, 2, 400) * rng.integers(0, 4, 400)
+        before = together + rng.integers(0, 3, 400)
+        found = scoring.followed(scores, sequence, owner, 3, together, before)
+        for number in range(3):
+            at, total = np.flatnonzero(owner == number), []
+            for kind, pace, strength in itertools.product((0, 1), scoring.FOLLOWED, scoring.STRENGTHS):
+                told, uses = 0.0, collections.Counter()
+                for t, n in enumerate(at):
+                    e = (uses[sequence[n]] + pace * 10 ** scores[sequence[n], kind]) / (t + pace)
+                    s = strength * math.sqrt(1 + before[n])
+                    told += math.log((together[n] + s * e) / (before[n] + s))
+                    uses[sequence[n]] += 1
+                total.append(told)
+            wanted = (np.logaddexp.reduce(total) - math.log(len(total))) / math.log(10)
+            assert math.isclose(found[number], wanted, rel_tol=1e-9)
