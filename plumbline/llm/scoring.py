@@ -550,6 +550,7 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             coded = flat.dictionary_encode()
             del split, flat
             words, said, met = _in_order(coded)
+            del coded
             different = pa.concat_arrays([words, pa.array([b""], pa.binary())])
             n, end = part.num_rows, len(different) - 1
             pairs = np.concatenate([
@@ -563,19 +564,26 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             inner = np.ones(sequence.size, bool)
             inner[np.cumsum(n_tokens) - 1] = False
             sequence[inner] = said
+            del said, inner
             held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             learned = ~held[document]
             # The most frequent token; of several, the one met first in this row.
             starts = np.concatenate([[0], np.flatnonzero(np.diff(document)) + 1])
-            most = np.maximum.reduceat(times, starts)[document]
-            first = np.where(times == most, np.append(met, end)[token], end + 1)
-            first = np.minimum.reduceat(first, starts)[document]
-            top = np.flatnonzero((times == most) & (np.append(met, end)[token] == first))
+            top = np.flatnonzero(times == np.maximum.reduceat(times, starts)[document])
+            first = np.append(met, end)[token[top]]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(document[top])) + 1])
+            top = top[first == np.minimum.reduceat(first, starts)[document[top]]]
             most = different.take(pa.array(token[top])).to_pylist()
             kind = np.array([zlib.crc32(name) % KINDS for name in most], np.int64)
-            following = np.sort(tokens_before(sequence, end + 1) * (end + 1) + sequence)
             cell = token[learned] * KINDS + kind[document[learned]]
             uses = np.bincount(cell, times[learned], (end + 1) * KINDS).astype(np.int64)
+            del pairs, times, document, token, learned, cell
+            following = tokens_before(sequence, end + 1)
+            following *= end + 1
+            following += sequence
+            following.sort()
+            n_pairs = 1 + np.count_nonzero(following[1:] != following[:-1])
+            del following
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().int >> 65]),
                  pa.ListArray.from_arrays(pa.array([0, end + 1], pa.int32()), different),
@@ -583,7 +591,7 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
                  pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([held.tolist()]), pa.array([n_tokens]),
                  pa.array([packed_planes(sequence.astype("<u4"))]),
-                 pa.array([1 + np.count_nonzero(np.diff(following))]),
+                 pa.array([n_pairs]),
                  pa.array([end + 1]), pa.array([pc.sum(pc.binary_length(different)).as_py()], pa.int64())],
                 ["batch", "tokens", "uses", "ids", "held_out", "n_tokens", "sequence", "n_pairs",
                  "n_different", "token_bytes"],
@@ -677,39 +685,17 @@ def _unpacked_counts(bucket: int, sizes: bytes, spelled: bytes, uses: bytes) ->
 _COUNTS = ["bucket", "sizes", "spelled", "uses"]
 
 
-def _counted_tokens(buckets: DataFrame) -> DataFrame:
-    """(token, its uses by kind, uses): a row for every different token."""
+def _flat_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            made = _unpacked_counts(*[batch.column(c)[row].as_py() for c in _COUNTS])
+            yield from (made.slice(a, 20_000) for a in range(0, made.num_rows, 20_000))
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                made = _unpacked_counts(*[batch.column(c)[row].as_py() for c in _COUNTS])
-                yield from (made.slice(a, 20_000) for a in range(0, made.num_rows, 20_000))
 
+def _counted_tokens(buckets: DataFrame) -> DataFrame:
+    """(token, its uses by kind, uses): a row for every different token."""
     columns = ", ".join(f"{k} bigint" for k in [*_KIND_NAMES, "uses"])
-    return buckets.select(*_COUNTS).mapInArrow(flat, f"token binary, {columns}")
-
-
-def _answers(scored: DataFrame, asking: DataFrame) -> DataFrame:
-    """(batch, place, uses, score, tilts, size) of every token of every row."""
-    schema = "batch bigint, place int, uses bigint, score double, tilts bigint, size int"
-    kinds = dict(c.split() for c in schema.split(", "))
-    kinds = {n: {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[k] for n, k in kinds.items()}
-
-    def answer(bucket: pa.Table, asked: pa.Table) -> pa.Table:
-        cells = unpacked_planes(bucket.column("cells")[0].as_py(), _ANSWER)
-        made = []
-        for number, places, which in zip(*[asked.column(c).to_pylist() for c in ("batch", "places", "which")]):
-            own = cells[np.cumsum(unpacked_planes(which, "<u4"), dtype=np.uint32)]
-            own["place"] = np.cumsum(unpacked_planes(places, "<u4"), dtype=np.uint32)
-            arrays = [np.full(own.size, number)] + [np.ascontiguousarray(own[n]) for n in _ANSWER.names]
-            made.append(pa.table(
-                [pa.array(v.astype(k.to_pandas_dtype(), copy=False)) for v, k in zip(arrays, kinds.values())],
-                names=list(kinds),
-            ))
-        return pa.concat_tables(made)
-
-    return scored.groupBy("bucket").cogroup(asking.groupBy("bucket")).applyInArrow(answer, schema)
+    return buckets.select(*_COUNTS).mapInArrow(_flat_counts, f"token binary, {columns}")
 
 
 _ANSWER = np.dtype(
@@ -717,8 +703,13 @@ _ANSWER = np.dtype(
 )
 
 
-def _packed_answers(answers: DataFrame) -> DataFrame:
-    """(batch, cells): the answers of a task's tokens to a row, packed, in order of their places."""
+def _packed_answers(answers: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """(batch, cells): the answers of a task's tokens to a row, packed, in order of their places.
+
+    Answers are rows; with those who ask, buckets of cells that are dealt out to them first, by
+    the same Python worker, since a second one would take its share of the executor's memory.
+    """
+    schema = "batch bigint, cells binary"
 
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.concat_batches(held)
@@ -749,7 +740,22 @@ def _packed_answers(answers: DataFrame) -> DataFrame:
         if rows:
             yield packed(held)
 
-    return answers.mapInArrow(pack, "batch bigint, cells binary")
+    def dealt(bucket: pa.Table, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        cells = unpacked_planes(bucket.column("cells")[0].as_py(), _ANSWER)
+        for row in asked.select(["batch", "places", "which"]).to_pylist():
+            own = cells[np.cumsum(unpacked_planes(row["which"], "<u4"), dtype=np.uint32)]
+            own["place"] = np.cumsum(unpacked_planes(row["places"], "<u4"), dtype=np.uint32)
+            columns = [pa.array(np.ascontiguousarray(own[name])) for name in _ANSWER.names]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(own.size, row["batch"])), *columns], ["batch", *_ANSWER.names]
+            )
+
+    def answer(bucket: pa.Table, asked: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(pack(dealt(bucket, asked)))
+
+    if asking is None:
+        return answers.mapInArrow(pack, schema)
+    return answers.groupBy("bucket").cogroup(asking.groupBy("bucket")).applyInArrow(answer, schema)
 
 
 def _unpacked_answers(packed: list[bytes]) -> np.ndarray:
@@ -879,13 +885,16 @@ def _segment_bounds() -> np.ndarray:
 
 
 def _gathered_bits(counted: DataFrame) -> BitCounts:
-    """The bit counts of all tokens: summed per segment of the table, then put together."""
+    """The bit counts of all tokens: summed per segment of the table, then put together.
+
+    Rows are (token, uses) or buckets of them, unpacked by the worker that counts."""
     bounds = _segment_bounds()
+    opened = _flat_counts if "spelled" in counted.columns else iter
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Several tasks share an executor's memory: 32 bits, and 64 only where they don't do.
         table, wide, most = None, None, 0
-        for part in gathered(batches, "token", 1 << 20):
+        for part in gathered(opened(batches), "token", 1 << 20):
             uses = part.column("uses").to_numpy()
             tokens = [t for t, n in zip(part.column("token").to_pylist(), uses) if n]
             if not tokens:
@@ -1000,7 +1009,7 @@ def score_texts(
     ).first()
     kind_totals = np.array([totals[k] for k in kinds], float)
     # Every task holds a table of fixed size, so tasks get a good number of tokens each.
-    spread = counted.coalesce(1 + totals["different"] // tokens_per_file)
+    spread = vocabulary.select(*_COUNTS).coalesce(1 + totals["different"] // tokens_per_file)
     bits = spark.sparkContext.broadcast(_gathered_bits(spread))
     # Dealt by hash, so that a task has neither more of them nor a corner of the tokens only.
     dealt = counted.filter("uses > 0").select("token", "uses").repartition(
@@ -1041,12 +1050,11 @@ def score_texts(
     )
     added = scored.agg(*[F.sum(k).alias(k) for k in kinds]).first()
     whole = np.log10([1 + (added[k] or 0.0) for k in kinds])
-    answers = _answers(
+    # Packed, an answer takes about a third of what it does as a row of the shuffle.
+    answers = _packed_answers(
         scored.select("bucket", "cells"),
         buckets.filter("sizes IS NULL").select("bucket", "batch", "places", "which"),
     )
-    # Packed, an answer takes about a third of what it does as a row of the shuffle.
-    answers = _packed_answers(answers)
 
     def total(key, answers_: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         if row.empty:
