@@ -80,6 +80,7 @@ _PAIRS_AT_ONCE = 1 << 21
 _FREQUENT = 8
 _TOKENS_AT_ONCE, _BYTES_AT_ONCE = 1 << 20, 1 << 27
 _PLACES_AT_ONCE = 1 << 15
+_HASHED_AT_ONCE = 1 << 18
 #: Positions of whole documents, or of one, that are scored together.
 _SCORED_AT_ONCE = 1 << 19
 _ANSWERS_AT_ONCE = 1 << 18
@@ -383,9 +384,10 @@ def followed(
     """
     used = np.zeros(len(scores), bool)
     used[sequence] = True
-    spoken = np.zeros(scores.shape[::-1])
-    spoken[:, used] = 10.0 ** scores[used].T
-    n_before = earlier(sequence, owner, len(scores)).astype(float)
+    sequence = (np.cumsum(used) - 1)[sequence]
+    spoken = np.ascontiguousarray(scores[used].T)
+    np.power(10.0, spoken, out=spoken)
+    n_before = earlier(sequence, owner, spoken.shape[1]).astype(float)
     first = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
     place = np.arange(owner.size) - np.repeat(first, np.diff(np.append(first, owner.size)))
     found = np.zeros((scores.shape[1] * len(FOLLOWED) * len(STRENGTHS), n))
@@ -442,7 +444,7 @@ def pair_hashes(tokens: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
 
 def tokens_before(sequence: np.ndarray, different: int) -> np.ndarray:
@@ -453,7 +455,43 @@ def tokens_before(sequence: np.ndarray, different: int) -> np.ndarray:
 def pairs_hashed(tokens: list[bytes], sequence: np.ndarray) -> np.ndarray:
     """The hash of each position's pair, as ``pair_hashes`` has them."""
     own = token_hashes(tokens)
-    return own[tokens_before(sequence, len(tokens))] * _M1 + own[sequence]
+    led = own * _M1
+    hashes = np.empty(sequence.size, np.uint64)
+    before = len(tokens) - 1
+    for a in range(0, sequence.size, _HASHED_AT_ONCE):
+        said = sequence[a : a + _HASHED_AT_ONCE]
+        part = hashes[a : a + said.size]
+        own.take(said, out=part, mode="clip")
+        part[:1] += led[before : before + 1]
+        part[1:] += led.take(said[:-1])
+        before = int(said[-1])
+    return hashes
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """The number of each hash among the different ones, in order.
+
+    As ``np.unique`` gives it, with half the memory on the way."""
+    order = np.argsort(hashes)
+    hashes = hashes.take(order)
+    new = np.zeros(hashes.size, bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    del hashes
+    number = np.empty(new.size, np.uint32)
+    number[order] = np.cumsum(new, dtype=np.uint32)
+    return number
+
+
+def counted_in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values and how often each is there; sorts ``values``, of which it needs no copy."""
+    values.sort()
+    starts = np.flatnonzero(np.append(values.size > 0, values[1:] != values[:-1])[: values.size])
+    return values[starts], np.diff(np.append(starts, values.size))
+
+
+def _release() -> None:
+    """Give back what Arrow has freed: it keeps that for itself, beside what Numpy takes next."""
+    pa.default_memory_pool().release_unused()
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -494,10 +532,11 @@ def tilts(by_kind: np.ndarray, kind_totals: np.ndarray) -> np.ndarray:
 
 
 _ROWS = (
-    "batch bigint, tokens array<binary>, uses binary, ids array<bigint>, "
-    "held_out array<boolean>, n_tokens array<bigint>, sequence binary, n_pairs bigint, "
-    "n_different bigint, token_bytes bigint"
+    "uses binary, ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, "
+    "sequence binary, n_pairs bigint, n_different bigint, token_bytes bigint"
 )
+#: How a row has its different tokens.
+_OPEN, _PACKED = "tokens array<binary>", "sizes binary, spelled binary"
 _KIND_NAMES = [f"kind_{n}" for n in range(KINDS)]
 
 
@@ -510,7 +549,7 @@ def packed_tilts(tilted: np.ndarray) -> np.ndarray:
 def unpacked_tilts(packed: np.ndarray) -> np.ndarray:
     """log10 of the tilts, as they were packed."""
     steps = np.ascontiguousarray(packed.astype("<i8")).view(np.int8).reshape(-1, KINDS)
-    return steps.astype(float) / _TILT_STEPS
+    return np.divide(steps, float(_TILT_STEPS), dtype=float)
 
 
 def _in_order(coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -522,13 +561,17 @@ def _in_order(coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray, np.ndarr
     times = np.bincount(said, minlength=len(words))
     order = pc.sort_indices(words).to_numpy()
     order = order[np.argsort(-np.where(times >= _FREQUENT, times, 0)[order], kind="stable")]
-    number = np.empty(len(words), np.int64)
+    number = np.empty(len(words), np.uint32)
     number[order] = np.arange(len(words))
     return words.take(pa.array(order)), number[said], order
 
 
-def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """Rows of many documents: their different tokens, training uses, and token counts."""
+def _token_rows(
+    docs: DataFrame, id_col: str, text_col: str, held_out: Column, packed: bool = False
+) -> DataFrame:
+    """Rows of many documents: their different tokens, training uses, and token counts.
+
+    Packed, a row's tokens are two values, not an array of which the JVM makes an object each."""
     ship_package(docs.sparkSession)
     source = docs.select(
         named_column(id_col).alias("id"),
@@ -548,23 +591,24 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             filled = pc.greater(pc.binary_length(flat), 0)
             flat, owner = flat.filter(filled), owner[filled.to_numpy(zero_copy_only=False)]
             coded = flat.dictionary_encode()
-            del split, flat
+            n = part.num_rows
+            n_tokens = np.bincount(owner, minlength=n) + 1  # one end for each document
+            del split, flat, filled, owner
             words, said, met = _in_order(coded)
             del coded
             different = pa.concat_arrays([words, pa.array([b""], pa.binary())])
-            n, end = part.num_rows, len(different) - 1
-            pairs = np.concatenate([
-                owner.astype(np.int64) * (end + 1) + said,
-                np.arange(n, dtype=np.int64) * (end + 1) + end,  # one end for each document
-            ])
-            pairs, times = np.unique(pairs, return_counts=True)
-            document, token = np.divmod(pairs, end + 1)
-            n_tokens = np.bincount(owner, minlength=n) + 1
-            sequence = np.full(int(n_tokens.sum()), end, np.int64)
+            del words
+            end = len(different) - 1
+            sequence = np.full(int(n_tokens.sum()), end, np.uint32)
             inner = np.ones(sequence.size, bool)
             inner[np.cumsum(n_tokens) - 1] = False
             sequence[inner] = said
             del said, inner
+            _release()
+            pairs = np.repeat(np.arange(n) * (end + 1), n_tokens)
+            pairs += sequence
+            pairs, times = counted_in_order(pairs)
+            document, token = np.divmod(pairs, end + 1)
             held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             learned = ~held[document]
             # The most frequent token; of several, the one met first in this row.
@@ -584,20 +628,37 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -
             following.sort()
             n_pairs = 1 + np.count_nonzero(following[1:] != following[:-1])
             del following
+            tokens = [pa.ListArray.from_arrays(pa.array([0, end + 1], pa.int32()), different)]
+            if packed:
+                tokens = [pa.array([cell]) for cell in packed_tokens(different)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().int >> 65]),
-                 pa.ListArray.from_arrays(pa.array([0, end + 1], pa.int32()), different),
+                 *tokens,
                  pa.array([pack(uses.astype("<i8").tobytes())]),
                  pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([held.tolist()]), pa.array([n_tokens]),
-                 pa.array([packed_planes(sequence.astype("<u4"))]),
+                 pa.array([packed_planes(sequence.astype("<u4", copy=False))]),
                  pa.array([n_pairs]),
                  pa.array([end + 1]), pa.array([pc.sum(pc.binary_length(different)).as_py()], pa.int64())],
-                ["batch", "tokens", "uses", "ids", "held_out", "n_tokens", "sequence", "n_pairs",
-                 "n_different", "token_bytes"],
+                names,
             )
+            del part, different, tokens, uses, sequence
+            _release()
+
+    schema = f"batch bigint, {_PACKED if packed else _OPEN}, {_ROWS}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return source.mapInArrow(rows, schema)
+
 
-    return source.mapInArrow(rows, _ROWS)
+def _token_columns(rows: DataFrame) -> list[str]:
+    return [c for c in ("tokens", "sizes", "spelled") if c in rows.columns]
+
+
+def _tokens_of(batch: pa.RecordBatch, row: int) -> pa.Array:
+    """A row's different tokens, packed or not."""
+    if "tokens" in batch.schema.names:
+        return batch.column("tokens")[row].values
+    return unpacked_tokens(*[batch.column(c)[row].as_py() for c in ("sizes", "spelled")])
 
 
 def _asked_tokens(rows: DataFrame, buckets: int) -> DataFrame:
@@ -607,7 +668,7 @@ def _asked_tokens(rows: DataFrame, buckets: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                tokens = batch.column("tokens")[row].values
+                tokens = _tokens_of(batch, row)
                 packed = batch.column("uses")[row].as_py()
                 uses = np.frombuffer(zstandard.decompress(packed), "<i8").reshape(-1, KINDS)
                 bucket = bucket_of(token_hashes(tokens.to_pylist()), buckets)
@@ -627,8 +688,10 @@ def _asked_tokens(rows: DataFrame, buckets: int) -> DataFrame:
                      *[pa.array(cells, pa.binary()) for cells in zip(*made)]],
                     ["bucket", "batch", "places", "sizes", "spelled", "uses"],
                 )
+                del tokens, uses, made
+                _release()
 
-    return rows.select("batch", "tokens", "uses").mapInArrow(
+    return rows.select("batch", *_token_columns(rows), "uses").mapInArrow(
         ask, "bucket bigint, batch bigint, places binary, sizes binary, spelled binary, uses binary"
     )
 
@@ -655,6 +718,8 @@ def _token_counts(rows: DataFrame) -> DataFrame:
             total[own] += unpacked_planes(uses, "<i8").reshape(-1, KINDS)
             which.append(packed_planes(np.diff(own, prepend=0).astype("<u4")))
         sizes, spelled = packed_tokens(coded[0].dictionary.take(order))
+        del parts, coded, order, part
+        _release()
         asking, none = len(found), [None] * len(found)
         return pd.DataFrame({
             "bucket": found["bucket"].iloc[0],
@@ -690,6 +755,8 @@ def _flat_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             made = _unpacked_counts(*[batch.column(c)[row].as_py() for c in _COUNTS])
             yield from (made.slice(a, 20_000) for a in range(0, made.num_rows, 20_000))
+            del made
+            _release()
 
 
 def _counted_tokens(buckets: DataFrame) -> DataFrame:
@@ -751,7 +818,9 @@ def _packed_answers(answers: DataFrame, asking: DataFrame | None = None) -> Data
             )
 
     def answer(bucket: pa.Table, asked: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(pack(dealt(bucket, asked)))
+        made = pa.Table.from_batches(pack(dealt(bucket, asked)))
+        _release()
+        return made
 
     if asking is None:
         return answers.mapInArrow(pack, schema)
@@ -776,15 +845,15 @@ def _asked_pairs(rows: DataFrame, buckets: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                tokens = batch.column("tokens")[row].as_py()
+                tokens = _tokens_of(batch, row)
                 sequence = unpacked_planes(batch.column("sequence")[row].as_py(), "<u4")
-                sequence = sequence.astype(np.int64)
-                hashes = pairs_hashed(tokens, sequence)
+                hashes = pairs_hashed(tokens.to_pylist(), sequence)
+                del tokens, sequence
                 held = np.array(batch.column("held_out")[row].as_py(), bool)
                 held = np.repeat(held, batch.column("n_tokens")[row].values.to_numpy())
                 not_learned, times = np.unique(hashes[held], return_counts=True)
-                hashes, uses = np.unique(hashes, return_counts=True)
-                uses = uses.astype("<i8")
+                hashes, uses = counted_in_order(hashes)
+                uses = uses.astype("<i8", copy=False)
                 uses[np.searchsorted(hashes, not_learned)] -= times
                 bucket = bucket_of(hashes, buckets)
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
@@ -796,31 +865,15 @@ def _asked_pairs(rows: DataFrame, buckets: int) -> DataFrame:
                          pa.array([packed_planes(steps)]), pa.array([packed_planes(uses[a:b])])],
                         ["bucket", "batch", "hashes", "uses"],
                     )
+                del hashes, uses, bucket
+                _release()
 
-    return rows.select("batch", "tokens", "held_out", "n_tokens", "sequence").mapInArrow(
+    asked = rows.select("batch", *_token_columns(rows), "held_out", "n_tokens", "sequence")
+    return asked.mapInArrow(
         ask, "bucket bigint, batch bigint, hashes binary, uses binary"
     )
 
 
-def _packed_rows(rows: DataFrame) -> DataFrame:
-    """The rows as they go to their answers: tokens packed, without what is no longer asked for."""
-    kept = ["batch", "ids", "held_out", "n_tokens", "sequence"]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [packed_tokens(batch.column("tokens")[n].values) for n in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept],
-                 *[pa.array(cells, pa.binary()) for cells in zip(*tokens)]],
-                [*kept, "sizes", "spelled"],
-            )
-
-    return rows.select(*kept, "tokens").mapInArrow(
-        pack, "batch bigint, ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, "
-        "sequence binary, sizes binary, spelled binary"
-    )
-
-
 def _pair_counts(rows: DataFrame) -> DataFrame:
     """(batch, answers): for every row, how often its pairs came in all training texts, by
     bucket, in the order of their hashes."""
@@ -829,11 +882,15 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
 
     def count(found: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.cumsum(unpacked_planes(h, "<u8"), dtype=np.uint64) for h in found["hashes"]]
-        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        ends = np.cumsum([h.size for h in hashes])
+        _release()
+        which = numbered(np.concatenate(hashes))
+        del hashes
         uses = np.concatenate([unpacked_planes(u, "<i8") for u in found["uses"]])
-        total = np.zeros(which.max() + 1, np.int64)
+        total = np.zeros(int(which.max()) + 1, np.int64)
         np.add.at(total, which, uses)
-        answers = np.split(total[which], np.cumsum([h.size for h in hashes])[:-1])
+        del uses
+        answers = np.split(total[which], ends[:-1])
         packed = [packed_planes(a.astype("<i8")) for a in answers]
         return pd.DataFrame({"bucket": found["bucket"], "batch": found["batch"], "counts": packed})
 
@@ -996,7 +1053,7 @@ def score_texts(
     columns besides id, text and those ``held_out`` names are not read. Runs jobs.
     """
     spark = docs.sparkSession
-    rows = written(_token_rows(docs, id_col, text_col, held_out), "tokens")
+    rows = written(_token_rows(docs, id_col, text_col, held_out, packed=True), "tokens")
     kinds = _KIND_NAMES
     buckets = written(_token_counts(rows), "counts")
     vocabulary = buckets.filter("sizes IS NOT NULL")
@@ -1043,6 +1100,8 @@ def score_texts(
                      *[pa.array([total[n]]) for n in range(KINDS)]],
                     ["bucket", "cells", *kinds],
                 )
+                del part, made, cells
+                _release()
 
     sums = ", ".join(f"{k} double" for k in kinds)
     scored = written(
@@ -1059,23 +1118,23 @@ def score_texts(
     def total(key, answers_: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
         if row.empty:
             return pd.DataFrame(columns=names)
+        _release()
         cells = _unpacked_answers(list(answers_["cells"]))
         uses = np.ascontiguousarray(cells["uses"])
-        scores = cells["score"][:, None] + (unpacked_tilts(cells["tilts"]) - whole)
+        scores = unpacked_tilts(cells["tilts"])
+        scores -= whole
+        scores += cells["score"][:, None]
         sizes = cells["size"].astype(float) + 1
         base = np.log10(uses + 0.1) - floor
         del cells
         r = row.iloc[0]
-        sequence = unpacked_planes(r["sequence"], "<u4").astype(np.int64)
-        tokens = unpacked_tokens(r["sizes"], r["spelled"]).to_pylist()
-        _, pair = np.unique(pairs_hashed(tokens, sequence), return_inverse=True)
+        sequence = unpacked_planes(r["sequence"], "<u4")
+        pair = numbered(
+            pairs_hashed(unpacked_tokens(r["sizes"], r["spelled"]).to_pylist(), sequence))
         together = np.concatenate([
             unpacked_planes(answer["counts"], "<i8") for answer in r["answers"]
-        ])[pair]
-        del pair, tokens
-        # A token is before another as often as it is used: every one but the end has one
-        # after it, and the end stands for the beginning of each document.
-        before = uses[tokens_before(sequence, len(uses))]
+        ])
+        _release()
         n_tokens = np.asarray(r["n_tokens"], np.int64)
         ends = np.cumsum(n_tokens)
         # Documents are scored apart, so some at a time, which bounds what is made on the way.
@@ -1084,13 +1143,16 @@ def score_texts(
         made = []
         for a, b in zip(firsts, np.append(firsts[1:], n_tokens.size)):
             at = slice(ends[a] - n_tokens[a], ends[b - 1])
-            n, said = b - a, sequence[at]
+            n, said = b - a, sequence[at].astype(np.int64)
             position_owner = np.repeat(np.arange(n), n_tokens[a:b])
             own, times = np.unique(position_owner * len(uses) + said, return_counts=True)
             owner, token = np.divmod(own, len(uses))
             alone = adapted(scores[token], times.astype(float), owner, n)
+            # A token is before another as often as it is used: every one but the end has one
+            # after it, and the end stands for the beginning of each document.
             in_order = followed(
-                scores, said, position_owner, n, together[at], before[at]
+                scores, said, position_owner, n, together[pair[at]],
+                uses[tokens_before(said, len(uses))],
             )
             score = np.logaddexp(alone * math.log(10), in_order * math.log(10)) - math.log(2)
             summed = [np.bincount(owner, v * times, n) for v in
@@ -1113,5 +1175,6 @@ def score_texts(
         "base_score double, score double, n_bytes bigint"
     )
     names = [c.split()[0] for c in schema.split(", ")]
-    packed = _packed_rows(rows).join(_pair_counts(rows), "batch").withColumnRenamed("batch", "row_batch")
+    asking = rows.select("batch", "ids", "held_out", "n_tokens", "sequence", "sizes", "spelled")
+    packed = asking.join(_pair_counts(rows), "batch").withColumnRenamed("batch", "row_batch")
     return answers.groupBy("batch").cogroup(packed.groupBy("row_batch")).applyInPandas(total, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -492,3 +494,42 @@ def test_following_through_very_unlikely_tokens():
                 total.append(told)
             wanted = (np.logaddexp.reduce(total) - math.log(len(total))) / math.log(10)
             assert math.isclose(found[number], wanted, rel_tol=1e-9)
+
+
+def test_positions_take_little_beside_their_hashes():
+    """Hashing took 40 bytes a position on the way, and numbering them 50 more, in every worker."""
+    tokens = [b"%d" % n for n in range(1000)] + [b""]
+    sequence = np.random.default_rng(6).integers(0, len(tokens), 1 << 20).astype(np.uint32)
+    own = scoring.token_hashes(tokens)
+    wanted = own[scoring.tokens_before(sequence, len(tokens))] * scoring._M1 + own[sequence]
+    tracemalloc.start()
+    try:
+        hashes = scoring.pairs_hashed(tokens, sequence)
+        assert tracemalloc.get_traced_memory()[1] < 16 * sequence.size
+        assert np.array_equal(hashes, wanted)
+        different, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        number = scoring.numbered(hashes)
+        assert tracemalloc.get_traced_memory()[1] - held < 24 * sequence.size
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(number, which)
+    found, n = scoring.counted_in_order(hashes)
+    assert np.array_equal(found, different) and np.array_equal(n, times)
+    nothing = np.empty(0, np.uint64)
+    assert scoring.numbered(nothing).size == scoring.counted_in_order(nothing)[0].size == 0
+
+
+def test_rows_go_through_the_jvm_packed(spark):
+    """Rows held an array with an object for each of their tokens, and were packed by a pass of its own."""
+    docs = spark.createDataFrame(
+        [(1, "a b a"), (2, None), (3, "é a\x00 " + "x" * 300)], "doc_id bigint, text string").coalesce(1)
+    plan = scoring.score_texts(docs, F.lit(False))._jdf.queryExecution().toString()
+    assert "spelled#" in plan and not re.search(r"\btokens#", plan)
+    opened, packed = (
+        scoring._token_rows(docs, "doc_id", "text", F.col("doc_id") == 1, packed=p).collect()[0]
+        for p in (False, True))
+    tokens = scoring.unpacked_tokens(bytes(packed.sizes), bytes(packed.spelled)).to_pylist()
+    assert tokens == [bytes(t) for t in opened.tokens] == [b"a", b"a\x00", b"b", b"x" * 300, "é".encode(), b""]
+    assert all(packed[c] == opened[c] for c in ("uses", "ids", "n_tokens", "sequence", "n_pairs", "n_different"))
