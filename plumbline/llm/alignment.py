@@ -6,17 +6,20 @@ the other. The shorter list of ends drives: from the match before, steps that do
 where its next end must lie in the longer list, and halving finds the place.
 
 What grows with the corpus stays distributed. Texts become blocks of some megabytes: the
-block's different linked pairs, and which document has which of them how often. Pairs are
-counted over blocks, and each block asks once for each of its pairs, however many of its
-documents hold it.
+block's different linked pairs, and which document has which of them how often, packed.
+Pairs are counted over blocks, and each block asks once for each of its pairs, however many
+of its documents hold it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,16 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import by_size, id_and_text, written
-from plumbline.llm.pieces import gather
+from plumbline.llm.common import by_size, id_and_text, packed_planes, unpacked_planes, written
+from plumbline.llm.pieces import gather, space_pieces
 from plumbline.llm.token_files import PieceTokenizer
 
 _LANE = 64
-_LINKS_AT_ONCE = 1 << 22
+#: Bytes of text that are aligned at once, links that are counted at once, and pieces that
+#: a worker keeps in each of its two tables. They bound a worker's memory, not the result.
+_TEXT_AT_ONCE = 1 << 20
+_LINKS_AT_ONCE = 1 << 20
+_KEPT_PIECES = 250_000
 
 
 def _offsets(sizes: np.ndarray) -> np.ndarray:
@@ -70,6 +77,60 @@ def piece_entries(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     ]
 
 
+def spells_spaces_apart(model: sentencepiece.SentencePieceProcessor) -> bool:
+    """Whether a run of spaces, with what follows it, has the same tokens in any text.
+
+    That is so if texts are taken as they are and no piece has a space after something
+    else, since merges then can't cross the place before a run. False if the model can't
+    be read.
+    """
+    try:
+        from sentencepiece import sentencepiece_model_pb2 as parts
+    except (ImportError, TypeError):  # it needs the protobuf package
+        return False
+    spec = parts.ModelProto.FromString(model.serialized_model_proto())
+    text, trained = spec.normalizer_spec, spec.trainer_spec
+    return (
+        trained.model_type == parts.TrainerSpec.BPE and trained.byte_fallback
+        and not trained.treat_whitespace_as_suffix
+        and text.add_dummy_prefix and text.escape_whitespaces
+        and not text.remove_extra_whitespaces and not text.precompiled_charsmap
+        and not any(re.search("[^▁]▁", piece.piece) for piece in spec.pieces)
+    )
+
+
+class SpacedTokenizer:
+    """A piece model that meets each different run of spaces with what follows it once."""
+
+    def __init__(self, path: str):
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.apart = spells_spaces_apart(self.library)
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library.encode(texts, num_threads=1)
+        offsets = _offsets(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1])), offsets
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text, as the model gives them for the whole text."""
+        # The model takes the letter it writes for a space as one, which the cut does not.
+        whole = [not self.apart or "▁" in text for text in texts]
+        pieces, counts = space_pieces(["" if w else text for w, text in zip(whole, texts)])
+        coded = pieces.dictionary_encode()
+        # The model puts a space before every text itself.
+        different = [piece[1:] for piece in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        flat, offsets = self._flat(different)
+        codes = coded.indices.to_numpy()
+        ids = gather(flat, offsets, codes)
+        ends = _offsets(np.diff(offsets)[codes])[_offsets(counts)].tolist()
+        split = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        rows = np.flatnonzero(whole).tolist()
+        ids, offsets = self._flat([texts[row] for row in rows])
+        for n, row in enumerate(rows):
+            split[row] = ids[offsets[n] : offsets[n + 1]]
+        return split
+
+
 def gallop(
     short: np.ndarray, long: np.ndarray, lanes: np.ndarray, low: np.ndarray, high: np.ndarray
 ) -> np.ndarray:
@@ -160,10 +221,10 @@ class Aligned:
 
 class Aligner:
     def __init__(self, byte_level: str, piece_model: str):
-        self.a = PieceTokenizer(byte_level, special_as_text=True)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+        self.a = PieceTokenizer(byte_level, special_as_text=True, most_kept=_KEPT_PIECES)
+        self.b = SpacedTokenizer(piece_model)
         a_entries = byte_level_entries(self.a.library.get_vocab())
-        b_entries = piece_entries(self.b)
+        b_entries = piece_entries(self.b.library)
         self.a_bytes, self.a_at = _table(a_entries)
         self.b_bytes, self.b_at = _table(b_entries)
         self.a_size, self.b_size = len(a_entries), len(b_entries)
@@ -176,7 +237,7 @@ class Aligner:
     def align(self, texts: list[str]) -> Aligned:
         """Texts whose tokens don't spell space + text on both sides get no tokens."""
         a = self.a.encode([" " + text if text else "" for text in texts])
-        b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
+        b = self.b.encode(texts)
         ids, docs = [], []
         for found, flat, at in ((a, self.a_bytes, self.a_at), (b, self.b_bytes, self.b_at)):
             every = np.concatenate([*found, []]).astype(np.int64)
@@ -254,6 +315,8 @@ class Aligner:
 
 @cache
 def _aligner(byte_level: str, piece_model: str) -> Aligner:
+    # A task has one core; threads of the library's own would each keep memory they freed.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Aligner(byte_level, piece_model)
 
 
@@ -272,7 +335,7 @@ def aligned_groups(
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _aligner(byte_level, piece_model)
-        for part in by_size(batches):
+        for part in by_size(batches, most=_TEXT_AT_ONCE):
             found = model.align(part.column("text").to_pylist())
             columns = [part.column("id")]
             for ids, at in ((found.a_ids, found.a_docs), (found.b_ids, found.b_docs)):
@@ -330,9 +393,9 @@ class _Block:
         return {
             "block": [number], "ids": [self.ids], **{k: [v] for k, v in self.facts.items()},
             "pairs": [pairs], "pair_docs": [np.bincount(which, minlength=pairs.size)],
-            "sizes": [np.concatenate(self.docs).astype("<u4").tobytes()],
-            "which": [which.astype("<u4").tobytes()],
-            "times": [np.concatenate([*self.times, []]).astype("<u8").tobytes()],
+            "sizes": [packed_planes(np.concatenate(self.docs).astype("<u4"))],
+            "which": [packed_planes(which.astype("<u4"))],
+            "times": [packed_planes(np.concatenate([*self.times, []]).astype("<u8"))],
         }
 
 
@@ -348,7 +411,7 @@ def token_blocks(
         model = _aligner(byte_level, piece_model)
         schema = None
         part, number, block, held = TaskContext.get().partitionId(), 0, _Block(), 0
-        for some in by_size(batches):
+        for some in by_size(batches, most=_TEXT_AT_ONCE):
             schema = schema or _block_schema(some.schema.field("id").type)
             block.add(model, some.column("id").to_pylist(), some.column("text").to_pylist())
             held += some.column("text").nbytes
@@ -419,9 +482,9 @@ def link_counts(
         counts, best = np.zeros(place.size, np.int64), np.zeros(place.size, np.int64)
         counts[place] = answer.column("docs").to_numpy()
         best[place] = answer.column("best").to_numpy().astype(np.int64)
-        which = np.frombuffer(row["which"].as_buffer(), "<u4")
-        times = np.frombuffer(row["times"].as_buffer(), "<u8").astype(np.int64)
-        at = _offsets(np.frombuffer(row["sizes"].as_buffer(), "<u4"))
+        which = unpacked_planes(row["which"].as_py(), "<u4")
+        times = unpacked_planes(row["times"].as_py(), "<u8").astype(np.int64)
+        at = _offsets(unpacked_planes(row["sizes"].as_py(), "<u4"))
         sums = [np.diff(_offsets(times * values[which])[at]) for values in (best, counts)]
         return pa.table({
             "id": row["ids"].values, **{name: row[name].values for name in facts},

@@ -123,6 +123,26 @@ def byte_pieces(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     return _pieces(points, starts, ends)
 
 
+def space_pieces(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """Every text after a space, cut before each run of spaces, and how many pieces it has.
+
+    A single space at a text's end stays with what is before it; an empty text has no piece.
+    """
+    spelled = [f" {text}".encode() if text else b"" for text in texts]
+    data = np.frombuffer(b"".join(spelled), np.uint8)
+    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    ends = np.cumsum(sizes)
+    starts = data == 0x20
+    starts[1:] &= ~(data[:-1] == 0x20)
+    starts[ends[sizes > 0] - 1] = False
+    starts[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(starts)
+    pieces = pa.StringArray.from_buffers(
+        at.size, pa.py_buffer(np.append(at, data.size).astype(np.int32).tobytes()), pa.py_buffer(data)
+    )
+    return pieces, np.diff(np.searchsorted(at, ends), prepend=0)
+
+
 def gather(values: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """values[offsets[c]:offsets[c + 1]] for every c in codes, end to end."""
     sizes = np.diff(offsets)[codes]

@@ -50,7 +50,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.args import named_column
-from plumbline.llm.common import gathered, ship_package, written
+from plumbline.llm.common import gathered, packed_planes, ship_package, unpacked_planes, written
 
 #: Slots per predictor, as powers of two: position, 1 to 4 bytes, the whole token so far.
 SLOTS = (16, 16, 19, 20, 21, 21)
@@ -499,18 +499,6 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def packed_planes(values: np.ndarray) -> bytes:
-    """Unsigned integers, compressed byte by byte of their places: high bytes are mostly 0."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def unpacked_planes(packed: bytes, kind: str | np.dtype) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
 def packed_tokens(tokens: pa.Array) -> tuple[bytes, bytes]:
     """Binary values as their lengths and their bytes, both compressed."""
     sizes = packed_planes(pc.binary_length(tokens).to_numpy().astype("<u4"))

@@ -32,6 +32,8 @@ from plumbline.llm.pieces import byte_pieces, gather
 #: Pieces a Python worker keeps in its newer table, and as many in the older one. When the
 #: newer is full it becomes the older, so pieces in use stay known; no result depends on it.
 KEPT_PIECES = 500_000
+#: Pieces that reach the library at once; what it returns for each is much larger than its ids.
+_PIECES_AT_ONCE = 8192
 _BLOCK = "part int, block int, dictionary string, start bigint, n_ids bigint, ids array<{id}>, offsets binary, counts binary, frames binary"
 
 
@@ -42,7 +44,8 @@ class PieceTokenizer:
     the pieces of many texts are cut together and only different ones reach the library.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, most_kept: int | None = None):
+        self.most_kept = KEPT_PIECES if most_kept is None else most_kept
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -60,17 +63,22 @@ class PieceTokenizer:
 
     def _bytes(self, library: Tokenizer, texts: list[str]) -> list[bytes]:
         # The fast form leaves out offsets into the text, which nothing here uses.
-        found = library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        return [
+            array("I", x.ids).tobytes()
+            for start in range(0, len(texts), _PIECES_AT_ONCE)
+            for x in library.encode_batch_fast(
+                texts[start : start + _PIECES_AT_ONCE], add_special_tokens=False
+            )
+        ]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, as the library gives them without added special tokens."""
         whole = [any(s in text for s in self.special) for text in texts]
         pieces, counts = byte_pieces(["" if w else text for w, text in zip(whole, texts)])
         coded = pieces.dictionary_encode()
-        if len(self.kept) > KEPT_PIECES:
+        if len(self.kept) > self.most_kept:
             self.older, self.kept = self.kept, {}
-        kept, different = self.kept, coded.dictionary.to_pylist()
+        kept, different = self.kept, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(kept.get, different))
         lacking = [n for n, ids in enumerate(found) if ids is None]
         again = list(map(self.older.get, map(different.__getitem__, lacking)))

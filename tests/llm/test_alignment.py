@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import alignment, bindings
+from plumbline.llm import alignment, bindings, token_files
 
 SF_DIR = "/root/testdata/sf0.001"
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -144,3 +146,68 @@ def test_links_are_counted_alike_in_small_parts(monkeypatch):
     whole = [x.tolist() for x in model.linked_pairs(found)]
     monkeypatch.setattr(alignment, "_LINKS_AT_ONCE", 7)
     assert [x.tolist() for x in model.linked_pairs(found)] == whole
+
+
+def test_blocks_are_packed(spark):
+    # A block is one row, so what it holds is in the JVM's memory several times.
+    texts = [" ".join(f"w{n % 7} {n * i % 1000} {'ab' * (n % 5)}" for n in range(400)) for i in range(60)]
+    model = alignment.Aligner(BYTE_LEVEL, PIECES)
+    entries = model.linked_pairs(model.align(texts))[0].size
+    frame = spark.createDataFrame([(n, t, 1, "p") for n, t in enumerate(texts)], SCHEMA).coalesce(1)
+    blocks = alignment.token_blocks(frame, BYTE_LEVEL, PIECES)
+    held = blocks.agg(F.sum(F.octet_length("which") + F.octet_length("times"))).first()[0]
+    assert held < 4 * entries
+
+
+def test_few_pieces_reach_the_library_at_once(monkeypatch):
+    texts = [" ".join(f"{n}x{i}" for n in range(50)) for i in range(40)] + [t or "" for t in TEXTS]
+    want = [x.tolist() for x in token_files.PieceTokenizer(BYTE_LEVEL, special_as_text=True).encode(texts)]
+    monkeypatch.setattr(token_files, "_PIECES_AT_ONCE", 3, raising=False)
+    model = alignment.Aligner(BYTE_LEVEL, PIECES)
+    library, sizes = model.a.by_piece, []
+
+    class Counted:
+        def encode_batch_fast(self, some, **how):
+            sizes.append(len(some))
+            return library.encode_batch_fast(some, **how)
+
+    model.a.by_piece = Counted()
+    assert [x.tolist() for x in model.a.encode(texts)] == want
+    assert max(sizes) == 3
+
+
+def test_few_kept_pieces_change_no_ids():
+    small = token_files.PieceTokenizer(BYTE_LEVEL, special_as_text=True, most_kept=5)
+    texts = [t or "" for t in TEXTS] * 2
+    library = small.library
+    library.encode_special_tokens = True
+    for text in texts:
+        assert small.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(small.kept) + len(small.older) < 30
+
+
+def test_runs_of_spaces_are_spelled_as_in_the_whole_text():
+    own = alignment.SpacedTokenizer(PIECES)
+    assert own.apart
+    texts = [t or "" for t in TEXTS] + ["a ", " a", "a  ", "  a  b ", "a\n b", "a \n", "▁ a ▁b", "a\u3000b \u0301c"]
+    assert [x.tolist() for x in own.encode(texts)] == own.library.encode(texts)
+    assert own.encode([]) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("  ab▁é日\n\t.<s>\u3000\x00😀"), max_size=30), max_size=6))
+def test_any_text_is_spelled_as_by_the_library(texts):
+    own = _spaced()
+    assert [x.tolist() for x in own.encode(texts)] == own.library.encode(texts)
+
+
+def test_a_model_that_joins_words_gets_whole_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "spells_spaces_apart", lambda model: False)
+    own = alignment.SpacedTokenizer(PIECES)
+    texts = [t or "" for t in TEXTS]
+    assert [x.tolist() for x in own.encode(texts)] == own.library.encode(texts)
+
+
+@cache
+def _spaced():
+    return alignment.SpacedTokenizer(PIECES)
